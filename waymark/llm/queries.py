@@ -4,19 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import url_filters
+from . import simhash, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.components(_table(spark, sf_dir, "documents"))
+
+
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filters.judge(_table(spark, sf_dir, "pages"))
 
 
 def queries() -> dict:
-    return {"op10_url_filters": op10_url_filters}
+    return {"op9_simhash": op9_simhash, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
