@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, line_dedup, simhash, url_filters
+from . import flac, line_dedup, simhash, token_files, url_filters
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.digest(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op7_media_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flac.digest(_table(spark, sf_dir, "documents"))
 
@@ -29,7 +39,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op7_media_flac": op7_media_flac, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_url_filters": op10_url_filters}
+    return {"op4_token_files": op4_token_files, "op7_media_flac": op7_media_flac, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
