@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, line_dedup, simhash, token_files, url_filters
+from . import flac, line_dedup, simhash, token_files, toxicity, url_filters
+from ..shipping import ship
+from .common import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    return toxicity.classify(docs, labels, fold(docs["doc_id"], 3) == 1)
+
+
 def _vocabulary(name: str) -> str:
     import public_tokenizers
 
@@ -39,7 +47,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op4_token_files": op4_token_files, "op7_media_flac": op7_media_flac, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_url_filters": op10_url_filters}
+    return {"op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op7_media_flac": op7_media_flac, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
