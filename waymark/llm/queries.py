@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import flac, line_dedup, simhash, token_files, toxicity, url_filters
+from . import flac, line_dedup, pieces, simhash, token_files, toxicity, url_filters
 from ..shipping import ship
 from .common import fold
 
@@ -25,6 +25,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digest(_table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -47,7 +51,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_toxicity": op2_toxicity, "op4_token_files": op4_token_files, "op7_media_flac": op7_media_flac, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_url_filters": op10_url_filters}
+    return {"op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_token_files": op4_token_files, "op7_media_flac": op7_media_flac, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
