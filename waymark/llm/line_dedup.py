@@ -1,17 +1,20 @@
-"""Line dedup: long passages that a corpus repeats are cut from all but their
-first place. DataFrame functions only.
-
-A text is folded into short lines (a line ends at a newline, or after a word whose
-hash says so, about every fourth), and a rolling hash over two neighbouring line
-hashes ends a chunk after about every second line. Both choices see only the words
-around them, so a passage is cut the same way wherever it stands. Chunks are
-matched by hash over the whole corpus; every later place is then compared, byte by
-byte, with the first one, and widened word by word as long as both read the same.
-What is matched in one stretch of ``min_words`` words or more goes.
-
-Defined results: null and empty texts come back as they are; rows with the same id
-and text are one document and treated alike; ids may be null and count as the
-first; an empty table gives no rows; columns besides id and text are kept.
+"""Line dedup: long passages that a corpus repeats are cut from all documents but
+their first one. DataFrame functions only.
+
+A text is folded into short lines: a line ends at a newline, and before a word that
+starts with one of certain letters, about every third word. A window rolling over
+the line hashes ends a chunk at each local maximum, so chunks have two lines or
+more. Both choices see only the words around them, so a passage is cut the same
+way wherever it stands. Chunks are matched by hash over the whole corpus; chunks
+that continue the same match make a run, and every run is compared, byte by byte,
+with the text in the first document, and widened line by line, then word by word,
+as long as both read the same. What is matched in one stretch of ``min_words``
+words or more goes.
+
+Defined results: null and empty texts, and rows without an id, come back as they
+are; rows with the same id and text are one document and treated alike; what
+repeats only inside one document stays; an empty table gives no rows; columns
+besides id and text are kept.
 """
 
 from __future__ import annotations
@@ -23,175 +26,223 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-LINE_MOD, CHUNK_MOD = 4, 2
-ANCHOR_WORDS = 5
-#: How many words a match is widened by on each side of a chunk.
-REACH = 32
+#: A word starts a line if its first character's code is a multiple of this, or 0x100 or more.
+FIRST_MOD = 3
+#: A chunk with more than this share of all rows is dealt with apart.
+HOT_SHARE = 1 / 2000
+#: How many lines a match is widened by on each side of a run.
+REACH = 10
 MIN_WORDS = 40
 
+_FIRST = "".join(f"\\x{c:02x}" for c in range(0x21, 0x100) if c % FIRST_MOD == 0)
+_LINE = rf"(?<=\n)|(?<= )(?=[{_FIRST}\x{{100}}-\x{{10ffff}}])"
+_WORD = r"(?<=[ \n])"
+
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once for a row."""
     return F.transform(F.array(value), use)[0]
 
 
-def words_of(text: Column) -> Column:
-    """Words with the space or newline that ends them; joined they give the text."""
-    return F.split(text, r"(?<=[ \n])", -1)
-
-
-def _join(words: Column, start: Column, n: Column) -> Column:
-    return F.array_join(F.slice(words, start + 1, n), "")
+def lines_of(text: Column) -> Column:
+    """The short lines of a text; joined they give the text."""
+    return F.split(text, _LINE, -1)
 
 
-def _ends(flags: Column) -> Column:
-    """Positions where flags hold; the last position always counts."""
-    marked = lambda f: F.transform(f, lambda x, i: F.when(x | (i == F.size(f) - 1), i))
-    return F.filter(_let(flags, marked), lambda i: i.isNotNull())
+def _join(parts: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.slice(parts, start + 1, n), "")
 
 
-def _spans(ends: Column) -> Column:
-    """(start, n) of the runs that end at these positions."""
-    return _let(
-        ends,
-        lambda at: F.transform(
-            at,
-            lambda e, k: _let(
-                F.when(k == 0, F.lit(0)).otherwise(F.get(at, k - 1) + 1),
-                lambda s: F.struct(s.alias("s"), (e - s + 1).alias("n")),
-            ),
-        ),
-    )
+def _trimmed(text: Column) -> Column:
+    return F.rtrim(text, F.lit(" \n"))
 
 
-def chunks(text: Column, line_mod=LINE_MOD, chunk_mod=CHUNK_MOD) -> Column:
-    """array<struct<s, n, h>>: start and length in words, and hash, of each chunk."""
+def chunks(text: Column) -> Column:
+    """array<struct<s, n, h>>: first line, number of lines, and hash, of each chunk."""
 
-    def of_lines(words: Column, lines: Column) -> Column:
-        hashes = F.transform(lines, lambda x: F.xxhash64(F.slice(words, x["s"] + 1, x["n"])))
-        return _let(
-            hashes,
-            lambda lh: _let(
-                _spans(_ends(F.transform(lh, lambda h, i: F.pmod(F.xxhash64(h, F.get(lh, i - 1)), F.lit(chunk_mod)) == 0))),
-                lambda parts: F.transform(parts, lambda p: whole(words, lines, p)),
-            ),
+    def ends(h: Column) -> Column:
+        """Positions of local maxima, and the last one."""
+        at = lambda x, i: F.when(
+            (i == F.size(h) - 1) | ((x > F.coalesce(F.get(h, i - 1), x)) & (x >= F.get(h, i + 1))), i
         )
-
-    def whole(words: Column, lines: Column, part: Column) -> Column:
-        last = F.get(lines, part["s"] + part["n"] - 1)
-        return _let(
-            F.struct(F.get(lines, part["s"])["s"].alias("s"), (last["s"] + last["n"] - F.get(lines, part["s"])["s"]).alias("n")),
-            lambda x: F.struct(x["s"].alias("s"), x["n"].alias("n"), F.xxhash64(F.slice(words, x["s"] + 1, x["n"])).alias("h")),
+        return F.filter(F.transform(h, at), lambda i: i.isNotNull())
+
+    def cut(lines: Column, e: Column) -> Column:
+        return F.transform(
+            e,
+            lambda last, k: _let(
+                F.coalesce(F.get(e, k - 1) + 1, F.lit(0)),
+                lambda s: F.struct(s.alias("s"), (last - s + 1).alias("n"), F.xxhash64(F.slice(lines, s + 1, last - s + 1)).alias("h")),
+            ),
         )
 
-    def ends_line(w: Column) -> Column:
-        return w.endswith("\n") | (F.pmod(F.xxhash64(w), F.lit(line_mod)) == 0)
-
     return _let(
-        words_of(text),
-        lambda words: _let(
-            _spans(_ends(F.transform(words, ends_line))), lambda lines: of_lines(words, lines)
-        ),
+        lines_of(text),
+        lambda lines: _let(_let(F.transform(lines, lambda x: F.xxhash64(x)), ends), lambda e: cut(lines, e)),
     )
 
 
-def _trimmed(text: Column) -> Column:
-    return F.rtrim(text, F.lit(" \n"))
-
-
 def _alike(a: Column, b: Column) -> Column:
-    """How many words at the start of both arrays read the same."""
-    n = F.least(F.size(a), F.size(b))
-    first = F.array_position(
-        F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: _trimmed(x) == _trimmed(y)), F.lit(False)
-    )
-    return F.when(first > 0, first.cast("int") - 1).otherwise(n)
+    """How many elements at the start of both arrays read the same."""
 
+    def count(same: Column) -> Column:
+        return _let(F.array_position(same, F.lit(False)).cast("int"), lambda at: F.when(at > 0, at - 1).otherwise(F.size(same)))
 
-def spans(docs: DataFrame, min_words=MIN_WORDS, reach=REACH) -> DataFrame:
-    """docs(id, th, text) to (id, th, cuts array<struct<a, b>>): the stretches of words
-    [a, b) that go, sorted."""
-    meta = materialize(
-        docs.where(F.length("text") > 0)
-        .select("id", "th", F.filter(chunks(F.col("text")), lambda c: c["n"] >= ANCHOR_WORDS).alias("c")),
-        "chunks",
-    )
-    rows = meta.select("id", "th", F.inline("c").alias("s", "n", "h"))
-    firsts = rows.groupBy("h").agg(F.min(F.struct("id", "th", "s")).alias("c"), F.count("*").alias("rows")).where("rows > 1")
-    own = F.struct("id", "th", "s")
-    later = rows.join(firsts.select("h", "c"), "h").where(~own.eqNullSafe(F.col("c")))
-    line = Window.partitionBy("id", "th").orderBy("s")
-    at = lambda f, c: f(c).over(line)
-
-    def needed(f, gap: Column) -> Column:
-        """Words to compare on one side: up to the neighbour that continues this match."""
-        same = at(f, "c.id").eqNullSafe(F.col("c.id")) & (at(f, "c.th") == F.col("c.th")) & (at(f, F.expr("s - c.s")) == F.expr("s - c.s"))
-        return F.when(same, F.greatest(F.least(gap, F.lit(reach)), F.lit(0))).otherwise(reach)
-
-    later = later.withColumns(
-        {"nl": needed(F.lag, F.col("s") - at(F.lag, F.expr("s + n"))), "nr": needed(F.lead, at(F.lead, "s") - F.expr("s + n"))}
-    )
-    later = materialize(later, "later")
-    part = lambda role, *c: F.struct(F.lit(role).alias("role"), *(F.col(x) for x in ("h", "s", "n")), *c)
-    wanted = later.select("id", "th", part(0, F.col("nl"), F.col("nr")).alias("p")).unionAll(
-        later.groupBy("h", "c", "n")
-        .agg(F.max("nl").alias("nl"), F.max("nr").alias("nr"))
-        .select("c.id", "c.th", F.struct(F.lit(1).alias("role"), "h", F.col("c.s").alias("s"), "n", "nl", "nr").alias("p"))
+    n = F.least(F.size(a), F.size(b))
+    return _let(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: (x == y) | (_trimmed(x) == _trimmed(y))), count)
+
+
+def _widened(own: Column, other: Column, turn: Callable[[Column], Column]) -> Column:
+    """struct<lines, words, chars>: whole lines alike, then words (and their characters)
+    of the line after; ``turn`` orders the words of a line from the match outwards."""
+
+    def words(lines: Column, k: Column) -> Column:
+        return turn(F.split(F.coalesce(F.get(lines, k), F.lit("")), _WORD))
+
+    def tail(a: Column, b: Column, k: Column) -> Column:
+        part = lambda w, m: F.struct(k.alias("lines"), m.alias("words"), F.length(F.array_join(F.slice(w, 1, m), "")).alias("chars"))
+        return _let(words(a, k), lambda w: _let(words(b, k), lambda v: _let(_alike(w, v), lambda m: part(w, m))))
+
+    return _let(own, lambda a: _let(other, lambda b: _let(_alike(a, b), lambda k: tail(a, b, k))))
+
+
+def later_places(rows: DataFrame) -> DataFrame:
+    """rows(id, s, n, h) to (id, s, n, id0, s0) for every chunk that an earlier document
+    has, with its first place there. Rows meet by hash once; the few hashes that hold
+    more than HOT_SHARE of a sample of documents (so at most 1 / HOT_SHARE of them) are
+    reduced to their first places by partial aggregates, which are broadcast."""
+    sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).groupBy("h").count()
+    total = sample.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+    hot = [r["h"] for r in sample.where(F.col("count") > max(16, int(total * HOT_SHARE))).select("h").collect()]
+    first = F.first(F.struct("id", "s")).over(Window.partitionBy("h").orderBy("id", "s"))
+    columns = ["id", "s", "n", F.col("f.id").alias("id0"), F.col("f.s").alias("s0")]
+    rest = rows
+    if hot:
+        rest, own = rows.where(~F.col("h").isin(hot)), rows.where(F.col("h").isin(hot))
+        firsts = F.broadcast(own.groupBy("h").agg(F.min(F.struct("id", "s")).alias("f")))
+    out = rest.withColumn("f", first).where("f.id <> id").select(*columns)
+    return out.unionAll(own.join(firsts, "h").where("f.id <> id").select(*columns)) if hot else out
+
+
+def runs(docs: DataFrame, reach=REACH) -> DataFrame:
+    """docs(id, text) to (id, a, b, id0, a0, nl, nr): lines [a, b) repeat lines from a0
+    on of the first document id0, by hash; nl and nr say how many lines beside them
+    are still to be compared."""
+    rows = materialize(docs.select("id", chunks(F.col("text")).alias("c")), "chunks").select("id", F.inline("c"))
+    later = later_places(rows)
+    line = Window.partitionBy("id").orderBy("s", "id0", "s0")
+    before = lambda c: F.lag(F.expr(c)).over(line)
+    goes_on = (before("id0") == F.col("id0")) & (
+        ((before("s + n") == F.col("s")) & (before("s0 + n") == F.col("s0"))) | ((before("s") == F.col("s")) & (before("s0") == F.col("s0")))
     )
-    wanted = wanted.groupBy(F.col("id").alias("wid"), F.col("th").alias("wth")).agg(F.collect_list("p").alias("ps"))
-    both = docs.join(wanted, docs.id.eqNullSafe(wanted.wid) & (docs.th == wanted.wth))
-    texts = both.select(
-        "id",
-        "th",
-        F.explode(
-            _let(
-                words_of(F.col("text")),
-                lambda w: F.transform(
-                    "ps",
-                    lambda p: F.struct(
-                        p["role"].alias("role"), p["h"].alias("h"), p["s"].alias("s"), p["n"].alias("n"),
-                        _trimmed(_join(w, p["s"], p["n"])).alias("own"),
-                        F.reverse(F.slice(w, F.greatest(p["s"] - p["nl"], F.lit(0)) + 1, F.least(p["nl"], p["s"]))).alias("before"),
-                        F.slice(w, p["s"] + p["n"] + 1, p["nr"]).alias("after"),
-                    ),
-                ),
-            )
-        ).alias("t"),
-    ).select("id", "th", "t.*")
-    first = texts.where("role = 1").groupBy("h").agg(
-        F.min("own").alias("own1"), F.min_by("before", "own").alias("before1"), F.min_by("after", "own").alias("after1")
+    later = later.withColumn("new", F.when(goes_on, 0).otherwise(1))
+    later = later.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    found = later.groupBy("id", "run").agg(
+        F.min("s").alias("a"), F.max(F.expr("s + n")).alias("b"), F.min("id0").alias("id0"), F.min("s0").alias("a0")
     )
-    same = texts.where("role = 0").join(first, "h").where("own = own1")
-    cut = same.select(
-        "id", "th", (F.col("s") - _alike(F.col("before"), F.col("before1"))).alias("a"),
-        (F.col("s") + F.col("n") + _alike(F.col("after"), F.col("after1"))).alias("b"),
+    side = Window.partitionBy("id").orderBy("a", "run")
+    return found.select(
+        "id", "a", "b", "id0", "a0",
+        F.when(F.lag("b").over(side) == F.col("a"), 0).otherwise(reach).alias("nl"),
+        F.when(F.lead("a").over(side) == F.col("b"), 0).otherwise(reach).alias("nr"),
     )
-    upto = F.max("b").over(Window.partitionBy("id", "th").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1))
-    cut = cut.withColumn("new", F.when(upto >= F.col("a"), 0).otherwise(1))
-    cut = cut.withColumn("island", F.sum("new").over(Window.partitionBy("id", "th").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, 0)))
-    cut = cut.groupBy("id", "th", "island").agg(F.min("a").alias("a"), F.max("b").alias("b")).where(F.col("b") - F.col("a") >= min_words)
-    return cut.groupBy("id", "th").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("cuts"))
+
+
+def matches(docs: DataFrame, id_col="doc_id", text="text", reach=REACH) -> DataFrame:
+    """docs to (_wm_id, ps): for every run of a document its place, and the text and the
+    lines beside it in the first document."""
+    found = materialize(runs(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), reach), "runs")
+    n = F.expr("b - a").alias("n")
+    asked = found.groupBy("id0", "a0", n).agg(F.max("nl").alias("nl"), F.max("nr").alias("nr"))
+    asked = asked.groupBy(F.col("id0").alias("wid")).agg(F.collect_list(F.struct("a0", "n", "nl", "nr")).alias("ps"))
+
+    def read(lines: Column) -> Column:
+        return F.transform(
+            "ps",
+            lambda p: F.struct(
+                p["a0"].alias("a0"), p["n"].alias("n"), _join(lines, p["a0"], p["n"]).alias("own"),
+                F.reverse(F.slice(lines, F.greatest(p["a0"] - p["nl"], F.lit(0)) + 1, F.least(p["nl"], p["a0"]))).alias("left"),
+                F.slice(lines, p["a0"] + p["n"] + 1, p["nr"]).alias("right"),
+            ),
+        )
+
+    first = docs.select(id_col, text).join(asked, F.col(id_col) == F.col("wid"))
+    first = first.select(F.col("wid").alias("id0"), F.inline(_let(lines_of(F.col(text)), read)))
+    both = found.withColumn("n", n).join(first, ["id0", "a0", "n"])
+    return both.groupBy(F.col("id").alias("_wm_id")).agg(F.collect_list(F.struct("a", "b", "nl", "nr", "own", "left", "right")).alias("ps"))
+
+
+_CUTS = "array<struct<a:int,nca:int,b:int,cb:int,wa:int,wb:int>>"
+
+
+def _cuts(lines: Column, ps: Column) -> Column:
+    """The stretches of lines [a, b), with cb characters after and -nca before them, that
+    read like the first documents, merged and sorted."""
+
+    def one(p: Column) -> Column:
+        left = F.reverse(F.slice(lines, F.greatest(p["a"] - p["nl"], F.lit(0)) + 1, F.least(p["nl"], p["a"])))
+        return _let(
+            F.struct(_widened(left, p["left"], F.reverse).alias("l"), _widened(F.slice(lines, p["b"] + 1, p["nr"]), p["right"], lambda w: w).alias("r")),
+            lambda x: F.struct(
+                (p["a"] - x["l"]["lines"]).alias("a"), (-x["l"]["chars"]).alias("nca"), (p["b"] + x["r"]["lines"]).alias("b"),
+                x["r"]["chars"].alias("cb"), x["l"]["words"].alias("wa"), x["r"]["words"].alias("wb"),
+            ),
+        )
+
+    def merge(done: Column, x: Column) -> Column:
+        last = F.get(done, F.size(done) - 1)
+        longer = (x["b"] > last["b"]) | ((x["b"] == last["b"]) & (x["cb"] > last["cb"]))
+        pick = lambda k: F.when(longer, x[k]).otherwise(last[k]).alias(k)
+        joined = F.struct(last["a"].alias("a"), last["nca"].alias("nca"), pick("b"), pick("cb"), last["wa"].alias("wa"), pick("wb"))
+        return F.when(last["b"] >= x["a"], F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
+
+    same = F.filter(ps, lambda p: _join(lines, p["a"], p["b"] - p["a"]) == p["own"])
+    return F.aggregate(F.array_sort(F.transform(same, one)).cast(_CUTS), F.array().cast(_CUTS), merge)
 
 
 def dedup(docs: DataFrame, id_col="doc_id", text="text", min_words=MIN_WORDS, reach=REACH) -> DataFrame:
     """docs with its text shortened, and removed_words and removed_spans added."""
-    th = F.xxhash64(text)
-    known = docs.select(F.col(id_col).alias("id"), th.alias("th"), F.col(text).alias("text"))
-    found = spans(known, min_words, reach).select(F.col("id").alias("_wm_id"), F.col("th").alias("_wm_th"), F.col("cuts").alias("_wm_cuts"))
-    joined = docs.join(found, docs[id_col].eqNullSafe(found._wm_id) & (th == found._wm_th), "left")
-    cuts = F.col("_wm_cuts")
-
-    def keep(words: Column) -> Column:
-        stretches = F.transform(
-            F.concat(cuts, F.array(F.struct(F.size(words).alias("a"), F.size(words).alias("b")))),
-            lambda c, i: _let(F.when(i == 0, F.lit(0)).otherwise(F.get(cuts, i - 1)["b"]), lambda s: _join(words, s, c["a"] - s)),
+    # the same rows in both joins, so that Spark moves the texts once
+    named = docs.where(F.col(id_col).isNotNull())
+    found = matches(named, id_col, text, reach).withColumnRenamed("ps", "_wm_ps")
+    joined = named.join(found, named[id_col] == found._wm_id, "left")
+    body = named[text]
+
+    def n_words(lines: Column, c: Column) -> Column:
+        inner = F.size(F.filter(F.split(_join(lines, c["a"], c["b"] - c["a"]), "[ \n]+"), lambda w: w != ""))
+        return inner + c["wa"] + c["wb"]
+
+    def shorter(lines: Column) -> Column:
+        counted = F.transform(
+            _cuts(lines, F.col("_wm_ps")), lambda c: F.struct(*(c[k].alias(k) for k in ("a", "nca", "b", "cb")), n_words(lines, c).alias("w"))
         )
-        return F.array_join(stretches, "")
-
-    removed = F.coalesce(F.aggregate(cuts, F.lit(0), lambda n, c: n + c["b"] - c["a"]), F.lit(0))
-    shorter = F.when(cuts.isNotNull(), _let(words_of(F.col(text)), keep)).otherwise(F.col(text))
-    return joined.select(
-        *(shorter.alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns if c not in ("removed_words", "removed_spans")),
-        removed.alias("removed_words"),
-        F.when(cuts.isNotNull(), F.size(cuts)).otherwise(0).alias("removed_spans"),
-    )
+        return _let(F.filter(counted, lambda c: c["w"] >= min_words), lambda cs: kept(lines, cs))
+
+    def kept(lines: Column, cs: Column) -> Column:
+        end = F.struct(F.size(lines).alias("a"), F.lit(0).alias("nca"), F.size(lines).alias("b"), F.lit(0).alias("cb"), F.lit(0).alias("w"))
+        part = lambda c, i: _let(
+            F.coalesce(F.get(cs, i - 1)["b"], F.lit(0)),
+            lambda s: _let(
+                _join(lines, s, c["a"] - s),
+                lambda t: _let(
+                    F.coalesce(F.get(cs, i - 1)["cb"], F.lit(0)),
+                    lambda skip: F.substring(t, skip + 1, F.greatest(F.length(t) - skip + c["nca"], F.lit(0))),
+                ),
+            ),
+        )
+        return F.struct(
+            F.array_join(F.transform(F.concat(cs, F.array(end)), part), "").alias("text"),
+            F.aggregate(cs, F.lit(0), lambda n, c: n + c["w"]).alias("words"),
+            F.size(cs).alias("spans"),
+        )
+
+    whole = F.struct(body.alias("text"), F.lit(0).alias("words"), F.lit(0).alias("spans"))
+    result = F.when(F.col("_wm_ps").isNotNull(), _let(lines_of(body), shorter)).otherwise(whole)
+    others = [c for c in docs.columns if c not in ("removed_words", "removed_spans")]
+    rest = joined.select(*(named[c] for c in others if c != text), F.explode(F.array(result)).alias("_wm"))
+    out = rest.select(
+        *(F.col("_wm.text").alias(text) if c == text else F.col(f"`{c}`") for c in others),
+        F.col("_wm.words").alias("removed_words"), F.col("_wm.spans").alias("removed_spans"),
+    )
+    nameless = docs.where(F.col(id_col).isNull()).select(*others, F.lit(0).alias("removed_words"), F.lit(0).alias("removed_spans"))
+    return out.unionAll(nameless)
