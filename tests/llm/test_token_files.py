@@ -15,6 +15,7 @@ ODD = [
     "café café ́x Ａｂｃ 日本語 text   nbsp em \x1c fs \x85 nel",
     "a<|endoftext|>b <|startoftext|> c <|END|>",
     "Σίσυφος ΣΑΣ İstanbul ǅ 한국어 한 \U0001f600 x‍y",
+    "Été*** NAÏVE&&&, x's!!! don't... µm ß ÿ e\u0301. a\u0301*** b<|endoftext|>... $$$ ½. 1/2, <|x",
     "", " ", "\n\n", "!!!???,,,...  --__--", "'S 'T don'T",
 ]
 

@@ -14,8 +14,8 @@ table gives no files and no rows; extra columns are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,12 +30,24 @@ from .common import materialize, new_path
 SEQUENCE = 1024
 BATCH = 256
 ROWS_PER_FILE = 65_536
-#: Words whose ids a worker remembers, at most.
-CACHE_WORDS = 300_000
+#: Words that a worker remembers before it starts anew, with as many older ones to ask.
+CACHE_WORDS = 500_000
 
+_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_{|}~"
 _encoders: dict[str, Encoder] = {}
 
 
+def _plain(text: str) -> bool:
+    """Latin-1 only: lower-casing it first, as the tokenizer does later, changes nothing."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 class Encoder:
     """Token ids of whole texts, word by word: the tokenizer drops white space and
     never joins what it separates, so words between spaces and newlines are encoded
@@ -46,22 +58,36 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype."""
-        split = [re.split("[ \n]+", t) for t in texts]
-        missing = {w for ws in split for w in ws if w not in self.known}
-        if len(self.known) + len(missing) > CACHE_WORDS:
-            self.known = {}
-            missing = {w for ws in split for w in ws}
-        words = list(missing)
+        if len(self.known) > CACHE_WORDS:
+            self.older, self.known = self.known, {}
+        split = [(t.lower() if _plain(t) and "<|" not in t else t).replace("\n", " ").split(" ") for t in texts]
+        missing = set().union(*split).difference(self.known) if split else set()
+        self._learn(missing)
+        get = self.known.__getitem__
+        return [b"".join(map(get, ws)) for ws in split]
+
+    def _learn(self, missing: set[str]) -> None:
+        known, older = self.known, self.older
+        # marks after a letter are always a piece of their own
+        pairs = {w: (stem, w[len(stem) :]) for w in missing if w and (stem := w.rstrip(_MARKS)) != w and stem and stem[-1].isalpha() and "<|" not in w}
+        need = missing.difference(pairs).union(*pairs.values()).difference(known)
+        words = []
+        for w in need:
+            if w in older:
+                known[w] = older[w]
+            else:
+                words.append(w)
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
-            self.known.update((w, np.array(e.ids, self.dtype).tobytes()) for w, e in zip(part, found, strict=True))
-        get = self.known.__getitem__
-        return [b"".join(map(get, ws)) for ws in split]
+            known.update((w, array(self.code, e.ids).tobytes()) for w, e in zip(part, found, strict=True))
+        known.update((w, known[stem] + known[marks]) for w, (stem, marks) in pairs.items())
 
     @classmethod
     def of(cls, path: str) -> Encoder:
