@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, flac, line_dedup, pieces, simhash, token_files, toxicity, url_filters
+from . import decontaminate, flac, line_dedup, lm, pieces, simhash, token_files, toxicity, url_filters
 from ..shipping import ship
 from .common import fold
 
@@ -33,6 +33,11 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(_table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return lm.score(docs, fold(docs["doc_id"], 5) == 1)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -55,7 +60,7 @@ def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_token_files": op4_token_files, "op6_decontamination": op6_decontamination, "op7_media_flac": op7_media_flac, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_url_filters": op10_url_filters}
+    return {"op2_toxicity": op2_toxicity, "op3_sentencepiece": op3_sentencepiece, "op4_token_files": op4_token_files, "op5_lm_scoring": op5_lm_scoring, "op6_decontamination": op6_decontamination, "op7_media_flac": op7_media_flac, "op8_line_dedup": op8_line_dedup, "op9_simhash": op9_simhash, "op10_url_filters": op10_url_filters}
 
 
 def oracle_sql() -> dict[str, str]:
