@@ -1,5 +1,7 @@
 """SimHash against brute force over all pairs."""
 
+import random
+
 import numpy as np
 import pytest
 import xxhash
@@ -73,6 +75,7 @@ def test_links_are_exact_and_connect(spark, leaf_rows, block_rows):
         return sorted(map(sorted, groups.values()))
 
     true = [(a, int(b)) for a in range(len(x)) for b in np.flatnonzero(np.bitwise_count(x ^ x[a]) <= 2)]
+    assert all(bin(fps[at[r.a]] ^ fps[at[r.b]]).count("1") <= 2 for r in found)
     assert parts(true) == parts((at[r.a], at[r.b]) for r in found)
 
 
@@ -82,3 +85,48 @@ def test_odd_rows(spark):
     got = sorted((tuple(r) for r in simhash.components(docs).select("doc_id", "fingerprint", "component_id").collect()), key=str)
     assert got == slow_components([(i, slow_fingerprint(t)) for i, t in rows])
     assert simhash.components(docs.limit(0)).count() == 0
+
+
+def shingles(text, size=5):
+    words = (text or "").lower().split()
+    return {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))}
+
+
+def test_near_duplicates(spark):
+    """Copies with a few words changed go, whatever their group's size; others stay."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(1, 6)))
+    vocabulary = [word() for _ in range(3000)]
+    base = [" ".join(rng.choice(vocabulary) for _ in range(rng.randint(60, 500))) for _ in range(120)]
+    rows, copies = [(k, t) for k, t in enumerate(base)], {}
+    for k in range(0, 60):
+        for c in range(40 if k == 0 else 3):
+            words = base[k].split()
+            for at in rng.sample(range(len(words)), max(1, len(words) // 120)):
+                words[at] = word()
+            i = 1000 + 100 * k + c
+            if len(shingles(base[k]) & shingles(" ".join(words))) >= 0.8 * len(shingles(base[k]) | shingles(" ".join(words))):
+                rows.append((i, " ".join(words)))
+                copies[i] = k
+    rows += [(9000 + k, base[k]) for k in range(100, 120)] + [(9500, ""), (9501, None), (9502, ""), (None, base[3]), (9600, "two words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as node", "2 as w0", "3 as root", "doc_id as low").repartition(4)
+    kept = simhash.near_duplicates(docs)
+    assert kept.columns == docs.columns
+    got = {r.doc_id for r in kept.collect()}
+    assert set(range(120)) <= got and 9600 in got and None not in got
+    assert not got & set(range(9000, 9020)) and len(got & {9500, 9501, 9502}) == 1
+    assert len(got & set(copies)) <= 0.02 * len(copies)
+    assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_different_documents_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r.doc_id: r.text for r in docs.collect()}
+    kept = {r.doc_id for r in simhash.near_duplicates(docs).collect()}
+    sets = {i: shingles(t) for i, t in rows.items()}
+    like = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    for i in rows:
+        if i not in kept:
+            assert any(like(i, j) for j in rows if j != i)
+    found = [(a, b) for a in kept for b in kept if a < b and like(a, b)]
+    assert len(found) <= 1

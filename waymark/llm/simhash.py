@@ -74,3 +74,78 @@ def components(docs: DataFrame, id_col="doc_id", text="text", size=3, seed=42, d
     return prints.join(classes, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+#: Bits of a word fingerprint's words, and how many of them near duplicates may differ in.
+NEAR_WORDS, NEAR_BITS = 2, 24
+#: Direct links of one document that are all compared; of more, one to each group.
+NEAR_LINKS = 6
+
+
+def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
+    """128 bits: the majority of the hashes of the different words. An edit changes one
+    word but ``size`` shingles, so this finds candidates whose shingles are compared."""
+    own = list(dict.fromkeys(words))
+    if not own:
+        return 0, 0
+    bits = np.zeros(128, np.int64)
+    for at in range(0, len(own), _CHUNK):
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own[at : at + _CHUNK])), np.uint8).reshape(-1, 16)
+        bits += np.unpackbits(h, axis=1, bitorder="little").sum(0, dtype=np.int64)
+    a, b = np.packbits(bits * 2 > len(own), bitorder="little").view(np.int64)
+    return int(a), int(b)
+
+
+def shingles(text: str | None, size: int) -> set:
+    words = words_of(text)
+    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)}
+
+
+def _near_masks() -> np.ndarray:
+    """Eight sets of 32 of the 128 bits: four of neighbours, four of every fourth bit."""
+    plain = vantage.blocks(NEAR_WORDS, 4)
+    every = np.array([[sum(1 << b for b in range(k, 64, 4))] * NEAR_WORDS for k in range(4)], np.uint64)
+    return np.concatenate([plain, every])
+
+
+def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, similarity=0.8) -> DataFrame:
+    """docs with one document left of each group of near duplicates: texts linked by
+    chains of pairs whose sets of ``size``-word shingles have a Jaccard similarity of at
+    least ``similarity``. Candidates come from the vantage-point forest over word
+    fingerprints. The document with the smallest id stays, null ids last; rows with the
+    same id and text are one document."""
+    node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def prints(batches):
+        for b in batches:
+            fps = [word_fingerprint(words_of(t.as_py())) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64())], ["id", "node", "w0", "w1"])
+
+    named = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text).alias("text"))
+    rows = materialize(named.mapInArrow(prints, f"id {kind}, node long, w0 long, w1 long"), "prints")
+    points = materialize(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("w0").alias("w0"), F.min("w1").alias("w1")), "points")
+    found = vantage.links(points, ["w0", "w1"], NEAR_BITS, _near_masks(), radius=1, whole=NEAR_LINKS)
+    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(points.select("node", "low"), "node")
+    texts = named.join(asked.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("low")))
+    texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+
+    def compare(batches):
+        for b in batches:
+            hits = []
+            for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+                p, q = shingles(x.as_py(), size), shingles(y.as_py(), size)
+                hits.append(len(p & q) >= similarity * len(p | q))
+            keep = pa.array(hits, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+    close = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
+    roots = connected_components(close)
+    named_points = points.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
+    named_points = materialize(named_points.select("node", "low", F.coalesce("root", "node").alias("root")), "roots")
+    first = named_points.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("f"))
+    stay = first.select(F.col("f.node").alias("_wm_node"), F.col("f.low").alias("_wm_low"))
+    return docs.join(stay, (node == F.col("_wm_node")) & docs[id_col].eqNullSafe(F.col("_wm_low")), "left_semi")

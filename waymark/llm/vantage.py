@@ -6,7 +6,7 @@ tree for each block, over the Hamming distance inside it. The trees are fitted o
 a bounded sample of fingerprints (``SAMPLE``); every fingerprint is then stored in
 the one leaf it falls in, and asks every leaf that a ball of the block's radius
 around it can reach (the triangle inequality prunes the others). Leaves are the
-shards: pairs are compared inside them and only a spanning forest of the links is
+shards: pairs are compared inside them and only links that connect the groups are
 emitted, so a dense group costs rows, not pairs.
 """
 
@@ -116,8 +116,9 @@ def _array(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], 1)
 
 
-def _forest(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, distance: int):
-    """Links (left id, right id) that connect all that lies within distance."""
+def _links(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, distance: int, whole: int):
+    """Pairs (left id, right id) within distance, enough of them to connect all that are;
+    every pair of a row with at most ``whole`` of them."""
     label = np.arange(len(right))
     out: list[tuple[int, int]] = []
     step = max(1, 2_000_000 // max(1, len(right)))
@@ -125,19 +126,19 @@ def _forest(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids
         close = hamming(left[at : at + step, None, :], right[None, :, :]) <= distance
         close &= left_ids[at : at + step, None] != right_ids[None, :]
         for k in np.flatnonzero(close.any(1)):
-            found = np.unique(label[close[k]])
-            root = found[0]
-            out.append((left_ids[at + k], right_ids[root]))
+            near = np.flatnonzero(close[k])
+            found, first = np.unique(label[near], return_index=True)
+            out.extend((left_ids[at + k], right_ids[r]) for r in (near if len(near) <= whole else near[first]))
             if len(found) > 1:
-                out.extend((right_ids[f], right_ids[root]) for f in found[1:])
-                label[np.isin(label, found)] = root
+                label[np.isin(label, found)] = found[0]
     return out
 
 
 def links(points: DataFrame, names: list[str], distance: int, masks: np.ndarray, radius: int | None = None,
-          sample=SAMPLE, leaf_rows=LEAF_ROWS, block_rows=BLOCK_ROWS) -> DataFrame:
+          sample=SAMPLE, leaf_rows=LEAF_ROWS, block_rows=BLOCK_ROWS, whole=0) -> DataFrame:
     """Links (a, b) between nodes whose fingerprints lie within ``distance``: enough
-    of them to connect each group. ``points``: node long (unique) and the words of
+    of them to connect each group, and all those of a node with at most ``whole`` of
+    them in a shard. ``points``: node long (unique) and the words of
     its fingerprint as longs in ``names``. With the default radius the search is
     exact; a smaller radius or fewer masks trade recall for work."""
     spark = points.sparkSession
@@ -190,7 +191,7 @@ def links(points: DataFrame, names: list[str], distance: int, masks: np.ndarray,
         ids = table.column("node").to_numpy()
         x = np.stack([table.column(n).to_numpy().view(np.uint64) for n in names], 1)
         asks, lives = (table.column(c).to_numpy() for c in ("asks", "lives"))
-        got = _forest(x[asks], x[lives], ids[asks], ids[lives], distance)
+        got = _links(x[asks], x[lives], ids[asks], ids[lives], distance, whole)
         pairs = np.array(got, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
