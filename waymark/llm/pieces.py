@@ -38,7 +38,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 SPACE = "▁"
 #: Units that a worker remembers before it starts anew, with as many older ones to ask.
 CACHE_UNITS = 400_000
-_CACHE_PAIRS = 1_000_000
+_CACHE_PAIRS = 400_000
 
 #: Kinds of pieces and models in the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -104,9 +104,16 @@ class Transducer:
         self.unknown = self.kinds.index(UNKNOWN)
         if any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.ids):
             raise ValueError("a piece holds white space after a character")
+        # units also end where no piece ever reaches across: at newlines, and between Latin letters and others
         joined = {c for p in self.ids if len(p) > 1 for c in p}
-        #: characters that no longer piece holds end a unit on both sides; newline is the one that matters
-        self.unit = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+" if "\n" not in joined else f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        latin = "A-Za-zÀ-ÖØ-öø-ÿĀ-ɏ"
+        mixed = any(len({bool(re.match(f"[{latin}]", c)) for c in p.lstrip(SPACE)}) > 1 for p in self.ids)
+        if "\n" in joined:
+            self.unit = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
+        elif mixed:
+            self.unit = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
+        else:
+            self.unit = re.compile(f"{SPACE}*[{latin}]+|{SPACE}*[^{latin}{SPACE}\n]+|{SPACE}+|\n")
         self.longest = max(map(len, self.ids), default=1)
         self.trie: dict = {}
         for p, i in self.ids.items():
@@ -121,7 +128,8 @@ class Transducer:
             elif k == UNKNOWN:
                 self.out[i] = " ⁇ ".encode()
         self.code = "H" if len(self.pieces) <= 1 << 16 else "I"
-        self.alike: dict[tuple[str, str], bool] = {}
+        self.alike: dict[str, dict[str, bool]] = {}
+        self.pairs = 0
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -143,12 +151,15 @@ class Transducer:
 
     def stays(self, a: str, b: str) -> bool:
         """Whether a piece b may follow a; after the start (empty a), whether b is one piece."""
-        key = (a, b)
-        known = self.alike.get(key)
+        after = self.alike.get(a)
+        if after is None:
+            after = self.alike[a] = {}
+        known = after.get(b)
         if known is None:
-            if len(self.alike) >= _CACHE_PAIRS:
-                self.alike.clear()
-            known = self.alike[key] = self.merged(a + b) == ([a, b] if a else [b])
+            self.pairs += 1
+            if self.pairs > _CACHE_PAIRS:
+                self.alike, self.pairs, after = {}, 0, {}
+            known = after[b] = self.merged(a + b) == ([a, b] if a else [b])
         return known
 
     # -- composition and shortest path
@@ -173,14 +184,32 @@ class Transducer:
         return ends
 
     def _bpe_path(self, unit: str) -> list[str]:
-        # one finite state for each position: a text's beginning has one encoding
+        # one finite state for each position: a text's beginning has one encoding, whose
+        # last piece is sought only where the path from the end may pass
+        ids, alike, stays, longest = self.ids, self.alike, self.stays, self.longest
         last: list[str | None] = [""] + [None] * len(unit)
-        for end, starts in enumerate(self._arcs(unit)):
-            for start in starts:
-                a = last[start]
-                if a is not None and self.stays(a, unit[start:end]):
-                    last[end] = unit[start:end]
-                    break
+        todo = [[len(unit), min(longest, len(unit))]]  # positions to settle, and the next length to try
+        while todo:
+            end, size = todo[-1]
+            start = end - size
+            piece = unit[start:end]
+            if size > 1 and piece not in ids:
+                todo[-1][1] = size - 1
+                continue
+            a = last[start]
+            if a is None:
+                todo.append([start, min(longest, start)])
+                continue
+            after = alike.get(a)
+            fits = after.get(piece) if after is not None else None
+            if fits is None:
+                fits = stays(a, piece)
+                alike = self.alike
+            if fits:
+                last[end] = piece
+                todo.pop()
+            else:
+                todo[-1][1] = size - 1
         out, end = [], len(unit)
         while end:
             out.append(last[end])
@@ -247,6 +276,13 @@ def _rows(batch: pa.RecordBatch, n: int = 512):
         yield batch.slice(at, n)
 
 
+def _lists(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a list column, as views."""
+    ends = column.offsets.to_numpy()
+    flat = column.values.slice(ends[0], ends[-1] - ends[0]).to_numpy(zero_copy_only=False)
+    return [flat[lo:hi] for lo, hi in zip(ends - ends[0], (ends - ends[0])[1:], strict=False)]
+
+
 def encode(docs: DataFrame, model: str, text="text", ids="piece_ids") -> DataFrame:
     """docs with the ids of its text's pieces added."""
     at = docs.columns.index(text)
@@ -272,40 +308,39 @@ def decode(rows: DataFrame, model: str, ids="piece_ids", text="decoded") -> Data
         t = compiled(model)
         for whole in batches:
             for b in _rows(whole):
-                lists = b.column(at)
-                offsets, flat = lists.offsets.to_pylist(), lists.values.to_pylist()
-                out = [t.decode(flat[lo:hi]) for lo, hi in zip(offsets, offsets[1:], strict=False)]
+                out = [t.decode(ids.tolist()) for ids in _lists(b.column(at))]
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.string())], [*b.schema.names, text])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(text, StringType())]))
 
 
 def digest(docs: DataFrame, model: str, id_col="doc_id", text="text") -> DataFrame:
-    """(id, n_pieces, n_bytes_pieces, ids_crc32, decoded_sha256, exact) of every document,
-    from encode() and decode() on it."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    both = decode(encode(rows, model), model)
+    """(id, n_pieces, n_byte_pieces, ids_crc32, decoded_sha256, exact) of every document,
+    encoded and decoded in one pass."""
 
     def run(batches):
-        fallback = np.zeros(len(compiled(model).pieces), bool)
-        fallback[list(compiled(model).bytes.values())] = True
-        for b in batches:
-            lists = b.column(2)
-            flat, offsets = lists.values.to_numpy(zero_copy_only=False), lists.offsets.to_numpy()
-            parts = [flat[lo:hi] for lo, hi in zip(offsets, offsets[1:], strict=False)]
-            texts, back = b.column(1).to_pylist(), b.column(3).to_pylist()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0),
-                    pa.array([len(p) for p in parts], pa.int64()),
-                    pa.array([int(fallback[p].sum()) for p in parts], pa.int64()),
-                    pa.array([zlib.crc32(p.astype("<u4").tobytes()) for p in parts], pa.int64()),
-                    pa.array([hashlib.sha256(t.encode()).hexdigest() for t in back], pa.string()),
-                    pa.array([t == u for t, u in zip(texts, back, strict=True)], pa.bool_()),
-                ],
-                ["id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "exact"],
-            )
+        t = compiled(model)
+        kind = np.dtype(np.uint16 if t.code == "H" else np.uint32)
+        fallback = np.zeros(len(t.pieces), bool)
+        fallback[list(t.bytes.values())] = True
+        for whole in batches:
+            for b in _rows(whole, 256):
+                texts = [x or "" for x in b.column(1).to_pylist()]
+                ids = [np.frombuffer(x, kind) for x in t.encode_bytes(texts)]
+                back = [t.decode(x.tolist()) for x in ids]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        b.column(0),
+                        pa.array([len(x) for x in ids], pa.int64()),
+                        pa.array([int(fallback[x].sum()) for x in ids], pa.int64()),
+                        pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()),
+                        pa.array([hashlib.sha256(x.encode()).hexdigest() for x in back], pa.string()),
+                        pa.array([x == y for x, y in zip(texts, back, strict=True)], pa.bool_()),
+                    ],
+                    ["id", "n_pieces", "n_byte_pieces", "ids_crc32", "decoded_sha256", "exact"],
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    out = both.mapInArrow(run, f"id {kind}, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, exact boolean")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"))
+    out = rows.mapInArrow(run, f"id {kind}, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_sha256 string, exact boolean")
     return out.withColumnRenamed("id", id_col)
