@@ -31,13 +31,13 @@ from .common import materialize
 
 #: Labelled documents that the lexicon and the weights are fitted on, about, at most.
 MAX_LABELLED = 20_000
-MIN_DOCS, MIN_TEXTS, MIN_LIFT = 6, 5, 10.0
+MIN_DOCS, MIN_TEXTS, MIN_WEIGHT = 6, 5, 1.5
 #: Terms that weigh less than this are not looked for in misspelled form.
-MIN_FUZZY = 5.0
+MIN_FUZZY = 4.0
 STEM = range(4, 10)
 THRESHOLD = 0.7
 WINDOW = 6
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 
 #: Words that report speech, and quotation marks.
 REPORTING = frozenset("said says say quote quoted called call term word slur insult wrote".split())
@@ -207,8 +207,13 @@ def _signature(text: str) -> int:
 def _choose(pos: dict[str, tuple[int, int]], neg: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
     """Weights of the terms kept: rare in clean texts, found in texts that are no
     copies; a stem only if no longer stem or single word says as much."""
-    lift = lambda t: ((pos[t][0] + 0.5) / (n_pos + 1)) / ((neg.get(t, 0) + 0.5) / (n_neg + 1))
-    pure = {t for t in pos if pos[t][1] >= MIN_TEXTS and lift(t) >= MIN_LIFT}
+
+    def weight(t: str) -> float:
+        """The log odds that a cautious reader would give the term."""
+        a, b = pos[t][0] + 0.5, neg.get(t, 0) + 0.5
+        return math.log(a / (n_pos + 1)) - math.log(b / (n_neg + 1)) - 1.5 * math.sqrt(1 / a + 1 / b)
+
+    pure = {t for t in pos if pos[t][1] >= max(MIN_TEXTS, 0.004 * n_pos) and weight(t) >= MIN_WEIGHT}
     kept = {}
     for t in sorted(pure, key=lambda t: (len(t.rstrip("*")), t)):
         body = t.rstrip("*")
@@ -218,7 +223,7 @@ def _choose(pos: dict[str, tuple[int, int]], neg: dict[str, int], n_pos: int, n_
             longer = [x for x in pure if x != t and x.startswith(body)]
             if any(pos[x][0] >= 0.9 * pos[t][0] for x in longer):
                 continue
-        kept[t] = math.log(lift(t))
+        kept[t] = weight(t)
     return kept
 
 
@@ -232,17 +237,21 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, l2=0.1) -> np.ndarray:
-    """Weights pulled towards "any match of weight 6 or more is toxic"."""
+def _logistic(x: np.ndarray, y: np.ndarray, l2=1.0) -> np.ndarray:
+    """Weights pulled towards "any match of weight 6 or more is toxic"; damped Newton
+    steps, each of which must lower the penalised loss."""
     prior = np.array([-4.0, 0.8, 0.8, 0.5, -0.5, 0.5, 0.2])
+    loss = lambda w: np.logaddexp(0, x @ w).sum() - y @ (x @ w) + l2 / 2 * ((w - prior) ** 2).sum()
     w = prior.copy()
-    for _ in range(30):
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         g = x.T @ (p - y) + l2 * (w - prior)
         h = (x * (p * (1 - p))[:, None]).T @ x + l2 * np.eye(len(w))
-        step = np.linalg.solve(h, g)
+        step, now = np.linalg.solve(h, g), loss(w)
+        while np.abs(step).max() > 1e-8 and loss(w - step) > now:
+            step = step / 2
         w = w - step
-        if np.abs(step).max() < 1e-8:
+        if np.abs(step).max() <= 1e-8:
             break
     return w
 
