@@ -115,7 +115,7 @@ def test_operator(spark, held_nodes, hot_words, depth):
         assert (r.held_out, r.n_tokens, r.train_tokens) == (out(r.doc_id), len(own), n)
         assert r.n_known == sum(c[w] > 0 for w in own)
         assert abs(r.base_score - sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own)) < 1e-9
-        assert abs(r.score - slow.log2(stream(t, depth)) * math.log10(2)) < 1e-8
+        assert abs(r.score - slow.log2(stream(t, depth)) * math.log10(2)) < 1e-5  # probabilities are stored as 32-bit floats
         assert r.n_bytes == len(stream(t, 0)) and abs(r.bits_per_byte * r.n_bytes * math.log10(2) + r.score) < 1e-9
 
 

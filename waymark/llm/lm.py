@@ -101,9 +101,9 @@ def counted(texts: DataFrame, depth=DEPTH) -> tuple[DataFrame, DataFrame]:
                 for g in grams_of(own, depth):
                     held.append(g)
                     size += len(g)
-                if size >= 2 * _PIECE:
+                if size >= _PIECE:
                     fold()
-            if len(words) > 600_000 or len(grams) > 6_000_000:
+            if len(words) > 300_000 or len(grams) > 3_000_000:
                 yield from flush()
         yield from flush()
 
@@ -166,7 +166,7 @@ def build(grams: DataFrame, depth=DEPTH) -> DataFrame:
 
     def finish(table: pa.Table, start: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return pa.table({"depth": pa.array([], pa.int32()), "node": pa.array([], pa.int64()), "one": pa.array([], pa.float64())})
+            return pa.table({"depth": pa.array([], pa.int32()), "node": pa.array([], pa.int64()), "one": pa.array([], pa.float32())})
         levels, keys, _, _, _ = _levels(*arrays(table), depth, top)
         node = start.column("node").to_numpy().view(np.uint64)
         order = np.argsort(node)
@@ -176,37 +176,48 @@ def build(grams: DataFrame, depth=DEPTH) -> DataFrame:
             {
                 "depth": pa.array(np.repeat(np.arange(top, depth + 1), [len(k) for k in built.keys]), pa.int32()),
                 "node": np.concatenate(built.keys).view(np.int64),
-                "one": np.concatenate(built.ones),
+                "one": np.concatenate(built.ones).astype(np.float32),
             }
         )
 
-    lower = rows.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(finish, "depth int, node long, one double")
+    lower = rows.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(finish, "depth int, node long, one float")
     if table:
         top_rows = pa.table(
             {
                 "depth": pa.array(np.repeat(np.arange(top), [len(k) for k in table.keys]), pa.int32()),
                 "node": np.concatenate(table.keys).view(np.int64),
-                "one": np.concatenate(table.ones),
+                "one": np.concatenate(table.ones).astype(np.float32),
             }
         )
-        lower = lower.unionAll(spark.createDataFrame(top_rows, "depth int, node long, one double"))
+        lower = lower.unionAll(spark.createDataFrame(top_rows, "depth int, node long, one float"))
     return materialize(lower, "nodes")
 
 
 _loaded: dict[str, object] = {}
 
 
-def _read(path: str, columns: list[str]) -> pa.Table:
+def _read(path: str, columns: list[str], where=None) -> pa.Table:
     import pyarrow.dataset as ds
 
     fs, at = filesystem(path)
-    return ds.dataset(at, filesystem=fs, format="parquet", exclude_invalid_files=False, ignore_prefixes=["_", "."]).to_table(columns=columns)
+    return ds.dataset(at, filesystem=fs, format="parquet", exclude_invalid_files=False, ignore_prefixes=["_", "."]).to_table(columns=columns, filter=where)
 
 
 def _tables(path: str, depth: int) -> ctw.Tables:
     if path not in _loaded:
+        import pyarrow.dataset as ds
+
         _loaded.clear()
-        _loaded[path] = _sorted_tables(_read(path, ["depth", "node", "one"]), depth)
+        keys, ones = [], []
+        for d in range(depth + 1):  # one at a time, to hold little more than what stays
+            table = _read(path, ["node", "one"], ds.field("depth") == d)
+            node, one = table.column("node").to_numpy().view(np.uint64), table.column("one").to_numpy()
+            order = np.argsort(node)
+            keys.append(node[order])
+            ones.append(one[order])
+            del table, node, one, order
+        pa.default_memory_pool().release_unused()
+        _loaded[path] = ctw.Tables(keys, ones)
     return _loaded[path]
 
 
@@ -266,7 +277,17 @@ def score(docs: DataFrame, held_out: Column, id_col="doc_id", text="text", depth
     hot_path, node_path = hot._waymark_path, nodes._waymark_path
     held = nodes.count() <= held_nodes
 
+    def settle(memo, parts, bits):
+        """Adds the log2 probabilities of the held grams to their texts' bits."""
+        if parts:
+            found = memo.log2(np.concatenate([g for _, g in parts]))
+            at = np.cumsum([0, *(len(g) for _, g in parts[:-1])])
+            for (k, _), s in zip(parts, np.add.reduceat(found, at), strict=True):
+                bits[k] += float(s)
+            parts.clear()
+
     def run(batches):
+        held_grams: list[tuple[int, np.ndarray]] = []
         table = _read(hot_path, ["word", "n"])
         known = dict(zip(table.column("word").to_pylist(), (math.log10((c + 0.5) / whole) for c in table.column("n").to_pylist()), strict=True))
         memo = _Memo(_tables(node_path, depth)) if held else None
@@ -290,16 +311,19 @@ def score(docs: DataFrame, held_out: Column, id_col="doc_id", text="text", depth
                     out["tail"].append(list(tail))
                     out["tail_n"].append(list(tail.values()))
                     out["n_bytes"].append(sum(map(len, own)) + max(1, len(own)))
-                    parts = list(grams_of(own, depth))
+                    out["bits"].append(0.0)
                     if memo is not None:
-                        out["bits"].append(math.fsum(memo.log2(g).sum() for g in parts))
+                        for g in grams_of(own, depth):
+                            held_grams.append((len(out["bits"]) - 1, g))
+                            if sum(len(g) for _, g in held_grams[-256:]) >= _PIECE // 2:
+                                settle(memo, held_grams, out["bits"])
                         out["grams"].append([])
                         out["gram_n"].append([])
                     else:
-                        u, c = np.unique(np.concatenate(parts), return_counts=True)
-                        out["bits"].append(0.0)
+                        u, c = np.unique(np.concatenate(list(grams_of(own, depth))), return_counts=True)
                         out["grams"].append(u.view(np.int64))
                         out["gram_n"].append(c.astype(np.int32))
+                settle(memo, held_grams, out["bits"])
                 kinds = dict(n_tokens=pa.int64(), hot=pa.float64(), known=pa.int64(), bits=pa.float64(), n_bytes=pa.int64(), tail=pa.list_(pa.binary()),
                              tail_n=pa.list_(pa.int32()), grams=pa.list_(pa.int64()), gram_n=pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
