@@ -87,6 +87,12 @@ def validation(entry: Column, value: Column) -> Column:
     return F.when(uri.isNotNull(), found.cast(kind))
 
 
+def _in_order(a: Column, b: Column) -> Column:
+    """By category, then as in the article."""
+    at = lambda x: x["rank"] * 1_000_000 + x["no"]
+    return F.when(at(a) < at(b), -1).when(at(a) > at(b), 1).otherwise(0)
+
+
 def goals(articles: DataFrame, catalog: DataFrame, mode="hybrid") -> DataFrame:
     """articles to (id, title, topic, contexts, build, gate): a goal for each article with
     actions, and what the gate says of it."""
@@ -113,7 +119,7 @@ def goals(articles: DataFrame, catalog: DataFrame, mode="hybrid") -> DataFrame:
     rows = rows.withColumn("_action", F.struct(gates.rank(F.col("category")).alias("rank"), F.col("action_no").alias("no"), action.alias("action")))
     switch = F.col("polarity").isin("enable", "disable") & F.col("family").isin("enable", "disable") & F.col("_hit")
     packed = rows.groupBy("id").agg(
-        F.array_sort(F.collect_list("_action")).alias("_actions"),
+        F.array_sort(F.collect_list("_action"), _in_order).alias("_actions"),
         F.count("*").alias("n_actions"),
         F.count_if(F.col("_hit")).alias("n_resolved"),
         F.round(F.coalesce(F.avg(F.when(F.col("_hit"), F.col("overlap"))), F.lit(0.0)), 4).alias("mean_target_overlap"),
