@@ -36,9 +36,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _whole(rows: DataFrame) -> DataFrame:
+    """Sizes and lengths as long, like the other engine's."""
+    return rows.withColumns({f.name: F.col(f.name).cast("long") for f in rows.schema.fields if f.name.startswith("n_") or f.name == "longest"})
+
+
 def _query(sql: str | None = None):
     def add(build):
-        _queries[build.__name__] = build
+        _queries[build.__name__] = lambda spark, sf: _whole(build(spark, sf))
         if sql is not None:
             _sql[build.__name__] = sql
         return build
