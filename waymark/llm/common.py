@@ -58,6 +58,21 @@ def discard(df: DataFrame) -> None:
         drop_path(df.sparkSession, path)
 
 
+def trim_memory() -> None:
+    """Give what a Python worker no longer uses back to the system; workers live on
+    between tasks, beside a JVM that needs the room."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

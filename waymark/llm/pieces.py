@@ -35,10 +35,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
+from .common import trim_memory
+
 SPACE = "▁"
 #: Units that a worker remembers before it starts anew, with as many older ones to ask.
-CACHE_UNITS = 400_000
-_CACHE_PAIRS = 400_000
+CACHE_UNITS = 200_000
+_CACHE_PAIRS = 200_000
 
 #: Kinds of pieces and models in the file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -296,6 +298,7 @@ def encode(docs: DataFrame, model: str, text="text", ids="piece_ids") -> DataFra
                 ends = np.cumsum([0, *(len(d) // kind.itemsize for d in data)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(data), kind).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*b.schema.names, ids])
+        trim_memory()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import vantage
-from .common import connected_components, discard, materialize
+from .common import connected_components, materialize, trim_memory
 
 _CHUNK = 1 << 15
 
@@ -121,6 +121,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
         for b in batches:
             fps = [word_fingerprint(words_of(t.as_py())) for t in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64())], ["id", "node", "w0", "w1"])
+        trim_memory()
 
     named = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text).alias("text"))
     rows = materialize(named.mapInArrow(prints, f"id {kind}, node long, w0 long, w1 long"), "prints")
@@ -139,6 +140,7 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
                 hits.append(len(p & q) >= similarity * len(p | q))
             keep = pa.array(hits, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
+        trim_memory()
 
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))

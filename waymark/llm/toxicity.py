@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, trim_memory
 
 #: Labelled documents that the lexicon and the weights are fitted on, about, at most.
 MAX_LABELLED = 20_000
@@ -37,7 +37,8 @@ MIN_FUZZY = 4.0
 STEM = range(4, 10)
 THRESHOLD = 0.7
 WINDOW = 6
-CACHE_WORDS = 150_000
+#: What a worker remembers before it starts anew: words, and states of the automaton.
+CACHE_WORDS, MAX_STATES = 100_000, 4_000
 
 #: Words that report speech, and quotation marks.
 REPORTING = frozenset("said says say quote quoted called call term word slur insult wrote".split())
@@ -69,13 +70,16 @@ class Lexicon:
             below = [self.edits[k] for k in self.child[node].values()]
             own = self.allowed(self.term[node]) if self.term[node] else 0
             self.edits[node] = max([own, *below])
+        self._reset()
+        self.known: dict[str, tuple[str, int] | None] = {}
+
+    def _reset(self) -> None:
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.step: list[dict[str, int]] = []
         self.accept: list[tuple[str, int] | None] = []
         self.start = self._state(self._closed({(0, 0)}))
         self.dead = self._state(frozenset())
-        self.known: dict[str, tuple[str, int] | None] = {}
 
     def allowed(self, term: str) -> int:
         """The most edits that a misspelled form may have."""
@@ -127,6 +131,8 @@ class Lexicon:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """(term, edits) of the best term that the word stands for."""
+        if len(self.sets) > MAX_STATES:
+            self._reset()
         state, dead = self.start, self.dead
         for c in word:
             nxt = self.step[state].get(c)
@@ -279,6 +285,8 @@ def fit(labelled: DataFrame, max_labelled=MAX_LABELLED) -> Model:
             if seen:
                 terms, sigs = zip(*seen, strict=True)
                 yield pa.RecordBatch.from_pydict({"t": terms, "s": pa.array(sigs, pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
+                del seen, terms, sigs
+        trim_memory()
 
     found = (
         sample.where("y = 1").select("text").mapInArrow(toxic_terms, "t string, s long, n long")
@@ -345,6 +353,8 @@ def with_scores(docs: DataFrame, model: Model, text="text", score="score") -> Da
         m = Model(Lexicon(weights, clean), w, base)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t.as_py()) for t in b.column(at)], pa.float64())], [*b.schema.names, score])
+        del m
+        trim_memory()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
