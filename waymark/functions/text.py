@@ -47,7 +47,9 @@ def atoms(text: Column, lexicon: L.Lexicon = L.STOCK) -> Column:
     where texts are not ASCII.)"""
 
     def choose(words: Column) -> Column:
-        known = F.array_distinct(F.filter(F.transform(words, lambda t: lookup(lexicon.atoms, t)), lambda a: a.isNotNull()))
+        # a hash set decides which words are looked up at all
+        named = F.filter(words, lambda t: t.isin(list(lexicon.atoms)))
+        known = F.array_distinct(F.transform(named, lambda t: lookup(lexicon.atoms, t)))
         longer = F.slice(F.filter(words, lambda t: F.length(t) > 3), 1, 4)
         return let(known, lambda k: F.when(F.size(k) > 0, k).when(F.size(longer) > 0, longer).otherwise(strings(["generic"])))
 
@@ -56,8 +58,8 @@ def atoms(text: Column, lexicon: L.Lexicon = L.STOCK) -> Column:
 
 def domain(found: Column, lexicon: L.Lexicon = L.STOCK) -> Column:
     """The domain of the first atom that has one."""
-    named = F.filter(F.transform(found, lambda a: lookup(lexicon.domains, a)), lambda d: d.isNotNull())
-    return F.coalesce(F.get(named, F.lit(0)), F.lit("other"))
+    named = F.get(F.filter(found, lambda a: a.isin(list(lexicon.domains))), F.lit(0))
+    return F.coalesce(lookup(lexicon.domains, named), F.lit("other"))
 
 
 def signature(text: Column, lexicon: L.Lexicon = L.STOCK) -> Column:

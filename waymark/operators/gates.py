@@ -89,4 +89,4 @@ def audit(answers: DataFrame, contexts="contexts", known: Column | None = None)
     autos = F.flatten(F.transform(F.filter(actions, lambda a: a["category"] == "auto"), lambda a: a["stepGroups"]))
     linked = F.filter(autos, lambda g: T.is_catalog_link(g["actionableDeeplink"]["deeplink"]))
     checks = F.create_map(F.lit("goal"), F.size(c), F.lit("action"), F.size(actions), F.lit("auto_actions"), F.size(autos), F.lit("auto_with_deeplink"), F.size(linked))
-    return answers.withColumn("_codes", codes).withColumn("gate", F.struct((F.size("_codes") == 0).alias("ok"), F.col("_codes").alias("failures"), checks.alias("checks"))).drop("_codes")
+    return answers.withColumn("gate", T.let(codes, lambda x: F.struct((F.size(x) == 0).alias("ok"), x.alias("failures"), checks.alias("checks"))))

@@ -32,10 +32,25 @@ _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
 
 
+#: Tables below this size may lie in a row group or two, which one task would read alone.
+SMALL_BYTES = 256 << 20
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(rows: DataFrame) -> DataFrame:
+    """A small table dealt out to all cores before costly expressions; a large one has
+    splits enough and stays where it is."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else rows
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _whole(rows: DataFrame) -> DataFrame:
     """Sizes and lengths as long, like the other engine's."""
     return rows.withColumns({f.name: F.col(f.name).cast("long") for f in rows.schema.fields if f.name.startswith("n_") or f.name == "longest"})
@@ -96,19 +111,19 @@ _DOCS = _atoms_cte("documents", "doc_id", "text")
 @_query(f"SELECT doc_id, length({_TOKENS.format('text')}) AS n_tokens, length({_content('text')}) AS n_content, array_to_string({_content('text')}[1:5], ' ') AS first_content FROM documents")
 def tokens_per_doc(spark, sf):
     toks = T.content_tokens(F.col("text"))
-    return _table(spark, sf, "documents").select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"), F.size(toks).alias("n_content"), F.array_join(F.slice(toks, 1, 5), " ").alias("first_content"))
+    return _documents(spark, sf).select("doc_id", F.size(T.tokens(F.col("text"))).alias("n_tokens"), F.size(toks).alias("n_content"), F.array_join(F.slice(toks, 1, 5), " ").alias("first_content"))
 
 
 @_query(f"WITH {_DOCS} SELECT id AS doc_id, {_SIGNATURE} AS signature, array_to_string({_SORTED}, ' ') AS normalized, {_DOMAIN} AS domain FROM a")
 def intent_signature_docs(spark, sf):
     text = F.col("text")
-    return _table(spark, sf, "documents").select("doc_id", T.signature(text, PROSE).alias("signature"), T.normalized(text, PROSE).alias("normalized"), T.domain(T.atoms(text, PROSE), PROSE).alias("domain"))
+    return _documents(spark, sf).select("doc_id", T.signature(text, PROSE).alias("signature"), T.normalized(text, PROSE).alias("normalized"), T.domain(T.atoms(text, PROSE), PROSE).alias("domain"))
 
 
 @_query(f"WITH {_DOCS}, s AS (SELECT {_SIGNATURE} AS signature, {_DOMAIN} AS domain FROM a) SELECT domain, count(*) AS n, count(DISTINCT signature) AS n_signatures FROM s GROUP BY domain")
 def domain_histogram(spark, sf):
     text = F.col("text")
-    rows = _table(spark, sf, "documents").select(T.signature(text, PROSE).alias("signature"))
+    rows = _documents(spark, sf).select(T.signature(text, PROSE).alias("signature"))
     return rows.groupBy(F.substring_index("signature", "::", 1).alias("domain")).agg(F.count("*").alias("n"), F.countDistinct("signature").alias("n_signatures"))
 
 
@@ -117,7 +132,7 @@ def domain_histogram(spark, sf):
   q AS (SELECT id, {_SIGNATURE} AS signature FROM a2)
   SELECT q.id AS query_id, q.signature, p.plan, CASE WHEN p.plan IS NULL THEN 'miss' ELSE 'exact' END AS tier FROM q LEFT JOIN p USING (signature)""")
 def exact_cache_join(spark, sf):
-    plans = _table(spark, sf, "documents").select(F.col("doc_id").alias("plan"), T.signature(F.col("text"), PROSE).alias("signature"))
+    plans = _documents(spark, sf).select(F.col("doc_id").alias("plan"), T.signature(F.col("text"), PROSE).alias("signature"))
     asked = _table(spark, sf, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), T.signature(F.col("text"), PROSE).alias("signature"))
     hit = R.exact_lookup(asked, plans, "signature", "plan", "plan")
     return hit.select("query_id", "signature", F.col("hit").alias("plan"), F.when(F.col("hit").isNull(), "miss").otherwise("exact").alias("tier"))
@@ -135,7 +150,7 @@ def stripped_ascii(spark, sf):
   q AS (SELECT doc_id, line_no, trim(regexp_replace(trim(regexp_replace(line, '\\s+', ' ', 'g')), '^(?:Alternatively|Also|Then|Now|Next|Finally|After that|First|Second|Third)[,\\s]+', '', 'i')) AS b FROM s)
   SELECT doc_id, line_no, CASE WHEN b = '' THEN '' ELSE upper(b[1]) || (CASE WHEN regexp_matches(b, '[.!?:]$') THEN b ELSE b || '.' END)[2:] END AS sentence FROM q""")
 def sentences(spark, sf):
-    rows = _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = _documents(spark, sf).select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
     return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), T.sentence(F.col("line")).alias("sentence"))
 
 
@@ -192,7 +207,7 @@ def polarity_case(spark, sf):
   SELECT doc_id, length(parts) AS n_sentences, max(length(p)) AS longest FROM (SELECT doc_id, parts, unnest(parts) AS p FROM s) GROUP BY doc_id, parts""")
 def split_sentences(spark, sf):
     parts = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
-    rows = _table(spark, sf, "documents").select("doc_id", parts.alias("parts")).where(F.size("parts") > 0)
+    rows = _documents(spark, sf).select("doc_id", parts.alias("parts")).where(F.size("parts") > 0)
     return rows.select("doc_id", F.size("parts").alias("n_sentences"), F.array_max(F.transform("parts", lambda p: F.length(p))).alias("longest"))
 
 
@@ -239,12 +254,12 @@ _BM25 = f"""WITH dt AS (SELECT doc_id, unnest({_TOKENS.format('text')}) AS term
 
 def _bm25(spark, sf) -> DataFrame:
     words = T.tokens(F.col("text"))
-    return R.bm25(_table(spark, sf, "benchmark"), _table(spark, sf, "documents"), "item_id", "doc_id", words, words)
+    return R.bm25(_table(spark, sf, "benchmark"), _documents(spark, sf), "item_id", "doc_id", words, words)
 
 
 @_query(_BM25 + " SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark, sf):
-    docs = _table(spark, sf, "documents")
+    docs = _documents(spark, sf)
     return R.idf(R.postings(docs, "doc_id", T.tokens(F.col("text"))), docs.count()).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -404,7 +419,7 @@ _GOALS = """SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN 'Follow these ste
   CASE WHEN length(step) - length(replace(step, '.', '')) > 1 AND NOT ends_with(step, '.') THEN 'STEP_MULTI_INTERACTION' END])))) AS code FROM g)
   SELECT code, count(*) AS n, count(DISTINCT o_orderkey) AS n_goals FROM c WHERE code IS NOT NULL GROUP BY code""")
 def gate_report(spark, sf):
-    k, orders = F.col("o_orderkey"), _table(spark, sf, "orders")
+    k, orders = F.col("o_orderkey"), _spread(_table(spark, sf, "orders").select("o_orderkey", "o_totalprice"))
     step = F.when(k % 7 == 0, "Open www.example.org. Then go. On").otherwise("Open settings.")
     text = F.when(k % 6 == 0, "It fixes things").when(k % 6 == 1, "It will access the one two three four").otherwise("It will access display settings")
     link = F.when(k % 2 == 0, F.struct(F.lit("voiceassist://x/y").alias("deeplink"), F.lit("").alias("description")))
@@ -418,7 +433,8 @@ def gate_report(spark, sf):
         F.transform(kinds, action).alias("actions"), (F.col("o_totalprice") / 300000).alias("score"),
     )
     audited = gates.audit(orders.select("o_orderkey", F.array(context).alias("contexts")))
-    codes = audited.select("o_orderkey", F.explode("gate.failures").alias("code"))
+    # explode_outer: an inner explode would first test the audited array, and so audit twice
+    codes = audited.select("o_orderkey", F.explode_outer("gate.failures").alias("code")).where("code is not null")
     return codes.groupBy("code").agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("n_goals"))
 
 
@@ -457,7 +473,7 @@ def compliance_rates(spark, sf):
   SELECT count(*) AS n, count(*) FILTER (plan IS NOT NULL) AS hits, count(*) FILTER (novel) AS novel, count(*) FILTER (novel AND plan IS NOT NULL) AS novel_hits, count(*) FILTER (plan IS NOT NULL AND NOT (domain = td AND list_has_any(atoms, ta))) AS wrong FROM e""")
 def cache_efficacy(spark, sf):
     text = F.col("text")
-    rows = _table(spark, sf, "documents").select(F.col("doc_id").alias("id"), T.signature(text, PROSE).alias("signature"), T.atoms(text, PROSE).alias("atoms"))
+    rows = _documents(spark, sf).select(F.col("doc_id").alias("id"), T.signature(text, PROSE).alias("signature"), T.atoms(text, PROSE).alias("atoms"))
     rows = rows.withColumn("domain", F.substring_index("signature", "::", 1))
     plans = rows.where("id % 2 = 0").select(F.col("id").alias("plan"), "signature")
     asked = rows.where("id % 2 = 1").join(rows.select((F.col("id") + 1).alias("id"), F.col("signature").alias("seed")), "id")
