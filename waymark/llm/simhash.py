@@ -78,8 +78,9 @@ def components(docs: DataFrame, id_col="doc_id", text="text", size=3, seed=42, d
 
 #: Bits of a word fingerprint's words, and how many of them near duplicates may differ in.
 NEAR_WORDS, NEAR_BITS = 2, 24
-#: Direct links of one document that are all compared; of more, one to each group.
-NEAR_LINKS = 6
+#: Candidates of one document in one shard that are all compared. Of more, the nearest
+#: are, and the groups that come of it are compared again, until none has more.
+NEAR_LINKS = 16
 
 
 def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
@@ -126,26 +127,35 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
     named = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text).alias("text"))
     rows = materialize(named.mapInArrow(prints, f"id {kind}, node long, w0 long, w1 long"), "prints")
     points = materialize(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("w0").alias("w0"), F.min("w1").alias("w1")), "points")
-    found = vantage.links(points, ["w0", "w1"], NEAR_BITS, _near_masks(), radius=1, whole=NEAR_LINKS)
-    pairs = materialize(found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b")).distinct().join(points.select("node", "low"), "node")
-    texts = named.join(asked.withColumnRenamed("node", "n"), (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("low")))
-    texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
 
     def compare(batches):
         for b in batches:
             hits = []
-            for k, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)):
+            for x, y in zip(b.column(2), b.column(3), strict=True):
                 p, q = shingles(x.as_py(), size), shingles(y.as_py(), size)
                 hits.append(len(p & q) >= similarity * len(p | q))
-            keep = pa.array(hits, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(keep)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hits, pa.bool_()))
         trim_memory()
 
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-    close = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long")
-    roots = connected_components(close)
+    close, todo, left = None, points, None
+    while True:
+        found = materialize(vantage.links(todo, ["w0", "w1"], NEAR_BITS, _near_masks(), radius=1, whole=NEAR_LINKS), "links")
+        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        asked = found.select(F.col("a").alias("n")).unionAll(found.select("b")).distinct().join(points.select("node", "low"), F.col("n") == F.col("node")).select("n", "low")
+        texts = named.join(asked, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("low")))
+        texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
+        first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
+        second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
+        new = materialize(pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "close")
+        close = new if close is None else close.unionAll(new)
+        roots = materialize(connected_components(close), "components")
+        # what was cut is looked at again, one text for each group it is in by now
+        cut = found.where("cut").select(F.col("a").alias("c")).distinct().join(roots, F.col("c") == F.col("node"), "left")
+        todo = materialize(points.join(cut.select(F.coalesce("root", "c").alias("r")).distinct(), F.col("node") == F.col("r"), "left_semi"), "again")
+        again = todo.count()
+        if again < 2 or again == left:
+            break
+        left = again
     named_points = points.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     named_points = materialize(named_points.select("node", "low", F.coalesce("root", "node").alias("root")), "roots")
     first = named_points.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("f"))

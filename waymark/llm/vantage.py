@@ -117,18 +117,25 @@ def _array(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
 
 
 def _links(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, distance: int, whole: int):
-    """Pairs (left id, right id) within distance, enough of them to connect all that are;
-    every pair of a row with at most ``whole`` of them."""
+    """(left id, right id, cut) of pairs within distance, enough of them to connect all
+    that are; every pair of a row with at most ``whole`` of them, and the ``whole``
+    nearest ones of a row with more (cut)."""
     label = np.arange(len(right))
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, int, int]] = []
     step = max(1, 2_000_000 // max(1, len(right)))
     for at in range(0, len(left), step):
-        close = hamming(left[at : at + step, None, :], right[None, :, :]) <= distance
-        close &= left_ids[at : at + step, None] != right_ids[None, :]
+        far = hamming(left[at : at + step, None, :], right[None, :, :])
+        close = (far <= distance) & (left_ids[at : at + step, None] != right_ids[None, :])
         for k in np.flatnonzero(close.any(1)):
             near = np.flatnonzero(close[k])
             found, first = np.unique(label[near], return_index=True)
-            out.extend((left_ids[at + k], right_ids[r]) for r in (near if len(near) <= whole else near[first]))
+            cut = len(near) > whole
+            if cut and whole:
+                nearest = near[np.argpartition(far[k, near], whole - 1)[:whole]]
+                chosen = np.union1d(nearest, near[first])
+            else:
+                chosen = near[first] if cut else near
+            out.extend((left_ids[at + k], right_ids[r], cut) for r in chosen)
             if len(found) > 1:
                 label[np.isin(label, found)] = found[0]
     return out
@@ -136,9 +143,9 @@ def _links(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids:
 
 def links(points: DataFrame, names: list[str], distance: int, masks: np.ndarray, radius: int | None = None,
           sample=SAMPLE, leaf_rows=LEAF_ROWS, block_rows=BLOCK_ROWS, whole=0) -> DataFrame:
-    """Links (a, b) between nodes whose fingerprints lie within ``distance``: enough
-    of them to connect each group, and all those of a node with at most ``whole`` of
-    them in a shard. ``points``: node long (unique) and the words of
+    """Links (a, b, cut) between nodes whose fingerprints lie within ``distance``: enough
+    of them to connect each group, all those of a node with at most ``whole`` of them in
+    a shard, and the nearest ones of a node with more (cut). ``points``: node long (unique) and the words of
     its fingerprint as longs in ``names``. With the default radius the search is
     exact; a smaller radius or fewer masks trade recall for work."""
     spark = points.sparkSession
@@ -192,8 +199,8 @@ def links(points: DataFrame, names: list[str], distance: int, masks: np.ndarray,
         x = np.stack([table.column(n).to_numpy().view(np.uint64) for n in names], 1)
         asks, lives = (table.column(c).to_numpy() for c in ("asks", "lives"))
         got = _links(x[asks], x[lives], ids[asks], ids[lives], distance, whole)
-        pairs = np.array(got, np.int64).reshape(-1, 2)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+        pairs = np.array(got, np.int64).reshape(-1, 3)
+        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "cut": pairs[:, 2] == 1})
 
     dealt = points.select("node", *names).mapInArrow(deal, f"task long, node long, {words}, asks boolean, lives boolean")
-    return dealt.groupBy("task").applyInArrow(match, "a long, b long")
+    return dealt.groupBy("task").applyInArrow(match, "a long, b long, cut boolean")
