@@ -41,10 +41,24 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _clean() -> None:
+    """Tables that results may read stay until the application ends."""
+    for spark, path in _made:
+        try:
+            drop_path(spark, path)
+        except Exception:  # noqa: BLE001  the session is gone; its folder is the cluster's to clear
+            return
+
+
 def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
     """Write a table to the shared folder and read it back: cuts the lineage and
     survives lost executors."""
     path = new_path(df.sparkSession, tag)
+    _made.append((df.sparkSession, path))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._waymark_path = path
