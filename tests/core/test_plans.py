@@ -89,6 +89,20 @@ def test_answers(spark, loaded):
     assert len({c.goal for c in got[2].contexts}) == 2
 
 
+def test_cold_plans_are_found_the_next_time(spark, loaded):
+    articles, catalog = loaded
+    plans = C.plans(articles, catalog).cache()
+    asked = spark.createDataFrame([(1, "the brightness jumps strangely"), (2, "battery drains fast, battery drain")], "query_id long, text string")
+    parts = S.parts(asked).cache()
+    found = S.lookup(parts, plans, C.aliases(plans), floor=0.9).cache()
+    assert {r.query_id: r.tier for r in found.collect()} == {1: "miss", 2: "exact"}
+    came = spark.createDataFrame([(1, "Brightness jumps", "## Set brightness\nOpen Settings. Tap Display. Tap Brightness.")], "query_id long, title string, content string")
+    cold = S.cold_plans(found, came, catalog)
+    assert [r.plan_id[:3] for r in cold.collect()] == ["RT-"]
+    again = S.lookup(parts, plans.unionByName(cold), C.aliases(plans), floor=0.9)
+    assert {r.query_id: r.tier for r in again.collect()} == {1: "exact", 2: "exact"}
+
+
 def test_store_and_increment(spark, loaded, tmp_path):
     articles, catalog = loaded
     plans = C.plans(articles, catalog).join(articles.select(F.col("id").alias("source_id"), A.fingerprint(F.col("title"), F.col("content")).alias("source_hash")), "source_id")

@@ -56,6 +56,13 @@ def gram_weights(rows: DataFrame, id_col: str, text: str) -> DataFrame:
     return grams.join(norms, id_col).select(id_col, "gram", (F.col("w") / F.col("norm")).alias("w"))
 
 
+def gram_idf(rows: DataFrame, id_col: str, text: str) -> DataFrame:
+    """(gram, df, idf) of the n-grams of all texts, for weights that count rare grams more."""
+    n = rows.count()
+    grams = rows.select(F.col(id_col), F.explode(F.array_distinct(T.char_grams(F.col(text)))).alias("gram"))
+    return grams.groupBy("gram").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1e-6)
+
+
 def gram_cosine(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text="text") -> DataFrame:
     """(query, doc, cosine) of every pair with a common gram."""
     q = gram_weights(queries, query_id, text).withColumnRenamed("w", "qw")
@@ -75,7 +82,7 @@ def every_pair(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(F.broadcast(right), F.lit(True))
     blocks = left.sparkSession.sparkContext.defaultParallelism * 4
     salted = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
-    copies = left.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    copies = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     return copies.join(salted, "_block").drop("_block")
 
 

@@ -12,6 +12,7 @@ from ..functions import text as T
 from ..operators import gates, metrics
 from ..operators import retrieval as R
 from ..sources.articles import fingerprint
+from ..tables import settle
 
 
 def actions(articles: DataFrame) -> DataFrame:
@@ -96,8 +97,8 @@ def _in_order(a: Column, b: Column) -> Column:
 def goals(articles: DataFrame, catalog: DataFrame, mode="hybrid") -> DataFrame:
     """articles to (id, title, topic, contexts, build, gate): a goal for each article with
     actions, and what the gate says of it."""
-    found = actions(articles)
-    best = resolve(found, catalog, mode).where("rank = 1").drop("rank")
+    found = settle(actions(articles))
+    best = settle(resolve(found, catalog, mode).where("rank = 1").drop("rank"))
     # as many entries as the catalog has; the size is checked in every_pair above
     entries = catalog.select(F.col("id").alias("entry"), F.struct("deeplink", "description", "message", "originalType", "validation").alias("e"))
     rows = found.join(best, ["id", "action_no"], "left").join(entries, "entry", "left")

@@ -11,6 +11,8 @@ from ..functions import lexicon as L
 from ..functions import text as T
 from ..operators import metrics
 from ..operators import retrieval as R
+from ..sources.articles import fingerprint
+from . import compile as C
 
 FLOOR, MARGIN = 0.72, 0.02
 
@@ -37,6 +39,19 @@ def lookup(asked: DataFrame, plans: DataFrame, aliases: DataFrame, floor=FLOOR,
     return exact.unionByName(similar)
 
 
+def cold_plans(found: DataFrame, articles: DataFrame, catalog: DataFrame, lexicon: L.Lexicon = L.STOCK) -> DataFrame:
+    """Plans compiled for what lookup() missed, from articles(query_id, title, content)
+    that came with the complaints. They carry the missed part's signature: appended to the
+    plans, they are found exactly the next time."""
+    missed = found.where("plan_id is null").join(articles.select("query_id", "title", "content"), "query_id").withColumn("id", F.concat_ws("#", "query_id", "part_no"))
+    made = C.plans(missed.select("id", F.col("part").alias("original_query"), "title", "content"), catalog, lexicon)
+    keyed = missed.select(F.col("id").alias("source_id"), F.col("key").alias("_key"), fingerprint(F.col("part"), length=10).alias("_id"))
+    columns = made.columns
+    out = made.drop("plan_id", "intent_signature").join(keyed, "source_id")
+    out = out.withColumn("plan_id", F.concat(F.lit("RT-"), F.col("_id"))).withColumnRenamed("_key", "intent_signature")
+    return out.select(*columns).dropDuplicates(["plan_id"])
+
+
 def answer(queries: DataFrame, plans: DataFrame, aliases: DataFrame, lexicon: L.Lexicon = L.STOCK, floor=FLOOR, least=MARGIN) -> DataFrame:
     """(query_id, contexts, plan_ids, tier, cache_hit, margin, fallback) of every query:
     goals without repeats, best first. Tier and hit are those of the first part; blank
