@@ -79,8 +79,8 @@ def components(docs: DataFrame, id_col="doc_id", text="text", size=3, seed=42, d
 #: Bits of a word fingerprint's words, and how many of them near duplicates may differ in.
 NEAR_WORDS, NEAR_BITS = 2, 24
 #: Candidates of one document in one shard that are all compared. Of more, the nearest
-#: are, and the groups that come of it are compared again, until none has more.
-NEAR_LINKS = 16
+#: are, and the groups that come of it are compared again, until that links no more.
+NEAR_LINKS = 2
 
 
 def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
@@ -147,6 +147,8 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
         first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
         second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
         new = materialize(pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "close")
+        if close is not None and not new.count():
+            break
         close = new if close is None else close.unionAll(new)
         roots = materialize(connected_components(close), "components")
         # what was cut is looked at again, one text for each group it is in by now
