@@ -130,3 +130,34 @@ def test_different_documents_stay(spark, sf):
             assert any(like(i, j) for j in rows if j != i)
     found = [(a, b) for a in kept for b in kept if a < b and like(a, b)]
     assert len(found) <= 1
+
+
+def slow_near_duplicates(rows):
+    """rows: (id, text); the smallest id of each component, over all pairs."""
+    sets, label = [shingles(t) for _, t in rows], list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if label[a] != label[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                old, new = label[a], label[b]
+                label = [new if v == old else v for v in label]
+    return {min(rows[k][0] for k in range(len(rows)) if label[k] == v) for v in set(label)}
+
+
+@pytest.mark.parametrize("rows_each", [7, 2048])
+def test_dense_families_like_brute_force(spark, rows_each):
+    """Families with many candidates each, of which about half are similar enough."""
+    rng = random.Random(21)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for family in range(12):
+        base = [rng.choice(vocabulary) for _ in range(150)]
+        for k in range(30):
+            words, n = list(base), rng.randint(1, 10)
+            at = rng.randrange(len(words) - n)
+            words[at : at + n] = [rng.choice(vocabulary) for _ in range(n)]
+            rows.append((100 * family + k, " ".join(words)))
+    want = slow_near_duplicates(rows)
+    assert 12 < len(want) < len(rows) / 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in simhash.near_duplicates(docs, rows_each=rows_each).collect()}
+    assert len(got ^ want) <= 1

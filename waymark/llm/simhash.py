@@ -1,5 +1,6 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked by an
-exact search in vantage-point trees, and grouped into components.
+exact search in vantage-point trees, and grouped into components; and a filter by the
+Jaccard similarity of shingles, whose candidates share smallest hashes.
 
 Defined results: null text counts as empty; texts without words have fingerprint
 zero and link like any other; rows with a null id keep their fingerprint and
@@ -76,88 +77,117 @@ def components(docs: DataFrame, id_col="doc_id", text="text", size=3, seed=42, d
     )
 
 
-#: Bits of a word fingerprint's words, and how many of them near duplicates may differ in.
-NEAR_WORDS, NEAR_BITS = 2, 24
-#: Candidates of one document in one shard that are all compared. Of more, the nearest
-#: are, and the groups that come of it are compared again, until that links no more.
-NEAR_LINKS = 2
+#: Keys of a text, and smallest hashes joined in one key. A pair of Jaccard similarity s
+#: shares a key with probability 1 - (1 - s ** NEAR_JOINED) ** NEAR_KEYS.
+NEAR_KEYS, NEAR_JOINED = 8, 3
+#: Texts with one key that one task compares, on each side; of more, blocks are compared.
+NEAR_ROWS = 2048
 
+_SALTS = np.random.default_rng(7).integers(1, 2**63, (2, NEAR_KEYS * NEAR_JOINED, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
-def word_fingerprint(words: list[bytes]) -> tuple[int, int]:
-    """128 bits: the majority of the hashes of the different words. An edit changes one
-    word but ``size`` shingles, so this finds candidates whose shingles are compared."""
-    own = list(dict.fromkeys(words))
-    if not own:
-        return 0, 0
-    bits = np.zeros(128, np.int64)
-    for at in range(0, len(own), _CHUNK):
-        h = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, own[at : at + _CHUNK])), np.uint8).reshape(-1, 16)
-        bits += np.unpackbits(h, axis=1, bitorder="little").sum(0, dtype=np.int64)
-    a, b = np.packbits(bits * 2 > len(own), bitorder="little").view(np.int64)
-    return int(a), int(b)
 
-
-def shingles(text: str | None, size: int) -> set:
+def shingles(text: str | None, size: int) -> np.ndarray:
+    """The sorted 64-bit hashes of the different shingles; a shorter text is one shingle."""
     words = words_of(text)
-    return set(zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else {tuple(words)}
-
-
-def _near_masks() -> np.ndarray:
-    """Eight sets of 32 of the 128 bits: four of neighbours, four of every fourth bit."""
-    plain = vantage.blocks(NEAR_WORDS, 4)
-    every = np.array([[sum(1 << b for b in range(k, 64, 4))] * NEAR_WORDS for k in range(4)], np.uint64)
-    return np.concatenate([plain, every])
-
-
-def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, similarity=0.8) -> DataFrame:
+    grams = map(b" ".join, zip(*(words[k:] for k in range(size)), strict=False)) if len(words) >= size else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh3_64_intdigest, grams), np.uint64))
+
+
+def near_keys(grams: np.ndarray) -> np.ndarray:
+    """The smallest hashes of the shingles under seeded orders, a few to a key."""
+    low = np.full(NEAR_KEYS * NEAR_JOINED, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(grams), _CHUNK):
+        low = np.minimum(low, ((grams[at : at + _CHUNK] ^ _SALTS[0]) * _SALTS[1]).min(1))
+    return np.array([xxhash.xxh3_64_intdigest(k.tobytes(), n) for n, k in enumerate(low.reshape(NEAR_KEYS, -1))], np.uint64)
+
+
+def similar_links(nodes: list, sets: list[np.ndarray], left: list[bool], right: list[bool], similarity: float):
+    """Links (a, b) that connect all texts of the left with all those of the right that are
+    similar, one for each two groups that meet. All pairs are compared."""
+    sizes = np.array([len(s) for s in sets], np.int64)
+    words, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    label, other = np.arange(len(sets)), np.flatnonzero(right)
+    held = np.concatenate([ids[starts[k] : starts[k + 1]] for k in other]) if len(other) else ids[:0]
+    at = np.concatenate([[0], np.cumsum(sizes[other])])[:-1]
+    mark = np.zeros(len(words), bool)
+    out = []
+    for k in np.flatnonzero(left) if len(other) else ():
+        own = ids[starts[k] : starts[k + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[held], at, dtype=np.int64)
+        mark[own] = False
+        hits = other[both >= similarity * (sizes[k] + sizes[other] - both)]
+        for r in hits[label[hits] != label[k]]:
+            if label[r] != label[k]:
+                out.append((nodes[k], nodes[r]))
+                label[label == label[r]] = label[k]
+    return out
+
+
+def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, similarity=0.8, rows_each=NEAR_ROWS) -> DataFrame:
     """docs with one document left of each group of near duplicates: texts linked by
     chains of pairs whose sets of ``size``-word shingles have a Jaccard similarity of at
-    least ``similarity``. Candidates come from the vantage-point forest over word
-    fingerprints. The document with the smallest id stays, null ids last; rows with the
-    same id and text are one document."""
+    least ``similarity``. Candidates are all pairs of texts that share one of their
+    ``near_keys``; each is compared, in the shard of the key, and only links that connect
+    groups are emitted. The document with the smallest id stays, null ids last; rows with
+    the same id and text are one document."""
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     kind = docs.schema[id_col].dataType.simpleString()
 
-    def prints(batches):
+    def keys(batches):
         for b in batches:
-            fps = [word_fingerprint(words_of(t.as_py())) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in fps], pa.int64()), pa.array([f[1] for f in fps], pa.int64())], ["id", "node", "w0", "w1"])
+            got = [near_keys(shingles(t.as_py(), size)).view(np.int64) for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], ["id", "node", "keys"])
         trim_memory()
 
     named = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text).alias("text"))
-    rows = materialize(named.mapInArrow(prints, f"id {kind}, node long, w0 long, w1 long"), "prints")
-    points = materialize(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("w0").alias("w0"), F.min("w1").alias("w1")), "points")
+    rows = materialize(named.mapInArrow(keys, f"id {kind}, node long, keys array<long>"), "keys")
+    points = materialize(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("keys").alias("keys")), "points")
+    asked = points.select("node", F.explode("keys").alias("key"))
+    mixed = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
+    shards = asked.groupBy("key").agg(F.count("*").alias("n"), mixed(1).alias("x"), mixed(2).alias("y")).where("n > 1")
+    # keys that the same texts share are one shard
+    shards = shards.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    members = materialize(asked.join(shards, "key").select("node", "key", F.ceil(F.col("n") / rows_each).cast("int").alias("blocks")), "members")
+
+    def hashes(batches):
+        for b in batches:
+            got = [shingles(t.as_py(), size).tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], ["node", "grams"])
+        trim_memory()
+
+    lows = members.select(F.col("node").alias("n")).distinct().join(points.select("node", "low"), F.col("n") == F.col("node")).select("n", "low")
+    texts = named.join(lows, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("low")))
+    texts = texts.groupBy("node").agg(F.min("text").alias("text"))
+    sets = materialize(texts.mapInArrow(hashes, "node long, grams binary"), "grams")
+    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
+    dealt = members.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    task = F.struct("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
+    dealt = dealt.select(task.alias("task"), "node", (F.col("own") <= F.col("k")).alias("l"), (F.col("own") >= F.col("k")).alias("r"))
+    dealt = dealt.select(F.xxhash64("task.key", "task.i", "task.j").alias("task"), "node", "l", "r").join(sets, "node")
 
     def compare(batches):
+        last, held = None, []
+
+        def links():
+            found = similar_links(*map(list, zip(*held, strict=True)), similarity) if len(held) > 1 else []
+            return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
         for b in batches:
-            hits = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                p, q = shingles(x.as_py(), size), shingles(y.as_py(), size)
-                hits.append(len(p & q) >= similarity * len(p | q))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(hits, pa.bool_()))
+            columns = (b.column(c).to_pylist() for c in ("task", "node", "grams", "l", "r"))
+            for t, n, g, left, right in zip(*columns, strict=True):
+                if t != last and held:
+                    yield links()
+                    held = []
+                last = t
+                held.append((n, np.frombuffer(g, np.uint64), left, right))
+        if held:
+            yield links()
         trim_memory()
 
-    close, todo, left = None, points, None
-    while True:
-        found = materialize(vantage.links(todo, ["w0", "w1"], NEAR_BITS, _near_masks(), radius=1, whole=NEAR_LINKS), "links")
-        pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        asked = found.select(F.col("a").alias("n")).unionAll(found.select("b")).distinct().join(points.select("node", "low"), F.col("n") == F.col("node")).select("n", "low")
-        texts = named.join(asked, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("low")))
-        texts = materialize(texts.groupBy("node").agg(F.min("text").alias("text")), "texts")
-        first = texts.select(F.col("node").alias("a"), F.col("text").alias("ta"))
-        second = texts.select(F.col("node").alias("b"), F.col("text").alias("tb"))
-        new = materialize(pairs.join(first, "a").join(second, "b").select("a", "b", "ta", "tb").mapInArrow(compare, "a long, b long"), "close")
-        if close is not None and not new.count():
-            break
-        close = new if close is None else close.unionAll(new)
-        roots = materialize(connected_components(close), "components")
-        # what was cut is looked at again, one text for each group it is in by now
-        cut = found.where("cut").select(F.col("a").alias("c")).distinct().join(roots, F.col("c") == F.col("node"), "left")
-        todo = materialize(points.join(cut.select(F.coalesce("root", "c").alias("r")).distinct(), F.col("node") == F.col("r"), "left_semi"), "again")
-        again = todo.count()
-        if again < 2 or again == left:
-            break
-        left = again
+    close = materialize(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long"), "close")
+    roots = connected_components(close)
     named_points = points.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
     named_points = materialize(named_points.select("node", "low", F.coalesce("root", "node").alias("root")), "roots")
     first = named_points.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("f"))
