@@ -161,3 +161,18 @@ def test_dense_families_like_brute_force(spark, rows_each):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id for r in simhash.near_duplicates(docs, rows_each=rows_each).collect()}
     assert len(got ^ want) <= 1
+
+
+def test_one_block_of_new_text_shares_a_key():
+    """Pairs of a similarity of 0.8 to 0.85 with a block appended, inserted or replaced."""
+    rng = random.Random(22)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    found = []
+    for k in range(900):
+        base, n, at = text(250), rng.randint(38, 58), rng.randrange(200)
+        other = (base + text(n), base[:at] + text(n) + base[at:], base[:at] + text(n // 2) + base[at + n // 2 :])[k % 3]
+        a, b = " ".join(base), " ".join(other)
+        if 0.8 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.85:
+            found.append(bool((simhash.near_keys(simhash.shingles(a, 5)) == simhash.near_keys(simhash.shingles(b, 5))).any()))
+    assert len(found) > 400 and sum(found) >= 0.98 * len(found)
