@@ -75,3 +75,21 @@ def test_odd_rows(spark):
     assert by[None] == p and [t for i, t in got if i == 5] == [p, p] and by[1] is None and by[2] == "" and by[3] == "short" and by[7] == " \n\n "
     assert by[6].strip() == ""
     assert line_dedup.dedup(docs.limit(0)).count() == 0
+
+
+def test_every_passage_of_50_words_is_found(spark):
+    """Prose of few initials, and passages of 52 words in foreign surroundings."""
+    rng = random.Random(5)
+    for letters in ("abcdefghijklmnopqrstuvwxyz", "abdeghjkmnpqstvwyz"):
+        word = lambda: rng.choice(letters) + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(1, 8)))  # noqa: E731, B023
+        passages = [" ".join(word() for _ in range(52)) for _ in range(300)]
+        rows = []
+        for k, p in enumerate(passages):
+            for i in (k, 1000 + k):
+                rows.append((i, " ".join([*(word() for _ in range(rng.randint(20, 60))), p, *(word() for _ in range(rng.randint(20, 60)))])))
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+        got = {r.doc_id: r for r in line_dedup.dedup(docs).collect()}
+        texts = dict(rows)
+        assert all(got[i].text == texts[i] for i in range(300))
+        for k, p in enumerate(passages):
+            assert got[1000 + k].removed_words >= 52 and p not in got[1000 + k].text

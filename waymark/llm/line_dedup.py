@@ -1,14 +1,14 @@
 """Line dedup: long passages that a corpus repeats are cut from all documents but
 their first one. DataFrame functions only.
 
-A text is folded into short lines: a line ends at a newline, and before a word that
-starts with one of certain letters, about every third word. A window rolling over
-the line hashes ends a chunk at each local maximum, so chunks have two lines or
-more. Both choices see only the words around them, so a passage is cut the same
-way wherever it stands. Chunks are matched by hash over the whole corpus; chunks
-that continue the same match make a run, and every run is compared, byte by byte,
-with the text in the first document, and widened line by line, then word by word,
-as long as both read the same. What is matched in one stretch of ``min_words``
+A text is folded into lines of one word each. The largest hash of every ``SPAN`` words
+in a row ends a chunk, so no chunk is longer, and a passage is cut the same way wherever
+it stands. A chunk's hash takes in the ``BEFORE`` words before it. Any passage of
+2 * SPAN + BEFORE words therefore holds a chunk that matches: the ends found in its first
+and last SPAN words are the same everywhere, and so are those between. Chunks are matched
+by hash over the whole corpus; chunks that continue the same match make a run, and every
+run is compared, byte by byte, with the text in the first document, and widened line by
+line as long as both read the same. What is matched in one stretch of ``min_words``
 words or more goes.
 
 Defined results: null and empty texts, and rows without an id, come back as they
@@ -26,16 +26,15 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: A word starts a line if its first character's code is a multiple of this, or 0x100 or more.
-FIRST_MOD = 3
+#: Words in a row of which one ends a chunk, and words before a chunk that its hash takes in.
+SPAN, BEFORE = 21, 7
 #: A chunk with more than this share of all rows is dealt with apart.
 HOT_SHARE = 1 / 2000
 #: How many lines a match is widened by on each side of a run.
-REACH = 10
+REACH = 30
 MIN_WORDS = 40
 
-_FIRST = "".join(f"\\x{c:02x}" for c in range(0x21, 0x100) if c % FIRST_MOD == 0)
-_LINE = rf"(?<=\n)|(?<= )(?=[{_FIRST}\x{{100}}-\x{{10ffff}}])"
+_LINE = r"(?<=\n)|(?<= )(?=[^ \n])"
 _WORD = r"(?<=[ \n])"
 
 
@@ -61,18 +60,23 @@ def chunks(text: Column) -> Column:
     """array<struct<s, n, h>>: first line, number of lines, and hash, of each chunk."""
 
     def ends(h: Column) -> Column:
-        """Positions of local maxima, and the last one."""
-        at = lambda x, i: F.when(
-            (i == F.size(h) - 1) | ((x > F.coalesce(F.get(h, i - 1), x)) & (x >= F.get(h, i + 1))), i
+        """The last position of the largest hash of every SPAN lines, and the last line."""
+        # a number of the hash's upper bits and the position, so that none are equal
+        v = F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, 24), 24) + i)
+        top = lambda v: F.transform(
+            F.sequence(F.lit(1), F.greatest(F.size(v) - SPAN + 1, F.lit(1))), lambda k: F.pmod(F.array_max(F.slice(v, k, SPAN)), F.lit(1 << 24)).cast("int")
         )
-        return F.filter(F.transform(h, at), lambda i: i.isNotNull())
+        return F.array_distinct(F.concat(_let(v, top), F.array(F.size(h) - 1)))
+
+    def hashed(lines: Column, s: Column, last: Column) -> Column:
+        return _let(F.greatest(s - BEFORE, F.lit(0)), lambda a: F.xxhash64(F.slice(lines, a + 1, last - a + 1)))
 
     def cut(lines: Column, e: Column) -> Column:
         return F.transform(
             e,
             lambda last, k: _let(
                 F.coalesce(F.get(e, k - 1) + 1, F.lit(0)),
-                lambda s: F.struct(s.alias("s"), (last - s + 1).alias("n"), F.xxhash64(F.slice(lines, s + 1, last - s + 1)).alias("h")),
+                lambda s: F.struct(s.alias("s"), (last - s + 1).alias("n"), hashed(lines, s, last).alias("h")),
             ),
         )
 
