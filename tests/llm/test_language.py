@@ -98,3 +98,11 @@ def test_odd_rows(spark, labelled):
     assert all(not labelled or 0 < r.confidence <= 1 and math.isfinite(r.confidence) for r in got)
     assert language.identify(docs.limit(0), pages.limit(0)).count() == 0
     assert language.identify(docs.limit(0), pages).count() == 3
+
+
+def test_declared_language_after_a_long_prologue(spark):
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en", "s"), (2, "der Hund und die Katze", "de", "s")], "doc_id long, text string, lang string, source string")
+    rows = [(k, "http://b.com/x", "<!-- " + "licence " * n + "-->\n<html lang='de'><p>0</p></html>") for k, n in enumerate((0, 600, 50000))]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.declared for r in language.identify(docs, pages).where("page_id is not null").collect()}
+    assert got == {0: "de", 1: "de", 2: "de"}

@@ -192,7 +192,7 @@ def identify(docs: DataFrame, pages: DataFrame | None = None, id_col="doc_id", t
     )
     if pages is not None:
         own = with_parts(pages.select(F.col(page_id).alias("g"), "url", "html"))
-        tag = F.lower(F.regexp_extract(F.substring("html", 1, 4096), r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
+        tag = F.lower(F.regexp_extract("html", r"""(?is)<html\b[^>]*?\blang\s*=\s*["']?([a-z]{2,3})""", 1))
         segment = ascii_lower(F.regexp_extract("path", r"^/([A-Za-z]{2,3})(?:/|$)", 1))
         none = lambda c: F.when(F.length(c) > 0, c)
         rows = rows.unionAll(own.select(null(doc_type).alias("d"), "g", none(F.col("host")), none(tag), none(segment), F.col("html"), F.lit(True)))
