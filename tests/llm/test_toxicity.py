@@ -87,3 +87,12 @@ def test_odd_rows(spark):
     assert toxicity.classify(table.limit(0), labels, fold(F.col("doc_id"), 3) == 1).count() == 0
     none = toxicity.classify(table, labels.limit(0), fold(F.col("doc_id"), 3) == 1).collect()
     assert len(none) == len(rows) and {r.score for r in none} == {0.5}
+
+
+def test_misspelled_words_of_a_stem():
+    """A family of which no form has most documents keeps its words beside the stem."""
+    pos = {"idiot": (130, 130), "idiots": (100, 100), "idio*": (230, 230), "idiot*": (100, 100)}
+    lex = toxicity.Lexicon(toxicity._choose(pos, {}, 400, 10000))
+    assert "idio*" in lex.weights
+    assert all(lex.match(w) and lex.match(w)[1] == 1 for w in ("idi0t", "1diot", "id1ots", "iddiot"))
+    assert lex.match("idiotic") == ("idio*", 0) and lex.match("idiot")[1] == 0 and lex.match("idle") is None

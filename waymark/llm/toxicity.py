@@ -212,7 +212,8 @@ def _signature(text: str) -> int:
 
 def _choose(pos: dict[str, tuple[int, int]], neg: dict[str, int], n_pos: int, n_neg: int) -> dict[str, float]:
     """Weights of the terms kept: rare in clean texts, found in texts that are no
-    copies; a stem only if no longer stem or single word says as much."""
+    copies; a stem only if no longer stem or single word says as much; beside a stem, the
+    whole words that are looked for in misspelled form."""
 
     def weight(t: str) -> float:
         """The log odds that a cautious reader would give the term."""
@@ -224,7 +225,10 @@ def _choose(pos: dict[str, tuple[int, int]], neg: dict[str, int], n_pos: int, n_
     for t in sorted(pure, key=lambda t: (len(t.rstrip("*")), t)):
         body = t.rstrip("*")
         if any(body[:k] + "*" in kept for k in STEM if k < len(body) + (not t.endswith("*"))):
-            continue  # a shorter stem stands for it
+            # a shorter stem stands for it, but only a whole word is found misspelled
+            if not t.endswith("*") and len(t) >= 5 and weight(t) >= MIN_FUZZY:
+                kept[t] = weight(t)
+            continue
         if t.endswith("*"):
             longer = [x for x in pure if x != t and x.startswith(body)]
             if any(pos[x][0] >= 0.9 * pos[t][0] for x in longer):
