@@ -1,20 +1,23 @@
 """Line dedup: long passages that a corpus repeats are cut from all documents but
 their first one. DataFrame functions only.
 
-A text is folded into lines of one word each. The largest hash of every ``SPAN`` words
-in a row ends a chunk, so no chunk is longer, and a passage is cut the same way wherever
-it stands. A chunk's hash takes in the ``BEFORE`` words before it. Any passage of
-2 * SPAN + BEFORE words therefore holds a chunk that matches: the ends found in its first
-and last SPAN words are the same everywhere, and so are those between. Chunks are matched
-by hash over the whole corpus; chunks that continue the same match make a run, and every
-run is compared, byte by byte, with the text in the first document, and widened line by
-line as long as both read the same. What is matched in one stretch of ``min_words``
-words or more goes.
-
-Defined results: null and empty texts, and rows without an id, come back as they
-are; rows with the same id and text are one document and treated alike; what
-repeats only inside one document stays; an empty table gives no rows; columns
-besides id and text are kept.
+A text is folded into lines of one word each. A line ends a chunk if a rolling hash over
+it and the line before falls into one of ``PARTS`` classes; where ``SPAN`` lines in a row
+hold no such end, the largest of their hashes ends one. So no chunk is longer than SPAN,
+and a passage is cut the same way wherever it stands. A chunk's hash takes in the
+``BEFORE`` words before it. Any passage of 2 * SPAN + BEFORE + 1 words therefore holds a
+chunk that matches: the ends found in its first and last SPAN words are the same
+everywhere, and so are those between. Chunks are matched by hash over the whole corpus;
+chunks that continue the same match make a run, and every run is compared, byte by byte,
+with the words in the first document, and widened word by word as long as both read the
+same. What is matched in one stretch of ``min_words`` words or more goes.
+
+Defined results: null and empty texts, and rows without an id, come back as they are;
+rows with the same id and text are one document and treated alike; what repeats only
+inside one document, or only among rows of one id, stays; two passages are the same if
+their words are, whatever single white-space characters part them; an empty table gives
+no rows; columns besides id and text are kept, but for ``removed_words`` and
+``removed_spans``, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,18 +27,22 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 #: Words in a row of which one ends a chunk, and words before a chunk that its hash takes in.
-SPAN, BEFORE = 21, 7
-#: A chunk with more than this share of all rows is dealt with apart.
-HOT_SHARE = 1 / 2000
-#: How many lines a match is widened by on each side of a run.
+SPAN, BEFORE = 20, 7
+#: One of so many words ends a chunk by its hash alone.
+PARTS = 8
+#: A chunk with more than this share of all rows is dealt with apart; so there are at most
+#: 1 / HOT_SHARE of them, which is what is broadcast.
+HOT_SHARE = 1 / 200_000
+#: How many words a match is widened by on each side of a run: more than a passage can
+#: hold beside its first or last matching chunk.
 REACH = 30
 MIN_WORDS = 40
 
-_LINE = r"(?<=\n)|(?<= )(?=[^ \n])"
-_WORD = r"(?<=[ \n])"
+_SPACE = r"[ \t-\r]"
+_AFTER_SPACE = r"(?<=[ \t-\r])"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -43,71 +50,58 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
-def lines_of(text: Column) -> Column:
-    """The short lines of a text; joined they give the text."""
-    return F.split(text, _LINE, -1)
+def words_of(text: Column) -> Column:
+    """The words of a text, one white-space character after each but the last."""
+    return F.split(text, _SPACE, -1)
 
 
-def _join(parts: Column, start: Column, n: Column) -> Column:
-    return F.array_join(F.slice(parts, start + 1, n), "")
+def _joined(words: Column, start: Column, n: Column) -> Column:
+    return F.array_join(F.slice(words, start + 1, n), " ")
 
 
-def _trimmed(text: Column) -> Column:
-    return F.rtrim(text, F.lit(" \n"))
+def _hash(words: Column, i: Column) -> Column:
+    return F.xxhash64(F.get(words, i - 1), F.get(words, i))
 
 
-def chunks(text: Column) -> Column:
-    """array<struct<s, n, h>>: first line, number of lines, and hash, of each chunk."""
+def _largest(words: Column, a: Column, n: Column) -> Column:
+    """The last position of the largest hash of every SPAN words from a on, n in all."""
+    # a number of the hash's upper bits and the position, so that none are equal
+    v = F.transform(F.sequence(a, a + n - 1), lambda i: F.shiftleft(F.shiftright(_hash(words, i), 31), 31) + i)
+    top = lambda v: F.transform(F.sequence(F.lit(1), n - SPAN + 1), lambda k: F.pmod(F.array_max(F.slice(v, k, SPAN)), F.lit(1 << 31)).cast("int"))
+    return F.array_distinct(_let(v, top))
 
-    def ends(h: Column) -> Column:
-        """The last position of the largest hash of every SPAN lines, and the last line."""
-        # a number of the hash's upper bits and the position, so that none are equal
-        v = F.transform(h, lambda x, i: F.shiftleft(F.shiftright(x, 24), 24) + i)
-        top = lambda v: F.transform(
-            F.sequence(F.lit(1), F.greatest(F.size(v) - SPAN + 1, F.lit(1))), lambda k: F.pmod(F.array_max(F.slice(v, k, SPAN)), F.lit(1 << 24)).cast("int")
-        )
-        return F.array_distinct(F.concat(_let(v, top), F.array(F.size(h) - 1)))
 
-    def hashed(lines: Column, s: Column, last: Column) -> Column:
-        return _let(F.greatest(s - BEFORE, F.lit(0)), lambda a: F.xxhash64(F.slice(lines, a + 1, last - a + 1)))
+def _ends(words: Column) -> Column:
+    """The last position of every chunk."""
+    last = F.size(words) - 1
+    found = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(_hash(words, i), F.lit(PARTS)) == 0))
 
-    def cut(lines: Column, e: Column) -> Column:
-        return F.transform(
-            e,
-            lambda last, k: _let(
+    def filled(e: Column) -> Column:
+        def one(end: Column, k: Column) -> Column:
+            return _let(
                 F.coalesce(F.get(e, k - 1) + 1, F.lit(0)),
-                lambda s: F.struct(s.alias("s"), (last - s + 1).alias("n"), hashed(lines, s, last).alias("h")),
-            ),
-        )
-
-    return _let(
-        lines_of(text),
-        lambda lines: _let(_let(F.transform(lines, lambda x: F.xxhash64(x)), ends), lambda e: cut(lines, e)),
-    )
+                lambda a: F.when(end - a >= SPAN, F.concat(_largest(words, a, end - a), F.array(end))).otherwise(F.array(end)),
+            )
 
+        return F.flatten(F.transform(e, one))
 
-def _alike(a: Column, b: Column) -> Column:
-    """How many elements at the start of both arrays read the same."""
+    return _let(found, filled)
 
-    def count(same: Column) -> Column:
-        return _let(F.array_position(same, F.lit(False)).cast("int"), lambda at: F.when(at > 0, at - 1).otherwise(F.size(same)))
-
-    n = F.least(F.size(a), F.size(b))
-    return _let(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: (x == y) | (_trimmed(x) == _trimmed(y))), count)
 
+def chunks(text: Column) -> Column:
+    """array<struct<s, n, h>>: first word, number of words, and hash, of each chunk."""
 
-def _widened(own: Column, other: Column, turn: Callable[[Column], Column]) -> Column:
-    """struct<lines, words, chars>: whole lines alike, then words (and their characters)
-    of the line after; ``turn`` orders the words of a line from the match outwards."""
+    def cut(words: Column, e: Column) -> Column:
+        def one(last: Column, k: Column) -> Column:
+            def named(s: Column) -> Column:
+                h = F.xxhash64(F.slice(words, F.greatest(s - BEFORE, F.lit(0)) + 1, F.least(s, F.lit(BEFORE)) + last - s + 1))
+                return F.struct(s.alias("s"), (last - s + 1).alias("n"), h.alias("h"))
 
-    def words(lines: Column, k: Column) -> Column:
-        return turn(F.split(F.coalesce(F.get(lines, k), F.lit("")), _WORD))
+            return _let(F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), named)
 
-    def tail(a: Column, b: Column, k: Column) -> Column:
-        part = lambda w, m: F.struct(k.alias("lines"), m.alias("words"), F.length(F.array_join(F.slice(w, 1, m), "")).alias("chars"))
-        return _let(words(a, k), lambda w: _let(words(b, k), lambda v: _let(_alike(w, v), lambda m: part(w, m))))
+        return F.transform(e, one)
 
-    return _let(own, lambda a: _let(other, lambda b: _let(_alike(a, b), lambda k: tail(a, b, k))))
+    return _let(words_of(text), lambda words: _let(_ends(words), lambda e: cut(words, e)))
 
 
 def later_places(rows: DataFrame) -> DataFrame:
@@ -117,23 +111,21 @@ def later_places(rows: DataFrame) -> DataFrame:
     reduced to their first places by partial aggregates, which are broadcast."""
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).groupBy("h").count()
     total = sample.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    hot = [r["h"] for r in sample.where(F.col("count") > max(16, int(total * HOT_SHARE))).select("h").collect()]
+    hot = materialize(sample.where(F.col("count") > max(16, int(total * HOT_SHARE))).select("h"), "hot")
     first = F.first(F.struct("id", "s")).over(Window.partitionBy("h").orderBy("id", "s"))
     columns = ["id", "s", "n", F.col("f.id").alias("id0"), F.col("f.s").alias("s0")]
-    rest = rows
-    if hot:
-        rest, own = rows.where(~F.col("h").isin(hot)), rows.where(F.col("h").isin(hot))
-        firsts = F.broadcast(own.groupBy("h").agg(F.min(F.struct("id", "s")).alias("f")))
-    out = rest.withColumn("f", first).where("f.id <> id").select(*columns)
-    return out.unionAll(own.join(firsts, "h").where("f.id <> id").select(*columns)) if hot else out
+    rest = rows.join(F.broadcast(hot), "h", "left_anti").withColumn("f", first).where("f.id <> id").select(*columns)
+    own = rows.join(F.broadcast(hot), "h")
+    firsts = own.groupBy("h").agg(F.min(F.struct("id", "s")).alias("f"))
+    return rest.unionAll(own.join(F.broadcast(firsts), "h").where("f.id <> id").select(*columns))
 
 
 def runs(docs: DataFrame, reach=REACH) -> DataFrame:
-    """docs(id, text) to (id, a, b, id0, a0, nl, nr): lines [a, b) repeat lines from a0
-    on of the first document id0, by hash; nl and nr say how many lines beside them
+    """docs(id, text) to (id, a, b, id0, a0, nl, nr): words [a, b) repeat words from a0
+    on of the first document id0, by hash; nl and nr say how many words beside them
     are still to be compared."""
-    rows = materialize(docs.select("id", chunks(F.col("text")).alias("c")), "chunks").select("id", F.inline("c"))
-    later = later_places(rows)
+    whole = materialize(docs.select("id", chunks(F.col("text")).alias("c")), "chunks")
+    later = later_places(whole.select("id", F.inline("c")))
     line = Window.partitionBy("id").orderBy("s", "id0", "s0")
     before = lambda c: F.lag(F.expr(c)).over(line)
     goes_on = (before("id0") == F.col("id0")) & (
@@ -145,108 +137,103 @@ def runs(docs: DataFrame, reach=REACH) -> DataFrame:
         F.min("s").alias("a"), F.max(F.expr("s + n")).alias("b"), F.min("id0").alias("id0"), F.min("s0").alias("a0")
     )
     side = Window.partitionBy("id").orderBy("a", "run")
-    return found.select(
+    found = found.select(
         "id", "a", "b", "id0", "a0",
         F.when(F.lag("b").over(side) == F.col("a"), 0).otherwise(reach).alias("nl"),
         F.when(F.lead("a").over(side) == F.col("b"), 0).otherwise(reach).alias("nr"),
     )
+    found = materialize(found, "runs")
+    discard(whole)
+    return found
 
 
-def matches(docs: DataFrame, id_col="doc_id", text="text", reach=REACH) -> DataFrame:
-    """docs to (_wm_id, ps): for every run of a document its place, and the text and the
-    lines beside it in the first document."""
-    found = materialize(runs(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), reach), "runs")
+def matches(docs: DataFrame, reach=REACH) -> DataFrame:
+    """docs(id, text) to (own, ps): for every run of a document its place, and the words
+    of it and beside it in the first document."""
+    found = runs(docs.select("id", "text"), reach)
     n = F.expr("b - a").alias("n")
     asked = found.groupBy("id0", "a0", n).agg(F.max("nl").alias("nl"), F.max("nr").alias("nr"))
     asked = asked.groupBy(F.col("id0").alias("wid")).agg(F.collect_list(F.struct("a0", "n", "nl", "nr")).alias("ps"))
 
-    def read(lines: Column) -> Column:
+    def read(words: Column) -> Column:
         return F.transform(
             "ps",
             lambda p: F.struct(
-                p["a0"].alias("a0"), p["n"].alias("n"), _join(lines, p["a0"], p["n"]).alias("own"),
-                F.reverse(F.slice(lines, F.greatest(p["a0"] - p["nl"], F.lit(0)) + 1, F.least(p["nl"], p["a0"]))).alias("left"),
-                F.slice(lines, p["a0"] + p["n"] + 1, p["nr"]).alias("right"),
+                p["a0"].alias("a0"), p["n"].alias("n"), _joined(words, p["a0"], p["n"]).alias("own"),
+                F.reverse(F.slice(words, F.greatest(p["a0"] - p["nl"], F.lit(0)) + 1, F.least(p["nl"], p["a0"]))).alias("left"),
+                F.slice(words, p["a0"] + p["n"] + 1, p["nr"]).alias("right"),
             ),
         )
 
-    first = docs.select(id_col, text).join(asked, F.col(id_col) == F.col("wid"))
-    first = first.select(F.col("wid").alias("id0"), F.inline(_let(lines_of(F.col(text)), read)))
+    first = docs.join(asked, F.col("id") == F.col("wid"))
+    first = first.select(F.col("wid").alias("id0"), F.inline(_let(words_of(F.col("text")), read)))
     both = found.withColumn("n", n).join(first, ["id0", "a0", "n"])
-    return both.groupBy(F.col("id").alias("_wm_id")).agg(F.collect_list(F.struct("a", "b", "nl", "nr", "own", "left", "right")).alias("ps"))
+    return both.groupBy(F.col("id").alias("own")).agg(F.collect_list(F.struct("a", "b", "nl", "nr", "own", "left", "right")).alias("ps"))
 
 
-_CUTS = "array<struct<a:int,nca:int,b:int,cb:int,wa:int,wb:int>>"
+def _alike(a: Column, b: Column) -> Column:
+    """How many elements at the start of both arrays are the same."""
 
+    def count(same: Column) -> Column:
+        return _let(F.array_position(same, F.lit(False)).cast("int"), lambda at: F.when(at > 0, at - 1).otherwise(F.size(same)))
 
-def _cuts(lines: Column, ps: Column) -> Column:
-    """The stretches of lines [a, b), with cb characters after and -nca before them, that
-    read like the first documents, merged and sorted."""
+    n = F.least(F.size(a), F.size(b))
+    return _let(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), count)
+
+
+_CUTS = "array<struct<a:int,b:int>>"
+
+
+def _cuts(words: Column, ps: Column, min_words: int) -> Column:
+    """The stretches of words [a, b) that read like the first documents, merged and
+    sorted; those of min_words words or more."""
 
     def one(p: Column) -> Column:
-        left = F.reverse(F.slice(lines, F.greatest(p["a"] - p["nl"], F.lit(0)) + 1, F.least(p["nl"], p["a"])))
-        return _let(
-            F.struct(_widened(left, p["left"], F.reverse).alias("l"), _widened(F.slice(lines, p["b"] + 1, p["nr"]), p["right"], lambda w: w).alias("r")),
-            lambda x: F.struct(
-                (p["a"] - x["l"]["lines"]).alias("a"), (-x["l"]["chars"]).alias("nca"), (p["b"] + x["r"]["lines"]).alias("b"),
-                x["r"]["chars"].alias("cb"), x["l"]["words"].alias("wa"), x["r"]["words"].alias("wb"),
-            ),
-        )
+        left = F.reverse(F.slice(words, F.greatest(p["a"] - p["nl"], F.lit(0)) + 1, F.least(p["nl"], p["a"])))
+        right = F.slice(words, p["b"] + 1, p["nr"])
+        return F.struct((p["a"] - _alike(left, p["left"])).alias("a"), (p["b"] + _alike(right, p["right"])).alias("b"))
 
     def merge(done: Column, x: Column) -> Column:
         last = F.get(done, F.size(done) - 1)
-        longer = (x["b"] > last["b"]) | ((x["b"] == last["b"]) & (x["cb"] > last["cb"]))
-        pick = lambda k: F.when(longer, x[k]).otherwise(last[k]).alias(k)
-        joined = F.struct(last["a"].alias("a"), last["nca"].alias("nca"), pick("b"), pick("cb"), last["wa"].alias("wa"), pick("wb"))
+        joined = F.struct(last["a"].alias("a"), F.greatest(last["b"], x["b"]).alias("b"))
         return F.when(last["b"] >= x["a"], F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
 
-    same = F.filter(ps, lambda p: _join(lines, p["a"], p["b"] - p["a"]) == p["own"])
-    return F.aggregate(F.array_sort(F.transform(same, one)).cast(_CUTS), F.array().cast(_CUTS), merge)
+    same = F.filter(ps, lambda p: _joined(words, p["a"], p["b"] - p["a"]) == p["own"])
+    merged = F.aggregate(F.array_sort(F.transform(same, one)).cast(_CUTS), F.array().cast(_CUTS), merge)
+    counted = F.transform(merged, lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), F.size(F.filter(F.slice(words, c["a"] + 1, c["b"] - c["a"]), lambda w: w != "")).alias("w")))
+    return F.filter(counted, lambda c: c["w"] >= min_words)
+
+
+def _shorter(text: Column, cs: Column) -> Column:
+    """A text without the cuts; every word goes with the white space after it."""
+
+    def kept(parts: Column) -> Column:
+        end = F.struct(F.size(parts).alias("a"), F.size(parts).alias("b"), F.lit(0).alias("w"))
+        piece = lambda c, i: _let(F.coalesce(F.get(cs, i - 1)["b"], F.lit(0)), lambda s: F.array_join(F.slice(parts, s + 1, c["a"] - s), ""))
+        return F.array_join(F.transform(F.concat(cs, F.array(end)), piece), "")
+
+    return _let(F.split(text, _AFTER_SPACE, -1), kept)
 
 
 def dedup(docs: DataFrame, id_col="doc_id", text="text", min_words=MIN_WORDS, reach=REACH) -> DataFrame:
     """docs with its text shortened, and removed_words and removed_spans added."""
+    others = [c for c in docs.columns if c not in (text, "removed_words", "removed_spans")]
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"))
     # the same rows in both joins, so that Spark moves the texts once
-    named = docs.where(F.col(id_col).isNotNull())
-    found = matches(named, id_col, text, reach).withColumnRenamed("ps", "_wm_ps")
-    joined = named.join(found, named[id_col] == found._wm_id, "left")
-    body = named[text]
-
-    def n_words(lines: Column, c: Column) -> Column:
-        inner = F.size(F.filter(F.split(_join(lines, c["a"], c["b"] - c["a"]), "[ \n]+"), lambda w: w != ""))
-        return inner + c["wa"] + c["wb"]
-
-    def shorter(lines: Column) -> Column:
-        counted = F.transform(
-            _cuts(lines, F.col("_wm_ps")), lambda c: F.struct(*(c[k].alias(k) for k in ("a", "nca", "b", "cb")), n_words(lines, c).alias("w"))
-        )
-        return _let(F.filter(counted, lambda c: c["w"] >= min_words), lambda cs: kept(lines, cs))
-
-    def kept(lines: Column, cs: Column) -> Column:
-        end = F.struct(F.size(lines).alias("a"), F.lit(0).alias("nca"), F.size(lines).alias("b"), F.lit(0).alias("cb"), F.lit(0).alias("w"))
-        part = lambda c, i: _let(
-            F.coalesce(F.get(cs, i - 1)["b"], F.lit(0)),
-            lambda s: _let(
-                _join(lines, s, c["a"] - s),
-                lambda t: _let(
-                    F.coalesce(F.get(cs, i - 1)["cb"], F.lit(0)),
-                    lambda skip: F.substring(t, skip + 1, F.greatest(F.length(t) - skip + c["nca"], F.lit(0))),
-                ),
-            ),
-        )
+    named = rows.where("id is not null")
+    found = matches(named, reach)
+    joined = named.join(found, F.col("id") == F.col("own"), "left")
+
+    def result(cs: Column) -> Column:
         return F.struct(
-            F.array_join(F.transform(F.concat(cs, F.array(end)), part), "").alias("text"),
-            F.aggregate(cs, F.lit(0), lambda n, c: n + c["w"]).alias("words"),
-            F.size(cs).alias("spans"),
-        )
-
-    whole = F.struct(body.alias("text"), F.lit(0).alias("words"), F.lit(0).alias("spans"))
-    result = F.when(F.col("_wm_ps").isNotNull(), _let(lines_of(body), shorter)).otherwise(whole)
-    others = [c for c in docs.columns if c not in ("removed_words", "removed_spans")]
-    rest = joined.select(*(named[c] for c in others if c != text), F.explode(F.array(result)).alias("_wm"))
-    out = rest.select(
-        *(F.col("_wm.text").alias(text) if c == text else F.col(f"`{c}`") for c in others),
-        F.col("_wm.words").alias("removed_words"), F.col("_wm.spans").alias("removed_spans"),
+            F.when(F.size(cs) > 0, _shorter(F.col("text"), cs)).otherwise(F.col("text")).alias("text"),
+            F.aggregate(cs, F.lit(0), lambda n, c: n + c["w"]).alias("words"), F.size(cs).alias("spans"),
+        )
+
+    whole = F.struct(F.col("text"), F.lit(0).alias("words"), F.lit(0).alias("spans"))
+    changed = F.when(F.col("ps").isNotNull(), _let(_let(words_of(F.col("text")), lambda words: _cuts(words, F.col("ps"), min_words)), result)).otherwise(whole)
+    done = joined.select("others", F.explode(F.array(changed)).alias("done")).unionAll(rows.where("id is null").select("others", whole.alias("done")))
+    return done.select(
+        *(F.col("done.text").alias(text) if c == text else F.col(f"others.`{c}`") for c in docs.columns if c not in ("removed_words", "removed_spans")),
+        F.col("done.words").alias("removed_words"), F.col("done.spans").alias("removed_spans"),
     )
-    nameless = docs.where(F.col(id_col).isNull()).select(*others, F.lit(0).alias("removed_words"), F.lit(0).alias("removed_spans"))
-    return out.unionAll(nameless)
