@@ -91,6 +91,17 @@ def test_core(depth):
         assert abs(whole - 1) < 1e-9
 
 
+def test_a_rare_byte_after_very_many_of_another():
+    """However often one byte was seen, the other costs a finite number of bits."""
+    depth = 2
+    for n in (20_000_000, 10**9, 10**14):
+        grams = np.array([0x616161, 0x616162], np.uint64)
+        tables = ctw.build(grams, np.array([n, 1]), depth)
+        tables.odds = [x.astype(np.float32) for x in tables.odds]
+        common, rare, unseen = tables.log2(np.array([0x616161, 0x616162, 0x616163], np.uint64))
+        assert -1e-6 < common <= 0 and math.isclose(rare, -math.log2(n), rel_tol=0.1) and -200 < unseen < rare
+
+
 def test_kt_by_series():
     for a, b in ((0, 0), (3, 9), (5000, 1), (10**6, 12345), (4096, 4097)):
         want = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - 2 * math.lgamma(0.5) - math.lgamma(a + b + 1)

@@ -81,25 +81,35 @@ def parents(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarr
 
 
 def mix(n0: np.ndarray, n1: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-    """(ln of the weighted probability, weight of the node's own estimate)."""
+    """(ln of the weighted probability, ln of how much likelier the children's is than
+    the node's own estimate)."""
     own = kt_log(n0, n1)
     if below is None:
-        return own, np.ones(len(own))
-    weighted = np.logaddexp(own, below) - np.log(2)
-    return weighted, np.exp(own - np.log(2) - weighted)
+        return own, np.full(len(own), -np.inf)
+    return np.logaddexp(own, below) - np.log(2), below - own
 
 
-def estimates(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """The Krichevsky-Trofimov probability of a one next."""
-    return (n1 + 0.5) / (n0 + n1 + 1.0)
+def climb(keys: np.ndarray, n0: np.ndarray, n1: np.ndarray, weighted: np.ndarray, steps: int):
+    """The levels above some nodes: [keys, n0, n1, ratio, place] of each, deepest first, the
+    given nodes' places, and the weighted logs of the shallowest."""
+    levels, first = [], None
+    for _ in range(steps):
+        keys, n0, n1, below, place = parents(keys, n0, n1, weighted)
+        if levels:
+            levels[-1][4] = place
+        else:
+            first = place
+        weighted, ratio = mix(n0, n1, below)
+        levels.append([keys, n0, n1, ratio, None])
+    return levels, first, weighted
 
 
 class Tables:
-    """A built tree: for each depth the sorted nodes and the probability of a one if
-    that is the deepest node seen."""
+    """A built tree: for each depth the sorted nodes and ln(p(one) / p(zero)) if that is
+    the deepest node seen. Odds keep the rare side, however often the other was seen."""
 
-    def __init__(self, keys: list[np.ndarray], ones: list[np.ndarray]):
-        self.keys, self.ones = keys, ones
+    def __init__(self, keys: list[np.ndarray], odds: list[np.ndarray]):
+        self.keys, self.odds = keys, odds
 
     @property
     def depth(self) -> int:
@@ -113,7 +123,7 @@ class Tables:
         out = np.zeros(len(grams))
         for k in range(8):
             j = np.uint64(1 << k) | byte >> np.uint64(8 - k)
-            one = np.full(len(grams), 0.5)
+            odds = np.zeros(len(grams))
             todo = np.arange(len(grams))
             for d in range(self.depth, -1, -1):
                 keys = self.keys[d]
@@ -122,36 +132,41 @@ class Tables:
                 want = context[todo] >> np.uint64(8 * (self.depth - d)) << np.uint64(8) | j[todo]
                 at = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
                 hit = keys[at] == want
-                one[todo[hit]] = self.ones[d][at[hit]]
+                odds[todo[hit]] = self.odds[d][at[hit]]
                 todo = todo[~hit]
             bit = (byte >> np.uint64(7 - k)) & np.uint64(1)
-            out += np.log2(np.where(bit == 1, one, 1 - one))
-        return out
+            out -= np.logaddexp(0, np.where(bit == 1, -odds, odds))
+        return out / np.log(2)
+
+
+def leaves(grams: np.ndarray, counts: np.ndarray) -> tuple[list, np.ndarray]:
+    """The deepest level, and its weighted logs."""
+    keys, n0, n1 = decisions(grams, counts)
+    weighted, ratio = mix(n0, n1, None)
+    return [keys, n0, n1, ratio, None], weighted
+
+
+#: What stands above the root: nothing decided for either side, the whole weight left.
+ROOT = (0.0, 0.0, 1.0)
 
 
 def build(grams: np.ndarray, counts: np.ndarray, depth: int) -> Tables:
     """The whole tree from all distinct (context << 8 | byte) and their counts."""
-    levels = [None] * (depth + 1)
-    keys, n0, n1 = decisions(grams, counts)
-    below = place = None
-    for d in range(depth, -1, -1):
-        weighted, beta = mix(n0, n1, below)
-        levels[d] = [keys, estimates(n0, n1), beta, None]
-        if d:
-            keys, n0, n1, below, place = parents(keys, n0, n1, weighted)
-            levels[d][3] = place
-    return descend(levels)
-
-
-def descend(levels: list, carried: np.ndarray | None = None, left: np.ndarray | None = None) -> Tables:
-    """From the shallowest level down: what is decided so far, and the weight left for
-    deeper nodes. (carried, left): of the first level's nodes, if it is not the root."""
-    ones = []
-    for k, (keys, estimate, beta, place) in enumerate(levels):
-        if k:
-            carried, left = carried[place], left[place]
-        elif carried is None:
-            carried, left = np.zeros(len(keys)), np.ones(len(keys))
-        carried, left = carried + left * beta * estimate, left * (1 - beta)
-        ones.append((carried + left * 0.5).astype(np.float64))
-    return Tables([level[0] for level in levels], ones)
+    low, weighted = leaves(grams, counts)
+    levels, low[4], _ = climb(*low[:3], weighted, depth)
+    levels = [low, *levels][::-1]
+    return Tables([level[0] for level in levels], descend(levels, ROOT)[0])
+
+
+def descend(levels: list, above: tuple) -> tuple[list[np.ndarray], tuple]:
+    """From the shallowest level down: the log odds of each level's nodes, and what is
+    decided for a one, for a zero, and left to deeper nodes after the last level. above:
+    the same three before the first level, for each of its nodes or for all."""
+    out = []
+    with np.errstate(over="ignore"):
+        for k, (_, n0, n1, ratio, place) in enumerate(levels):
+            one, zero, left = (x[place] for x in above) if k else above
+            own = left / (1 + np.exp(ratio)) / (n0 + n1 + 1.0)
+            above = one, zero, left = one + own * (n1 + 0.5), zero + own * (n0 + 0.5), left / (1 + np.exp(-ratio))
+            out.append(np.log((one + left / 2) / (zero + left / 2)))
+    return out, above

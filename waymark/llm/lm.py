@@ -3,9 +3,8 @@
 A text is the byte sequence of its words (A-Z lower-cased, split at ASCII white
 space), one space between them and a newline at the end; the bytes before it are
 newlines. The counts of all (context, byte) pairs of the training texts give the tree
-(see ``ctw``); its code length of a text's bytes is the score. Subtrees under the two
-most recent bytes are built apart from each other, the two levels above them on the
-driver.
+(see ``ctw``); its code length of a text's bytes is the score. Subtrees under the three
+most recent bytes are built apart from each other, then the levels above them.
 
 Scoring looks nodes up in sorted tables. Tables of up to ``HELD_NODES`` nodes are read
 by every worker from the shared folder; beyond that size the (context, byte) counts of
@@ -24,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,10 +31,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import ctw
-from .common import materialize
+from .common import discard, materialize
 from .token_files import filesystem
 
 DEPTH = 5
+#: Grams, about, of the subtrees that are built in one group.
+PART_ROWS = 100_000
 HELD_NODES = 16_000_000
 HOT_WORDS = 200_000
 END = b"\n"
@@ -113,84 +115,107 @@ def counted(texts: DataFrame, depth=DEPTH) -> tuple[DataFrame, DataFrame]:
     return materialize(grams, "grams"), materialize(words, "words")
 
 
-def _levels(grams: np.ndarray, counts: np.ndarray, depth: int, top: int):
-    """Levels depth .. top as lists [keys, estimate, beta, places], shallowest first, and
-    the counts and weighted logs of the top one."""
-    levels, below = [], None
-    keys, n0, n1 = ctw.decisions(grams, counts)
-    for d in range(depth, top - 1, -1):
-        weighted, beta = ctw.mix(n0, n1, below)
-        levels.append([keys, ctw.estimates(n0, n1), beta, None])
-        if d > top:
-            keys, n0, n1, below, levels[-1][3] = ctw.parents(keys, n0, n1, weighted)
-    return levels[::-1], keys, n0, n1, weighted
+def _tree(table: pa.Table, depth: int, top: int):
+    """The subtrees of grams below level top: [keys, n0, n1, ratio, place] of the levels
+    top .. depth, and the weighted logs of the first."""
+    low, weighted = ctw.leaves(table.column("gram").to_numpy().view(np.uint64), table.column("n").to_numpy())
+    levels, low[4], weighted = ctw.climb(*low[:3], weighted, depth - top)
+    return [low, *levels][::-1], weighted
 
 
-def build(grams: DataFrame, depth=DEPTH) -> DataFrame:
-    """(gram, n) to the tree's nodes (depth, node, one)."""
-    top = min(2, depth)
-    by = F.shiftrightunsigned("gram", 8 * (depth - top + 1)).alias("part")
-    rows = grams.select(by, "gram", "n")
-    arrays = lambda t: (t.column("gram").to_numpy().view(np.uint64), t.column("n").to_numpy())
-
-    def summary(table: pa.Table) -> pa.Table:
-        _, keys, n0, n1, weighted = _levels(*arrays(table), depth, top)
-        return pa.table({"node": keys.view(np.int64), "n0": n0, "n1": n1, "w": weighted})
-
-    # at most 256 ** top contexts of 255 decisions each; far fewer occur
-    got = rows.groupBy("part").applyInArrow(summary, "node long, n0 long, n1 long, w double").toPandas().sort_values("node")
-    keys, n0, n1, weighted = got.node.to_numpy().view(np.uint64), got.n0.to_numpy(), got.n1.to_numpy(), got.w.to_numpy()
-    upper, nodes = [], keys
-    place = None
-    for d in range(top - 1, -1, -1):
-        keys, n0, n1, below, own = ctw.parents(keys, n0, n1, weighted)
-        place = own if place is None else place
-        weighted, beta = ctw.mix(n0, n1, below)
-        upper.append([keys, ctw.estimates(n0, n1), beta, None])
-        if len(upper) > 1:
-            upper[-2][3] = own
-    upper = upper[::-1]
-    carried, left = np.zeros(len(nodes)), np.ones(len(nodes))
-    if upper:
-        c, w = np.zeros(len(upper[0][0])), np.ones(len(upper[0][0]))
-        for k, (_, estimate, beta, own) in enumerate(upper):
-            if k:
-                c, w = c[own], w[own]
-            c, w = c + w * beta * estimate, w * (1 - beta)
-        carried, left = c[place], w[place]
-    table = ctw.descend(upper) if upper else None
-    spark = grams.sparkSession
-    given = spark.createDataFrame(
-        pa.table({"part": (nodes >> np.uint64(8)).view(np.int64), "node": nodes.view(np.int64), "c": carried, "w": left})
+def _upper(table: pa.Table, steps: int):
+    """The levels above some nodes, shallowest first, these nodes and their places in the
+    last level, and the weighted logs of the first."""
+    keys = table.column("node").to_numpy().view(np.uint64)
+    order = np.argsort(keys)
+    n0, n1, w = (table.column(c).to_numpy()[order] for c in ("n0", "n1", "w"))
+    levels, place, weighted = ctw.climb(keys[order], n0, n1, w, steps)
+    return levels[::-1], keys[order], place, weighted
+
+
+def _summary(level: list, weighted: np.ndarray) -> pa.Table:
+    return pa.table({"node": level[0].view(np.int64), "n0": level[1], "n1": level[2], "w": weighted})
+
+
+def _start(start: pa.Table, keys: np.ndarray) -> tuple:
+    """What is decided above each of the keys."""
+    node = start.column("node").to_numpy().view(np.uint64)
+    order = np.argsort(node)
+    at = order[np.searchsorted(node[order], keys)]
+    return tuple(start.column(c).to_numpy()[at] for c in ("one", "zero", "rest"))
+
+
+def _odds(first: int, levels: list, odds: list) -> pa.Table:
+    return pa.table(
+        {
+            "depth": pa.array(np.repeat(np.arange(first, first + len(levels)), [len(level[0]) for level in levels]), pa.int32()),
+            "node": np.concatenate([np.zeros(0, np.uint64), *(level[0] for level in levels)]).view(np.int64),
+            "odds": np.concatenate([np.zeros(0), *odds]).astype(np.float32),
+        }
     )
 
+
+def _given(keys: np.ndarray, above: tuple) -> pa.Table:
+    return pa.table({"node": keys.view(np.int64)} | {n: np.broadcast_to(x, len(keys)).astype(float) for n, x in zip(("one", "zero", "rest"), above, strict=True)})
+
+
+_NODE, _GIVEN, _ODDS = "node long, n0 long, n1 long, w double", "node long, one double, zero double, rest double", "depth int, node long, odds float"
+_MIXED = "depth int, node long, odds float, one double, zero double, rest double"
+
+
+def build(grams: DataFrame, depth=DEPTH, rows_each=PART_ROWS) -> DataFrame:
+    """(gram, n) to the tree's nodes (depth, node, odds). The subtrees under the three most
+    recent bytes are built first, many of them to a group of about ``rows_each`` grams;
+    then the levels between, apart for each most recent byte; then, on the driver, what is
+    above these bytes: at most 256 * 255 nodes."""
+    spark = grams.sparkSession
+    low, high = min(3, depth), min(1, depth)
+    steps = low - high
+    # contexts have the most recent byte in the highest place
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-grams.count() // rows_each))
+    bucket = lambda part: F.pmod(F.xxhash64(part), F.lit(n)).cast("int").alias("bucket")
+    byte = lambda level: F.shiftrightunsigned("node", 8 * level).alias("byte")
+    rows = grams.select(bucket(F.shiftrightunsigned("gram", 8 * (depth - low + 1))), "gram", "n")
+
+    def deepest(table: pa.Table) -> pa.Table:
+        levels, weighted = _tree(table, depth, low)
+        return _summary(levels[0], weighted)
+
+    def higher(table: pa.Table) -> pa.Table:
+        levels, _, _, weighted = _upper(table, steps)
+        return _summary(levels[0], weighted)
+
+    nodes = materialize(rows.groupBy("bucket").applyInArrow(deepest, _NODE), "upper")
+    few = nodes.select(byte(low), *nodes.columns).groupBy("byte").applyInArrow(higher, _NODE) if steps else nodes
+    levels, keys, place, _ = _upper(few.toArrow(), high)
+    odds, above = ctw.descend(levels, ctw.ROOT)
+    out = [spark.createDataFrame(_odds(0, levels, odds), _ODDS)]
+    given = spark.createDataFrame(_given(keys, tuple(x[place] for x in above) if high else above), _GIVEN)
+
+    def between(table: pa.Table, start: pa.Table) -> pa.Table:
+        levels, keys, place, _ = _upper(table, steps)
+        odds, above = ctw.descend(levels, _start(start, levels[0][0]))
+        made, passed = _odds(high, levels, odds), _given(keys, tuple(x[place] for x in above))
+        return pa.concat_tables([made, passed], promote_options="default")
+
+    if steps:
+        own = nodes.select(byte(low), *nodes.columns).groupBy("byte")
+        mixed = own.cogroup(given.select(byte(high), *given.columns).groupBy("byte")).applyInArrow(between, _MIXED)
+        mixed = materialize(mixed, "between")
+        out.append(mixed.where("depth is not null").select("depth", "node", "odds"))
+        given = mixed.where("depth is null").select("node", "one", "zero", "rest")
+
     def finish(table: pa.Table, start: pa.Table) -> pa.Table:
-        if not table.num_rows:
-            return pa.table({"depth": pa.array([], pa.int32()), "node": pa.array([], pa.int64()), "one": pa.array([], pa.float32())})
-        levels, keys, _, _, _ = _levels(*arrays(table), depth, top)
-        node = start.column("node").to_numpy().view(np.uint64)
-        order = np.argsort(node)
-        at = order[np.searchsorted(node[order], keys)]
-        built = ctw.descend(levels, start.column("c").to_numpy()[at], start.column("w").to_numpy()[at])
-        return pa.table(
-            {
-                "depth": pa.array(np.repeat(np.arange(top, depth + 1), [len(k) for k in built.keys]), pa.int32()),
-                "node": np.concatenate(built.keys).view(np.int64),
-                "one": np.concatenate(built.ones).astype(np.float32),
-            }
-        )
-
-    lower = rows.groupBy("part").cogroup(given.groupBy("part")).applyInArrow(finish, "depth int, node long, one float")
-    if table:
-        top_rows = pa.table(
-            {
-                "depth": pa.array(np.repeat(np.arange(top), [len(k) for k in table.keys]), pa.int32()),
-                "node": np.concatenate(table.keys).view(np.int64),
-                "one": np.concatenate(table.ones).astype(np.float32),
-            }
-        )
-        lower = lower.unionAll(spark.createDataFrame(top_rows, "depth int, node long, one float"))
-    return materialize(lower, "nodes")
+        levels, _ = _tree(table, depth, low)
+        return _odds(low, levels, ctw.descend(levels, _start(start, levels[0][0]))[0])
+
+    given = given.select(bucket(F.shiftrightunsigned("node", 8)), *given.columns)
+    out.append(rows.groupBy("bucket").cogroup(given.groupBy("bucket")).applyInArrow(finish, _ODDS))
+    made = materialize(reduce(DataFrame.unionAll, out), "nodes")
+    discard(nodes)
+    if steps:
+        discard(mixed)
+    return made
 
 
 _loaded: dict[str, object] = {}
@@ -208,29 +233,29 @@ def _tables(path: str, depth: int) -> ctw.Tables:
         import pyarrow.dataset as ds
 
         _loaded.clear()
-        keys, ones = [], []
+        keys, odds = [], []
         for d in range(depth + 1):  # one at a time, to hold little more than what stays
-            table = _read(path, ["node", "one"], ds.field("depth") == d)
-            node, one = table.column("node").to_numpy().view(np.uint64), table.column("one").to_numpy()
+            table = _read(path, ["node", "odds"], ds.field("depth") == d)
+            node, odd = table.column("node").to_numpy().view(np.uint64), table.column("odds").to_numpy()
             order = np.argsort(node)
             keys.append(node[order])
-            ones.append(one[order])
-            del table, node, one, order
+            odds.append(odd[order])
+            del table, node, odd, order
         pa.default_memory_pool().release_unused()
-        _loaded[path] = ctw.Tables(keys, ones)
+        _loaded[path] = ctw.Tables(keys, odds)
     return _loaded[path]
 
 
 def _sorted_tables(table: pa.Table, depth: int) -> ctw.Tables:
     level = table.column("depth").to_numpy()
-    node, one = table.column("node").to_numpy().view(np.uint64), table.column("one").to_numpy()
-    keys, ones = [], []
+    node, odd = table.column("node").to_numpy().view(np.uint64), table.column("odds").to_numpy()
+    keys, odds = [], []
     for d in range(depth + 1):
         own = np.flatnonzero(level == d)
         order = own[np.argsort(node[own])]
         keys.append(node[order])
-        ones.append(one[order])
-    return ctw.Tables(keys, ones)
+        odds.append(odd[order])
+    return ctw.Tables(keys, odds)
 
 
 class _Memo:
@@ -368,7 +393,7 @@ def _remote(first: DataFrame, nodes: DataFrame, depth: int, rows_each=4_000_000)
     own = deep
     for d, level in enumerate(shallow):
         near = level.withColumn("_c", context).join(parts.withColumn("_p", F.shiftrightunsigned("part", 8 * (top - d))), F.col("_c") == F.col("_p"))
-        own = own.unionAll(near.select("depth", "node", "one", "part"))
+        own = own.unionAll(near.select("depth", "node", "odds", "part"))
     own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
 
     def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
