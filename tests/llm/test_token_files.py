@@ -1,6 +1,8 @@
 """Token files against the tokenizer on whole texts."""
 
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -28,6 +30,34 @@ def test_words_encode_like_whole_texts(spark, sf):
         assert np.frombuffer(ids, enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, text
 
 
+def test_random_texts_of_all_planes():
+    """Letters, marks and combining characters from everywhere, dotted capitals included."""
+    rng = random.Random(4)
+    tok, enc = Tokenizer.from_file(PATH), token_files.Encoder(PATH)
+    pools = [[chr(c) for c in range(33, 127)], [chr(c) for c in range(0xC0, 0x250)], list("İıŞşĞİ.,!?;:)\u0307\u0301\u0327ΣσςǅßŉǰÅ\u212b\u2126\ufb1d\u0958\u1e9e"), list("éèñü¿¡«»„“”’"),
+             [chr(c) for c in range(0x300, 0x370)], [chr(c) for c in range(0x370, 0x3000) if c not in range(0xD800, 0xE000)]]
+    anywhere = lambda: chr(rng.choice([rng.randrange(0x3000, 0xD800), rng.randrange(0xE000, 0x110000)]))
+    texts = []
+    for _ in range(20_000):
+        pool = rng.sample(pools, 2)
+        letters = [rng.choice(rng.choice(pool)) if rng.random() < 0.97 else anywhere() for _ in range(rng.randint(1, 14))]
+        texts.append("".join(c + rng.choice(["", "", "", "", " ", "\n", ".", ", "]) for c in letters))
+    for text, ids in zip(texts, enc.encode(texts), strict=True):
+        assert np.frombuffer(ids, enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+
+
+def test_one_id_may_hold_most_rows(spark, tmp_path):
+    rows = [(7, f"word {k}") for k in range(300)] + [(k, "a b") for k in range(20)] + [(None, f"none {k}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    index = token_files.write(docs, PATH, 2, f"file://{tmp_path}/x", rows_per_file=50, sequence=16).collect()
+    by_file = Counter(r.file for r in index)
+    assert len(index) == len(rows) and len(by_file) >= 8 and max(by_file.values()) < 130
+    ends = sorted((r.start, r.n_tokens, r.id) for r in index)
+    assert all(a[0] + a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
+    ids = [i for _, _, i in ends]
+    assert ids == [None] * 200 + sorted(i for i in ids if i is not None)
+
+
 def check(docs, rows_per_file, sequence, tmp_path):
     tok = Tokenizer.from_file(PATH)
     index = token_files.write(docs, PATH, 2, f"file://{tmp_path}/x", rows_per_file=rows_per_file, sequence=sequence)

@@ -8,14 +8,17 @@ memory-mapped file. Each file holds a range of documents and pads its last seque
 name that depends on the data alone, so a repeated task writes the same file again.
 
 Defined results: null text counts as empty (its ids are the end id alone); rows
-with equal ids stand in the order of their token bytes, null ids first; an empty
-table gives no files and no rows; extra columns are ignored.
+with equal ids stand in the order of their texts' CRC and then of their token bytes,
+null ids first; texts of any length are one document; an empty table gives no files and
+no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +37,9 @@ ROWS_PER_FILE = 65_536
 CACHE_WORDS = 500_000
 
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_{|}~"
+#: Latin letters after which marks are a piece of their own: normalised and lower-cased
+#: they still end in a letter (a capital I with a dot does not).
+_LETTERS = frozenset(c for c in map(chr, range(0x250)) if c.isalpha() and unicodedata.normalize("NFC", c).lower()[-1].isalpha())
 _encoders: dict[str, Encoder] = {}
 
 
@@ -74,8 +80,7 @@ class Encoder:
 
     def _learn(self, missing: set[str]) -> None:
         known, older = self.known, self.older
-        # marks after a letter are always a piece of their own
-        pairs = {w: (stem, w[len(stem) :]) for w in missing if w and (stem := w.rstrip(_MARKS)) != w and stem and stem[-1].isalpha() and "<|" not in w}
+        pairs = {w: (stem, w[len(stem) :]) for w in missing if w and (stem := w.rstrip(_MARKS)) != w and stem[-1:] in _LETTERS and "<|" not in w}
         need = missing.difference(pairs).union(*pairs.values()).difference(known)
         words = []
         for w in need:
@@ -99,20 +104,33 @@ class Encoder:
         return _encoders[path]
 
 
-def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col="doc_id", text="text") -> DataFrame:
-    """(id, ids binary): little-endian ids of each text, and the end id."""
+def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col="doc_id", text="text", bounds=(), null_shards=1) -> DataFrame:
+    """(id, ids binary, mix, shard): little-endian ids of each text and the end id, the
+    text's CRC, and the range of ids that the row falls in. An id that fills several
+    ranges is dealt out to them by the CRC; so are null ids to the ``null_shards`` first."""
+
+    def place(key, mix: int) -> int:
+        if key is None:
+            return mix * null_shards >> 32
+        lo, hi = bisect_left(bounds, key), bisect_right(bounds, key)
+        return null_shards - 1 + lo + (mix * (hi - lo) >> 32)
 
     def run(batches):
         enc = Encoder.of(vocabulary)
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
-            texts = b.column(1)
+            texts, keys = b.column(1), b.column(0).to_pylist()
             for at in range(0, len(texts), 512):
-                ids = [e + end for e in enc.encode([t or "" for t in texts.slice(at, 512).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(at, 512), pa.array(ids, pa.binary())], ["id", "ids"])
+                own = [t or "" for t in texts.slice(at, 512).to_pylist()]
+                ids = [e + end for e in enc.encode(own)]
+                mix = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in own]
+                shards = list(map(place, keys[at : at + 512], mix))
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).slice(at, 512), pa.array(ids, pa.binary()), pa.array(mix, pa.int64()), pa.array(shards, pa.int32())], ["id", "ids", "mix", "shard"]
+                )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, ids binary")
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, ids binary, mix long, shard int")
 
 
 def _schema(dtype: np.dtype, sequence: int) -> pa.Schema:
@@ -200,21 +218,13 @@ def write(docs: DataFrame, vocabulary: str, end_id: int, folder: str, id_col="do
     """Writes the files and returns their index (id, file, shard, local_start, start,
     n_tokens): where each document's ids stand in its file and in the whole."""
     spark = docs.sparkSession
-    rows, low = docs.agg(F.count("*"), F.min(id_col)).first()
+    rows, known = docs.agg(F.count("*"), F.count(id_col)).first()
     files = max(min(rows, int(spark.conf.get("spark.sql.shuffle.partitions"))), -(-rows // rows_per_file), 1)
-    bounds = docs.agg(F.percentile_approx(id_col, [k / files for k in range(1, files)], 10 * files).alias("b")).first()["b"] if files > 1 and low is not None else []
-    bounds = sorted(set(bounds))
-    # the number of bounds that lie below: a balanced tree of comparisons
-
-    def place(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("id") <= bounds[mid], place(lo, mid)).otherwise(place(mid + 1, hi))
-
-    ids = tokenized(docs, vocabulary, end_id, id_col, text)
-    shard = F.when(F.col("id").isNull(), F.lit(0)).otherwise(place(0, len(bounds))) if bounds else F.lit(0)
-    ids = ids.withColumn("shard", shard).repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("id", "ids")
+    bounds = docs.agg(F.percentile_approx(id_col, [k / files for k in range(1, files)], 10 * files).alias("b")).first()["b"] if files > 1 and known else []
+    bounds = sorted(bounds or [])
+    null_shards = 1 + (rows - known) * files // max(1, rows)
+    ids = tokenized(docs, vocabulary, end_id, id_col, text, bounds, null_shards)
+    ids = ids.repartitionById(len(bounds) + null_shards, F.col("shard")).sortWithinPartitions("id", "mix", "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
