@@ -73,6 +73,31 @@ def test_unigram_by_brute_force(tmp_path):
         assert t.decode(mine) == text
 
 
+def every_path(unit):
+    """All ways through the lattice: pieces, and lone characters that have none."""
+    if not unit:
+        yield []
+    for end in range(1, len(unit) + 1):
+        if unit[:end] in OURS.ids or end == 1:
+            for rest in every_path(unit[end:]):
+                yield [unit[:end], *rest]
+
+
+def test_shortest_path_of_all():
+    """Exactly one path of the byte-pair lattice is finite, and it is the one found."""
+    rng = random.Random(6)
+    for _ in range(400):
+        unit = "".join(rng.choice("aeinorst▁é日") for _ in range(rng.randint(1, 9)))
+        finite = [p for p in every_path(unit) if sum(OURS.weight(a, b) for a, b in zip(["", *p], p, strict=False)) == 0]
+        assert finite == [OURS.path(unit)]
+
+
+def test_columns_of_the_same_name(spark):
+    docs = spark.createDataFrame([(1, "x y")], "doc_id long, text string").selectExpr("*", "'z' as piece_ids", "'z' as decoded")
+    (row,) = pieces.decode(pieces.encode(docs, PATH), PATH).collect()
+    assert row.piece_ids == LIBRARY.encode("x y") and row.decoded == "x y"
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "x y"), (3, "x y"), (None, "long text " * 30000), (5, "▁")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as id", "2 as piece_idx")

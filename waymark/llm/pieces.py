@@ -1,10 +1,10 @@
 """SentencePiece encoding and decoding with weighted finite-state transducers.
 
 A model file is compiled into three transducers: the normaliser (spaces become U+2581,
-one is put before the text), the pieces (a trie whose leaves give ids), and the byte
-fallback (any character without a piece becomes its UTF-8 bytes). They are composed
-with a text's characters into a lattice, and the shortest path in the tropical
-semiring (costs add up along a path, the least wins) is the encoding.
+one is put before the text), the pieces (a trie whose final nodes give ids), and the byte
+fallback (a character without a piece gives its UTF-8 bytes). They are composed with a
+text's characters into a lattice, arc by arc as positions are reached, and the shortest
+path in the tropical semiring (costs add up along a path, the least wins) is the encoding.
 
 Weights. For a unigram model an arc costs minus the piece's score. For a byte-pair
 model the states remember the last piece, and the arc to a next piece costs zero if
@@ -17,7 +17,9 @@ start where white space does; units are remembered.
 
 Defined results: null text counts as empty, which has no pieces; a U+2581 in the text
 comes back as a space, as the model file defines it; repeated rows give repeated
-results; an empty table gives no rows.
+results; texts may be of any length; an empty table gives no rows; other columns are
+kept by ``encode`` and ``decode``, but for one named like the column that they add, which
+is replaced, and ignored by ``digest``.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from .common import trim_memory
 
 SPACE = "▁"
 #: Units that a worker remembers before it starts anew, with as many older ones to ask.
-CACHE_UNITS = 200_000
+CACHE_UNITS = 400_000
 _CACHE_PAIRS = 200_000
 
 #: Kinds of pieces and models in the file format.
@@ -116,13 +118,17 @@ class Transducer:
             self.unit = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
         else:
             self.unit = re.compile(f"{SPACE}*[{latin}]+|{SPACE}*[^{latin}{SPACE}\n]+|{SPACE}+|\n")
-        self.longest = max(map(len, self.ids), default=1)
+        self.normaliser = {ord(" "): SPACE}
         self.trie: dict = {}
         for p, i in self.ids.items():
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
+        # byte-pair states remember the last piece; without that, a piece's weight is its own
+        self.remembers = self.kind == BPE
+        self.least = 0.0 if self.remembers else -max((self.scores[i] for i in self.ids.values()), default=0.0)
+        self.foreign = 10 - min((self.scores[i] for i in self.ids.values()), default=0.0)
         self.out = [p.replace(SPACE, " ").encode() if k != BYTE else bytes([int(p[3:5], 16)]) for p, k in zip(self.pieces, self.kinds, strict=True)]
         for i, k in enumerate(self.kinds):
             if k == CONTROL:
@@ -130,7 +136,7 @@ class Transducer:
             elif k == UNKNOWN:
                 self.out[i] = " ⁇ ".encode()
         self.code = "H" if len(self.pieces) <= 1 << 16 else "I"
-        self.alike: dict[str, dict[str, bool]] = {}
+        self.weights: dict[str, dict[str, float]] = {}
         self.pairs = 0
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -151,106 +157,75 @@ class Transducer:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def stays(self, a: str, b: str) -> bool:
-        """Whether a piece b may follow a; after the start (empty a), whether b is one piece."""
-        after = self.alike.get(a)
-        if after is None:
-            after = self.alike[a] = {}
-        known = after.get(b)
-        if known is None:
-            self.pairs += 1
-            if self.pairs > _CACHE_PAIRS:
-                self.alike, self.pairs, after = {}, 0, {}
-            known = after[b] = self.merged(a + b) == ([a, b] if a else [b])
-        return known
+    def weight(self, last: str, piece: str) -> float:
+        """What the arc of a piece costs after the last one (none at the start)."""
+        if not self.remembers:
+            i = self.ids.get(piece)
+            return self.foreign if i is None else -self.scores[i]
+        if not last:
+            return 0.0 if self.merged(piece) == [piece] else math.inf
+        return 0.0 if last + piece not in self.ids and self.merged(last + piece) == [last, piece] else math.inf
 
     # -- composition and shortest path
 
     def path(self, unit: str) -> list[str]:
         """Surfaces along the shortest path through the lattice of a unit."""
-        return self._bpe_path(unit) if self.kind == BPE else self._unigram_path(unit)
-
-    def _arcs(self, unit: str) -> list[list[int]]:
-        """For each end, the starts of the pieces (or lone characters) that end there, longest first."""
-        ends: list[list[int]] = [[] for _ in range(len(unit) + 1)]
-        for start in range(len(unit)):
-            node = self.trie
-            for end in range(start, min(len(unit), start + self.longest)):
+        if self.pairs > _CACHE_PAIRS:
+            self.weights, self.pairs = {}, 0
+        n, trie, weights, weight, least, remembers = len(unit), self.trie, self.weights, self.weight, self.least, self.remembers
+        cost, back = [0.0] + [math.inf] * n, [""] * (n + 1)
+        for start in range(n):
+            here = cost[start]
+            if here == math.inf:
+                continue
+            last = back[start] if remembers else ""
+            known = weights.get(last)
+            if known is None:
+                known = weights[last] = {}
+            node, end = trie, start
+            while end < n:
                 node = node.get(unit[end])
+                end += 1
                 if node is None:
-                    break
-                if "" in node:
-                    ends[end + 1].append(start)
-            if not ends[start + 1] or ends[start + 1][-1] != start:
-                ends[start + 1].append(start)  # a character without a piece
-        return ends
-
-    def _bpe_path(self, unit: str) -> list[str]:
-        # one finite state for each position: a text's beginning has one encoding, whose
-        # last piece is sought only where the path from the end may pass
-        ids, alike, stays, longest = self.ids, self.alike, self.stays, self.longest
-        last: list[str | None] = [""] + [None] * len(unit)
-        todo = [[len(unit), min(longest, len(unit))]]  # positions to settle, and the next length to try
-        while todo:
-            end, size = todo[-1]
-            start = end - size
-            piece = unit[start:end]
-            if size > 1 and piece not in ids:
-                todo[-1][1] = size - 1
-                continue
-            a = last[start]
-            if a is None:
-                todo.append([start, min(longest, start)])
-                continue
-            after = alike.get(a)
-            fits = after.get(piece) if after is not None else None
-            if fits is None:
-                fits = stays(a, piece)
-                alike = self.alike
-            if fits:
-                last[end] = piece
-                todo.pop()
-            else:
-                todo[-1][1] = size - 1
-        out, end = [], len(unit)
+                    if end > start + 1:
+                        break
+                    node = _NOWHERE  # no piece starts like this
+                # pieces, and lone characters without one; no arc costs less than the least
+                if ("" in node or end == start + 1) and here + least < cost[end]:
+                    piece = unit[start:end]
+                    w = known.get(piece)
+                    if w is None:
+                        w = known[piece] = weight(last, piece)
+                        self.pairs += 1
+                    if here + w < cost[end]:
+                        cost[end], back[end] = here + w, piece
+        out, end = [], n
         while end:
-            out.append(last[end])
-            end -= len(last[end])
+            out.append(back[end])
+            end -= len(back[end])
         return out[::-1]
 
-    def _unigram_path(self, unit: str) -> list[str]:
-        worst = min(self.scores[i] for i in self.ids.values()) - 10
-        cost, back = [0.0] + [math.inf] * len(unit), [0] * (len(unit) + 1)
-        for end, starts in enumerate(self._arcs(unit)):
-            for start in sorted(starts):
-                i = self.ids.get(unit[start:end])
-                c = cost[start] - (worst if i is None else self.scores[i])
-                if c < cost[end]:
-                    cost[end], back[end] = c, start
-        out, end = [], len(unit)
-        while end:
-            out.append(unit[back[end] : end])
-            end = back[end]
-        return out[::-1]
+    def output(self, surface: str) -> list[int]:
+        """The ids that an arc gives: the piece's, or those of the byte fallback."""
+        i = self.ids.get(surface)
+        if i is not None:
+            return [i]
+        return [self.bytes[b] for b in surface.encode("utf-8", "replace")] if self.byte_fallback else [self.unknown]
 
     def _ids(self, unit: str) -> bytes:
         out = array(self.code)
         for surface in self.path(unit):
-            i = self.ids.get(surface)
-            if i is not None:
-                out.append(i)
-            elif self.byte_fallback:
-                out.extend(self.bytes[b] for b in surface.encode("utf-8", "replace"))
-            elif not out or out[-1] != self.unknown:
-                out.append(self.unknown)
+            got = self.output(surface)
+            if got[0] != self.unknown or not out or out[-1] != self.unknown:
+                out.extend(got)
         return out.tobytes()
 
     def encode_bytes(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as native-endian bytes of self.code."""
         if len(self.known) > CACHE_UNITS:
             self.older, self.known = self.known, {}
-        put, find = (SPACE if self.prefix else ""), self.unit.findall
-        units = [find(put + t.replace(" ", SPACE)) if t else [] for t in texts]
+        put, find, normal = (SPACE if self.prefix else ""), self.unit.findall, self.normaliser
+        units = [find(put + t.translate(normal)) if t else [] for t in texts]
         for u in set().union(*units).difference(self.known) if units else ():
             self.known[u] = self.older.get(u) or self._ids(u)
         get = self.known.__getitem__
@@ -264,6 +239,7 @@ class Transducer:
         return out[1:] if self.prefix and out.startswith(" ") else out
 
 
+_NOWHERE: dict = {}
 _compiled: dict[str, Transducer] = {}
 
 
@@ -287,6 +263,7 @@ def _lists(column: pa.ListArray) -> list[np.ndarray]:
 
 def encode(docs: DataFrame, model: str, text="text", ids="piece_ids") -> DataFrame:
     """docs with the ids of its text's pieces added."""
+    docs = docs.drop(ids) if ids != text else docs
     at = docs.columns.index(text)
 
     def run(batches):
@@ -305,6 +282,7 @@ def encode(docs: DataFrame, model: str, text="text", ids="piece_ids") -> DataFra
 
 def decode(rows: DataFrame, model: str, ids="piece_ids", text="decoded") -> DataFrame:
     """rows with the text of its ids added."""
+    rows = rows.drop(text) if text != ids else rows
     at = rows.columns.index(ids)
 
     def run(batches):
