@@ -1,16 +1,17 @@
 """Line dedup: long passages that a corpus repeats are cut from all documents but
 their first one. DataFrame functions only.
 
-A text is folded into lines of one word each. A line ends a chunk if a rolling hash over
-it and the line before falls into one of ``PARTS`` classes; where ``SPAN`` lines in a row
-hold no such end, the largest of their hashes ends one. So no chunk is longer than SPAN,
-and a passage is cut the same way wherever it stands. A chunk's hash takes in the
-``BEFORE`` words before it. Any passage of 2 * SPAN + BEFORE + 1 words therefore holds a
-chunk that matches: the ends found in its first and last SPAN words are the same
-everywhere, and so are those between. Chunks are matched by hash over the whole corpus;
-chunks that continue the same match make a run, and every run is compared, byte by byte,
-with the words in the first document, and widened word by word as long as both read the
-same. What is matched in one stretch of ``min_words`` words or more goes.
+A text is folded into lines of one word each, and a line ends a chunk if its hash falls
+into the first of some classes. Where that leaves ``SPAN`` lines in a row without an end,
+those of the next class end chunks as well, and so on; in the last all lines do. So no
+chunk is longer than SPAN, and what is decided inside a passage of SPAN lines is the same
+wherever it stands. A chunk's hash is rolled over the hashes of the ``ROLL`` lines up to
+its end. Any passage of 2 * SPAN + ROLL words therefore holds a chunk that matches: from
+the last end in its first SPAN words to the first in its last SPAN words, all are the same
+everywhere. Chunks are matched by hash over the whole corpus; chunks that continue the same
+match make a run, and every run is compared, byte by byte, with the words in the first
+document, and widened word by word as long as both read the same. What is matched in one
+stretch of ``min_words`` words or more goes.
 
 Defined results: null and empty texts, and rows without an id, come back as they are;
 rows with the same id and text are one document and treated alike; what repeats only
@@ -29,20 +30,21 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-#: Words in a row of which one ends a chunk, and words before a chunk that its hash takes in.
-SPAN, BEFORE = 20, 7
-#: One of so many words ends a chunk by its hash alone.
-PARTS = 8
+#: Words in a row of which one ends a chunk, and words that a chunk's hash takes in.
+SPAN, ROLL = 20, 8
+#: One of so many classes of hashes ends chunks, and so many are tried in turn.
+PARTS, TRIED = 12, 4
 #: A chunk with more than this share of all rows is dealt with apart; so there are at most
-#: 1 / HOT_SHARE of them, which is what is broadcast.
-HOT_SHARE = 1 / 200_000
+#: 1 / HOT_SHARE of them, which is what is sent to the tasks.
+HOT_SHARE = 1 / 20_000
+#: Parts that the rows of such a chunk are dealt out to.
+SALTS = 1024
 #: How many words a match is widened by on each side of a run: more than a passage can
 #: hold beside its first or last matching chunk.
 REACH = 30
 MIN_WORDS = 40
 
-_SPACE = r"[ \t-\r]"
-_AFTER_SPACE = r"(?<=[ \t-\r])"
+_SPACE, _AFTER_SPACE = r"[ \t-\r]", r"(?<=[ \t-\r])"
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -59,116 +61,94 @@ def _joined(words: Column, start: Column, n: Column) -> Column:
     return F.array_join(F.slice(words, start + 1, n), " ")
 
 
-def _hash(words: Column, i: Column) -> Column:
-    return F.xxhash64(F.get(words, i - 1), F.get(words, i))
+def _ends(hashes: Column, start: Column, n: Column, level: int = 0) -> Column:
+    """The last positions of chunks among n lines from start on, in no order."""
+    every = F.sequence(start, start + n - 1)
+    if level == TRIED:
+        return every
 
+    def deeper(e: Column) -> Column:
+        before = lambda k: F.coalesce(F.get(e, k - 1), start - 1)
+        end = lambda k: F.coalesce(F.get(e, k), start + n)
+        gaps = F.filter(F.sequence(F.lit(0), F.size(e)), lambda k: end(k) - before(k) > SPAN)
+        inside = lambda k: _let(before(k), lambda a: _ends(hashes, a + 1, end(k) - a - 1, level + 1))
+        return F.concat(e, F.flatten(F.transform(gaps, inside)))
 
-def _largest(words: Column, a: Column, n: Column) -> Column:
-    """The last position of the largest hash of every SPAN words from a on, n in all."""
-    # a number of the hash's upper bits and the position, so that none are equal
-    v = F.transform(F.sequence(a, a + n - 1), lambda i: F.shiftleft(F.shiftright(_hash(words, i), 31), 31) + i)
-    top = lambda v: F.transform(F.sequence(F.lit(1), n - SPAN + 1), lambda k: F.pmod(F.array_max(F.slice(v, k, SPAN)), F.lit(1 << 31)).cast("int"))
-    return F.array_distinct(_let(v, top))
-
-
-def _ends(words: Column) -> Column:
-    """The last position of every chunk."""
-    last = F.size(words) - 1
-    found = F.filter(F.sequence(F.lit(0), last), lambda i: (i == last) | (F.pmod(_hash(words, i), F.lit(PARTS)) == 0))
-
-    def filled(e: Column) -> Column:
-        def one(end: Column, k: Column) -> Column:
-            return _let(
-                F.coalesce(F.get(e, k - 1) + 1, F.lit(0)),
-                lambda a: F.when(end - a >= SPAN, F.concat(_largest(words, a, end - a), F.array(end))).otherwise(F.array(end)),
-            )
-
-        return F.flatten(F.transform(e, one))
-
-    return _let(found, filled)
+    return _let(F.filter(every, lambda i: F.pmod(F.get(hashes, i), F.lit(PARTS)) == level), deeper)
 
 
 def chunks(text: Column) -> Column:
-    """array<struct<s, n, h>>: first word, number of words, and hash, of each chunk."""
-
-    def cut(words: Column, e: Column) -> Column:
-        def one(last: Column, k: Column) -> Column:
-            def named(s: Column) -> Column:
-                h = F.xxhash64(F.slice(words, F.greatest(s - BEFORE, F.lit(0)) + 1, F.least(s, F.lit(BEFORE)) + last - s + 1))
-                return F.struct(s.alias("s"), (last - s + 1).alias("n"), h.alias("h"))
+    """struct<e, h>: the last word, and the hash, of each chunk."""
+    rolled = lambda hashes, e: F.transform(e, lambda end: F.xxhash64(F.slice(hashes, F.greatest(end - ROLL + 2, F.lit(1)), F.least(end + 1, F.lit(ROLL)))))
 
-            return _let(F.coalesce(F.get(e, k - 1) + 1, F.lit(0)), named)
+    def cut(hashes: Column) -> Column:
+        last = F.size(hashes) - 1
+        e = F.sort_array(F.array_distinct(F.concat(_ends(hashes, F.lit(0), last + 1), F.array(last))))
+        return _let(e, lambda e: F.struct(e.alias("e"), rolled(hashes, e).alias("h")))
 
-        return F.transform(e, one)
-
-    return _let(words_of(text), lambda words: _let(_ends(words), lambda e: cut(words, e)))
+    return _let(F.transform(words_of(text), lambda w: F.xxhash64(w)), cut)
 
 
 def later_places(rows: DataFrame) -> DataFrame:
-    """rows(id, s, n, h) to (id, s, n, id0, s0) for every chunk that an earlier document
-    has, with its first place there. Rows meet by hash once; the few hashes that hold
-    more than HOT_SHARE of a sample of documents (so at most 1 / HOT_SHARE of them) are
-    reduced to their first places by partial aggregates, which are broadcast."""
+    """rows(id, k, e, h) to (id, k, e, id0, k0, e0) for every chunk that an earlier document
+    has, with its first place there. Rows meet by hash once; the few hashes that hold more
+    than HOT_SHARE of a sample of documents (so at most 1 / HOT_SHARE of them) have their
+    first places found by partial aggregates, and their rows are dealt out."""
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).groupBy("h").count()
     total = sample.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-    hot = materialize(sample.where(F.col("count") > max(16, int(total * HOT_SHARE))).select("h"), "hot")
-    first = F.first(F.struct("id", "s")).over(Window.partitionBy("h").orderBy("id", "s"))
-    columns = ["id", "s", "n", F.col("f.id").alias("id0"), F.col("f.s").alias("s0")]
-    rest = rows.join(F.broadcast(hot), "h", "left_anti").withColumn("f", first).where("f.id <> id").select(*columns)
-    own = rows.join(F.broadcast(hot), "h")
-    firsts = own.groupBy("h").agg(F.min(F.struct("id", "s")).alias("f"))
-    return rest.unionAll(own.join(F.broadcast(firsts), "h").where("f.id <> id").select(*columns))
-
-
-def runs(docs: DataFrame, reach=REACH) -> DataFrame:
-    """docs(id, text) to (id, a, b, id0, a0, nl, nr): words [a, b) repeat words from a0
-    on of the first document id0, by hash; nl and nr say how many words beside them
-    are still to be compared."""
+    hot = [r["h"] for r in sample.where(F.col("count") > max(16, int(total * HOT_SHARE))).select("h").collect()]
+    own = F.first(F.struct("id", "k", "e")).over(Window.partitionBy("h", "salt").orderBy("id", "k"))
+    if hot:
+        firsts = rows.where(F.col("h").isin(hot)).groupBy("h").agg(F.min(F.struct("id", "k", "e")).alias("f0"))
+        salt = F.when(F.col("f0").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id", "k"), F.lit(SALTS)))
+        found = rows.join(F.broadcast(firsts), "h", "left").withColumn("salt", salt).withColumn("f", F.coalesce("f0", own))
+    else:
+        found = rows.withColumn("salt", F.lit(0)).withColumn("f", own)
+    return found.where("f.id <> id").select("id", "k", "e", *(F.col(f"f.{c}").alias(f"{c}0") for c in ("id", "k", "e")))
+
+
+def runs(docs: DataFrame) -> DataFrame:
+    """docs(id, text) to (id, a, b, id0, a0): words [a, b) repeat words from a0 on of the
+    first document id0, by hash."""
     whole = materialize(docs.select("id", chunks(F.col("text")).alias("c")), "chunks")
-    later = later_places(whole.select("id", F.inline("c")))
-    line = Window.partitionBy("id").orderBy("s", "id0", "s0")
-    before = lambda c: F.lag(F.expr(c)).over(line)
-    goes_on = (before("id0") == F.col("id0")) & (
-        ((before("s + n") == F.col("s")) & (before("s0 + n") == F.col("s0"))) | ((before("s") == F.col("s")) & (before("s0") == F.col("s0")))
-    )
-    later = later.withColumn("new", F.when(goes_on, 0).otherwise(1))
+    later = later_places(whole.select("id", F.posexplode(F.arrays_zip("c.e", "c.h")).alias("k", "c")).select("id", "k", "c.e", "c.h"))
+    line = Window.partitionBy("id").orderBy("k", "id0", "k0")
+    before = lambda c: F.lag(c).over(line)
+    goes_on = (before("id0") == F.col("id0")) & (F.col("k") - before("k") == F.col("k0") - before("k0")) & (F.col("e") - before("e") == F.col("e0") - before("e0"))
+    later = later.withColumn("new", F.when(goes_on & (F.col("k") - before("k") <= 1), 0).otherwise(1))
     later = later.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
-    found = later.groupBy("id", "run").agg(
-        F.min("s").alias("a"), F.max(F.expr("s + n")).alias("b"), F.min("id0").alias("id0"), F.min("s0").alias("a0")
-    )
-    side = Window.partitionBy("id").orderBy("a", "run")
-    found = found.select(
-        "id", "a", "b", "id0", "a0",
-        F.when(F.lag("b").over(side) == F.col("a"), 0).otherwise(reach).alias("nl"),
-        F.when(F.lead("a").over(side) == F.col("b"), 0).otherwise(reach).alias("nr"),
-    )
-    found = materialize(found, "runs")
+    # the words that a chunk's hash was rolled over
+    low = lambda e: F.greatest(F.min(e) - (ROLL - 1), F.lit(0))
+    found = later.groupBy("id", "run").agg(low("e").alias("a"), (F.max("e") + 1).alias("b"), F.min("id0").alias("id0"), low("e0").alias("a0"))
+    found = materialize(found.select("id", "a", "b", "id0", "a0"), "runs")
     discard(whole)
     return found
 
 
-def matches(docs: DataFrame, reach=REACH) -> DataFrame:
+def _beside(words: Column, a: Column, b: Column) -> tuple[Column, Column]:
+    """The words before position a, and from b on."""
+    return _joined(words, F.greatest(a - REACH, F.lit(0)), F.least(a, F.lit(REACH))), _joined(words, b, F.lit(REACH))
+
+
+def matches(docs: DataFrame) -> DataFrame:
     """docs(id, text) to (own, ps): for every run of a document its place, and the words
     of it and beside it in the first document."""
-    found = runs(docs.select("id", "text"), reach)
+    found = runs(docs.select("id", "text"))
     n = F.expr("b - a").alias("n")
-    asked = found.groupBy("id0", "a0", n).agg(F.max("nl").alias("nl"), F.max("nr").alias("nr"))
-    asked = asked.groupBy(F.col("id0").alias("wid")).agg(F.collect_list(F.struct("a0", "n", "nl", "nr")).alias("ps"))
+    asked = found.select("id0", "a0", n).distinct()
+    asked = asked.groupBy(F.col("id0").alias("wid")).agg(F.collect_list(F.struct("a0", "n")).alias("ps"))
 
     def read(words: Column) -> Column:
-        return F.transform(
-            "ps",
-            lambda p: F.struct(
-                p["a0"].alias("a0"), p["n"].alias("n"), _joined(words, p["a0"], p["n"]).alias("own"),
-                F.reverse(F.slice(words, F.greatest(p["a0"] - p["nl"], F.lit(0)) + 1, F.least(p["nl"], p["a0"]))).alias("left"),
-                F.slice(words, p["a0"] + p["n"] + 1, p["nr"]).alias("right"),
-            ),
-        )
+        def one(p: Column) -> Column:
+            left, right = _beside(words, p["a0"], p["a0"] + p["n"])
+            return F.struct(p["a0"].alias("a0"), p["n"].alias("n"), _joined(words, p["a0"], p["n"]).alias("own"), left.alias("left"), right.alias("right"))
+
+        return F.transform("ps", one)
 
     first = docs.join(asked, F.col("id") == F.col("wid"))
     first = first.select(F.col("wid").alias("id0"), F.inline(_let(words_of(F.col("text")), read)))
     both = found.withColumn("n", n).join(first, ["id0", "a0", "n"])
-    return both.groupBy(F.col("id").alias("own")).agg(F.collect_list(F.struct("a", "b", "nl", "nr", "own", "left", "right")).alias("ps"))
+    return both.groupBy(F.col("id").alias("own")).agg(F.collect_list(F.struct("a", "b", "own", "left", "right")).alias("ps"))
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -187,11 +167,13 @@ _CUTS = "array<struct<a:int,b:int>>"
 def _cuts(words: Column, ps: Column, min_words: int) -> Column:
     """The stretches of words [a, b) that read like the first documents, merged and
     sorted; those of min_words words or more."""
+    listed = lambda text: F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " ", -1))
 
     def one(p: Column) -> Column:
-        left = F.reverse(F.slice(words, F.greatest(p["a"] - p["nl"], F.lit(0)) + 1, F.least(p["nl"], p["a"])))
-        right = F.slice(words, p["b"] + 1, p["nr"])
-        return F.struct((p["a"] - _alike(left, p["left"])).alias("a"), (p["b"] + _alike(right, p["right"])).alias("b"))
+        n = F.least(p["a"], F.lit(REACH))
+        left = _alike(F.reverse(F.slice(words, p["a"] - n + 1, n)), F.reverse(listed(p["left"])))
+        right = _alike(F.slice(words, p["b"] + 1, REACH), listed(p["right"]))
+        return F.struct((p["a"] - left).alias("a"), (p["b"] + right).alias("b"))
 
     def merge(done: Column, x: Column) -> Column:
         last = F.get(done, F.size(done) - 1)
@@ -199,7 +181,7 @@ def _cuts(words: Column, ps: Column, min_words: int) -> Column:
         return F.when(last["b"] >= x["a"], F.concat(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(done, F.array(x)))
 
     same = F.filter(ps, lambda p: _joined(words, p["a"], p["b"] - p["a"]) == p["own"])
-    merged = F.aggregate(F.array_sort(F.transform(same, one)).cast(_CUTS), F.array().cast(_CUTS), merge)
+    merged = F.aggregate(F.sort_array(F.transform(same, one).cast(_CUTS)), F.array().cast(_CUTS), merge)
     counted = F.transform(merged, lambda c: F.struct(c["a"].alias("a"), c["b"].alias("b"), F.size(F.filter(F.slice(words, c["a"] + 1, c["b"] - c["a"]), lambda w: w != "")).alias("w")))
     return F.filter(counted, lambda c: c["w"] >= min_words)
 
@@ -215,13 +197,13 @@ def _shorter(text: Column, cs: Column) -> Column:
     return _let(F.split(text, _AFTER_SPACE, -1), kept)
 
 
-def dedup(docs: DataFrame, id_col="doc_id", text="text", min_words=MIN_WORDS, reach=REACH) -> DataFrame:
+def dedup(docs: DataFrame, id_col="doc_id", text="text", min_words=MIN_WORDS) -> DataFrame:
     """docs with its text shortened, and removed_words and removed_spans added."""
     others = [c for c in docs.columns if c not in (text, "removed_words", "removed_spans")]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"))
     # the same rows in both joins, so that Spark moves the texts once
     named = rows.where("id is not null")
-    found = matches(named, reach)
+    found = matches(named)
     joined = named.join(found, F.col("id") == F.col("own"), "left")
 
     def result(cs: Column) -> Column:
@@ -231,8 +213,9 @@ def dedup(docs: DataFrame, id_col="doc_id", text="text", min_words=MIN_WORDS, re
         )
 
     whole = F.struct(F.col("text"), F.lit(0).alias("words"), F.lit(0).alias("spans"))
-    changed = F.when(F.col("ps").isNotNull(), _let(_let(words_of(F.col("text")), lambda words: _cuts(words, F.col("ps"), min_words)), result)).otherwise(whole)
-    done = joined.select("others", F.explode(F.array(changed)).alias("done")).unionAll(rows.where("id is null").select("others", whole.alias("done")))
+    cut = _let(_let(words_of(F.col("text")), lambda words: _cuts(words, F.col("ps"), min_words)), result)
+    done = joined.select("others", F.explode(F.array(F.when(F.col("ps").isNotNull(), cut).otherwise(whole))).alias("done"))
+    done = done.unionAll(rows.where("id is null").select("others", whole.alias("done")))
     return done.select(
         *(F.col("done.text").alias(text) if c == text else F.col(f"others.`{c}`") for c in docs.columns if c not in ("removed_words", "removed_spans")),
         F.col("done.words").alias("removed_words"), F.col("done.spans").alias("removed_spans"),
