@@ -1,12 +1,12 @@
 """Line dedup: long passages that a corpus repeats are cut from all documents but
 their first one. DataFrame functions only.
 
-A text is folded into lines of one word each, and a line ends a chunk if its hash falls
-into the first of some classes. Where that leaves ``SPAN`` lines in a row without an end,
+A text is folded into lines of one word each, and a line ends a chunk if the hashes
+of it and the one before it fall into the first of some classes. Where that leaves ``SPAN`` lines in a row without an end,
 those of the next class end chunks as well, and so on; in the last all lines do. So no
 chunk is longer than SPAN, and what is decided inside a passage of SPAN lines is the same
 wherever it stands. A chunk's hash is rolled over the hashes of the ``ROLL`` lines up to
-its end. Any passage of 2 * SPAN + ROLL words therefore holds a chunk that matches: from
+its end. Any passage of 2 * SPAN + ROLL + 1 words therefore holds a chunk that matches: from
 the last end in its first SPAN words to the first in its last SPAN words, all are the same
 everywhere. Chunks are matched by hash over the whole corpus; chunks that continue the same
 match make a run, and every run is compared, byte by byte, with the words in the first
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 #: Words in a row of which one ends a chunk, and words that a chunk's hash takes in.
-SPAN, ROLL = 20, 8
+SPAN, ROLL = 21, 8
 #: One of so many classes of hashes ends chunks, and so many are tried in turn.
 PARTS, TRIED = 12, 4
 #: A chunk with more than this share of all rows is dealt with apart; so there are at most
@@ -74,7 +74,7 @@ def _ends(hashes: Column, start: Column, n: Column, level: int = 0) -> Column:
         inside = lambda k: _let(before(k), lambda a: _ends(hashes, a + 1, end(k) - a - 1, level + 1))
         return F.concat(e, F.flatten(F.transform(gaps, inside)))
 
-    return _let(F.filter(every, lambda i: F.pmod(F.get(hashes, i), F.lit(PARTS)) == level), deeper)
+    return _let(F.filter(every, lambda i: F.pmod(F.get(hashes, i).bitwiseXOR(F.get(hashes, i - 1)), F.lit(PARTS)) == level), deeper)
 
 
 def chunks(text: Column) -> Column:
@@ -97,13 +97,13 @@ def later_places(rows: DataFrame) -> DataFrame:
     sample = rows.where(F.pmod(F.xxhash64("id"), F.lit(64)) == 0).groupBy("h").count()
     total = sample.agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
     hot = [r["h"] for r in sample.where(F.col("count") > max(16, int(total * HOT_SHARE))).select("h").collect()]
-    own = F.first(F.struct("id", "k", "e")).over(Window.partitionBy("h", "salt").orderBy("id", "k"))
+    # dealt out, the rows of a hot hash have a first place in each part, which is replaced
+    salt = F.when(F.col("h").isin(hot), 1 + F.pmod(F.xxhash64("id", "k"), F.lit(SALTS))).otherwise(0) if hot else F.lit(0)
+    first = F.first(F.struct("id", "k", "e")).over(Window.partitionBy("h", "salt").orderBy("id", "k"))
+    found = rows.withColumn("salt", salt).withColumn("f", first)
     if hot:
         firsts = rows.where(F.col("h").isin(hot)).groupBy("h").agg(F.min(F.struct("id", "k", "e")).alias("f0"))
-        salt = F.when(F.col("f0").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("id", "k"), F.lit(SALTS)))
-        found = rows.join(F.broadcast(firsts), "h", "left").withColumn("salt", salt).withColumn("f", F.coalesce("f0", own))
-    else:
-        found = rows.withColumn("salt", F.lit(0)).withColumn("f", own)
+        found = found.join(F.broadcast(firsts), "h", "left").withColumn("f", F.coalesce("f0", "f"))
     return found.where("f.id <> id").select("id", "k", "e", *(F.col(f"f.{c}").alias(f"{c}0") for c in ("id", "k", "e")))
 
 
@@ -157,8 +157,8 @@ def _alike(a: Column, b: Column) -> Column:
     def count(same: Column) -> Column:
         return _let(F.array_position(same, F.lit(False)).cast("int"), lambda at: F.when(at > 0, at - 1).otherwise(F.size(same)))
 
-    n = F.least(F.size(a), F.size(b))
-    return _let(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: x == y), count)
+    same = lambda a, b: _let(F.least(F.size(a), F.size(b)), lambda n: F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(1), n), lambda x, y: x == y))
+    return _let(a, lambda a: _let(b, lambda b: _let(same(a, b), count)))
 
 
 _CUTS = "array<struct<a:int,b:int>>"
