@@ -1,18 +1,20 @@
 """Language identification by Bayesian evidence fusion.
 
-Four kinds of evidence are combined: the text itself (a naive Bayes model over byte
-trigrams, fitted on labelled documents), the declared markup language, the address
-(its suffix, and a language-like first path segment), and the host. What the last three
-say is not given but counted: the texts' own posteriors are added up, by grouped
-aggregation over all rows, per declared language, per suffix, per segment and per host;
-the host's counts are smoothed towards its domain's, those towards its suffix's, and
-those towards the whole. A row's own share is taken out of its host's counts again, so
-no text speaks twice.
+Three kinds of evidence are combined: the text itself (a naive Bayes model over byte
+trigrams, fitted on labelled documents), what the page declares (its markup language, and
+a language-like first path segment), and where it stands. What the last two say is not
+given but counted: the texts' own posteriors are added up, by grouped aggregation over
+all rows, per declared language, per segment and per host. A host's counts are smoothed
+towards its domain's, those towards its address suffix's, and those towards the whole:
+that is the prior. Every row is judged by the counts of all other rows: its own share is
+taken out at every level and of every table, so no text speaks twice, and a host alone in
+its domain learns from its suffix.
 
 Defined results: a null or empty text leaves the other evidence to decide; missing
 markup, address or host is no evidence; ties go to the first language in alphabetical
-order; without labelled documents the language is null; repeated rows give repeated
-results; an empty table gives no rows; extra columns are ignored.
+order; without labelled documents the language is null; texts of any length count whole;
+repeated rows give repeated results, and speak for each other; an empty table gives no
+rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -37,7 +39,11 @@ TEMPER = 0.2
 #: Pseudo-rows of the wider level that a host, domain or suffix starts with.
 PRIOR_ROWS = 5.0
 
-_TAGS = re.compile(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>")
+#: Tables below this size are sent to all tasks; larger ones meet in a shuffle.
+BROADCAST_BYTES = 32 << 20
+
+_OPENS = re.compile(r"(?i)<(?:(script|style)\b|(!--))?")
+_CLOSES = {"script": re.compile(r"(?i)</script\s*>"), "style": re.compile(r"(?i)</style\s*>"), "!--": re.compile("-->")}
 
 
 def trigram_counts(data: bytes) -> np.ndarray:
@@ -50,8 +56,20 @@ def trigram_counts(data: bytes) -> np.ndarray:
 
 
 def plain(markup: str | None) -> str:
-    """The text of a page."""
-    return html.unescape(_TAGS.sub(" ", markup or ""))
+    """The text of a page: without tags, comments, scripts and styles, in one pass."""
+    text, out, at, never = markup or "", [], 0, set()
+    while (tag := text.find("<", at)) >= 0:
+        out += text[at:tag], " "
+        opened = _OPENS.match(text, tag)
+        kind = (opened.group(1) or opened.group(2) or "").lower()
+        closed = _CLOSES[kind].search(text, tag) if kind and kind not in never else None
+        if kind and closed is None:
+            never.add(kind)  # nothing further on closes it either
+        at = closed.end() if closed else text.find(">", tag) + 1
+        if not at:
+            at = tag
+            break
+    return html.unescape("".join(out) + text[at:])
 
 
 def _bytes(text: str | None) -> bytes:
@@ -131,6 +149,12 @@ def _smoothed(counts: Column, wider: Column, rows=PRIOR_ROWS) -> Column:
     return F.zip_with(counts, wider, lambda x, w: (x + rows * w) / (total + rows))
 
 
+def _sendable(table: DataFrame, n: int) -> DataFrame:
+    """A table of so many counts a row, to be broadcast if it is small."""
+    table = materialize(table, "counts")
+    return F.broadcast(table) if table.count() * (8 * n + 128) <= BROADCAST_BYTES else table
+
+
 def fuse(evidence: DataFrame, languages: list[str], prior_rows=PRIOR_ROWS) -> DataFrame:
     """evidence(.., host, declared, segment, ll) with lang, confidence and text_lang
     added. Nulls in host, declared and segment are no evidence."""
@@ -143,32 +167,32 @@ def fuse(evidence: DataFrame, languages: list[str], prior_rows=PRIOR_ROWS) -> Da
         }
     )
     rows = materialize(rows, "evidence")
+    named = lambda table, key, name: table.select(*key, F.col("n").alias(name))
     hosts = materialize(_counts(rows.where("host is not null"), ["host", "domain", "suffix"], n), "hosts")
-    domains = _counts(hosts, ["domain", "suffix"], n, "n")
-    suffixes = materialize(_counts(domains, ["suffix"], n, "n"), "suffixes")
-    whole = _counts(rows, [], n).first()["n"]
-    total = sum(x or 0.0 for x in whole)
-    overall = [((x or 0.0) + 1.0) / (total + n) for x in whole]
-    flat = F.array(*map(F.lit, overall))
-    suffix_prior = suffixes.select("suffix", _smoothed(F.col("n"), flat, prior_rows).alias("sp"), F.col("n").alias("sn"))
-    domain_prior = domains.join(suffix_prior, "suffix").select("domain", "suffix", _smoothed(F.col("n"), F.col("sp"), prior_rows).alias("dp"))
-    host_table = hosts.join(domain_prior, ["domain", "suffix"]).select(F.col("host").alias("_h"), F.col("n").alias("hn"), "dp")
-
-    def given(column: str, name: str) -> DataFrame:
-        """ln p(value | language) for each value of a column, smoothed by one pseudo-row."""
-        counts = _counts(rows.where(F.col(column).isNotNull()), [column], n)
-        every = _counts(counts.withColumn("all", F.lit(1)), ["all"], n, "n").select(F.col("n").alias("total"))
-        rate = F.zip_with("n", "total", lambda x, t: F.log((x + 0.5) / (t + 1.0)))
-        return counts.crossJoin(F.broadcast(every)).select(F.col(column).alias(f"_{name}"), rate.alias(name))  # one row
-
-    evidence_tables = [("declared", "ed"), ("segment", "es"), ("suffix", "ex")]
-    joined = rows.join(host_table, F.col("host") == F.col("_h"), "left")
-    for column, name in evidence_tables:
-        joined = joined.join(given(column, name), F.col(column) == F.col(f"_{name}"), "left")
-    others = F.zip_with("hn", "p", lambda x, p: F.greatest(x - p, F.lit(0.0)))
-    prior = F.when(F.col("hn").isNotNull(), _smoothed(others, F.col("dp"), prior_rows)).otherwise(flat)
-    logs = F.zip_with("ll", F.transform(prior, lambda x: F.log(x)), lambda a, b: a + b)
-    logs = reduce(lambda acc, name: F.when(F.col(name).isNotNull(), F.zip_with(acc, F.col(name), lambda a, b: a + b)).otherwise(acc), ["ed", "es", "ex"], logs)
+    domains = materialize(_counts(hosts, ["domain", "suffix"], n, "n"), "domains")
+    suffixes = _sendable(named(_counts(domains, ["suffix"], n, "n"), ["suffix"], "sn"), n)
+    wider = _sendable(named(domains, ["domain", "suffix"], "dn").join(suffixes, "suffix"), 2 * n)
+    levels = hosts.select(F.col("host").alias("_h"), "domain", "suffix", F.col("n").alias("hn")).join(wider, ["domain", "suffix"])
+    joined = rows.drop("domain", "suffix").join(_sendable(levels.select("_h", "hn", "dn", "sn"), 3 * n), F.col("host") == F.col("_h"), "left")
+
+    def sums(table: DataFrame, source: str) -> list[float]:
+        return [x or 0.0 for x in _counts(table, [], n, source).first()["n"]]
+
+    def of_others(counts: Column) -> Column:
+        """Counts without the row's own share."""
+        return F.zip_with(counts, "p", lambda x, p: F.greatest(x - p, F.lit(0.0)))
+
+    whole = sums(rows, "p")
+    flat = F.transform(of_others(F.array(*map(F.lit, whole))), lambda x: (x + 1.0) / (max(sum(whole) - 1, 0.0) + n))
+    prior = reduce(lambda above, name: _smoothed(of_others(F.col(name)), above, prior_rows), ["sn", "dn", "hn"], flat)
+    logs = F.zip_with("ll", F.transform(F.when(F.col("hn").isNotNull(), prior).otherwise(flat), lambda x: F.log(x)), lambda a, b: a + b)
+    for column, name in (("declared", "ed"), ("segment", "es")):
+        counts = materialize(_counts(rows.where(F.col(column).isNotNull()), [column], n), column)
+        total = of_others(F.array(*map(F.lit, sums(counts, "n"))))
+        joined = joined.join(_sendable(counts.select(F.col(column).alias(f"_{name}"), F.col("n").alias(name)), n), F.col(column) == F.col(f"_{name}"), "left")
+        # ln p(value | language), smoothed by one pseudo-row
+        rate = F.zip_with(of_others(F.col(name)), total, lambda x, t: F.log((x + 0.5) / (t + 1.0)))
+        logs = F.when(F.col(name).isNotNull(), F.zip_with(logs, rate, lambda a, b: a + b)).otherwise(logs)
     out = joined.withColumn("post", _softmax(logs))
     names = F.array(*map(F.lit, languages))
     best = lambda c: F.get(names, (F.array_position(c, F.array_max(c)) - 1).cast("int"))
