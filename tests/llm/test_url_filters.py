@@ -4,6 +4,8 @@ import math
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from waymark.llm import url_filters as U
 
@@ -67,16 +69,96 @@ def test_trees_learn(spark):
         path = "/".join((str(rng.randint(10**6, 10**8)) if digits else "word") for _ in range(rng.randint(5, 8) if deep else rng.randint(1, 2)))
         rows.append((k, f"http://site{rng.randint(1, 9)}.com/{path}", float(digits != deep)))
     data = U.with_parts(spark.createDataFrame(rows, "k long, url string, y double"))
-    data = data.withColumns(U.lexical() | {"suffix_rate": F.lit(0.5), "suffix_rows": F.lit(0.0)})
+    data = data.withColumns(U.lexical() | {f: F.lit(0.5) for f in U.FEATURES[-4:]})
     model = U.fit(data.where("k % 2 = 0").select(*U.FEATURES, "y").coalesce(1))
     out = data.where("k % 2 = 1").select("y", (model.margin() > 0).cast("double").alias("p"))
     assert out.where("y = p").count() / out.count() > 0.97
 
 
-def test_labelled_urls_are_learned(spark):
+def plain_boosting(x, y, trees, depth=3, rate=0.4, l2=1.0, min_rows=20):
+    """x: {feature: bins}. Trees on bins, grown node by node over the rows themselves."""
+    margin = np.full(len(y), math.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+
+    def grow(rows, g, h, left):
+        best = None
+        if left:
+            for f in sorted(x):
+                for c in sorted(set(x[f][rows]))[:-1]:
+                    low = rows[x[f][rows] <= c]
+                    high = rows[x[f][rows] > c]
+                    if min(len(low), len(high)) >= min_rows:
+                        part = lambda r: g[r].sum() ** 2 / (h[r].sum() + l2)
+                        gain = round(part(low) + part(high) - part(rows), 6)
+                        if gain > 1e-6 and (best is None or (gain, f, c) > best[:3]):
+                            best = (gain, f, c, low, high)
+        if best is None:
+            value = rate * g[rows].sum() / (h[rows].sum() + l2)
+            out[rows] = value
+            return value
+        return (best[1], int(best[2]), grow(best[3], g, h, left - 1), grow(best[4], g, h, left - 1))
+
+    made = []
+    for _ in range(trees):
+        p = 1 / (1 + np.exp(-margin))
+        out = np.zeros(len(y))
+        made.append(grow(np.arange(len(y)), y - p, p * (1 - p), depth))
+        margin = margin + out
+    return made
+
+
+def test_trees_like_plain_boosting(spark):
+    rng = np.random.default_rng(12)
+    n = 1500
+    data = {f: rng.integers(0, 30, n).astype(float) for f in U.FEATURES}
+    y = ((data["depth"] > 12) ^ (data["entropy"] > 20) ^ (rng.random(n) < 0.1)).astype(float)
+    table = pa.table({**data, "y": y})
+    sample = spark.createDataFrame(table).coalesce(1)
+    cuts = U.grid(sample)
+    bins = {f: np.searchsorted(cuts[f], data[f], side="left") for f in U.FEATURES}
+    want = plain_boosting(bins, y, 4)
+
+    def same(a, b):
+        if isinstance(b, tuple):
+            assert a[0] == b[0] and a[1] == cuts[b[0]][b[1]]
+            same(a[2], b[2])
+            same(a[3], b[3])
+        else:
+            assert abs(a - b) < 1e-6
+
+    got = U.fit(sample, trees=4).trees
+    assert len(got) == 4
+    for a, b in zip(got, want, strict=True):
+        same(a, b)
+
+
+def test_rates_are_counted_out_of_fold(spark):
+    rng = random.Random(9)
+    rows = [(k, f"http://{rng.choice('ab')}.x{rng.randint(1, 3)}.com/{rng.choice(['en', 'de', ''])}/{rng.randint(1, 40)}", rng.choice([None, 0.0, 1.0])) for k in range(400)]
+    parts = U.with_keys(U.with_parts(spark.createDataFrame(rows, "k long, url string, y double"))).withColumn("fold", F.expr("cast(k % 5 as int)"))
+    table, overall = U.rates(parts)
+    got = parts.join(table, "start", "left").select("*", *(c.alias(n) for n, c in U.rate_columns(overall).items())).collect()
+    known = [r for r in got if r.y is not None]
+    assert abs(overall - (sum(r.y for r in known) + 0.5) / (len(known) + 1)) < 1e-9
+    for r in got:
+        wider = overall
+        for name, pseudo in zip(("suffix", "segment", "start"), U.PSEUDO_ROWS, strict=True):
+            others = [q for q in known if q[name] == r[name] and (r.y is None or q.fold != r.fold)]
+            wider = (sum(q.y for q in others) + pseudo * wider) / (len(others) + pseudo)
+            assert abs(r[f"{name}_rate"] - wider) < 1e-5
+            if name == "suffix":
+                assert abs(r.suffix_rows - math.log1p(len(others))) < 1e-5
+
+
+def test_held_out_urls(spark):
+    """Labelled URLs of one part in five, parted by a hash, that nothing was learned from."""
     pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
-    got = U.judge(pages).where("rule is not null").select("verdict", (F.col("block_score") > 0.5).alias("b")).collect()
-    assert sum((r.verdict == "block") == r.b for r in got) / len(got) > 0.8
+    held = F.pmod(F.xxhash64("url", F.lit(77)), F.lit(5)) == 0
+    got = U.judge(pages, held_out=held).join(pages.select("page_id", held.alias("held")), "page_id").where("held and rule is not null")
+    rows = [(r.rule, r.verdict == ("block" if r.block_score > 0.5 else "allow")) for r in got.collect()]
+    by = {rule: [ok for x, ok in rows if x == rule] for rule, _ in rows}
+    print({rule: f"{sum(ok)} of {len(ok)}" for rule, ok in by.items()})
+    assert len(rows) > 100 and sum(ok for _, ok in rows) >= 0.97 * len(rows)
+    assert all(sum(ok) >= 0.7 * len(ok) for ok in by.values() if len(ok) >= 10)
 
 
 def test_nothing_to_learn_from(spark):

@@ -1,10 +1,17 @@
 """URL filters: host rules first, gradient-boosted trees on lexical features for
 the rest. DataFrame functions only.
 
+URLs that a rule fits are the labelled ones, the rule's verdict their label. The trees see
+lengths, depth, digits, entropy, parameters, and how often URLs of the same address suffix,
+first path segment and start of the path are blocked. These rates are smoothed from the
+longer key to the shorter one, and counted out of fold: a labelled URL gets the rates of
+the other ``FOLDS`` - 1 parts of the labelled URLs (parted by a hash of the URL), so
+neither its own label nor that of its copies reaches its features.
+
 Defined results: a null url, or one without ``://``, has empty host and path and
-is judged by the trees on zero features; repeated rows give repeated results; an
-empty table gives no rows; extra columns are ignored. Without labelled rows, or
-with one class only, the model is the smoothed class rate alone ("allow" at a
+is judged by the trees on zero features; repeated rows give repeated results; urls may be
+of any length; an empty table gives no rows; extra columns are ignored. Without labelled
+rows, or with one class only, the model is the smoothed class rate alone ("allow" at a
 tie).
 """
 
@@ -14,7 +21,7 @@ import math
 from dataclasses import dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ascii_lower, materialize
@@ -30,9 +37,15 @@ RULES: tuple[tuple[str, str], ...] = (
 
 FEATURES = (
     "n_chars", "n_host", "n_path", "depth", "host_labels", "digit_ratio", "entropy",
-    "n_params", "n_query", "has_fragment", "n_hyphens", "suffix_rate", "suffix_rows",
+    "n_params", "n_query", "has_fragment", "n_hyphens", "suffix_rate", "suffix_rows", "segment_rate", "start_rate",
 )
 
+#: Labelled URLs that the trees are fitted on, about, at most.
+TRAIN_ROWS = 20_000
+FOLDS = 5
+#: Pseudo-rows of the shorter key that a suffix, a segment and a path's start begin with.
+PSEUDO_ROWS = (20.0, 5.0, 5.0)
+
 
 def with_parts(pages: DataFrame, url: str = "url") -> DataFrame:
     """Adds host and path. Host: after the first ``://`` up to ``/ ? #`` or the end,
@@ -108,72 +121,75 @@ def _tree(node) -> Column:
     return F.when(F.col(f) <= thr, _tree(left)).otherwise(_tree(right))
 
 
-def _grow(splits: dict, leaf: dict, at: int):
-    return (splits[at][0], splits[at][1], _grow(splits, leaf, 2 * at), _grow(splits, leaf, 2 * at + 1)) if at in splits else leaf.get(at, 0.0)
+def grid(sample: DataFrame, bins=16) -> dict[str, list[float]]:
+    """Where each feature's values are cut into bins."""
+    found = sample.agg(*(F.percentile_approx(f, [i / bins for i in range(1, bins)], 1000).alias(f) for f in FEATURES)).first()
+    return {f: sorted(set(found[f])) for f in FEATURES}
 
 
-def _node_of(splits: dict, depth: int) -> Column:
-    """The heap number of the node a row stands in after ``depth`` levels (stops at leaves)."""
+def _node_of(splits: dict, at: int = 1) -> Column:
+    """The heap number of the node that a row falls to."""
+    if at not in splits:
+        return F.lit(at)
+    f, cut = splits[at]
+    return F.when(F.col(f) <= cut, _node_of(splits, 2 * at)).otherwise(_node_of(splits, 2 * at + 1))
 
-    def walk(at):
-        if at not in splits:
-            return F.lit(at)
-        f, thr = splits[at]
-        return F.when(F.col(f) <= thr, walk(2 * at)).otherwise(walk(2 * at + 1))
 
-    return walk(1)
+def _best_split(cells: list, l2: float, min_rows: int) -> tuple | None:
+    """(gain, feature, bin, left sums, right sums) from a node's histograms: rows (f, c, g, h, n)."""
+    best = None
+    for f in sorted({r["f"] for r in cells}):
+        own = sorted((r["c"], r["g"], r["h"], r["n"]) for r in cells if r["f"] == f)
+        total, left = [sum(r[k] for r in own) for k in (1, 2, 3)], [0.0, 0.0, 0]
+        for c, *sums in own[:-1]:
+            left = [a + b for a, b in zip(left, sums, strict=True)]
+            right = [a - b for a, b in zip(total, left, strict=True)]
+            if min(left[2], right[2]) >= min_rows:
+                gain = round(left[0] ** 2 / (left[1] + l2) + right[0] ** 2 / (right[1] + l2) - total[0] ** 2 / (total[1] + l2), 6)
+                if gain > 1e-6 and (best is None or (gain, f, c) > best[:3]):
+                    best = (gain, f, c, left, right)
+    return best
 
 
 def fit(sample: DataFrame, trees=12, depth=3, rate=0.4, bins=16, l2=1.0, min_rows=20) -> Boosted:
-    """Boost on a bounded sample (features and ``y`` 0/1), one histogram job a level.
-    The sample is one partition, so no job shuffles; a level brings one row per
-    node to the driver (8 at most)."""
+    """Boost on a bounded sample (features and ``y`` 0/1), one histogram job a level. The
+    sample is one partition, so no job shuffles; a level brings a histogram of each
+    feature in each node to the driver (2 ** level * features * bins rows at most)."""
     n, pos = sample.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
     model = Boosted(math.log((pos + 0.5) / (n - pos + 0.5)) if n else 0.0)
     if not n or pos in (0, n):
         return model
-    grid = sample.agg(*(F.percentile_approx(f, [i / bins for i in range(1, bins)], 1000).alias(f) for f in FEATURES)).first()
-    cuts = {f: sorted(set(grid[f])) for f in FEATURES}
-    binned = [reduce(lambda a, c: a + F.when(F.col(f) > c, 1.0).otherwise(0.0), cuts[f], F.lit(0.0)).alias(f) for f in FEATURES]
-    cells = materialize(
-        sample.select(*binned, "y").groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("pos")), "cells"
-    ).coalesce(1)
+    cuts = grid(sample, bins)
+    binned = [reduce(lambda a, c: a + F.when(F.col(f) > c, 1).otherwise(0), cuts[f], F.lit(0)).alias(f) for f in FEATURES]
+    cells = materialize(sample.select(*binned, "y").groupBy(*FEATURES).agg(F.count("*").alias("n"), F.sum("y").alias("pos")), "cells").coalesce(1)
     of = F.explode(F.array(*(F.struct(F.lit(f).alias("f"), F.col(f).alias("c")) for f in FEATURES))).alias("cell")
-    prefix = Window.partitionBy("at", "f").orderBy("c")
     for _ in range(trees):
         p = 1 / (1 + F.exp(-model.margin()))
         rows = cells.withColumn("g", F.col("pos") - F.col("n") * p).withColumn("h", F.col("n") * p * (1 - p))
         splits: dict[int, tuple] = {}
+        leaves: dict[int, float] = {}
         for level in range(depth):
-            hist = (
-                rows.select(_node_of(splits, level).alias("at"), "g", "h", "n", of)
-                .where(F.col("at") >= 2**level)
-                .groupBy("at", "cell.f", "cell.c")
-                .agg(*(F.sum(c).alias(c) for c in "ghn"))
-            )
-            whole = Window.partitionBy("at", "f")
-            sums = hist.select("at", "f", "c", *(F.sum(c).over(prefix).alias(f"{c}l") for c in "ghn"), *(F.sum(c).over(whole).alias(c) for c in "ghn"))
-            gr, hr = F.col("g") - F.col("gl"), F.col("h") - F.col("hl")
-            gain = F.round(F.col("gl") ** 2 / (F.col("hl") + l2) + gr**2 / (hr + l2) - F.col("g") ** 2 / (F.col("h") + l2), 6)
-            best = (
-                sums.where((F.col("nl") >= min_rows) & (F.col("n") - F.col("nl") >= min_rows))
-                .select("at", F.struct(gain.alias("gain"), "f", "c").alias("s"))
-                .groupBy("at")
-                .agg(F.max("s").alias("s"))
-                .where("s.gain > 0.000001")
-                .collect()
-            )
-            if not best:
+            hist = rows.select(_node_of(splits).alias("at"), "g", "h", "n", of).where(F.col("at") >= 2**level)
+            hist = hist.groupBy("at", F.col("cell.f").alias("f"), F.col("cell.c").alias("c")).agg(*(F.sum(c).alias(c) for c in "ghn")).collect()
+            for at in sorted({r["at"] for r in hist}):
+                best = _best_split([r for r in hist if r["at"] == at], l2, min_rows)
+                if best:
+                    splits[at] = best[1:3]
+                    for side, (g, h, _) in enumerate(best[3:]):
+                        leaves[2 * at + side] = round(rate * g / (h + l2), 9)
+            if not any(at >= 2**level for at in splits):
                 break
-            splits |= {r["at"]: (r["s"]["f"], float(r["s"]["c"])) for r in best}
         if not splits:
             break
-        leaves = rows.groupBy(_node_of(splits, depth).alias("at")).agg((F.lit(float(rate)) * F.sum("g") / (F.sum("h") + l2)).alias("w")).collect()
-        model.trees.append(_grow(splits, {r["at"]: round(float(r["w"]), 9) for r in leaves}, 1))
+        model.trees.append(_grown(splits, leaves, 1))
     model.trees = [_on_values(t, cuts) for t in model.trees]
     return model
 
 
+def _grown(splits: dict, leaves: dict, at: int):
+    return (*splits[at], _grown(splits, leaves, 2 * at), _grown(splits, leaves, 2 * at + 1)) if at in splits else leaves[at]
+
+
 def _on_values(node, cuts: dict):
     """Thresholds on bins as thresholds on the feature's own values."""
     if isinstance(node, float):
@@ -182,29 +198,63 @@ def _on_values(node, cuts: dict):
     return (f, float(cuts[f][int(b)]), _on_values(left, cuts), _on_values(right, cuts))
 
 
-def judge(pages: DataFrame, rules=RULES, id_col="page_id", url="url", train_rows=20_000) -> DataFrame:
+_KEYS = ("suffix", "segment", "start")
+
+
+def with_keys(parts: DataFrame) -> DataFrame:
+    """Adds the keys that rates are counted for: the last two labels of the host; with the
+    first segment of the path; and with what follows it, up to one character."""
+    suffix = F.substring_index("host", ".", -2)
+    segment, start = F.regexp_extract("path", "^/[^/]*", 0), F.regexp_extract("path", "^/[^/]*/?[^/]?", 0)
+    return parts.withColumns({"suffix": suffix, "segment": F.concat(suffix, segment), "start": F.concat(suffix, start)})
+
+
+def rates(labelled: DataFrame) -> tuple[DataFrame, float]:
+    """labelled(suffix, segment, start, fold, y; y may be null) to one row for each start:
+    for it and its shorter keys the labelled and the blocked rows by fold, as arrays; and
+    the rate of all."""
+    count = lambda fold, y: F.sum(F.when(F.col("fold") == fold, y).otherwise(0.0))
+    by_fold = lambda y: F.array(*(count(k, y) for k in range(FOLDS)))
+    known = F.when(F.col("y").isNotNull(), 1.0).otherwise(0.0)
+    table = labelled.groupBy(*_KEYS).agg(by_fold(known).alias("start_n"), by_fold(F.coalesce("y", F.lit(0.0))).alias("start_y"))
+    table = materialize(table, "starts")
+    for keys, name, below in ((_KEYS[:2], "segment", "start"), (_KEYS[:1], "suffix", "segment")):
+        sums = [F.array(*(F.sum(F.get(f"{below}_{c}", F.lit(k))) for k in range(FOLDS))).alias(f"{name}_{c}") for c in "ny"]
+        source = table.select(*_KEYS[: len(keys) + 1], f"{below}_n", f"{below}_y").distinct()
+        table = table.join(source.groupBy(*keys).agg(*sums), list(keys))
+    table = materialize(table.drop("suffix", "segment"), "rates")
+    # each start has its suffix's sums, so the whole is counted from the starts themselves
+    whole = lambda c: F.coalesce(F.sum(F.aggregate(c, F.lit(0.0), lambda a, x: a + x)), F.lit(0.0))
+    n, y = table.agg(whole("start_n"), whole("start_y")).first()
+    return table, (y + 0.5) / (n + 1.0)
+
+
+def rate_columns(overall: float) -> dict[str, Column]:
+    """The rates as features; a labelled row's own fold is left out."""
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    own = lambda c: F.when(F.col("y").isNotNull(), F.get(c, F.col("fold"))).otherwise(0.0)
+    of = lambda c: F.coalesce(total(c) - own(c), F.lit(0.0))
+    out, wider = {}, F.lit(overall)
+    for name, rows in zip(_KEYS, PSEUDO_ROWS, strict=True):
+        wider = (of(f"{name}_y") + rows * wider) / (of(f"{name}_n") + rows)
+        out[f"{name}_rate"] = F.round(wider, 6)
+    return out | {"suffix_rows": F.round(F.log1p(of("suffix_n")), 6)}
+
+
+def judge(pages: DataFrame, rules=RULES, id_col="page_id", url="url", train_rows=TRAIN_ROWS, held_out: Column | None = None) -> DataFrame:
     """(id, host, path, rule, verdict, block_score). URLs that a rule fits are the
-    labelled rows: host-suffix statistics are counted over all of them, the trees
-    are fitted on a sample of about ``train_rows`` chosen by hash, and every URL
+    labelled rows, but for those ``held_out``: rates are counted over all of them, the
+    trees are fitted on a sample of about ``train_rows`` chosen by hash, and every URL
     without a rule gets the trees' verdict."""
-    parts = with_parts(pages.select(F.col(id_col).alias("id"), F.col(url).alias("url")))
+    held = F.coalesce(held_out, F.lit(False)) if held_out is not None else F.lit(False)
+    parts = with_parts(pages.select(F.col(id_col).alias("id"), F.col(url).alias("url"), held.alias("held")))
     rule, verdict = rule_columns(rules)
-    parts = (
-        parts.withColumns({"rule": rule, "given": verdict})
-        .withColumn("suffix", F.substring_index("host", ".", -2))
-        .withColumn("y", F.when(F.col("given") == "block", 1.0).when(F.col("given") == "allow", 0.0))
-    )
-    counts = materialize(
-        parts.groupBy("suffix").agg(F.count("y").alias("rows"), F.coalesce(F.sum("y"), F.lit(0.0)).alias("blocked")), "suffixes"
-    )
-    total, blocked = counts.agg(F.coalesce(F.sum("rows"), F.lit(0)), F.coalesce(F.sum("blocked"), F.lit(0.0))).first()
-    overall = (blocked + 0.5) / (total + 1.0)
-    stats = counts.select(
-        "suffix",
-        F.round((F.col("blocked") + 20 * overall) / (F.col("rows") + 20), 6).alias("suffix_rate"),
-        F.round(F.log1p(F.col("rows").cast("double")), 6).alias("suffix_rows"),
-    )
-    feats = parts.withColumns(lexical()).join(stats, "suffix", "left")
+    label = F.when(~F.col("held"), F.when(F.col("given") == "block", 1.0).when(F.col("given") == "allow", 0.0))
+    fold = F.pmod(F.xxhash64("url"), F.lit(FOLDS)).cast("int")
+    parts = with_keys(parts.withColumns({"rule": rule, "given": verdict})).withColumns({"y": label, "fold": fold})
+    table, overall = rates(parts)
+    total = table.agg(F.coalesce(F.sum(F.aggregate("start_n", F.lit(0.0), lambda a, x: a + x)), F.lit(0.0))).first()[0]
+    feats = parts.withColumns(lexical()).join(table, "start", "left").withColumns(rate_columns(overall))
     share = min(1.0, train_rows / total) if total else 0.0
     chosen = F.pmod(F.xxhash64(F.col("id"), F.col("url")), F.lit(1_000_000)) < int(share * 1_000_000)
     sample = materialize(feats.where(F.col("y").isNotNull() & chosen).select(*FEATURES, "y"), "sample").coalesce(1)
