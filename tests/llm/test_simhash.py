@@ -143,7 +143,7 @@ def slow_near_duplicates(rows):
     return {min(rows[k][0] for k in range(len(rows)) if label[k] == v) for v in set(label)}
 
 
-@pytest.mark.parametrize("rows_each", [7, 2048])
+@pytest.mark.parametrize("rows_each", [3, 7, 2048])
 def test_dense_families_like_brute_force(spark, rows_each):
     """Families with many candidates each, of which about half are similar enough."""
     rng = random.Random(21)
@@ -163,6 +163,51 @@ def test_dense_families_like_brute_force(spark, rows_each):
     assert len(got ^ want) <= 1
 
 
+@pytest.mark.parametrize("rows_each", [10, 2048])
+def test_pairs_beside_texts_of_the_same_words(spark, rows_each):
+    """200 pairs of near copies, each beside ten texts of their words in another order; and
+    one group of near copies with a third of all rows."""
+    rng = random.Random(23)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    rows = []
+    for k in range(200):
+        base = [rng.choice(vocabulary) for _ in range(80)]
+        other = list(base)
+        other[rng.randrange(80)] = rng.choice(vocabulary)
+        rows += [(100 * k, " ".join(base)), (100 * k + 1, " ".join(other))]
+        rows += [(100 * k + 2 + d, " ".join(rng.sample(base, 80))) for d in range(10)]
+    base = [rng.choice(vocabulary) for _ in range(120)]
+    for k in range(1200):
+        words = list(base)
+        words[rng.randrange(120)] = rng.choice(vocabulary)
+        rows.append((100_000 + k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id for r in simhash.near_duplicates(docs, rows_each=rows_each).collect()}
+    assert got == {i for i, _ in rows if i % 100 != 1 and i < 100_000} | {100_000}
+
+
+def test_similar_links_like_brute_force():
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        pool = np.arange(40, dtype=np.uint64)
+        sets = [np.unique(rng.choice(pool, rng.integers(1, 30))) for _ in range(40)]
+        sets += [np.setdiff1d(sets[rng.integers(40)], rng.choice(pool, 2)) for _ in range(20)]
+        sets = [s if len(s) else pool[:1] for s in sets]
+        left, right, roots = rng.random(len(sets)) < 0.7, rng.random(len(sets)) < 0.7, rng.integers(0, 50, len(sets)).tolist()
+
+        def parts(links):
+            label = list(roots)
+            for a, b in links:
+                old, new = label[a], label[b]
+                label = [new if v == old else v for v in label]
+            return [label.index(v) for v in label]
+
+        like = lambda a, b: len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b]))  # noqa: E731, B023
+        true = [(a, b) for a in np.flatnonzero(left) for b in np.flatnonzero(right) if like(a, b)]
+        got = simhash.similar_links(list(range(len(sets))), sets, left.tolist(), right.tolist(), roots, 0.8)
+        assert all(like(a, b) for a, b in got) and parts(got) == parts(true)
+
+
 def test_one_block_of_new_text_shares_a_key():
     """Pairs of a similarity of 0.8 to 0.85 with a block appended, inserted or replaced."""
     rng = random.Random(22)

@@ -1,75 +1,17 @@
-"""Shared helpers: the shared folder, materialised tables, connected components."""
+"""Shared helpers: materialised tables, memory, connected components."""
 
 from __future__ import annotations
 
-import atexit
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-ASCII_LOWER = ASCII_UPPER.lower()
-
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or
-    (only where that is unset, as in local tests) a folder of our own."""
-    global _own_dir
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if configured:
-        return configured.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="waymark-checkpoint-")
-        spark.sparkContext.setCheckpointDir(_own_dir)
-        atexit.register(lambda d=_own_dir: os.path.isdir(d) and __import__("shutil").rmtree(d, ignore_errors=True))
-    return _own_dir
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/waymark-{uuid.uuid4().hex}/{tag}"
-
+from ..tables import discard, new_path, scratch, shared_dir
+from ..tables import settle as materialize
 
-def drop_path(spark: SparkSession, path: str) -> None:
-    """Delete a folder written by :func:`materialize`, through Hadoop's file system."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path.rpartition("/")[0])
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+__all__ = ["ascii_lower", "connected_components", "discard", "fold", "materialize", "new_path", "scratch", "shared_dir", "trim_memory"]
 
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-@atexit.register
-def _clean() -> None:
-    """Tables that results may read stay until the application ends."""
-    for spark, path in _made:
-        try:
-            drop_path(spark, path)
-        except Exception:  # noqa: BLE001  the session is gone; its folder is the cluster's to clear
-            return
-
-
-def materialize(df: DataFrame, tag: str = "t") -> DataFrame:
-    """Write a table to the shared folder and read it back: cuts the lineage and
-    survives lost executors."""
-    path = new_path(df.sparkSession, tag)
-    _made.append((df.sparkSession, path))
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out._waymark_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete what :func:`materialize` wrote, once nothing reads it any more."""
-    path = getattr(df, "_waymark_path", None)
-    if path:
-        drop_path(df.sparkSession, path)
+ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ASCII_LOWER = ASCII_UPPER.lower()
 
 
 def trim_memory() -> None:

@@ -5,7 +5,8 @@ Jaccard similarity of shingles, whose candidates share smallest hashes.
 Defined results: null text counts as empty; texts without words have fingerprint
 zero and link like any other; rows with a null id keep their fingerprint and
 group, which is named by its smallest id that is not null (null if none); repeated
-rows are kept; an empty table gives no rows; extra columns are ignored.
+rows are kept; an empty table gives no rows; extra columns are ignored (the filter keeps
+them, and of rows with the same id and text keeps all or none).
 """
 
 from __future__ import annotations
@@ -82,6 +83,8 @@ def components(docs: DataFrame, id_col="doc_id", text="text", size=3, seed=42, d
 NEAR_KEYS, NEAR_JOINED = 8, 3
 #: Texts with one key that one task compares, on each side; of more, blocks are compared.
 NEAR_ROWS = 2048
+#: Texts of such a key that all others are compared with first.
+NEAR_PIVOTS = 16
 
 _SALTS = np.random.default_rng(7).integers(1, 2**63, (2, NEAR_KEYS * NEAR_JOINED, 1), np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -101,37 +104,58 @@ def near_keys(grams: np.ndarray) -> np.ndarray:
     return np.array([xxhash.xxh3_64_intdigest(k.tobytes(), n) for n, k in enumerate(low.reshape(NEAR_KEYS, -1))], np.uint64)
 
 
-def similar_links(nodes: list, sets: list[np.ndarray], left: list[bool], right: list[bool], similarity: float):
+def similar_links(nodes: list, sets: list[np.ndarray], left: list[bool], right: list[bool], roots: list, similarity: float):
     """Links (a, b) that connect all texts of the left with all those of the right that are
-    similar, one for each two groups that meet. All pairs are compared."""
+    similar, one for each two groups that meet. Every pair is compared but those of one
+    group (so far, or from the start if their roots are the same), and those whose sizes
+    are too far apart."""
     sizes = np.array([len(s) for s in sets], np.int64)
     words, ids = np.unique(np.concatenate(sets), return_inverse=True)
     starts = np.concatenate([[0], np.cumsum(sizes)])
-    label, other = np.arange(len(sets)), np.flatnonzero(right)
-    held = np.concatenate([ids[starts[k] : starts[k + 1]] for k in other]) if len(other) else ids[:0]
-    at = np.concatenate([[0], np.cumsum(sizes[other])])[:-1]
+    label, other = np.unique(np.array(roots, np.int64), return_inverse=True)[1], np.flatnonzero(right)
+    held = np.concatenate([ids[:0], *(ids[starts[k] : starts[k + 1]] for k in other)])
+    begin = np.cumsum(sizes[other]) - sizes[other]
     mark = np.zeros(len(words), bool)
     out = []
-    for k in np.flatnonzero(left) if len(other) else ():
-        own = ids[starts[k] : starts[k + 1]]
+
+    def common(part: np.ndarray) -> np.ndarray:
+        """How many marked shingles each of other[part] has."""
+        if 2 * len(part) > len(other):
+            return np.add.reduceat(mark[held], begin, dtype=np.int64)[part]
+        size = sizes[other[part]]
+        at = np.cumsum(size) - size
+        return np.add.reduceat(mark[held[np.repeat(begin[part] - at, size) + np.arange(size.sum())]], at, dtype=np.int64)
+
+    for k in np.flatnonzero(left):
+        own, n = ids[starts[k] : starts[k + 1]], sizes[k]
+        todo = np.flatnonzero((label[other] != label[k]) & (sizes[other] >= similarity * n) & (similarity * sizes[other] <= n))
+        if not len(todo):
+            continue
         mark[own] = True
-        both = np.add.reduceat(mark[held], at, dtype=np.int64)
+        # one text of each group first: the rest of a group that is met needs no look
+        first = np.unique(label[other[todo]], return_index=True)[1]
+        for part in (todo[first], np.delete(todo, first)):
+            part = part[label[other[part]] != label[k]]
+            if len(part):
+                both = common(part)
+                for r in other[part[both >= similarity * (n + sizes[other[part]] - both)]]:
+                    if label[r] != label[k]:
+                        out.append((nodes[k], nodes[r]))
+                        label[label == label[r]] = label[k]
         mark[own] = False
-        hits = other[both >= similarity * (sizes[k] + sizes[other] - both)]
-        for r in hits[label[hits] != label[k]]:
-            if label[r] != label[k]:
-                out.append((nodes[k], nodes[r]))
-                label[label == label[r]] = label[k]
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, similarity=0.8, rows_each=NEAR_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, similarity=0.8, rows_each=NEAR_ROWS, pivots=NEAR_PIVOTS) -> DataFrame:
     """docs with one document left of each group of near duplicates: texts linked by
     chains of pairs whose sets of ``size``-word shingles have a Jaccard similarity of at
     least ``similarity``. Candidates are all pairs of texts that share one of their
-    ``near_keys``; each is compared, in the shard of the key, and only links that connect
-    groups are emitted. The document with the smallest id stays, null ids last; rows with
-    the same id and text are one document."""
+    ``near_keys``; none is dropped. The texts of a key meet in one task, the key's shard. A
+    key of more than ``rows_each`` texts is compared with a few of them first, which links
+    what is one dense group; then only pairs of different groups are left to compare, in
+    blocks: those outside the largest group with each other and with all of it. Tasks emit
+    links that connect groups only. The document with the smallest id stays, null ids last;
+    rows with the same id and text are one document."""
     node = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -161,11 +185,11 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
     texts = named.join(lows, (F.col("node") == F.col("n")) & F.col("id").eqNullSafe(F.col("low")))
     texts = texts.groupBy("node").agg(F.min("text").alias("text"))
     sets = materialize(texts.mapInArrow(hashes, "node long, grams binary"), "grams")
-    own = F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int")
-    dealt = members.withColumn("own", own).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    task = F.struct("key", F.least("own", "k").alias("i"), F.greatest("own", "k").alias("j"))
-    dealt = dealt.select(task.alias("task"), "node", (F.col("own") <= F.col("k")).alias("l"), (F.col("own") >= F.col("k")).alias("r"))
-    dealt = dealt.select(F.xxhash64("task.key", "task.i", "task.j").alias("task"), "node", "l", "r").join(sets, "node")
+    task = lambda *parts: F.xxhash64("key", *parts).alias("task")
+    both, yes, no = ("l", "r"), F.lit(True), F.lit(False)
+    sides = lambda l, r: (l.alias("l"), r.alias("r"))
+    block = lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n).cast("int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
 
     def compare(batches):
         last, held = None, []
@@ -175,21 +199,50 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
             return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
         for b in batches:
-            columns = (b.column(c).to_pylist() for c in ("task", "node", "grams", "l", "r"))
-            for t, n, g, left, right in zip(*columns, strict=True):
+            columns = (b.column(c).to_pylist() for c in ("task", "node", "grams", "l", "r", "root"))
+            for t, n, g, left, right, root in zip(*columns, strict=True):
                 if t != last and held:
                     yield links()
                     held = []
                 last = t
-                held.append((n, np.frombuffer(g, np.uint64), left, right))
+                held.append((n, np.frombuffer(g, np.uint64), left, right, root))
         if held:
             yield links()
         trim_memory()
 
-    close = materialize(dealt.repartition("task").sortWithinPartitions("task").mapInArrow(compare, "a long, b long"), "close")
+    def linked(dealt: DataFrame, tag: str) -> DataFrame:
+        rows = dealt.join(sets, "node").repartition("task").sortWithinPartitions("task")
+        return materialize(rows.select("task", "node", "grams", *both, "root").mapInArrow(compare, "a long, b long").where("a <> b"), tag)
+
+    # all texts of a key; of a large one, all with some
+    few, many = members.where("blocks = 1"), members.where("blocks > 1").withColumn("i", block(F.col("blocks"), 3))
+    some = many.groupBy("key", "blocks", block(F.lit(pivots), 5).alias("p")).agg(F.min("node").alias("node"))
+    dealt = few.select(task(), "node", *sides(yes, yes))
+    dealt = dealt.unionAll(many.select(task("i"), "node", *sides(no, yes)))
+    dealt = dealt.unionAll(some.withColumn("i", upto(F.col("blocks"))).select(task("i"), "node", *sides(yes, no)))
+    close = linked(dealt.withColumn("root", F.col("node")), "close")
     roots = connected_components(close)
+    if many.limit(1).count():
+        # what these links leave apart in large keys: texts outside a key's largest group
+        roots = materialize(roots, "roots")
+        parts = many.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        parts = materialize(parts, "parts")
+        tally = parts.groupBy("key", "root").agg(F.count("*").alias("n"))
+        tally = tally.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
+        blocks_of = lambda n: F.ceil(n / rows_each).cast("int")
+        tally = tally.select("key", F.col("top.root").alias("top"), blocks_of(F.col("top.n")).alias("inside"), blocks_of(F.col("n") - F.col("top.n")).alias("outside"))
+        rows = parts.join(tally, "key")
+        apart = rows.where("root <> top").withColumn("i", block(F.col("outside"), 7))
+        again = apart.withColumn("j", upto(F.col("outside"))).select(
+            task(F.least("i", "j"), F.greatest("i", "j"), F.lit(0)), "node", *sides(F.col("i") <= F.col("j"), F.col("i") >= F.col("j")), "root"
+        )
+        again = again.unionAll(apart.withColumn("j", upto(F.col("inside"))).select(task("i", "j", F.lit(1)), "node", *sides(yes, no), "root"))
+        inside = rows.where("root = top").withColumn("j", block(F.col("inside"), 9)).withColumn("i", upto(F.col("outside")))
+        again = again.unionAll(inside.select(task("i", "j", F.lit(1)), "node", *sides(no, yes), "root"))
+        more = linked(again, "more")
+        roots = connected_components(more.unionAll(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     named_points = points.join(roots.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left")
-    named_points = materialize(named_points.select("node", "low", F.coalesce("root", "node").alias("root")), "roots")
+    named_points = materialize(named_points.select("node", "low", F.coalesce("root", "node").alias("root")), "groups")
     first = named_points.groupBy("root").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "node")).alias("f"))
     stay = first.select(F.col("f.node").alias("_wm_node"), F.col("f.low").alias("_wm_low"))
     return docs.join(stay, (node == F.col("_wm_node")) & docs[id_col].eqNullSafe(F.col("_wm_low")), "left_semi")

@@ -3,7 +3,8 @@
 A pair of fingerprints within ``distance`` differs by at most
 ``distance // len(masks)`` bits in one of the disjoint bit blocks, so there is a
 tree for each block, over the Hamming distance inside it. The trees are fitted on
-a bounded sample of fingerprints (``SAMPLE``); every fingerprint is then stored in
+a bounded sample of fingerprints (one of ``SHARE``, ``SAMPLE`` at least and ``MAX_SAMPLE``
+at most, so leaves hold about as many rows at any size); every fingerprint is then stored in
 the one leaf it falls in, and asks every leaf that a ball of the block's radius
 around it can reach (the triangle inequality prunes the others). Leaves are the
 shards: pairs are compared inside them and only links that connect the groups are
@@ -20,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Fingerprints that the trees are fitted on, at most; all are indexed.
-SAMPLE = 32_768
+#: Fingerprints that the trees are fitted on; all are indexed.
+SAMPLE, SHARE, MAX_SAMPLE = 32_768, 64, 1 << 20
 LEAF_ROWS = 1024
 #: Rows of one leaf that are compared in one task; a larger leaf is cut in blocks.
 BLOCK_ROWS = 4096
@@ -116,6 +117,15 @@ def _array(batch: pa.RecordBatch, names: list[str]) -> np.ndarray:
     return np.stack([batch.column(n).to_numpy(zero_copy_only=False).view(np.uint64) for n in names], 1)
 
 
+def _task(tree: int, leaf: int, asking, living) -> np.ndarray:
+    """A number for each pair of a leaf's blocks. Where two pairs share one, more is
+    compared than need be."""
+    out = np.full(1, tree << 32 | leaf, np.uint64)
+    for part in (asking, living):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + np.asarray(part).astype(np.uint64)
+    return out.view(np.int64)
+
+
 def _links(left: np.ndarray, right: np.ndarray, left_ids: np.ndarray, right_ids: np.ndarray, distance: int, whole: int):
     """(left id, right id, cut) of pairs within distance, enough of them to connect all
     that are; every pair of a row with at most ``whole`` of them, and the ``whole``
@@ -151,6 +161,7 @@ def links(points: DataFrame, names: list[str], distance: int, masks: np.ndarray,
     spark = points.sparkSession
     radius = distance // len(masks) if radius is None else radius
     total = points.count()
+    sample = max(sample, min(MAX_SAMPLE, total // SHARE))
     fitted = points.select(*names, F.xxhash64(*names).alias("_h")).orderBy("_h", *names).limit(sample).collect()
     own = np.array([[r[n] for n in names] for r in fitted], np.int64).reshape(-1, len(names)).view(np.uint64)
     trees = [Tree.fit(own, m, radius, total / max(1, len(own)), leaf_rows) for m in masks]
@@ -179,11 +190,11 @@ def links(points: DataFrame, names: list[str], distance: int, masks: np.ndarray,
                             continue  # nothing lives there
                         block = (mix[rows] % np.uint64(n)).astype(np.int64)
                         if n == 1:
-                            parts.append((rows, np.full(len(rows), (t << 24 | leaf) << 32), np.ones(len(rows), bool), home))
+                            parts.append((rows, _task(t, leaf, 0 * block, 0), np.ones(len(rows), bool), home))
                             continue
                         for k in range(n):
-                            parts.append((rows, ((t << 24 | leaf) << 32) + (block << 16) + k, np.ones(len(rows), bool), np.zeros(len(rows), bool)))
-                            parts.append((rows[home], ((t << 24 | leaf) << 32) + (k << 16) + block[home], np.zeros(int(home.sum()), bool), np.ones(int(home.sum()), bool)))
+                            parts.append((rows, _task(t, leaf, block, k), np.ones(len(rows), bool), np.zeros(len(rows), bool)))
+                            parts.append((rows[home], _task(t, leaf, k, block[home]), np.zeros(int(home.sum()), bool), np.ones(int(home.sum()), bool)))
                 if parts:
                     rows = np.concatenate([p[0] for p in parts])
                     yield pa.RecordBatch.from_pydict(
