@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 from waymark.functions import grammar as G
+from waymark.functions import paraphrase as P
 from waymark.functions import text as T
 from waymark.functions import unicode as U
 from waymark.operators import gates
@@ -82,11 +83,15 @@ def test_order(spark):
     assert apply(spark, [["auto", "manual", "critical"], ["manual", "auto"], []], gates.in_order, "array<string>") == [True, False, True]
 
 
-def test_paraphrases():
-    first = U.paraphrases("screen flickers after app install", "flicker app install", 3)
-    assert 8 <= len(first) <= 10 and len(set(first)) == len(first) and first[0] == "screen flickers after app install"
-    assert first == U.paraphrases("screen flickers after app install", "flicker app install", 3) != U.paraphrases("screen flickers after app install", "flicker app install", 4)
-    assert U.misspelled("abc", None) == "abc"
+def test_paraphrases(spark):
+    rows = spark.createDataFrame([(k, " screen flickers after app install ", "flicker app install") for k in (3, 4, 3)] + [(5, None, None)], "seed long, t string, k string").coalesce(1)
+    first, other, again, empty = [r.v for r in rows.select(P.paraphrases(F.col("t"), F.col("k"), F.col("seed")).alias("v")).collect()]
+    assert len(first) == 10 and len(set(first)) == 10 and first[0] == "screen flickers after app install"
+    assert first == again != other and empty[0] == "" and len(empty) == len(set(empty))
+    words = spark.createDataFrame([(w, k) for w in ("abc", "abcd", "keyboard") for k in range(30)], "w string, k long")
+    for r in words.select("w", P.misspelled(F.col("w"), F.col("k")).alias("m")).collect():
+        letters = sorted(r.w)
+        assert r.m == r.w if len(r.w) < 4 else r.m[0] == r.w[0] and (sorted(r.m) == letters and r.m != r.w or len(r.m) == len(r.w) - 1 and not set(r.m) - set(letters))
 
 
 @pytest.mark.parametrize("text", ["", "ab", "Élan vital"])

@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 
 from . import lexicon as L
 
+# Connectives that a sentence loses, what comes before an instruction, and how one starts.
+CONNECTIVE = r"(?i)^(?:Alternatively|Also|Then|Now|Next|Finally|After that|First|Second|Third)[,\s]+"
+LEADS = (r"(?i)^(?:you (?:can|should|will|may|need to)\s+)", r"(?i)^(?:try|please)\s+(?:to\s+)?", r"(?i)^(?:go ahead and|simply|just)\s+")
+INSTRUCTION = r"(?i)^\s*(navigate|tap|touch|select|choose|press|toggle|turn|go|open|enable|disable)"
+# Frames and endings of a description, and what it says of nothing.
+BENEFIT, FRAMES = "It will", ("{it} {v} {o}", "{it} let you {v} {o}", "{it} {v} {o} for you", "{it} let you {v} the {o}")
+ENDINGS = ("for you", "on your phone", "on the device", "in the app", "for this issue", "and apply changes")
+NO_ACTION, NO_SCREEN, ANY_SCREEN = "It will fix the device settings", "It will open the relevant settings", "It will open the device settings"
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with value computed once for a row."""
@@ -103,15 +112,14 @@ def first_upper(text: Column) -> Column:
 
 def sentence(text: Column) -> Column:
     """One spaced, without a leading connective, ended and started like a sentence."""
-    lead = r"(?i)^(?:Alternatively|Also|Then|Now|Next|Finally|After that|First|Second|Third)[,\s]+"
-    body = F.trim(F.regexp_replace(squeezed(text), lead, ""))
+    body = F.trim(F.regexp_replace(squeezed(text), CONNECTIVE, ""))
     return let(body, lambda b: F.when(b == "", "").otherwise(first_upper(F.when(b.rlike(r"[.!?:]$"), b).otherwise(F.concat(b, F.lit("."))))))
 
 
 def imperative(line: Column) -> Column:
     """A step that starts with an instruction word, as a sentence; else empty."""
     s = F.regexp_replace(F.trim(line), r"\.+$", "")
-    for lead in (r"(?i)^(?:you (?:can|should|will|may|need to)\s+)", r"(?i)^(?:try|please)\s+(?:to\s+)?", r"(?i)^(?:go ahead and|simply|just)\s+"):
+    for lead in LEADS:
         s = F.regexp_replace(s, lead, "")
 
     def keep(b: Column) -> Column:
@@ -123,8 +131,7 @@ def imperative(line: Column) -> Column:
 
 def is_ui_step(line: Column) -> Column:
     first = F.get(content_tokens(line), F.lit(0))
-    start = r"(?i)^\s*(navigate|tap|touch|select|choose|press|toggle|turn|go|open|enable|disable)"
-    return F.coalesce(first.isin(L.UI_VERBS) | line.rlike(start) & first.isNotNull(), F.lit(False))
+    return F.coalesce(first.isin(L.UI_VERBS) | line.rlike(INSTRUCTION) & first.isNotNull(), F.lit(False))
 
 
 _EDGE = r"^[(),/\-]+|[(),/\-]+$"
@@ -188,17 +195,15 @@ def describe(action: Column) -> Column:
         verb = F.coalesce(lookup(L.DESCRIPTION_VERBS, F.lower(F.get(ws, F.lit(0)))), F.lit("fix"))
         rest = content_tokens(F.array_join(F.slice(ws, 2, 1 << 20), " "))
         object_ = let(rest, lambda r: F.when(F.size(r) > 2, F.array_join(F.slice(r, -2, 2), " ")).when(F.size(r) > 0, F.array_join(r, " ")).otherwise("settings"))
-        return F.when(F.size(ws) == 0, "It will fix the device settings").otherwise(let(F.struct(verb.alias("v"), object_.alias("o")), line))
+        return F.when(F.size(ws) == 0, NO_ACTION).otherwise(let(F.struct(verb.alias("v"), object_.alias("o")), line))
 
     def line(x: Column) -> Column:
-        it, v, o = F.lit("It will"), x["v"], x["o"]
-        base = F.concat_ws(" ", it, v, o)
-        frames = [base, F.concat_ws(" ", it, F.lit("let you"), v, o), F.concat_ws(" ", base, F.lit("for you")), F.concat_ws(" ", it, F.lit("let you"), v, F.lit("the"), o)]
-        fillers = ["for you", "on your phone", "on the device", "in the app", "for this issue", "and apply changes"]
-        filled = [F.concat_ws(" ", base, F.lit(f)) for f in fillers]
-        cut = F.array_join(F.slice(F.split(base, " "), 1, 7), " ")
+        said = {"it": F.lit(BENEFIT), "v": x["v"], "o": x["o"]}
+        frames = [F.concat_ws(" ", *(said[w[1:-1]] if w[0] == "{" else F.lit(w) for w in frame.split())) for frame in FRAMES]
+        ended = [F.concat_ws(" ", frames[0], F.lit(e)) for e in ENDINGS]
+        cut = F.array_join(F.slice(F.split(frames[0], " "), 1, 7), " ")
         padded = F.when(F.size(F.split(cut, " ")) == 4, F.concat(cut, F.lit(" now"))).otherwise(cut)
-        return F.coalesce(_fitting(frames), _fitting(filled), padded)
+        return F.coalesce(_fitting(frames), _fitting(ended), padded)
 
     return let(words, build)
 
@@ -211,7 +216,7 @@ def describe_screen(leaf: Column) -> Column:
     def build(n: Column) -> Column:
         fits = _fitting([F.concat_ws(" ", it, F.lit("the"), n, F.lit("settings")), F.concat_ws(" ", it, n, F.lit("in device settings")), F.concat_ws(" ", it, F.lit("the"), n, F.lit("screen for you"))])
         shorter = let(content_tokens(n), lambda t: F.when(F.size(t) > 0, F.concat_ws(" ", it, F.lit("the"), F.array_join(F.slice(t, 1, F.least(F.size(t), F.lit(2))), " "), F.lit("settings"))))
-        return F.when(n == "", "It will open the relevant settings").otherwise(F.coalesce(fits, shorter, F.lit("It will open the device settings")))
+        return F.when(n == "", NO_SCREEN).otherwise(F.coalesce(fits, shorter, F.lit(ANY_SCREEN)))
 
     return let(name, build)
 

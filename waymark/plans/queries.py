@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import grammar as G
 from ..functions import lexicon as L
+from ..functions import paraphrase as P
 from ..functions import text as T
 from ..functions import unicode as U
 from ..operators import gates, metrics
@@ -505,11 +506,41 @@ def multi_intent(spark, sf):
     return rows.select("item_id", "part_no", "part", T.signature(F.col("part"), PROSE).alias("signature"))
 
 
-@_query()
+_KEYWORDS = "array_to_string(atoms, ' ')"
+_DRAWN = "(('0x' || substring(md5({0}), 1, 8))::BIGINT % {1})"
+
+
+def _frames_sql() -> str:
+    """The texts tried, as a SQL list over keywords k and the seed."""
+
+    def framed(frame: str) -> str:
+        out = "'" + frame.replace("'", "''") + "'"
+        for slot, value in (("{s}", "k"), ("{S}", "upper(lower(k)[1]) || lower(k)[2:]"), ("{d}", f"'{P.DEVICE}'"), ("{k}", "k")):
+            out = f"replace({out}, '{slot}', {value})"
+        return out
+
+    def turn(t: int) -> str:
+        frames = P.FRAMES[t % len(P.FRAMES)]
+        chosen = f"[{', '.join(map(framed, frames))}][{_DRAWN.format(f"seed || ':{t}'", len(frames))} + 1]"
+        if frames is not P.FRAMES[-1]:
+            return chosen
+        key = f"seed || ':{t}:' || (i - 1) || ':"
+        at = f"({_DRAWN.format(key + "place'", 'greatest(length(w) - 2, 1)')} + 2)"
+        left_out = f"w[1:{at} - 1] || w[{at} + 1:]"
+        swapped = f"w[1:{at} - 1] || w[{at} + 1] || w[{at}] || w[{at} + 2:]"
+        edited = f"CASE WHEN length(w) < 4 THEN w WHEN {_DRAWN.format(key + "kind'", 2)} = 0 THEN {left_out} ELSE {swapped} END"
+        return f"array_to_string(list_transform(list_filter(regexp_split_to_array({chosen}, '\\s+'), lambda w: w <> ''), lambda w, i: {edited}), ' ')"
+
+    return f"list_concat([trim(text)], [{', '.join(map(turn, range(P.TRIED)))}])"
+
+
+@_query(f"""WITH {_atoms_cte("benchmark", "item_id", "text")}, s AS (SELECT item_id, item_id AS seed, text, {_KEYWORDS} AS k FROM benchmark JOIN a ON a.id = item_id),
+  l AS (SELECT item_id, {_frames_sql()} AS tried FROM s), u AS (SELECT item_id, list_filter(tried, lambda x, i: list_position(tried, x) = i)[1:{P.KEPT}] AS v FROM l)
+  SELECT item_id, generate_subscripts(v, 1) - 1 AS position, unnest(v) AS variation FROM u""")
 def paraphrases(spark, sf):
-    ship(spark)
-    rows = _table(spark, sf, "benchmark").select("item_id", "text", F.array_join(T.atoms(F.col("text"), PROSE), " ").alias("keywords"), F.col("item_id").alias("seed"))
-    return U.with_paraphrases(rows).select("item_id", F.posexplode("variations").alias("position", "variation"))
+    words = F.array_join(T.atoms(F.col("text"), PROSE), " ")
+    rows = _table(spark, sf, "benchmark").select("item_id", F.posexplode(P.paraphrases(F.col("text"), words, F.col("item_id"))).alias("position", "variation"))
+    return rows.withColumn("position", F.col("position").cast("long"))
 
 
 @_query()
