@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from waymark.operators import retrieval as R
 from waymark.plans import compile as C
 from waymark.plans import serve as S
 from waymark.sources import articles as A
@@ -87,6 +88,22 @@ def test_answers(spark, loaded):
     assert len(got[2].contexts) == 2 and got[2].contexts[0].score >= got[2].contexts[1].score
     assert len(got[1].contexts) == 1 and got[1].cache_hit
     assert len({c.goal for c in got[2].contexts}) == 2
+    hashed = {r.query_id: r for r in S.answer(asked, plans, aliases, floor=0.2, encoder=R.hashed_cosine).collect()}
+    assert {i: r.plan_ids for i, r in hashed.items()} == {i: r.plan_ids for i, r in got.items()}
+
+
+def test_accents_are_taken_apart_before_words_are_looked_up(spark):
+    asked = spark.createDataFrame([(1, "Écran: the ﬂash is blinking"), (2, "e\u0301cran: the flash is blinking")], "query_id long, text string")
+    a, b = S.parts(asked).orderBy("query_id").collect()
+    assert a.key == b.key == "display::flicker::trigger:none"
+
+
+def test_unknown_links(spark, loaded):
+    articles, catalog = loaded
+    rows = C.goals(articles, catalog).select("id", "contexts")
+    lost = lambda c: {r.id: r._unknown for r in C.with_unknown_links(rows, c).collect()}
+    assert not any(lost(catalog).values()) and not any(lost(catalog.limit(0)).values())
+    assert lost(catalog.where("id = '1'"))["a"] == ["voiceassist://sleep_on"]
 
 
 def test_cold_plans_are_found_the_next_time(spark, loaded):

@@ -37,15 +37,21 @@ def test_gram_cosine(spark):
     assert got[1, 2] == 1.0 and (1, 3) not in got and got[3, 3] == 1.0 and (4, 1) not in got
 
 
+def test_hashed_cosine(spark):
+    rows = spark.createDataFrame([(1, "Wi-Fi calling"), (2, "wi-fi  CALLING"), (3, "zzzzzz"), (4, "")], "a long, text string")
+    got = {(r.a, r.b): round(r.cosine, 5) for r in R.hashed_cosine(rows, rows.withColumnRenamed("a", "b"), "a", "b").collect()}
+    assert got[1, 2] == 1.0 and got.get((1, 3), 0) < 0.2 and got[3, 3] == 1.0 and (4, 1) not in got
+
+
 def test_gram_idf(spark):
     rows = spark.createDataFrame([(1, "abc"), (2, "abd"), (3, "abc abc")], "a long, text string")
     got = {r.gram: (r.df, r.idf) for r in R.gram_idf(rows, "a", "text").collect()}
     assert got["abc"][0] == 2 and got[" ab"][0] == 3 and abs(got["abc"][1] - math.log(4 / 3) - 1e-6) < 1e-12
 
 
-@pytest.mark.parametrize("limit", [10**6, 2])
+@pytest.mark.parametrize("limit", [10**6, 12])
 def test_every_pair(spark, monkeypatch, limit):
-    monkeypatch.setattr(R, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(R, "BROADCAST_BYTES", limit)
     left, right = spark.range(7).withColumnRenamed("id", "a"), spark.range(5).withColumnRenamed("id", "b")
     got = sorted(tuple(r) for r in R.every_pair(left, right).select("a", "b").collect())
     assert got == [(a, b) for a in range(7) for b in range(5)]

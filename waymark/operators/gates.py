@@ -46,13 +46,13 @@ def action_codes(action: Column) -> list[Column]:
     ]
 
 
-def group_codes(category: Column, group: Column, known: Column | None) -> list[Column]:
+def group_codes(category: Column, group: Column, unknown: Column | None) -> list[Column]:
     link, check = group["actionableDeeplink"], group["validationDeeplink"]
     uri = link["deeplink"]
     auto, manual = category == "auto", category == "manual"
     listed = auto & T.is_catalog_link(uri)
     words = T.word_count(link["description"])
-    outside = listed & ~F.array_contains(known, uri) & (F.size(known) > 0) if known is not None else F.lit(False)
+    outside = listed & F.array_contains(unknown, uri) if unknown is not None else F.lit(False)
     return [
         _when(F.size(group["steps"]) == 0, "EMPTY_STEPS"),
         _when(outside, "DEEPLINK_NOT_IN_CATALOG"),
@@ -68,13 +68,20 @@ def step_codes(step: Column) -> list[Column]:
     return [_when(T.leaks_address(step), "STEP_URL_LEAK"), _when((dots > 1) & ~step.endswith("."), "STEP_MULTI_INTERACTION")]
 
 
-def audit(answers: DataFrame, contexts="contexts", known: Column | None = None) -> DataFrame:
+def links(contexts: Column) -> Column:
+    """The links that an answer's actions open."""
+    groups = F.flatten(F.transform(F.flatten(F.transform(contexts, lambda c: c["actions"])), lambda a: a["stepGroups"]))
+    return F.array_distinct(F.array_compact(F.transform(groups, lambda g: g["actionableDeeplink"]["deeplink"])))
+
+
+def audit(answers: DataFrame, contexts="contexts", unknown: Column | None = None) -> DataFrame:
     """answers with gate struct<ok, failures array<string>, checks map<string,int>>; the
     failures repeat as often as a rule is broken. Only the answer is searched for
-    addresses, not the question it echoes. known: the catalog's links."""
+    addresses, not the question it echoes. unknown: those of the answer's links that the
+    catalog does not have."""
 
     def of_group(a: Column, g: Column) -> Column:
-        return F.concat(F.array(*group_codes(a["category"], g, known)), F.flatten(F.transform(g["steps"], lambda s: F.array(*step_codes(s)))))
+        return F.concat(F.array(*group_codes(a["category"], g, unknown)), F.flatten(F.transform(g["steps"], lambda s: F.array(*step_codes(s)))))
 
     def of_action(a: Column) -> Column:
         return F.concat(F.array(*action_codes(a)), F.flatten(F.transform(a["stepGroups"], lambda g: of_group(a, g))))

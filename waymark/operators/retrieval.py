@@ -3,20 +3,22 @@ factors, and the exact-then-similar lookup with a floor and a margin.
 
 Candidates always come from equi-joins on terms or grams where a score needs a shared
 one; where a score gives something to every pair (the dense part, half a point for
-nothing in common), the smaller side's size is checked before it is broadcast, and the
-larger one is dealt out, so no single task sees all pairs.
+nothing in common), the smaller side's bytes are counted before it is broadcast, and a
+larger one is dealt out in blocks of that size, so no single task sees all pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import unicode as U
+from ..tables import settle
 
 K1, B = 1.5, 0.75
-#: Rows of the smaller side that may be broadcast to all pairs.
-BROADCAST_ROWS = 200_000
+#: Bytes, as text, of what may be broadcast to all pairs.
+BROADCAST_BYTES = 64 << 20
 
 
 def postings(docs: DataFrame, id_col: str, words: Column) -> DataFrame:
@@ -33,13 +35,18 @@ def idf(found: DataFrame, documents: int) -> DataFrame:
 
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, query_words: Column, doc_words: Column) -> DataFrame:
     """(query, doc, score) of every pair with a common term; query terms count as often
-    as they occur."""
-    found = postings(docs, doc_id, doc_words)
-    count, mean = docs.select(F.count("*"), F.coalesce(F.avg(F.size(doc_words)), F.lit(0.0))).first()
-    rates = idf(found, count)
+    as they occur. The documents are read once: postings are kept of the terms that a
+    query has, before anything moves, and number and mean length are observed on the way."""
     asked = queries.select(F.col(query_id), F.explode(query_words).alias("term")).groupBy(query_id, "term").agg(F.count("*").alias("times"))
+    asked = settle(asked)
+    seen = Observation()
+    rows = docs.select(F.col(doc_id), doc_words.alias("ws")).select("*", F.size("ws").alias("len"))
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.coalesce(F.avg("len"), F.lit(0.0)).alias("mean"))
+    terms = rows.select(doc_id, "len", F.explode("ws").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    found = settle(terms.groupBy(doc_id, "len", "term").agg(F.count("*").alias("tf")))
+    count, mean = seen.get["n"], seen.get["mean"]
     gain = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.lit(float(mean) or 1.0)))
-    joined = asked.join(rates, "term").join(found, "term")
+    joined = asked.join(idf(found, count), "term").join(found, "term")
     return joined.groupBy(query_id, doc_id).agg(F.sum(F.col("times") * gain).alias("score"))
 
 
@@ -63,11 +70,23 @@ def gram_idf(rows: DataFrame, id_col: str, text: str) -> DataFrame:
     return grams.groupBy("gram").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(n + 1.0) / (F.col("df") + 1)) + 1e-6)
 
 
+def _cosine(q: DataFrame, d: DataFrame, query_id: str, doc_id: str, key: str) -> DataFrame:
+    both = q.withColumnRenamed("w", "qw").join(d.withColumnRenamed("w", "dw"), key)
+    return both.groupBy(query_id, doc_id).agg(F.sum(F.col("qw") * F.col("dw")).alias("cosine"))
+
+
 def gram_cosine(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text="text") -> DataFrame:
     """(query, doc, cosine) of every pair with a common gram."""
-    q = gram_weights(queries, query_id, text).withColumnRenamed("w", "qw")
-    d = gram_weights(docs, doc_id, text).withColumnRenamed("w", "dw")
-    return q.join(d, "gram").groupBy(query_id, doc_id).agg(F.sum(F.col("qw") * F.col("dw")).alias("cosine"))
+    return _cosine(gram_weights(queries, query_id, text), gram_weights(docs, doc_id, text), query_id, doc_id, "gram")
+
+
+def hashed_cosine(queries: DataFrame, docs: DataFrame, query_id: str, doc_id: str, text="text") -> DataFrame:
+    """The same with hashed grams: pairs with a common bucket."""
+
+    def weights(rows: DataFrame, id_col: str) -> DataFrame:
+        return rows.select(id_col, F.posexplode(U.encode(F.col(text))).alias("bucket", "w")).where("w > 0").withColumn("w", F.col("w").cast("double"))
+
+    return _cosine(weights(queries, query_id), weights(docs, doc_id), query_id, doc_id, "bucket")
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -76,11 +95,13 @@ def dot(a: Column, b: Column) -> Column:
 
 def every_pair(left: DataFrame, right: DataFrame) -> DataFrame:
     """Each row of left with each of right, for scores that say something about every
-    pair: the right side is broadcast if it is small, else both are dealt out in blocks."""
-    n = right.limit(BROADCAST_ROWS + 1).count()
-    if n <= BROADCAST_ROWS:
+    pair: the right side is broadcast if it is small, else dealt out in blocks that are,
+    and left is copied to each."""
+    right = settle(right)
+    size = right.agg(F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*right.columns)))), F.lit(0))).first()[0]
+    blocks = -(-size // BROADCAST_BYTES)
+    if blocks <= 1:
         return left.join(F.broadcast(right), F.lit(True))
-    blocks = left.sparkSession.sparkContext.defaultParallelism * 4
     salted = right.withColumn("_block", F.pmod(F.xxhash64(*right.columns), F.lit(blocks)))
     copies = left.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     return copies.join(salted, "_block").drop("_block")

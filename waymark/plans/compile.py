@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from ..functions import grammar as G
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions import unicode as U
 from ..operators import gates, metrics
 from ..operators import retrieval as R
+from ..shipping import ship
 from ..sources.articles import fingerprint
 from ..tables import settle
 
@@ -99,7 +101,6 @@ def goals(articles: DataFrame, catalog: DataFrame, mode="hybrid") -> DataFrame:
     actions, and what the gate says of it."""
     found = settle(actions(articles))
     best = settle(resolve(found, catalog, mode).where("rank = 1").drop("rank"))
-    # as many entries as the catalog has; the size is checked in every_pair above
     entries = catalog.select(F.col("id").alias("entry"), F.struct("deeplink", "description", "message", "originalType", "validation").alias("e"))
     rows = found.join(best, ["id", "action_no"], "left").join(entries, "entry", "left")
     path = G.path(F.col("steps"))
@@ -137,28 +138,41 @@ def goals(articles: DataFrame, catalog: DataFrame, mode="hybrid") -> DataFrame:
     )
     build = F.struct("n_actions", "n_resolved", generic.alias("n_generic"), F.round(F.col("n_resolved") / F.col("n_actions"), 4).alias("resolution_rate"), "mean_target_overlap", "polarity_agreement", "n_polarity_considered")
     out = packed.join(topics, "id").select("id", "title", "topic", F.array(context).alias("contexts"), build.alias("build"))
-    known = catalog.agg(F.array_append(F.collect_set("deeplink"), F.lit(L.PLACEHOLDER)).alias("_known"))
-    out = gates.audit(out.join(F.broadcast(known), F.lit(True)), known=F.col("_known"))  # one row: the catalog's links
-    return out.drop("_known")
+    return gates.audit(with_unknown_links(out, catalog), unknown=F.col("_unknown")).drop("_unknown")
+
+
+def with_unknown_links(answers: DataFrame, catalog: DataFrame) -> DataFrame:
+    """answers(id, contexts) with those of their links that the catalog does not have (none
+    if the catalog has no links at all)."""
+    known = catalog.select("deeplink").where("deeplink is not null")
+    if not known.limit(1).count():
+        return answers.withColumn("_unknown", F.array().cast("array<string>"))
+    asked = answers.select("id", F.explode(gates.links(F.col("contexts"))).alias("deeplink")).where(F.col("deeplink") != L.PLACEHOLDER)
+    lost = asked.join(known, "deeplink", "left_anti").groupBy("id").agg(F.collect_list("deeplink").alias("_unknown"))
+    return answers.join(lost, "id", "left").withColumn("_unknown", F.coalesce("_unknown", F.array().cast("array<string>")))
 
 
 def plans(articles: DataFrame, catalog: DataFrame, lexicon: L.Lexicon = L.STOCK, mode="hybrid") -> DataFrame:
     """Compiled plans that pass the gate, with identity, signature and domain."""
+    ship(articles.sparkSession)
     rows = goals(articles, catalog, mode).where("gate.ok").join(articles.select("id", "original_query"), "id")
     seed = F.coalesce(F.when(F.trim("original_query") != "", F.col("original_query")), F.when(F.col("title") != "", F.col("title")), F.col("topic"))
     body = F.to_json(F.col("contexts")[0])
-    signed = F.concat_ws(" ", seed, F.col("title"))
+    # accents are taken apart before words are looked up
+    rows = rows.withColumn("_seed", seed).withColumns({"_words": U.normal(F.col("_seed")), "_signed": U.normal(F.concat_ws(" ", "_seed", "title"))})
+    seed, signed = F.col("_seed"), F.col("_signed")
     return rows.select(
         F.concat(F.lit("FG-"), fingerprint(F.col("id"), body, length=10)).alias("plan_id"), F.col("id").alias("source_id"),
         F.col("title").alias("source_title"), "topic", F.col("contexts")[0].alias("goal"),
         T.signature(signed, lexicon).alias("intent_signature"), T.domain(T.atoms(signed, lexicon), lexicon).alias("domain"),
-        F.array_join(T.atoms(seed, lexicon), " ").alias("keywords"), seed.alias("seed"), "build", fingerprint(body).alias("content_hash"), "gate",
+        F.array_join(T.atoms(F.col("_words"), lexicon), " ").alias("keywords"), seed.alias("seed"), "build", fingerprint(body).alias("content_hash"), "gate",
     )
 
 
 def aliases(compiled: DataFrame, lexicon: L.Lexicon = L.STOCK) -> DataFrame:
     """(plan_id, alias_pos, text): what a plan is found by; blank ones go."""
-    own = F.array("intent_signature", T.normalized(F.col("seed"), lexicon), "topic", "source_title", "keywords", "seed")
+    compiled = compiled.withColumn("_words", U.normal(F.col("seed")))
+    own = F.array("intent_signature", T.normalized(F.col("_words"), lexicon), "topic", "source_title", "keywords", "seed")
     more = F.concat(own, F.col("variations")) if "variations" in compiled.columns else own
     return compiled.select("plan_id", F.posexplode(more).alias("alias_pos", "text")).where(F.trim("text") != "")
 

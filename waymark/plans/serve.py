@@ -3,33 +3,44 @@ rest, several intents in one complaint, and one answer for each."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import grammar as G
 from ..functions import lexicon as L
 from ..functions import text as T
+from ..functions import unicode as U
 from ..operators import metrics
 from ..operators import retrieval as R
+from ..shipping import ship
 from ..sources.articles import fingerprint
 from . import compile as C
 
 FLOOR, MARGIN = 0.72, 0.02
 
+#: (queries, texts, query id, text id) to (query id, text id, cosine); both have ``text``.
+Encoder = Callable[[DataFrame, DataFrame, str, str], DataFrame]
+
 
 def parts(queries: DataFrame, lexicon: L.Lexicon = L.STOCK) -> DataFrame:
     """queries(query_id, text) to (query_id, part_no, part, key): one row for each intent."""
+    ship(queries.sparkSession)
     rows = queries.select("query_id", F.posexplode(G.intents(F.col("text"), lexicon)).alias("part_no", "part"))
-    return rows.withColumn("key", T.signature(T.stripped(F.col("part")), lexicon))
+    # accents are taken apart before words are looked up
+    folded = rows.withColumn("_words", U.normal(T.stripped(F.col("part"))))
+    return folded.withColumn("key", T.signature(F.col("_words"), lexicon)).drop("_words")
 
 
-def lookup(asked: DataFrame, plans: DataFrame, aliases: DataFrame, floor=FLOOR, least=MARGIN) -> DataFrame:
+def lookup(asked: DataFrame, plans: DataFrame, aliases: DataFrame, floor=FLOOR, least=MARGIN, encoder: Encoder = R.gram_cosine) -> DataFrame:
     """asked with plan_id, sim, margin and tier: exact where a plan has the signature (the
-    last one, by id), else the plan of the nearest alias if it is near and clear enough."""
+    last one, by id), else the plan of the nearest alias if it is near and clear enough.
+    encoder: what tells how near texts are (``gram_cosine``, ``hashed_cosine``, or another)."""
     keyed = plans.select("plan_id", F.col("intent_signature").alias("key"))
     hit = R.exact_lookup(asked, keyed, "key", "plan_id", "plan_id").withColumnRenamed("hit", "exact")
     rest = hit.where("exact is null").withColumn("query", F.concat_ws("#", "query_id", "part_no"))
-    cosine = R.gram_cosine(rest.select("query", F.col("part").alias("text")), aliases.select(F.concat_ws("#", "plan_id", "alias_pos").alias("alias"), "text"), "query", "alias")
+    cosine = encoder(rest.select("query", U.normal(F.col("part")).alias("text")), aliases.select(F.concat_ws("#", "plan_id", "alias_pos").alias("alias"), U.normal(F.col("text")).alias("text")), "query", "alias")
     sims = cosine.withColumn("plan", F.substring_index("alias", "#", 1)).groupBy("query", "plan").agg(F.max("cosine").alias("sim"))
     best = R.best_and_margin(sims)
     found = rest.join(best, "query", "left").withColumn("tier", R.tier(F.coalesce("sim", F.lit(0.0)), F.coalesce("margin", F.lit(0.0)), floor, least))
@@ -52,11 +63,11 @@ def cold_plans(found: DataFrame, articles: DataFrame, catalog: DataFrame, lexico
     return out.select(*columns).dropDuplicates(["plan_id"])
 
 
-def answer(queries: DataFrame, plans: DataFrame, aliases: DataFrame, lexicon: L.Lexicon = L.STOCK, floor=FLOOR, least=MARGIN) -> DataFrame:
+def answer(queries: DataFrame, plans: DataFrame, aliases: DataFrame, lexicon: L.Lexicon = L.STOCK, floor=FLOOR, least=MARGIN, encoder: Encoder = R.gram_cosine) -> DataFrame:
     """(query_id, contexts, plan_ids, tier, cache_hit, margin, fallback) of every query:
     goals without repeats, best first. Tier and hit are those of the first part; blank
     queries fall back to ``empty_query``, others without a plan to ``no_match``."""
-    found = lookup(parts(queries, lexicon), plans, aliases, floor, least)
+    found = lookup(parts(queries, lexicon), plans, aliases, floor, least, encoder)
     goal = found.join(plans.select("plan_id", "goal"), "plan_id")
     key = F.lower(T.squeezed(F.col("goal.goal")))
     best = metrics.keep_best(goal.withColumn("score", F.col("goal.score")), ["query_id"], key, "score", "part_no", ["goal", "plan_id", "score"])

@@ -3,6 +3,8 @@ plans: Parquet by version, with a pointer to the current one, and JSON reports."
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,15 +71,29 @@ def complaints(spark: SparkSession, path: str) -> DataFrame:
 
 
 def save_plans(plans: DataFrame, folder: str, version: str) -> None:
-    """Writes a version, then the pointer to it; readers of the old version go on."""
+    """Writes a version, then a pointer to it that replaces the former one in one step;
+    readers of the old version go on."""
+    spark = plans.sparkSession
     plans.write.mode("overwrite").parquet(f"{folder}/plans/version={version}")
-    plans.sparkSession.createDataFrame([(version,)], "version string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/current")
+    pointer, jvm = f"{folder}/current-{uuid.uuid4().hex}", spark.sparkContext._jvm
+    spark.createDataFrame([(version,)], "version string").coalesce(1).write.parquet(pointer)
+    path = jvm.org.apache.hadoop.fs.Path
+    fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    # a pointer is found by its number, so the new one counts from the moment of its renaming
+    at = 1 + max((int(f.getPath().getName()[8:]) for f in fs.globStatus(path(f"{folder}/current=*")) or ()), default=0)
+    fs.rename(path(pointer), path(f"{folder}/current={at}"))
+    for f in fs.globStatus(path(f"{folder}/current=*")):
+        if int(f.getPath().getName()[8:]) < at - 1:  # the last one may still be read
+            fs.delete(f.getPath(), True)
 
 
 def load_plans(spark: SparkSession, folder: str, version: str | None = None) -> DataFrame:
     """The plans of a version, by default the current one."""
     if version is None:
-        version = spark.read.parquet(f"{folder}/current").first()["version"]
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        fs = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        at = max(int(f.getPath().getName()[8:]) for f in fs.globStatus(path(f"{folder}/current=*")))
+        version = spark.read.parquet(f"{folder}/current={at}").first()["version"]
     return spark.read.parquet(f"{folder}/plans/version={version}")
 
 
