@@ -1,17 +1,18 @@
 """Line dedup: long passages that a corpus repeats are cut from all documents but
 their first one. DataFrame functions only.
 
-A text is folded into lines of one word each, and a line ends a chunk if the hashes
-of it and the one before it fall into the first of some classes. Where that leaves ``SPAN`` lines in a row without an end,
-those of the next class end chunks as well, and so on; in the last all lines do. So no
-chunk is longer than SPAN, and what is decided inside a passage of SPAN lines is the same
-wherever it stands. A chunk's hash is rolled over the hashes of the ``ROLL`` lines up to
-its end. Any passage of 2 * SPAN + ROLL + 1 words therefore holds a chunk that matches: from
-the last end in its first SPAN words to the first in its last SPAN words, all are the same
-everywhere. Chunks are matched by hash over the whole corpus; chunks that continue the same
-match make a run, and every run is compared, byte by byte, with the words in the first
-document, and widened word by word as long as both read the same. What is matched in one
-stretch of ``min_words`` words or more goes.
+A text is folded into lines of one word each, and a line ends a chunk if the hashes of it
+and the one before it fall into the first of some classes. Where that leaves ``SPAN`` lines
+in a row without an end, those of the next class end chunks as well, and so on; after the
+last class tried, all lines do. So no chunk is longer than SPAN, and what is decided inside
+a passage of SPAN lines is the same wherever it stands. A chunk's hash is rolled over the
+hashes of the ``ROLL`` lines up to its end. Any passage of 2 * SPAN + ROLL + 1 words
+therefore holds a chunk that matches: from the last end in its first SPAN words to the
+first in its last SPAN words, all are the same everywhere. Chunks are matched by hash over
+the whole corpus; chunks that continue the same match make a run, and every run is
+compared, byte by byte, with the words in the first document, and widened word by word as
+long as both read the same. What is matched in one stretch of ``min_words`` words or more
+goes. Only the texts that matches touch are moved.
 
 Defined results: null and empty texts, and rows without an id, come back as they are;
 rows with the same id and text are one document and treated alike; what repeats only
@@ -33,7 +34,7 @@ from .common import discard, materialize
 #: Words in a row of which one ends a chunk, and words that a chunk's hash takes in.
 SPAN, ROLL = 21, 8
 #: One of so many classes of hashes ends chunks, and so many are tried in turn.
-PARTS, TRIED = 12, 4
+PARTS, TRIED = 16, 6
 #: A chunk with more than this share of all rows is dealt with apart; so there are at most
 #: 1 / HOT_SHARE of them, which is what is sent to the tasks.
 HOT_SHARE = 1 / 20_000
@@ -130,10 +131,9 @@ def _beside(words: Column, a: Column, b: Column) -> tuple[Column, Column]:
     return _joined(words, F.greatest(a - REACH, F.lit(0)), F.least(a, F.lit(REACH))), _joined(words, b, F.lit(REACH))
 
 
-def matches(docs: DataFrame) -> DataFrame:
-    """docs(id, text) to (own, ps): for every run of a document its place, and the words
-    of it and beside it in the first document."""
-    found = runs(docs.select("id", "text"))
+def matches(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """docs(id, text) and their runs to (own, ps): for every run of a document its place,
+    and the words of it and beside it in the first document."""
     n = F.expr("b - a").alias("n")
     asked = found.select("id0", "a0", n).distinct()
     asked = asked.groupBy(F.col("id0").alias("wid")).agg(F.collect_list(F.struct("a0", "n")).alias("ps"))
@@ -201,10 +201,14 @@ def dedup(docs: DataFrame, id_col="doc_id", text="text", min_words=MIN_WORDS) ->
     """docs with its text shortened, and removed_words and removed_spans added."""
     others = [c for c in docs.columns if c not in (text, "removed_words", "removed_spans")]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"))
-    # the same rows in both joins, so that Spark moves the texts once
     named = rows.where("id is not null")
-    found = matches(named)
-    joined = named.join(found, F.col("id") == F.col("own"), "left")
+    found = runs(named.select("id", "text"))
+    # documents with a run or with the first place of one: where they are few, a table that
+    # Spark broadcasts by its size; the same rows in both joins, so that texts move once
+    ids = materialize(found.select(F.col("id").alias("own")).unionAll(found.select("id0")).distinct(), "touched")
+    touched = named.join(ids, F.col("id") == F.col("own"), "left_semi")
+    rest = named.join(ids, F.col("id") == F.col("own"), "left_anti").unionAll(rows.where("id is null"))
+    joined = touched.join(matches(touched, found), F.col("id") == F.col("own"), "left")
 
     def result(cs: Column) -> Column:
         return F.struct(
@@ -215,7 +219,7 @@ def dedup(docs: DataFrame, id_col="doc_id", text="text", min_words=MIN_WORDS) ->
     whole = F.struct(F.col("text"), F.lit(0).alias("words"), F.lit(0).alias("spans"))
     cut = _let(_let(words_of(F.col("text")), lambda words: _cuts(words, F.col("ps"), min_words)), result)
     done = joined.select("others", F.explode(F.array(F.when(F.col("ps").isNotNull(), cut).otherwise(whole))).alias("done"))
-    done = done.unionAll(rows.where("id is null").select("others", whole.alias("done")))
+    done = done.unionAll(rest.select("others", whole.alias("done")))
     return done.select(
         *(F.col("done.text").alias(text) if c == text else F.col(f"others.`{c}`") for c in docs.columns if c not in ("removed_words", "removed_spans")),
         F.col("done.words").alias("removed_words"), F.col("done.spans").alias("removed_spans"),
