@@ -93,3 +93,17 @@ def test_every_passage_of_50_words_is_found(spark):
         assert all(got[i].text == texts[i] for i in range(300))
         for k, p in enumerate(passages):
             assert got[1000 + k].removed_words >= 52 and p not in got[1000 + k].text
+
+
+def test_patterns_over_and_over(spark):
+    """One word, or a few, again and again, beside other words."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    rows = []
+    for k, pattern in enumerate((["aa"], ["bb", "cc"], ["dd", "ee", "ff"], ["g", "h", "i", "j"])):
+        for copy in range(2):
+            body = (pattern * 900)[copy : copy + 700 + 100 * copy]
+            rows.append((10 * copy + k, " ".join([*(word() for _ in range(30 + 7 * copy)), *body, *(word() for _ in range(25))])))
+    got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in range(4):
+        assert got[k].removed_words == 0 and 700 <= got[10 + k].removed_words <= 800, k

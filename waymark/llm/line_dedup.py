@@ -4,15 +4,15 @@ their first one. DataFrame functions only.
 A text is folded into lines of one word each, and a line ends a chunk if the hashes of it
 and the one before it fall into the first of some classes. Where that leaves ``SPAN`` lines
 in a row without an end, those of the next class end chunks as well, and so on; after the
-last class tried, all lines do. So no chunk is longer than SPAN, and what is decided inside
-a passage of SPAN lines is the same wherever it stands. A chunk's hash is rolled over the
-hashes of the ``ROLL`` lines up to its end. Any passage of 2 * SPAN + ROLL + 1 words
-therefore holds a chunk that matches: from the last end in its first SPAN words to the
-first in its last SPAN words, all are the same everywhere. Chunks are matched by hash over
-the whole corpus; chunks that continue the same match make a run, and every run is
-compared, byte by byte, with the words in the first document, and widened word by word as
-long as both read the same. What is matched in one stretch of ``min_words`` words or more
-goes. Only the texts that matches touch are moved.
+last class tried, all lines do (but within patterns of a few words over and over, where a
+few in SPAN are enough, since they read the same anywhere). So no chunk is longer than SPAN, and of any SPAN lines of a
+passage one ends a chunk wherever the passage stands. A chunk's hash is rolled over the
+hashes of the ``ROLL`` lines up to its end; any passage of SPAN + ROLL words therefore
+holds an end whose hash matches. Chunks are matched by hash over the whole corpus; chunks
+that continue the same match make a run, and every run is compared, byte by byte, with the
+words in the first document, and widened word by word as long as both read the same. What
+is matched in one stretch of ``min_words`` words or more goes. Only the texts that matches
+touch are moved.
 
 Defined results: null and empty texts, and rows without an id, come back as they are;
 rows with the same id and text are one document and treated alike; what repeats only
@@ -25,6 +25,7 @@ no rows; columns besides id and text are kept, but for ``removed_words`` and
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,16 +33,18 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 
 #: Words in a row of which one ends a chunk, and words that a chunk's hash takes in.
-SPAN, ROLL = 21, 8
+SPAN, ROLL = 28, 20
 #: One of so many classes of hashes ends chunks, and so many are tried in turn.
 PARTS, TRIED = 16, 6
+#: Patterns of so many lines, at most, over and over, end chunks only now and then.
+PERIOD = 4
 #: A chunk with more than this share of all rows is dealt with apart; so there are at most
 #: 1 / HOT_SHARE of them, which is what is sent to the tasks.
 HOT_SHARE = 1 / 20_000
 #: Parts that the rows of such a chunk are dealt out to.
 SALTS = 1024
 #: How many words a match is widened by on each side of a run: more than a passage can
-#: hold beside its first or last matching chunk.
+#: hold before its first matching window or after its last.
 REACH = 30
 MIN_WORDS = 40
 
@@ -65,8 +68,13 @@ def _joined(words: Column, start: Column, n: Column) -> Column:
 def _ends(hashes: Column, start: Column, n: Column, level: int = 0) -> Column:
     """The last positions of chunks among n lines from start on, in no order."""
     every = F.sequence(start, start + n - 1)
+    at = lambda i: F.get(hashes, i)
+    # a line that reads like one of the few before it, as in a pattern over and over
+    again = lambda i: reduce(Column.__or__, (at(i).eqNullSafe(at(i - j)) for j in range(1, PERIOD + 1)))
     if level == TRIED:
-        return every
+        # wherever a pattern is cut, each of its turns is met
+        return F.filter(every, lambda i: ((i - start) % SPAN >= SPAN - PERIOD) | ~again(i))
+    chosen = lambda i: F.pmod(at(i).bitwiseXOR(F.shiftright(at(i - 1), 3)), F.lit(PARTS)) == level
 
     def deeper(e: Column) -> Column:
         before = lambda k: F.coalesce(F.get(e, k - 1), start - 1)
@@ -75,7 +83,7 @@ def _ends(hashes: Column, start: Column, n: Column, level: int = 0) -> Column:
         inside = lambda k: _let(before(k), lambda a: _ends(hashes, a + 1, end(k) - a - 1, level + 1))
         return F.concat(e, F.flatten(F.transform(gaps, inside)))
 
-    return _let(F.filter(every, lambda i: F.pmod(F.get(hashes, i).bitwiseXOR(F.get(hashes, i - 1)), F.lit(PARTS)) == level), deeper)
+    return _let(F.filter(every, lambda i: chosen(i) & ~again(i)), deeper)
 
 
 def chunks(text: Column) -> Column:
