@@ -5,14 +5,13 @@ A text is folded into lines of one word each, and a line ends a chunk if the has
 and the one before it fall into the first of some classes. Where that leaves ``SPAN`` lines
 in a row without an end, those of the next class end chunks as well, and so on; after the
 last class tried, all lines do (but within patterns of a few words over and over, where a
-few in SPAN are enough, since they read the same anywhere). So no chunk is longer than SPAN, and of any SPAN lines of a
-passage one ends a chunk wherever the passage stands. A chunk's hash is rolled over the
-hashes of the ``ROLL`` lines up to its end; any passage of SPAN + ROLL words therefore
-holds an end whose hash matches. Chunks are matched by hash over the whole corpus; chunks
+few in SPAN are enough, since they read the same anywhere). So no chunk is longer than
+SPAN, and of any SPAN lines of a passage one ends a chunk wherever the passage stands. A
+chunk's hash is rolled over the hashes of the ``ROLL`` lines up to its end; any passage of
+SPAN + ROLL words therefore holds an end whose hash matches. Chunks are matched by hash over the whole corpus; chunks
 that continue the same match make a run, and every run is compared, byte by byte, with the
 words in the first document, and widened word by word as long as both read the same. What
-is matched in one stretch of ``min_words`` words or more goes. Only the texts that matches
-touch are moved.
+is matched in one stretch of ``min_words`` words or more goes.
 
 Defined results: null and empty texts, and rows without an id, come back as they are;
 rows with the same id and text are one document and treated alike; what repeats only
@@ -209,14 +208,9 @@ def dedup(docs: DataFrame, id_col="doc_id", text="text", min_words=MIN_WORDS) ->
     """docs with its text shortened, and removed_words and removed_spans added."""
     others = [c for c in docs.columns if c not in (text, "removed_words", "removed_spans")]
     rows = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.struct(*(F.col(f"`{c}`") for c in others)).alias("others"))
+    # the same rows in both joins, so that Spark moves the texts once
     named = rows.where("id is not null")
-    found = runs(named.select("id", "text"))
-    # documents with a run or with the first place of one: where they are few, a table that
-    # Spark broadcasts by its size; the same rows in both joins, so that texts move once
-    ids = materialize(found.select(F.col("id").alias("own")).unionAll(found.select("id0")).distinct(), "touched")
-    touched = named.join(ids, F.col("id") == F.col("own"), "left_semi")
-    rest = named.join(ids, F.col("id") == F.col("own"), "left_anti").unionAll(rows.where("id is null"))
-    joined = touched.join(matches(touched, found), F.col("id") == F.col("own"), "left")
+    joined = named.join(matches(named, runs(named.select("id", "text"))), F.col("id") == F.col("own"), "left")
 
     def result(cs: Column) -> Column:
         return F.struct(
@@ -227,7 +221,7 @@ def dedup(docs: DataFrame, id_col="doc_id", text="text", min_words=MIN_WORDS) ->
     whole = F.struct(F.col("text"), F.lit(0).alias("words"), F.lit(0).alias("spans"))
     cut = _let(_let(words_of(F.col("text")), lambda words: _cuts(words, F.col("ps"), min_words)), result)
     done = joined.select("others", F.explode(F.array(F.when(F.col("ps").isNotNull(), cut).otherwise(whole))).alias("done"))
-    done = done.unionAll(rest.select("others", whole.alias("done")))
+    done = done.unionAll(rows.where("id is null").select("others", whole.alias("done")))
     return done.select(
         *(F.col("done.text").alias(text) if c == text else F.col(f"others.`{c}`") for c in docs.columns if c not in ("removed_words", "removed_spans")),
         F.col("done.words").alias("removed_words"), F.col("done.spans").alias("removed_spans"),
