@@ -50,6 +50,19 @@ def test_without_seek_table():
     assert flac.decode([bare, s]) == flac.decode([s, s])
 
 
+@pytest.mark.parametrize("points", [1, 2, 7, 300])
+def test_seek_tables_of_some_frames(monkeypatch, points):
+    """A stream too long for a table of all frames: the others are found by their headers."""
+    rng = np.random.default_rng(5)
+    raw = [flac.padded(b"a long text to seek in " * 3000), rng.integers(0, 256, 192 * 301, dtype=np.uint8).tobytes()]
+    all_frames = flac.encode(raw)
+    monkeypatch.setattr(flac, "POINTS", points)
+    streams = flac.encode(raw)
+    assert flac.decode(streams) == flac.decode(all_frames)
+    for s, whole in zip(streams, all_frames, strict=True):
+        assert (flac._layout(s)[3] == flac._layout(whole)[3]).all() and len(s) < len(whole)
+
+
 def test_damage_is_found():
     s = flac.encode([flac.padded(b"some words to keep " * 30)])[0]
     for at in random.Random(1).sample(range(flac._layout(s)[0], len(s)), 40):

@@ -4,11 +4,13 @@ blocks with sample and byte offsets to seek by.
 
 Frames are independent, so thousands of them are encoded or decoded at once, one
 sample of each per numpy step. Streams written here hold one frame for each
-``BLOCK`` samples and a seek table with every frame; streams from elsewhere (8-bit
-mono, any predictor, partition order or escape) are read frame by frame.
+``BLOCK`` samples and a seek table with every frame (every n-th in very long streams, where
+frames between are found by their headers); streams from elsewhere (8-bit mono, any
+predictor, partition order or escape) are read frame by frame.
 
 Defined results: null text counts as empty; an empty payload becomes one block of
-spaces; an empty table gives no rows; a damaged stream raises ``FlacError``.
+spaces; repeated rows give repeated results, and equal texts equal streams; an empty table
+gives no rows; extra columns are ignored; a damaged stream raises ``FlacError``.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from pyspark.sql import functions as F
 BLOCK = 192
 LPC_ORDER = 4
 LPC_BITS = 8
+#: Entries of a seek table, at most (its length is a number of 24 bits); of a longer stream
+#: it has every n-th frame.
+POINTS = ((1 << 24) - 1) // 18
+_POINT = np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")])
 _SLICE = 4096
 _BATCH_BYTES = 8 << 20
 
@@ -112,6 +118,15 @@ def _rice(u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return bits.min(0), guess + bits.argmin(0) - 1
 
 
+def _heads(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Frame headers [F, 10] without their CRC, how many bytes the number takes, and the CRC."""
+    number, size = _number_bytes(numbers)
+    head = np.zeros((len(numbers), 10), np.int64)
+    head[:, :4] = (0xFF, 0xF8, 0x14, 0x02)  # sync, fixed block size; 192 samples at 8 kHz; mono of 8 bits
+    head[:, 4:] = number
+    return head, size, _crc8(head, 4 + size)
+
+
 def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Signed 8-bit samples [F, BLOCK] and frame numbers to (bytes of all frames one
     after the other, size of each)."""
@@ -134,12 +149,8 @@ def encode_frames(samples: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray,
     best, least = cost.argmin(0), cost.min(0)
     best[least >= 8 * n] = len(kinds)
     best[(x == x[:, :1]).all(1)] = len(kinds) + 1
-    number, number_size = _number_bytes(numbers)
-    head = np.zeros((count, 10), np.int64)
-    head[:, :4] = (0xFF, 0xF8, 0x14, 0x02)  # sync, fixed block size; 192 samples at 8 kHz; mono of 8 bits
-    head[:, 4:] = number
+    head, number_size, crc8 = _heads(numbers)
     head_bits = np.where(np.arange(10) < (4 + number_size)[:, None], 8, 0)
-    crc8 = _crc8(head, 4 + number_size)
     frames = [None] * count
     out_rows, out_sizes, width = [], np.zeros(count, np.int64), 0
     for kind in range(len(kinds) + 2):
@@ -222,10 +233,10 @@ def encode(payloads: list[bytes]) -> list[bytes]:
         pcm = samples[first : first + c].tobytes()
         info = struct.pack(">HH", BLOCK, BLOCK) + int(own.min()).to_bytes(3, "big") + int(own.max()).to_bytes(3, "big")
         info += (8000 << 44 | 0 << 41 | 7 << 36 | len(p)).to_bytes(8, "big") + hashlib.md5(pcm, usedforsecurity=False).digest()
-        seek = np.zeros(c, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        seek["sample"], seek["offset"], seek["n"] = np.arange(c) * BLOCK, np.cumsum(own) - own, BLOCK
-        out.append(b"fLaC" + b"\0\0\0\x22" + info + b"\x83" + (18 * c).to_bytes(3, "big") + seek.tobytes() + data[start:stop] if 18 * c < 1 << 24
-                   else b"fLaC" + b"\x80\0\0\x22" + info + data[start:stop])
+        points = np.arange(0, c, -(-c // POINTS))
+        seek = np.zeros(len(points), _POINT)
+        seek["sample"], seek["offset"], seek["n"] = points * BLOCK, (np.cumsum(own) - own)[points], BLOCK
+        out.append(b"fLaC" + b"\0\0\0\x22" + info + b"\x83" + seek.nbytes.to_bytes(3, "big") + seek.tobytes() + data[start:stop])
         first += c
     return out
 
@@ -423,7 +434,7 @@ def decode_frames(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np
 
 
 def _layout(stream: bytes) -> tuple[int, int, bytes, np.ndarray | None]:
-    """(where frames start, samples, MD5, frame offsets if the seek table has them all)."""
+    """(where frames start, samples, MD5, offsets of all frames if the stream is of our form)."""
     if stream[:4] != b"fLaC":
         raise FlacError("not FLAC")
     at, last, info, seek = 4, False, b"", None
@@ -433,12 +444,35 @@ def _layout(stream: bytes) -> tuple[int, int, bytes, np.ndarray | None]:
         if kind == 0:
             info = body
         elif kind == 3:
-            seek = np.frombuffer(body, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+            seek = np.frombuffer(body, _POINT)
         at += 4 + n
     total = int.from_bytes(info[10:18], "big") & ((1 << 36) - 1)
-    if seek is not None and not (len(seek) * BLOCK == total and (seek["sample"] == np.arange(len(seek)) * BLOCK).all() and info[:2] == info[2:4] == struct.pack(">H", BLOCK)):
-        seek = None
-    return at, total, info[18:34], None if seek is None else seek["offset"].astype(np.int64)
+    offsets = None
+    if seek is not None and len(seek) and total % BLOCK == 0 and info[:2] == info[2:4] == struct.pack(">H", BLOCK):
+        frames = total // BLOCK
+        each = int(seek["sample"][1]) // BLOCK if len(seek) > 1 else frames
+        if each and len(seek) == -(-frames // each) and (seek["sample"] == np.arange(len(seek)) * (each * BLOCK)).all():
+            offsets = _all_offsets(stream, at, seek["offset"].astype(np.int64), each, frames)
+    return at, total, info[18:34], offsets
+
+
+def _all_offsets(stream: bytes, at: int, points: np.ndarray, each: int, frames: int) -> np.ndarray:
+    """The offsets of all frames from those of every ``each``-th: the others are sought by
+    their headers, number and CRC included."""
+    if each == 1:
+        return points
+    out = np.zeros(frames, np.int64)
+    out[::each] = points
+    for low in range(0, frames, _SLICE):
+        numbers = np.arange(low, min(frames, low + _SLICE))
+        head, size, crc = _heads(numbers)
+        for k in np.flatnonzero(numbers % each):
+            own = head[k, : 4 + size[k]].astype(np.uint8).tobytes() + bytes([int(crc[k])])
+            found = stream.find(own, at + int(out[low + k - 1]) + 10)
+            if found < 0:
+                raise FlacError("frame not found")
+            out[low + k] = found - at
+    return out
 
 
 def decode(streams: list[bytes]) -> list[bytes]:
