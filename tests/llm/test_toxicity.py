@@ -71,6 +71,41 @@ def test_held_out(spark, table):
     assert right / sum(r.predicted for r in held) > 0.95 and right / sum(r.toxic for r in held) > 0.85
 
 
+def test_held_out_misspellings(spark):
+    """Held-out toxic texts that are found as they are, with every known word of five
+    letters or more misspelled by one letter."""
+    rng = random.Random(12)
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    held = fold(docs["doc_id"], 3) == 1
+    model = toxicity.fit(toxicity.training_rows(docs, labels, held))
+    rows = docs.where(held).join(labels.where("toxic = 1"), "doc_id").select("text").collect()
+    found = [r.text for r in rows if model.score(r.text) >= toxicity.THRESHOLD]
+    caught = changed = 0
+
+    def misspelled(m):
+        w = m.group()
+        if len(w) < 5 or not model.lexicon.match(w.lower()):
+            return w
+        k = rng.randrange(1, len(w))
+        return rng.choice([w[:k] + w[k + 1 :], w[:k] + rng.choice("aeiou0") + w[k:], w[:k] + rng.choice("xzq1") + w[k + 1 :]])
+
+    for text in found:
+        other = toxicity._WORD.sub(misspelled, text)
+        if other != text:
+            changed += 1
+            caught += model.score(other) >= toxicity.THRESHOLD
+    print(f"{caught} of {changed} misspelled, {len(found)} of {len(rows)} as they are")
+    assert changed > 30 and caught >= 0.6 * changed
+
+
+def test_context_is_counted_in_words():
+    lex = toxicity.Lexicon({"moron": 7.0})
+    long = " ".join(["extraordinarily" * 2] * 5)
+    near, far = (toxicity.features(lex, f"they quoted {long}{more} moron {long}") for more in ("", " on and on"))
+    assert near[4] > far[4] == 0.0
+    assert toxicity._terms("a" * 60) >= {"a" * 60}
+
+
 def test_odd_rows(spark):
     bad, good = "you idiot you %s idiot", "a fine day for %s walks"
     docs = [(i, (bad if i % 3 == 0 else good) % " ".join(f"w{(i * 7 + k) % 501}" for k in range(30))) for i in range(240)]

@@ -11,8 +11,9 @@ of reporting) tells quotation from abuse. A logistic regression weighs all of it
 
 Defined results: null and empty texts get the score of a text without matches;
 without labels of both kinds the lexicon is empty and the score is the smoothed rate
-of label 1; repeated rows give repeated results; an empty table gives no rows; extra
-columns are ignored.
+of label 1; texts and words of any length count whole; repeated rows give repeated
+results, and labels that speak against each other count as toxic; an empty table gives no
+rows; extra columns are ignored by ``classify`` and kept by ``reject``.
 """
 
 from __future__ import annotations
@@ -161,12 +162,10 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-def quoted(lower: str, start: int, end: int) -> float:
+def quoted(lower: str, start: int, end: int, near: list[str]) -> float:
     """How much a match reads like quotation: marks right beside it, or a word of
-    reporting within the window."""
+    reporting among the words near it."""
     marks = (lower[max(0, start - 2) : start].strip()[-1:] in QUOTES and start > 0) + (lower[end : end + 2].strip()[:1] in QUOTES and end < len(lower))
-    near = _WORD.findall(lower[max(0, start - 12 * WINDOW) : start])[-WINDOW:] + _WORD.findall(lower[end : end + 12 * WINDOW])[:WINDOW]
-    # a cut word at an edge of the window is none of the reporting words by accident only
     return min(1.0, (0.5 if marks == 1 else 1.0 if marks == 2 else 0.0) + (0.5 if REPORTING.intersection(near) else 0.0))
 
 
@@ -183,12 +182,12 @@ def features(lexicon: Lexicon, text: str | None) -> list[float] | None:
         return None
     lower = text.lower()
     exact = fuzzy = plain = cited = 0.0
-    for m in _WORD.finditer(lower):
-        found = hits.get(m.group())
+    for k, m in enumerate(_WORD.finditer(lower)):
+        found = hits.get(words[k])
         if found is None:
             continue
         term, edits = found
-        q = quoted(lower, m.start(), m.end())
+        q = quoted(lower, m.start(), m.end(), words[max(0, k - WINDOW) : k] + words[k + 1 : k + 1 + WINDOW])
         w = lexicon.weights[term] * (1 - 0.5 * q) / (1 + 0.25 * edits)
         if edits:
             fuzzy = max(fuzzy, w)
@@ -200,7 +199,7 @@ def features(lexicon: Lexicon, text: str | None) -> list[float] | None:
 
 
 def _terms(text: str) -> set[str]:
-    words = {w for w in words_of(text) if len(w) < 40}
+    words = set(words_of(text))
     return words | {w[:k] + "*" for w in words for k in STEM if k < len(w)}
 
 
@@ -237,6 +236,17 @@ def _choose(pos: dict[str, tuple[int, int]], neg: dict[str, int], n_pos: int, n_
     return kept
 
 
+def misspelled(lexicon: Lexicon, text: str | None) -> str:
+    """A text in which every word that is a term lacks a letter, chosen by the word."""
+
+    def shorter(m: re.Match) -> str:
+        w = m.group()
+        k = 1 + zlib.crc32(w.encode()) % max(1, len(w) - 1)
+        return w[:k] + w[k + 1 :] if lexicon.weights.get(w) and lexicon.allowed(w) else w
+
+    return _WORD.sub(shorter, (text or "").lower())
+
+
 class Model:
     def __init__(self, lexicon: Lexicon, weights: np.ndarray, base: float):
         self.lexicon, self.weights, self.base = lexicon, weights, base
@@ -327,16 +337,20 @@ def fit(labelled: DataFrame, max_labelled=MAX_LABELLED) -> Model:
 
     def vectors(batches):
         for b in batches:
-            got = [(features(lexicon, x), y) for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
-            got = [(x, y) for x, y in got if x is not None]
+            given = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            # toxic texts once more as they would read misspelled, of which samples have few
+            got = [(features(lexicon, x), y, True) for x, y in given] + [(features(lexicon, misspelled(lexicon, x)), 1, False) for x, y in given if y == 1]
+            got = [g for g in got if g[0] is not None]
             if got:
-                yield pa.RecordBatch.from_pydict({"x": pa.array([x for x, _ in got], pa.list_(pa.float64())), "y": pa.array([y for _, y in got], pa.int32())})
+                x, y, own = zip(*got, strict=True)
+                yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": pa.array(y, pa.int32()), "own": pa.array(own)})
 
-    rows = sample.select("text", "y").mapInArrow(vectors, "x array<double>, y int").collect()
+    rows = sample.select("text", "y").mapInArrow(vectors, "x array<double>, y int, own boolean").collect()
     x = np.array([r["x"] for r in rows], float).reshape(-1, FEATURES)
     y = np.array([r["y"] for r in rows], float)
-    missed = n_pos - int(y.sum())
-    rest = (missed + 0.5) / (n_pos + n_neg - len(y) + 1)
+    own = np.array([r["own"] for r in rows], bool)
+    missed = n_pos - int(y[own].sum())
+    rest = (missed + 0.5) / (n_pos + n_neg - int(own.sum()) + 1)
     return Model(lexicon, _logistic(x, y), math.log(rest / (1 - rest)))
 
 
