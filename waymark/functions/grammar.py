@@ -143,6 +143,16 @@ def clauses(line: Column) -> Column:
     return F.filter(F.transform(F.aggregate(parts, F.array().cast("array<string>"), fold), T.imperative), lambda s: s != "")
 
 
+def complaint_parts(query: Column) -> Column:
+    """The sentences of a complaint."""
+    return F.filter(F.transform(F.split(query, COMPLAINT_END), lambda p: F.trim(p)), lambda p: p != "")
+
+
+def conjuncts(part: Column, pattern: str = CONJUNCTION) -> Column:
+    """What conjunctions join."""
+    return F.filter(F.transform(F.split(part, pattern), lambda s: F.trim(s)), lambda s: s != "")
+
+
 def intents(query: Column, lexicon: L.Lexicon = L.STOCK) -> Column:
     """The separate complaints of a query: list items, else sentences; each is split at
     conjunctions where neighbouring parts have no atom in common."""
@@ -151,12 +161,10 @@ def intents(query: Column, lexicon: L.Lexicon = L.STOCK) -> Column:
 
     def split(q: Column) -> Column:
         items = F.filter(F.transform(F.split(q, LIST_ITEM), trim), lambda p: p != "")
-        parts = F.filter(F.transform(F.split(q, COMPLAINT_END), lambda p: F.trim(p)), lambda p: p != "")
-        return T.let(F.when(F.size(items) >= 2, items).otherwise(parts), lambda ps: F.flatten(F.transform(ps, one)))
+        return T.let(F.when(F.size(items) >= 2, items).otherwise(complaint_parts(q)), lambda ps: F.flatten(F.transform(ps, one)))
 
     def one(part: Column) -> Column:
-        subs = F.filter(F.split(part, CONJUNCTION), lambda s: F.trim(s) != "")
-        pairs = F.transform(subs, lambda s: F.struct(F.trim(s).alias("s"), T.atoms(s, lexicon).alias("a")))
+        pairs = F.transform(conjuncts(part), lambda s: F.struct(s.alias("s"), T.atoms(s, lexicon).alias("a")))
         return T.let(pairs, lambda ps: T.let(F.filter(ps, lambda p: p["a"] != generic), lambda kept: choose(part, ps, kept)))
 
     def choose(part: Column, pairs: Column, kept: Column) -> Column:

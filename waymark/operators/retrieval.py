@@ -109,8 +109,10 @@ def every_pair(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def nearest_plans(queries: DataFrame, aliases: DataFrame) -> DataFrame:
     """queries(query, vector) and aliases(plan, vector) to (query, plan, sim): the
-    similarity of each plan's nearest alias."""
+    similarity of each plan's nearest alias. An alias with the query's own number, if
+    aliases have numbers (alias), is not one of its neighbours."""
     pairs = every_pair(queries, aliases.withColumnRenamed("vector", "_other"))
+    pairs = pairs.where("query <> alias") if "alias" in aliases.columns else pairs
     return pairs.select("query", "plan", dot(F.col("vector"), F.col("_other")).alias("sim")).groupBy("query", "plan").agg(F.max("sim").alias("sim"))
 
 

@@ -17,14 +17,19 @@ from ..sources.articles import fingerprint
 from ..tables import settle
 
 
+def first_of_each(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """Rows without repeats: the first of each, and how often it occurs (copies)."""
+    own = Window.partitionBy(*by)
+    return rows.withColumns({"_copy": F.row_number().over(own.orderBy(*order)), "copies": F.count("*").over(own)}).where("_copy = 1").drop("_copy")
+
+
 def actions(articles: DataFrame) -> DataFrame:
     """articles(id, title, content) to (id, action_no, action, steps, spans): one row for
     each run of steps on one screen branch, in the article's order."""
     rows = articles.withColumn("topic", G.topic_of(F.col("title"), F.col("content")))
     lines = G.instruction_lines(G.modes(G.sections(rows, topic="topic")))
-    at = F.row_number().over(Window.partitionBy("id", "section", "chunk", "step").orderBy("line_no", "step_no"))
     steps = lines.select("id", "section", "chunk", "action", "line_no", "line", F.posexplode(G.clauses(F.col("line"))).alias("step_no", "step"))
-    steps = steps.withColumn("_copy", at).where("_copy = 1")
+    steps = first_of_each(steps, ["id", "section", "chunk", "step"], ["line_no", "step_no"])
     whole = steps.groupBy("id", "section", "chunk", "action").agg(F.array_sort(F.collect_list(F.struct("line_no", "step_no", "step", "line"))).alias("found"))
     whole = whole.withColumn("groups", G.groups_by_screen(F.transform("found", lambda f: f["step"])))
     grouped = whole.select("*", F.size("groups").alias("_n"), F.posexplode("groups").alias("group_no", "steps"))
@@ -37,9 +42,10 @@ def actions(articles: DataFrame) -> DataFrame:
     return named.select("id", F.row_number().over(order).alias("action_no"), "action", "steps", spans.alias("spans"))
 
 
-def resolve(wanted: DataFrame, catalog: DataFrame, mode="hybrid", floor=0.30, keep=5) -> DataFrame:
-    """(id, action_no, rank, entry, family, score, margin, overlap, accepted) of the best
-    ``keep`` catalog entries of each action; placeholders never rank."""
+def evidence(wanted: DataFrame, catalog: DataFrame) -> DataFrame:
+    """What speaks for each catalog entry as the target of each action: (id, action_no, key,
+    entry, position, family, polarity, target_words, lex, highest, cosine, boost, overlap);
+    placeholders are left out."""
     path = G.path(F.col("steps"))
     asked = wanted.withColumn("key", F.concat_ws("#", "id", "action_no")).withColumn("path", path)
     asked = asked.withColumn("leaf", F.coalesce(F.element_at(F.concat(F.array(F.lit(None).cast("string")), "path"), -1), F.lit("")))
@@ -58,11 +64,19 @@ def resolve(wanted: DataFrame, catalog: DataFrame, mode="hybrid", floor=0.30, ke
     lexical = lexical.withColumn("highest", F.max("score").over(Window.partitionBy("key")))
     # every entry is a candidate: one that shares nothing still has the dense part's half
     pairs = R.every_pair(asked.select("id", "action_no", "key", "path", "polarity", "leaf_words", "path_words", "name_words"), entries.select("entry", "position", "family", "target_words"))
-    scored = pairs.join(lexical.withColumnRenamed("score", "lex"), ["key", "entry"], "left").join(cosine, ["key", "entry"], "left")
-    rel = R.relevance(F.coalesce("lex", F.lit(0.0)), F.coalesce("cosine", F.lit(0.0)), F.coalesce("highest", F.lit(0.0)), mode)
+    rows = pairs.join(lexical.withColumnRenamed("score", "lex"), ["key", "entry"], "left").join(cosine, ["key", "entry"], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("lex", "highest", "cosine")})
     words = ("leaf_words", "path_words", "name_words")
-    boost = F.lit(1.0) if mode == "hybrid_no_path" else R.factor(F.col("family"), F.col("polarity"), F.col("target_words"), *map(F.col, words), F.size("path"))
-    scored = scored.withColumn("score", rel * boost).withColumn("overlap", F.greatest(*(R.overlap(F.col("target_words"), F.col(w)) for w in words)))
+    boost = R.factor(F.col("family"), F.col("polarity"), F.col("target_words"), *map(F.col, words), F.size("path"))
+    rows = rows.withColumn("boost", boost).withColumn("overlap", F.greatest(*(R.overlap(F.col("target_words"), F.col(w)) for w in words)))
+    return rows.drop("path", *words)
+
+
+def ranked(found: DataFrame, mode="hybrid", floor=0.30, keep=5) -> DataFrame:
+    """(id, action_no, rank, entry, family, polarity, score, margin, overlap, accepted) of
+    the best ``keep`` entries of each action."""
+    rel = R.relevance(F.col("lex"), F.col("cosine"), F.col("highest"), mode)
+    scored = found.withColumn("score", rel if mode == "hybrid_no_path" else rel * F.col("boost"))
     best = R.top(scored, "key", "position", max(2, keep))
     line = Window.partitionBy("key").orderBy("rank")
     best = best.withColumn("margin", F.coalesce(F.col("score") - F.lead("score").over(line), F.lit(0.0)))
@@ -70,6 +84,11 @@ def resolve(wanted: DataFrame, catalog: DataFrame, mode="hybrid", floor=0.30, ke
     return best.where(F.col("rank") <= keep).select("id", "action_no", "rank", "entry", "family", "polarity", "score", "margin", "overlap", good.alias("accepted"))
 
 
+def resolve(wanted: DataFrame, catalog: DataFrame, mode="hybrid", floor=0.30, keep=5) -> DataFrame:
+    """The best catalog entries of each action, as in ``ranked``."""
+    return ranked(evidence(wanted, catalog), mode, floor, keep)
+
+
 def link(entry: Column, leaf: Column, opens_settings: Column) -> Column:
     """The actionable link: the entry's, else the placeholder with copy of its own where
     the steps open the settings, else none."""

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import grammar as G
@@ -17,6 +18,9 @@ from ..operators import retrieval as R
 from ..shipping import ship
 from ..sources.articles import fingerprint
 from ..streaming import events as E
+from ..tables import settle
+from . import cases
+from . import compile as C
 
 #: A lexicon for the invented prose of the tables: function words and endings to atoms.
 PROSE = L.Lexicon(
@@ -139,12 +143,14 @@ def exact_cache_join(spark, sf):
     return hit.select("query_id", "signature", F.col("hit").alias("plan"), F.when(F.col("hit").isNull(), "miss").otherwise("exact").alias("tier"))
 
 
-@_query("""SELECT doc_id, CASE WHEN length(s) > 0 THEN s ELSE text END AS stripped, w AS n_words FROM (
-  SELECT doc_id, text, regexp_replace(text, '^[\\s\\W]+|[\\s\\W]+$', '', 'g') AS s, length(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) AS w
-  FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7F]*'))""")
-def stripped_ascii(spark, sf):
+_EDGE = "[^\\p{L}\\p{M}\\p{Nl}\\p{Nd}\\p{Pc}]+"
+
+
+@_query(f"""SELECT doc_id, CASE WHEN length(s) > 0 THEN s ELSE text END AS stripped, w AS n_words FROM (
+  SELECT doc_id, text, regexp_replace(text, '^{_EDGE}|{_EDGE}$', '', 'g') AS s, length(list_filter(regexp_split_to_array(coalesce(text, ''), '\\s+'), lambda w: w <> '')) AS w FROM documents)""")
+def stripped_text(spark, sf):
     text = F.col("text")
-    return _table(spark, sf, "documents").where(text.rlike(r"(?s)\A[\x00-\x7F]*\z")).select("doc_id", T.stripped(text).alias("stripped"), T.word_count(text).alias("n_words"))
+    return _documents(spark, sf).select("doc_id", T.stripped(text).alias("stripped"), T.word_count(text).alias("n_words"))
 
 
 @_query("""WITH s AS (SELECT doc_id, generate_subscripts(l, 1) - 1 AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
@@ -204,11 +210,10 @@ def polarity_case(spark, sf):
 # ---- grammars ----------------------------------------------------------------------------
 
 
-@_query("""WITH s AS (SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \\n\\t') <> '') AS parts FROM documents)
+@_query("""WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM documents)
   SELECT doc_id, length(parts) AS n_sentences, max(length(p)) AS longest FROM (SELECT doc_id, parts, unnest(parts) AS p FROM s) GROUP BY doc_id, parts""")
 def split_sentences(spark, sf):
-    parts = F.filter(F.split("text", r"(?<=[.!?])\s+"), lambda s: F.trim(F.regexp_replace(s, r"\s+", " ")) != "")
-    rows = _documents(spark, sf).select("doc_id", parts.alias("parts")).where(F.size("parts") > 0)
+    rows = _documents(spark, sf).select("doc_id", G.complaint_parts(F.col("text")).alias("parts")).where(F.size("parts") > 0)
     return rows.select("doc_id", F.size("parts").alias("n_sentences"), F.array_max(F.transform("parts", lambda p: F.length(p))).alias("longest"))
 
 
@@ -216,22 +221,24 @@ def split_sentences(spark, sf):
   {_atoms_cte("(SELECT item_id * 1000 + part_no AS pid, part FROM l)", "pid", "part")}
   SELECT item_id, part_no, part, {_SIGNATURE} AS signature FROM l JOIN a ON a.id = item_id * 1000 + part_no""")
 def split_conjunction(spark, sf):
-    parts = F.filter(F.transform(F.split("text", r",?\s+(?:and|et|und|y)\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    parts = G.conjuncts(F.col("text"), r",?\s+(?:and|et|und|y)\s+")
     rows = _table(spark, sf, "benchmark").select("item_id", F.posexplode(parts).alias("part_no", "part"))
     return rows.select("item_id", F.col("part_no").cast("long").alias("part_no"), "part", T.signature(F.col("part"), PROSE).alias("signature"))
 
 
-@_query("""WITH h AS (SELECT page_id, regexp_extract_all(html, '<(?:h1|li)[^>]*>(?:<[^>]*>)*[^<]*', 0) AS m FROM pages),
-  e AS (SELECT page_id, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS tag FROM h),
-  t AS (SELECT page_id, pos, CASE WHEN starts_with(tag, '<h1') THEN trim(regexp_replace(tag, '<[^>]*>', '', 'g')) END AS head, trim(regexp_replace(tag, '<[^>]*>', '', 'g')) AS line FROM e)
-  SELECT page_id, pos AS line_no, line, count(head) OVER w AS section, last_value(head IGNORE NULLS) OVER w AS heading FROM t WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)""")
+@_query("""WITH h AS (SELECT page_id, url, regexp_extract_all(html, '<(?:h1|p|li)[^>]*>(?:<[^>]*>)*[^<]*', 0) AS m FROM pages),
+  e AS (SELECT page_id, url, generate_subscripts(m, 1) - 1 AS pos, unnest(m) AS tag FROM h),
+  l AS (SELECT page_id, url, pos, trim(regexp_replace(regexp_replace(tag, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g')) AS line, starts_with(tag, '<h1') AS top FROM e),
+  t AS (SELECT *, CASE WHEN top AND line <> '' THEN line END AS head FROM l),
+  s AS (SELECT *, count(head) OVER w AS section, last_value(head IGNORE NULLS) OVER w AS last_head, max(head) OVER (PARTITION BY page_id) IS NULL AS bare FROM t WINDOW w AS (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))
+  SELECT page_id, section, CASE WHEN bare THEN url ELSE last_head END AS heading, pos AS line_no, CASE WHEN top THEN '## ' || line ELSE line END AS line FROM s WHERE head IS NULL AND (bare OR last_head IS NOT NULL)""")
 def section_explode(spark, sf):
-    found = F.regexp_extract_all("html", F.lit(r"<(?:h1|li)[^>]*>(?:<[^>]*>)*[^<]*"), F.lit(0))
-    rows = _table(spark, sf, "pages").select("page_id", F.posexplode(found).alias("pos", "tag"))
-    line = F.trim(F.regexp_replace("tag", "<[^>]*>", ""))
-    rows = rows.select("page_id", F.col("pos").cast("long").alias("line_no"), line.alias("line"), F.when(F.col("tag").startswith("<h1"), line).alias("head"))
-    order = Window.partitionBy("page_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("page_id", "line_no", "line", F.count("head").over(order).alias("section"), F.last("head", ignorenulls=True).over(order).alias("heading"))
+    found = F.regexp_extract_all("html", F.lit(r"<(?:h1|p|li)[^>]*>(?:<[^>]*>)*[^<]*"), F.lit(0))
+    line = lambda tag: T.squeezed(F.regexp_replace(tag, "<[^>]*>", ""))
+    marked = F.transform(found, lambda tag: F.when(tag.startswith("<h1"), F.concat(F.lit("## "), line(tag))).otherwise(line(tag)))
+    rows = _spread(_table(spark, sf, "pages").select("page_id", "url", "html")).where(F.size(found) > 0).select("page_id", "url", F.array_join(marked, "\n").alias("content"))
+    out = G.sections(rows, "page_id", "url", "content")
+    return out.withColumn("line_no", F.col("line_no").cast("long"))
 
 
 @_query("""WITH l AS (SELECT doc_id, generate_subscripts(p, 1) - 1 AS line_no, trim(unnest(p)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
@@ -239,7 +246,7 @@ def section_explode(spark, sf):
   SELECT doc_id, count(*) AS n_steps, sum(copies)::BIGINT AS n_lines, max(copies) AS most_copies, min_by(line, first_line) AS first_step FROM u GROUP BY doc_id""")
 def step_dedupe(spark, sf):
     lines = _table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line")).withColumn("line", F.trim("line")).where("line <> ''")
-    own = lines.groupBy("doc_id", "line").agg(F.min("line_no").alias("first_line"), F.count("*").alias("copies"))
+    own = C.first_of_each(lines, ["doc_id", "line"], ["line_no"]).withColumnRenamed("line_no", "first_line")
     return own.groupBy("doc_id").agg(F.count("*").alias("n_steps"), F.sum("copies").alias("n_lines"), F.max("copies").alias("most_copies"), F.min_by("line", "first_line").alias("first_step"))
 
 
@@ -284,16 +291,16 @@ def char_ngram_cosine(spark, sf):
     return R.top(found, "item_id", "other", 3, "cosine").select("item_id", "other", F.round("cosine", 4).alias("cosine"))
 
 
-_LOOKUP = """WITH q AS (SELECT vec_id AS query, embedding, label FROM embeddings WHERE vec_id % 10 = 0), p AS (SELECT label AS plan, embedding AS e FROM embeddings WHERE vec_id % 10 <> 0),
-  s AS (SELECT query, q.label, plan, max(list_sum(list_transform(list_zip(embedding, e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))) AS sim FROM q, p GROUP BY ALL),
+_LOOKUP = """WITH q AS (SELECT vec_id AS query, embedding, label FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT vec_id AS alias, label AS plan, embedding AS e FROM embeddings),
+  s AS (SELECT query, q.label, plan, max(list_sum(list_transform(list_zip(embedding, e), lambda z: z[1]::DOUBLE * z[2]::DOUBLE))) AS sim FROM q, p WHERE query <> alias GROUP BY ALL),
   r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY round(sim, 4) DESC, plan) AS rn FROM s),
   m AS (SELECT query, label, max(plan) FILTER (rn = 1) AS plan, round(max(sim) FILTER (rn = 1), 4) AS sim, round(max(sim) FILTER (rn = 1) - coalesce(max(sim) FILTER (rn = 2), 0), 4) AS margin FROM r WHERE rn <= 2 GROUP BY ALL)"""
 
 
 def _lookups(spark, sf) -> DataFrame:
     rows = _table(spark, sf, "embeddings")
-    asked = rows.where("vec_id % 10 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
-    found = R.best_and_margin(R.nearest_plans(asked, rows.where("vec_id % 10 <> 0").select(F.col("label").alias("plan"), F.col("embedding").alias("vector"))))
+    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("vector"))
+    found = R.best_and_margin(R.nearest_plans(asked, rows.select(F.col("vec_id").alias("alias"), F.col("label").alias("plan"), F.col("embedding").alias("vector"))))
     return found.join(rows.select(F.col("vec_id").alias("query"), "label"), "query")
 
 
@@ -319,55 +326,68 @@ def best_gate(spark, sf):
     return metrics.best_setting(swept, 60.0).select("floor", "least", "recall", "wrong_rate")
 
 
-# parts as catalog entries, their names as actions: lexical score by shared words, dense by shared grams
-_HYBRID = f"""WITH e AS (SELECT p_partkey AS entry, p_type AS text, {_content('p_type')} AS target, CASE p_size % 4 WHEN 0 THEN 'enable' WHEN 1 THEN 'disable' WHEN 2 THEN 'monitor' ELSE 'open' END AS family FROM part WHERE p_partkey <= 40),
-  a AS (SELECT p_partkey AS action, p_type || ' ' || p_brand AS text, {_content('p_type')} AS path, {_content('p_name')} AS name, CASE p_size % 3 WHEN 0 THEN 'enable' WHEN 1 THEN 'disable' ELSE 'none' END AS polarity FROM part WHERE p_partkey % 10 = 1),
+# the types of all parts as a catalog; parts whose key 50 divides as actions that go to a type and switch a brand
+_VERB = "CASE p_size % 3 WHEN 0 THEN 'Toggle on' WHEN 1 THEN 'Toggle off' ELSE 'Tap on' END"
+_HYBRID = f"""WITH e0 AS (SELECT min(p_partkey) AS entry, p_type AS target, p_type || ' ' || p_type AS text, CASE min(p_size) % 4 WHEN 0 THEN 'enable' WHEN 1 THEN 'disable' WHEN 2 THEN 'monitor' ELSE 'open' END AS family FROM part GROUP BY p_type),
+  e AS (SELECT entry, text, family, list_distinct({_content('target')}) AS target FROM e0 WHERE entry % 10 <> 0),
+  a0 AS (SELECT p_partkey AS action, p_name, p_type, p_brand, {_VERB} AS verb, CASE p_size % 3 WHEN 0 THEN 'enable' WHEN 1 THEN 'disable' ELSE 'none' END AS polarity FROM part WHERE p_partkey % 50 = 0),
+  a AS (SELECT action, p_name || ' ' || p_brand || ' Navigate to ' || p_type || '. ' || verb || ' ' || p_brand || '.' AS text, polarity,
+    {_content('p_brand')} AS leaf, {_content("p_type || ' ' || p_brand")} AS path, {_content('p_name')} AS name FROM a0),
+  dt AS (SELECT entry, unnest({_content('text')}) AS term FROM e), tf AS (SELECT entry, term, count(*) AS tf FROM dt GROUP BY ALL), len AS (SELECT entry, length({_content('text')}) AS len FROM e),
+  n AS (SELECT count(*) AS n, avg(len) AS mean FROM len), idf AS (SELECT term, ln(1 + (n - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)) AS idf FROM tf, n GROUP BY term, n),
+  qt AS (SELECT action, term, count(*) AS times FROM (SELECT action, unnest({_content('text')}) AS term FROM a) GROUP BY ALL),
+  lx AS (SELECT action, entry, sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * len / mean))) AS lex FROM qt JOIN idf USING (term) JOIN tf USING (term) JOIN len USING (entry), n GROUP BY ALL),
   eg AS ({_grams_sql('e', 'entry')}), ag AS ({_grams_sql('a', 'action')}),
   c AS (SELECT action, entry, sum(ag.w * eg.w) AS cosine FROM ag JOIN eg USING (gram) GROUP BY ALL),
-  l AS (SELECT action, entry, length(list_intersect({_content('a.text')}, target))::DOUBLE AS lex FROM a, e),
-  x AS (SELECT a.action, e.entry, family, polarity, target, coalesce(cosine, 0) AS cosine, lex, max(lex) OVER (PARTITION BY a.action) AS highest,
-    length(list_intersect(target, path[1:1])) / length(list_distinct(target))::DOUBLE AS o, length(list_intersect(target, path)) / length(list_distinct(target))::DOUBLE AS p,
-    length(list_intersect(target, name)) / length(list_distinct(target))::DOUBLE AS n FROM a JOIN l USING (action) JOIN e USING (entry) LEFT JOIN c USING (action, entry)),
+  x AS (SELECT a.action, e.entry, family, polarity, target, coalesce(cosine, 0) AS cosine, coalesce(lex, 0) AS lex, coalesce(max(lex) OVER (PARTITION BY a.action), 0) AS highest,
+    length(list_intersect(target, leaf)) / length(target)::DOUBLE AS o, length(list_intersect(target, path)) / length(target)::DOUBLE AS p,
+    length(list_intersect(target, name)) / length(target)::DOUBLE AS n FROM a CROSS JOIN e LEFT JOIN lx USING (action, entry) LEFT JOIN c USING (action, entry)),
   f AS (SELECT *, CASE WHEN highest > 0 THEN lex / (highest + 1e-9) ELSE lex END AS lx, (cosine + 1) / 2 AS dn,
     CASE WHEN polarity <> 'none' AND family IN ('enable', 'disable') THEN CASE WHEN family = polarity THEN 1.25 ELSE 0.55 END WHEN family IN ('enable', 'disable') THEN 0.9 WHEN family = 'monitor' THEN 1.1 ELSE 1.0 END
     * CASE WHEN greatest(o, n) >= 0.6 THEN 1.35 WHEN p >= 0.5 THEN 1.15 WHEN greatest(o, p, n) < 0.2 THEN 0.55 ELSE 1.0 END AS fac FROM x),
   m AS (SELECT unnest({_list(MODES)}) AS mode),
-  s AS (SELECT mode, action, entry, family, greatest(o, p, n) AS overlap, (CASE mode WHEN 'lexical' THEN lx WHEN 'dense' THEN dn ELSE 0.55::DOUBLE * lx + 0.45::DOUBLE * dn END) * CASE WHEN mode = 'hybrid_no_path' THEN 1.0 ELSE fac::DOUBLE END AS score FROM f, m),
+  s AS (SELECT mode, action, entry, family, polarity, greatest(o, p, n) AS overlap, (CASE mode WHEN 'lexical' THEN lx WHEN 'dense' THEN dn ELSE 0.55::DOUBLE * lx + 0.45::DOUBLE * dn END) * CASE WHEN mode = 'hybrid_no_path' THEN 1.0 ELSE fac::DOUBLE END AS score FROM f, m),
   r AS (SELECT *, row_number() OVER (PARTITION BY mode, action ORDER BY round(score, 6) DESC, entry) AS rank FROM s),
-  b AS (SELECT mode, action, max(entry) FILTER (rank = 1) AS entry, max(family) FILTER (rank = 1) AS family, max(overlap) FILTER (rank = 1) AS overlap, max(score) FILTER (rank = 1) AS score, max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS margin FROM r WHERE rank <= 2 GROUP BY ALL),
+  b AS (SELECT mode, action, max(entry) FILTER (rank = 1) AS entry, max(family) FILTER (rank = 1) AS family, max(polarity) AS polarity, max(overlap) FILTER (rank = 1) AS overlap, max(score) FILTER (rank = 1) AS score, max(score) FILTER (rank = 1) - max(score) FILTER (rank = 2) AS margin FROM r WHERE rank <= 2 GROUP BY ALL),
   g AS (SELECT *, score >= 0.30 AND overlap >= CASE WHEN family = 'monitor' THEN 0.34 ELSE 0.5 END AS accepted FROM b)"""
 
 
-def _hybrid(spark, sf) -> DataFrame:
+def _evidence(spark, sf) -> DataFrame:
     part = _table(spark, sf, "part")
-    kind = lambda n, names: F.get(T.strings(names), (F.col("p_size") % n).cast("int"))
-    entries = part.where("p_partkey <= 40").select(F.col("p_partkey").alias("entry"), F.col("p_type").alias("text"), T.content_tokens(F.col("p_type")).alias("target"), kind(4, ["enable", "disable", "monitor", "open"]).alias("family"))
-    asked = part.where("p_partkey % 10 = 1").select(
-        F.col("p_partkey").alias("action"), F.concat_ws(" ", "p_type", "p_brand").alias("text"), T.content_tokens(F.col("p_type")).alias("path"), T.content_tokens(F.col("p_name")).alias("name"), kind(3, ["enable", "disable", "none"]).alias("polarity")
-    )
-    cosine = R.gram_cosine(asked, entries, "action", "entry")
-    pairs = R.every_pair(asked.withColumn("words", T.content_tokens(F.col("text"))).drop("text"), entries.drop("text"))
-    rows = pairs.withColumn("lex", F.size(F.array_intersect("words", "target")).cast("double")).withColumn("highest", F.max("lex").over(Window.partitionBy("action")))
-    rows = rows.join(cosine, ["action", "entry"], "left")
-    words = (F.slice("path", 1, 1), F.col("path"), F.col("name"))
-    boost = R.factor(F.col("family"), F.col("polarity"), F.col("target"), *words, F.lit(2))
-    best = F.greatest(*(R.overlap(F.col("target"), w) for w in words))
-    score = lambda mode: R.relevance(F.col("lex"), F.coalesce("cosine", F.lit(0.0)), F.col("highest"), mode) * (F.lit(1.0) if mode == "hybrid_no_path" else boost)
-    modes = F.explode(F.array(*(F.struct(F.lit(m).alias("mode"), score(m).alias("score")) for m in MODES))).alias("m")
-    rows = rows.select("action", "entry", "family", "target", best.alias("overlap"), modes).select("m.mode", "m.score", "action", "entry", "family", "target", "overlap")
-    order = Window.partitionBy("mode", "action").orderBy(F.round("score", 6).desc(), "entry")
-    rows = rows.withColumn("rank", F.row_number().over(order)).where("rank <= 2").withColumn("margin", F.col("score") - F.lead("score").over(order)).where("rank = 1")
-    return rows.withColumn("accepted", R.accepted(F.col("score"), F.col("overlap"), F.col("family"), F.col("target")))
-
-
-@_query(_HYBRID + " SELECT mode, action, entry, family, round(score, 4) AS score, round(margin, 4) AS margin, round(overlap, 4) AS overlap, accepted FROM g")
+    kind = lambda c, n, names: F.get(T.strings(names), (c % n).cast("int"))
+    types = part.groupBy("p_type").agg(F.min("p_partkey").alias("id"), F.min("p_size").alias("size"))
+    target = F.col("p_type")
+    entries = types.select(
+        "id", F.col("id").alias("position"), kind(F.col("size"), 4, ["enable", "disable", "monitor", "open"]).alias("family"), F.array_distinct(T.content_tokens(target)).alias("target_words"),
+        F.concat_ws(" ", target, target).alias("index_text"), (F.col("id") % 10 == 0).alias("is_placeholder"),
+    )
+    verb = kind(F.col("p_size"), 3, ["Toggle on", "Toggle off", "Tap on"])
+    steps = F.array(F.concat(F.lit("Navigate to "), "p_type", F.lit(".")), F.concat(verb, F.lit(" "), "p_brand", F.lit(".")))
+    asked = part.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("id"), F.lit(1).alias("action_no"), F.col("p_name").alias("action"), steps.alias("steps"))
+    return C.evidence(asked, entries)
+
+
+@_query(_HYBRID + " SELECT action, entry, family, polarity, round(score, 4) AS score, round(margin, 4) AS margin, round(overlap, 4) AS overlap, accepted FROM g WHERE mode = 'hybrid'")
 def hybrid_rank(spark, sf):
-    return _hybrid(spark, sf).select("mode", "action", "entry", "family", F.round("score", 4).alias("score"), F.round("margin", 4).alias("margin"), F.round("overlap", 4).alias("overlap"), "accepted")
+    best = C.ranked(_evidence(spark, sf)).where("rank = 1")
+    return best.select(F.col("id").alias("action"), "entry", "family", "polarity", *(F.round(c, 4).alias(c) for c in ("score", "margin", "overlap")), "accepted")
 
 
 @_query(_HYBRID + " SELECT mode, count(*) AS n, count(*) FILTER (accepted) AS n_accepted, round(100.0 * count(*) FILTER (accepted) / count(*), 4)::DOUBLE AS accept_rate, round(avg(overlap) FILTER (accepted), 4) AS mean_overlap FROM g GROUP BY mode")
 def mode_ablation(spark, sf):
-    return _hybrid(spark, sf).groupBy("mode").agg(F.count("*").alias("n"), F.count_if(F.col("accepted")).alias("n_accepted"), metrics.share(F.col("accepted")).alias("accept_rate"), F.round(F.avg(F.when(F.col("accepted"), F.col("overlap"))), 4).alias("mean_overlap"))
+    found = settle(_evidence(spark, sf))
+    best = reduce(DataFrame.unionAll, (C.ranked(found, m).where("rank = 1").withColumn("mode", F.lit(m)) for m in MODES))
+    return best.groupBy("mode").agg(F.count("*").alias("n"), F.count_if(F.col("accepted")).alias("n_accepted"), metrics.share(F.col("accepted")).alias("accept_rate"), F.round(F.avg(F.when(F.col("accepted"), F.col("overlap"))), 4).alias("mean_overlap"))
+
+
+@_query(f"""WITH t AS (SELECT p_partkey, list_distinct({_content('p_type')}) AS target, {_content('p_name')} AS name, CASE p_size % 2 WHEN 0 THEN 'monitor' ELSE 'open' END AS family FROM part),
+  o AS (SELECT p_partkey, family, length(target) AS n, coalesce(length(list_intersect(target, list_concat(name, target[1:1 + p_partkey % 3]))) / length(target)::DOUBLE, 0) AS overlap FROM t)
+  SELECT p_partkey, round(overlap, 4) AS overlap, n > 0 AND overlap >= CASE WHEN family = 'monitor' THEN 0.34 ELSE 0.5 END AS accepted FROM o""")
+def target_overlap_gate(spark, sf):
+    target, name = T.content_tokens(F.col("p_type")), T.content_tokens(F.col("p_name"))
+    rows = _table(spark, sf, "part").select("p_partkey", target.alias("target"), F.concat(name, F.slice(F.array_distinct(target), F.lit(1), (1 + F.col("p_partkey") % 3).cast("int"))).alias("words"), F.when(F.col("p_size") % 2 == 0, "monitor").otherwise("open").alias("family"))
+    share = R.overlap(F.col("target"), F.col("words"))
+    return rows.select("p_partkey", F.round(share, 4).alias("overlap"), R.accepted(F.lit(1.0), share, F.col("family"), F.col("target")).alias("accepted"))
 
 
 # ---- ordering, de-duplication, gates ---------------------------------------------------------
@@ -442,6 +462,17 @@ def gate_report(spark, sf):
 # ---- evaluation ---------------------------------------------------------------------------------
 
 
+@_query(f"WITH {_DOCS}, s AS (SELECT {_SIGNATURE} AS signature FROM a) SELECT count(*) AS n, count(DISTINCT signature) AS n_signatures FROM s")
+def signature_cardinality(spark, sf):
+    return _documents(spark, sf).select(T.signature(F.col("text"), PROSE).alias("signature")).agg(F.count("*").alias("n"), F.countDistinct("signature").alias("n_signatures"))
+
+
+@_query("SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders")
+def contexts_ranked(spark, sf):
+    rows = _table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return metrics.ordered(rows, ["o_custkey"], "o_totalprice", "o_orderkey").select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
+
+
 @_query("""WITH o AS (SELECT doc_id AS id, sha1(text) AS h FROM documents WHERE doc_id % 5 <> 0), n AS (SELECT doc_id AS id, sha1(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 3 <> 0)
   SELECT CASE WHEN o.id IS NULL THEN 'added' WHEN n.id IS NULL THEN 'removed' WHEN o.h = n.h THEN 'unchanged' ELSE 'modified' END AS change, count(*) AS n, min(coalesce(o.id, n.id)) AS first_id FROM o FULL JOIN n ON o.id = n.id GROUP BY 1""")
 def snapshot_diff(spark, sf):
@@ -500,10 +531,24 @@ def session_requests(spark, sf):
     return rows.select("user_id", F.col("session_start").cast("timestamp_ntz").alias("session_start"), F.col("session_end").cast("timestamp_ntz").alias("session_end"), "n")
 
 
-@_query()
+_SENTENCES = "list_filter(list_transform(string_split(regexp_replace({0}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '')"
+_ITEMS = "list_filter(list_transform(regexp_split_to_array({0}, '(?:^|\\s)(?:\\d{{1,2}}[.)]\\s+|[-*•]\\s+)'), lambda x: trim(x, ' .;')), lambda x: x <> '')"
+
+
+@_query(f"""WITH q AS (SELECT item_id, trim(text) AS text FROM benchmark),
+  p AS (SELECT item_id, text, generate_subscripts(ps, 1) AS part_no, unnest(ps) AS part FROM (SELECT *, CASE WHEN length({_ITEMS.format('text')}) >= 2 THEN {_ITEMS.format('text')} ELSE {_SENTENCES.format('text')} END AS ps FROM q)),
+  u AS (SELECT item_id, part_no, generate_subscripts(l, 1) AS sub_no, unnest(l) AS sub FROM (SELECT *, list_filter(list_transform(regexp_split_to_array(part, '(?i),?\\s+(?:and|but|also|plus)\\s+'), lambda x: trim(x)), lambda x: x <> '') AS l FROM p)),
+  {_atoms_cte("(SELECT item_id * 1000000 + part_no * 1000 + sub_no AS uid, sub FROM u)", "uid", "sub")},
+  v AS (SELECT u.*, a.atoms, lag(a.atoms) OVER (PARTITION BY item_id, part_no ORDER BY sub_no) AS last FROM u JOIN a ON a.id = item_id * 1000000 + part_no * 1000 + sub_no),
+  t AS (SELECT item_id, part_no, list(sub ORDER BY sub_no) FILTER (atoms <> ['generic']) AS kept, bool_or(last IS NOT NULL AND list_has_any(atoms, last)) AS shared FROM v GROUP BY ALL),
+  s AS (SELECT p.item_id, p.part_no, unnest(CASE WHEN length(kept) >= 2 AND NOT shared THEN kept ELSE [part] END) AS x, generate_subscripts(CASE WHEN length(kept) >= 2 AND NOT shared THEN kept ELSE [part] END, 1) AS n FROM p LEFT JOIN t USING (item_id, part_no)),
+  {_atoms_cte("(SELECT item_id * 1000000 + part_no * 1000 + n AS sid, x FROM s)", "sid", "x").replace(" w AS", " w2 AS").replace("FROM w)", "FROM w2)").replace(" k AS", " k2 AS").replace("FROM k)", "FROM k2)").replace(" d AS", " d2 AS").replace("FROM d)", "FROM d2)").replace(" a AS", " a2 AS")},
+  o AS (SELECT s.*, a2.atoms FROM s JOIN a2 ON a2.id = item_id * 1000000 + part_no * 1000 + n WHERE a2.atoms <> ['generic']),
+  z AS (SELECT item_id, x, atoms, row_number() OVER (PARTITION BY item_id ORDER BY part_no, n) - 1 AS part_no FROM o)
+  SELECT item_id, part_no, x AS part, {_SIGNATURE} AS signature FROM z""")
 def multi_intent(spark, sf):
     rows = _table(spark, sf, "benchmark").select("item_id", F.posexplode(G.intents(F.col("text"), PROSE)).alias("part_no", "part"))
-    return rows.select("item_id", "part_no", "part", T.signature(F.col("part"), PROSE).alias("signature"))
+    return rows.select("item_id", F.col("part_no").cast("long").alias("part_no"), "part", T.signature(F.col("part"), PROSE).alias("signature"))
 
 
 _KEYWORDS = "array_to_string(atoms, ' ')"
@@ -551,16 +596,20 @@ def hashed_encoder(spark, sf):
     return rows.select("item_id", F.size("vector").alias("n"), F.size(used).alias("n_used"), F.round(R.dot(F.col("vector"), F.col("vector")), 4).alias("norm"))
 
 
-@_query()
+# taken apart, a letter with an accent is the letter and a mark that parts words
+_APART = "array_to_string(list_transform(string_split(lower(coalesce(text, '')), ''), lambda c: CASE WHEN strip_accents(c) <> c THEN strip_accents(c) || chr(769) ELSE c END), '')"
+
+
+@_query(f"SELECT doc_id, length({_TOKENS.format(_APART)}) AS n_tokens FROM documents")
 def folded_text(spark, sf):
     ship(spark)
-    rows = _table(spark, sf, "documents").select("doc_id", U.fold(F.col("text")).alias("folded"))
+    rows = _documents(spark, sf).select("doc_id", U.normal(F.col("text")).alias("folded"))
     return rows.select("doc_id", F.size(T.tokens(F.col("folded"))).alias("n_tokens"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(_queries)
+    return _queries | cases.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | cases.oracle_sql()
