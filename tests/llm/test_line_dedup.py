@@ -107,3 +107,17 @@ def test_patterns_over_and_over(spark):
     got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     for k in range(4):
         assert got[k].removed_words == 0 and 700 <= got[10 + k].removed_words <= 800, k
+
+
+def test_all_that_repeats_is_cut(spark, sf):
+    """Brute force: no 50 words in a row of what is left stand in an earlier document."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: (r.text or "").split() for r in docs.collect()}
+    left = {r.doc_id: r.text.split() for r in line_dedup.dedup(docs).collect()}
+    windows = lambda ws: [tuple(ws[k : k + 50]) for k in range(len(ws) - 49)]
+    earlier, repeated, survived = set(), 0, 0
+    for i in sorted(texts):
+        repeated += any(w in earlier for w in windows(texts[i]))
+        survived += any(w in earlier for w in windows(left[i]))
+        earlier.update(windows(texts[i]))
+    assert repeated > 10 and survived == 0
