@@ -118,7 +118,7 @@ class Transducer:
             self.unit = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+")
         else:
             self.unit = re.compile(f"{SPACE}*[{latin}]+|{SPACE}*[^{latin}{SPACE}\n]+|{SPACE}+|\n")
-        self.normaliser = {ord(" "): SPACE}
+        self.normaliser = {" ": SPACE}
         self.trie: dict = {}
         for p, i in self.ids.items():
             node = self.trie
@@ -141,6 +141,12 @@ class Transducer:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def normalised(self, text: str) -> str:
+        """A text through the normaliser's arcs; they read one character each."""
+        for read, written in self.normaliser.items():
+            text = text.replace(read, written)
+        return text
+
     # -- weights
 
     def merged(self, text: str) -> list[str]:
@@ -224,8 +230,8 @@ class Transducer:
         """The ids of each text as native-endian bytes of self.code."""
         if len(self.known) > CACHE_UNITS:
             self.older, self.known = self.known, {}
-        put, find, normal = (SPACE if self.prefix else ""), self.unit.findall, self.normaliser
-        units = [find(put + t.translate(normal)) if t else [] for t in texts]
+        put, find, normal = (SPACE if self.prefix else ""), self.unit.findall, self.normalised
+        units = [find(put + normal(t)) if t else [] for t in texts]
         for u in set().union(*units).difference(self.known) if units else ():
             self.known[u] = self.older.get(u) or self._ids(u)
         get = self.known.__getitem__
