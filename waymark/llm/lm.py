@@ -41,7 +41,7 @@ HELD_NODES = 16_000_000
 HOT_WORDS = 200_000
 END = b"\n"
 _PIECE = 4 << 20
-_MEMO_BITS = 22
+_MEMO_BITS = 21
 _LOG10_2 = math.log10(2)
 
 
