@@ -162,8 +162,8 @@ def links(points: DataFrame, names: list[str], distance: int, masks: np.ndarray,
     radius = distance // len(masks) if radius is None else radius
     total = points.count()
     sample = max(sample, min(MAX_SAMPLE, total // SHARE))
-    fitted = points.select(*names, F.xxhash64(*names).alias("_h")).orderBy("_h", *names).limit(sample).collect()
-    own = np.array([[r[n] for n in names] for r in fitted], np.int64).reshape(-1, len(names)).view(np.uint64)
+    fitted = points.select(*names, F.xxhash64(*names).alias("_h")).orderBy("_h", *names).limit(sample).toArrow()
+    own = np.stack([fitted.column(n).to_numpy().view(np.uint64) for n in names], 1)
     trees = [Tree.fit(own, m, radius, total / max(1, len(own)), leaf_rows) for m in masks]
 
     def homes(batches):
