@@ -1,6 +1,7 @@
 """Context-tree weighting against a plain recursive version; the base score by hand."""
 
 import math
+import pathlib
 import zlib
 from collections import Counter
 
@@ -142,3 +143,27 @@ def test_beats_the_base(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     got = lm.score(docs, fold(docs["doc_id"], 5) == 1).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
     assert got.s > got.b
+
+
+def test_a_tree_too_large_to_hold_adds_little_on_disk(spark, sf, monkeypatch):
+    """Same scores; what is settled for them beyond the tree itself is no more than when
+    workers hold the tree (a text's grams would be many times the text)."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    monkeypatch.setattr(lm, "CHUNK", 100_000, raising=False)
+    monkeypatch.setattr(lm, "KEPT_GRAMS", 20_000, raising=False)
+    settle, size = lm.materialize, {}
+
+    def measured(df, tag="t", **options):
+        out = settle(df, tag, **options)
+        size[tag] = sum(p.stat().st_size for p in pathlib.Path(out._waymark_path.removeprefix("file://")).rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(lm, "materialize", measured)
+    rows = {}
+    for held_nodes in (10**9, 0):
+        got = lm.score(docs, fold(docs["doc_id"], 5) == 1, held_nodes=held_nodes).collect()
+        rows[held_nodes] = {r.doc_id: r for r in got}, size["scores"]
+    (one, small), (other, large) = rows.values()
+    assert one.keys() == other.keys() and large <= 1.1 * small
+    assert all(abs(one[i].score - other[i].score) < 1e-9 * abs(one[i].score) for i in one)
+    assert size["groups"] < 1.5 * size["nodes"]

@@ -7,8 +7,10 @@ newlines. The counts of all (context, byte) pairs of the training texts give the
 most recent bytes are built apart from each other, then the levels above them.
 
 Scoring looks nodes up in sorted tables. Tables of up to ``HELD_NODES`` nodes are read
-by every worker from the shared folder; beyond that size the (context, byte) counts of
-every document are sent to the subtrees instead, with the same result.
+by every worker from the shared folder. A larger tree is dealt out to groups of subtrees
+there; a worker gathers the different grams of ``CHUNK`` bytes of texts, reads the groups
+that have them one after the other, and then scores these texts, with the same result.
+Nothing is written or moved for a text's grams.
 
 The base score is the smoothed unigram model of the words. Counts of the ``HOT_WORDS``
 most frequent words, at most, are read by every worker; all other words, each rare,
@@ -38,6 +40,12 @@ DEPTH = 5
 #: Grams, about, of the subtrees that are built in one group.
 PART_ROWS = 100_000
 HELD_NODES = 16_000_000
+#: Nodes, about, of one group of a tree with more than that.
+GROUP_NODES = 4_000_000
+#: Bytes of texts whose grams are looked up together in such a tree, and grams whose
+#: probabilities a worker keeps from one such lot to the next, at most.
+CHUNK = 32 << 20
+KEPT_GRAMS = 3_000_000
 HOT_WORDS = 200_000
 END = b"\n"
 _PIECE = 4 << 20
@@ -112,7 +120,9 @@ def counted(texts: DataFrame, depth=DEPTH) -> tuple[DataFrame, DataFrame]:
     both = materialize(texts.select("text").mapInArrow(run, "gram long, word binary, n long"), "counts")
     grams = both.where("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
     words = both.where("word is not null").groupBy("word").agg(F.sum("n").alias("n"))
-    return materialize(grams, "grams"), materialize(words, "words")
+    out = materialize(grams, "grams"), materialize(words, "words")
+    discard(both)
+    return out
 
 
 def _tree(table: pa.Table, depth: int, top: int):
@@ -258,10 +268,105 @@ def _sorted_tables(table: pa.Table, depth: int) -> ctw.Tables:
     return ctw.Tables(keys, odds)
 
 
+def _group(part, groups: int):
+    """The group of the subtrees under some bytes, of arrays and of columns: products stay
+    under 63 bits."""
+    return part * 2_654_435_761 // 65_536 % groups
+
+
+def dealt(nodes: DataFrame, depth: int, groups: int) -> DataFrame:
+    """nodes by group: the subtrees under the three most recent bytes by a hash of these
+    bytes, what is above them in group -1."""
+    low = min(3, depth)
+    part = reduce(lambda rest, d: F.when(F.col("depth") == d, F.shiftrightunsigned("node", 8 * (d - low + 1))).otherwise(rest), range(low, depth + 1), F.lit(None))
+    of = F.pmod(F.shiftright(part * F.lit(2_654_435_761), 16), F.lit(groups)).cast("int")
+    rows = nodes.select(F.when(F.col("depth") < low, -1).otherwise(of).alias("group"), "depth", "node", "odds")
+    return materialize(rows.repartition("group").sortWithinPartitions("group", "depth", "node"), "groups", by=["group"])
+
+
+class Shelf:
+    """A tree that is read group by group; the probabilities of the grams that were
+    learned are at hand."""
+
+    def __init__(self, path: str, depth: int, groups: int):
+        import pyarrow.dataset as ds
+
+        fs, at = filesystem(path)
+        kind = ds.partitioning(pa.schema([("group", pa.int32())]), flavor="hive")
+        self.source = ds.dataset(at, filesystem=fs, format="parquet", partitioning=kind, exclude_invalid_files=False, ignore_prefixes=["_", "."])
+        self.depth, self.low, self.groups = depth, min(3, depth), groups
+        self.above = self._read(-1)
+        self.grams, self.values = np.zeros(0, np.uint64), np.zeros(0)
+
+    def _read(self, group: int) -> ctw.Tables:
+        import pyarrow.dataset as ds
+
+        out = _sorted_tables(self.source.to_table(columns=["depth", "node", "odds"], filter=ds.field("group") == group), self.depth)
+        pa.default_memory_pool().release_unused()
+        return out
+
+    def learn(self, grams: np.ndarray) -> None:
+        """Look up what is not known yet of sorted, different grams."""
+        if len(self.grams) > KEPT_GRAMS:
+            self.grams, self.values = self.grams[:0], self.values[:0]
+        new = grams[~self._has(grams)]
+        values = np.empty(len(new))
+        group = _group(new >> np.uint64(8 * (self.depth - self.low + 1)), self.groups)
+        for g in np.unique(group):
+            own, tables = np.flatnonzero(group == g), self._read(int(g))
+            tables.keys[: self.low], tables.odds[: self.low] = self.above.keys[: self.low], self.above.odds[: self.low]
+            values[own] = tables.log2(new[own])
+        both = np.concatenate([self.grams, new])
+        order = np.argsort(both, kind="stable")
+        self.grams, self.values = both[order], np.concatenate([self.values, values])[order]
+
+    def _has(self, grams: np.ndarray) -> np.ndarray:
+        if not len(self.grams):
+            return np.zeros(len(grams), bool)
+        return self.grams[np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)] == grams
+
+    def log2(self, grams: np.ndarray) -> np.ndarray:
+        """Of grams that were learned last."""
+        return self.values[np.searchsorted(self.grams, grams)]
+
+    def ahead(self, batches, text: int):
+        """The same batches, each when the grams of its texts are known."""
+        held, size = [], 0
+
+        def learned():
+            found, some, n = np.zeros(0, np.uint64), [], 0
+            for b in held:
+                for t in b.column(text):
+                    for g in grams_of(words_of(t.as_py()), self.depth):
+                        some.append(g)
+                        n += len(g)
+                        if n >= _PIECE:
+                            found, some, n = np.unique(np.concatenate([found, np.unique(np.concatenate(some))])), [], 0
+            self.learn(np.unique(np.concatenate([found, *some])))
+            yield from held
+            held.clear()
+
+        for b in batches:
+            held.append(b)
+            size += b.column(text).nbytes
+            if size >= CHUNK:
+                yield from learned()
+                size = 0
+        if held:
+            yield from learned()
+
+
+def _shelf(path: str, depth: int, groups: int) -> Shelf:
+    if path not in _loaded:
+        _loaded.clear()
+        _loaded[path] = Shelf(path, depth, groups)
+    return _loaded[path]
+
+
 class _Memo:
     """log2 probabilities of grams met lately."""
 
-    def __init__(self, tables: ctw.Tables):
+    def __init__(self, tables: ctw.Tables | Shelf):
         self.tables = tables
         self.tags = np.full(1 << _MEMO_BITS, np.uint64(2**64 - 1))
         self.values = np.zeros(1 << _MEMO_BITS)
@@ -299,8 +404,13 @@ def score(docs: DataFrame, held_out: Column, id_col="doc_id", text="text", depth
             least = r["n"] + 1
             break
     hot = materialize(words.where(F.col("n") >= least), "hot")
+    discard(grams)
+    n_nodes = nodes.count()
+    held, groups = n_nodes <= held_nodes, max(4, -(-n_nodes // GROUP_NODES))
+    if not held:
+        nodes, whole_tree = dealt(nodes, depth, groups), nodes
+        discard(whole_tree)
     hot_path, node_path = hot._waymark_path, nodes._waymark_path
-    held = nodes.count() <= held_nodes
 
     def settle(memo, parts, bits):
         """Adds the log2 probabilities of the held grams to their texts' bits."""
@@ -315,12 +425,13 @@ def score(docs: DataFrame, held_out: Column, id_col="doc_id", text="text", depth
         held_grams: list[tuple[int, np.ndarray]] = []
         table = _read(hot_path, ["word", "n"])
         known = dict(zip(table.column("word").to_pylist(), (math.log10((c + 0.5) / whole) for c in table.column("n").to_pylist()), strict=True))
-        memo = _Memo(_tables(node_path, depth)) if held else None
+        tables = _tables(node_path, depth) if held else _shelf(node_path, depth, groups)
+        memo = _Memo(tables)
         get = known.get
-        for b in batches:
+        for b in batches if held else tables.ahead(batches, 2):
             texts = b.column(2)
             for at in range(0, len(texts), 256):
-                out = {k: [] for k in ("n_tokens", "hot", "known", "bits", "n_bytes", "tail", "tail_n", "grams", "gram_n")}
+                out = {k: [] for k in ("n_tokens", "hot", "known", "bits", "n_bytes", "tail", "tail_n")}
                 for t in texts.slice(at, 256):
                     own = words_of(t.as_py())
                     scores = list(map(get, own))
@@ -337,35 +448,26 @@ def score(docs: DataFrame, held_out: Column, id_col="doc_id", text="text", depth
                     out["tail_n"].append(list(tail.values()))
                     out["n_bytes"].append(sum(map(len, own)) + max(1, len(own)))
                     out["bits"].append(0.0)
-                    if memo is not None:
-                        for g in grams_of(own, depth):
-                            held_grams.append((len(out["bits"]) - 1, g))
-                            if sum(len(g) for _, g in held_grams[-256:]) >= _PIECE // 2:
-                                settle(memo, held_grams, out["bits"])
-                        out["grams"].append([])
-                        out["gram_n"].append([])
-                    else:
-                        u, c = np.unique(np.concatenate(list(grams_of(own, depth))), return_counts=True)
-                        out["grams"].append(u.view(np.int64))
-                        out["gram_n"].append(c.astype(np.int32))
+                    for g in grams_of(own, depth):
+                        held_grams.append((len(out["bits"]) - 1, g))
+                        if sum(len(g) for _, g in held_grams[-256:]) >= _PIECE // 2:
+                            settle(memo, held_grams, out["bits"])
                 settle(memo, held_grams, out["bits"])
                 kinds = dict(n_tokens=pa.int64(), hot=pa.float64(), known=pa.int64(), bits=pa.float64(), n_bytes=pa.int64(), tail=pa.list_(pa.binary()),
-                             tail_n=pa.list_(pa.int32()), grams=pa.list_(pa.int64()), gram_n=pa.list_(pa.int32()))
+                             tail_n=pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays(
                     [b.column(0).slice(at, 256), b.column(1).slice(at, 256), *(pa.array(out[k], kinds[k]) for k in out)], ["id", "held_out", *out]
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, held_out boolean, n_tokens long, hot double, known long, bits double, n_bytes long, tail array<binary>, tail_n array<int>, grams array<long>, gram_n array<int>"
+    schema = f"id {kind}, held_out boolean, n_tokens long, hot double, known long, bits double, n_bytes long, tail array<binary>, tail_n array<int>"
     first = materialize(rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id()), "scores")
     tail = first.select("row", F.inline(F.arrays_zip("tail", "tail_n")).alias("word", "k")).join(words, "word", "left")
     part = F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(float(whole)))
     rest = tail.groupBy("row").agg(F.sum(F.col("k") * part).alias("rest"), F.sum(F.when(F.col("n") > 0, F.col("k")).otherwise(0)).alias("rest_known"))
     out = first.join(rest, "row", "left")
     bits = F.col("bits")
-    if not held:
-        out = out.join(_remote(first, nodes, depth), "row", "left")
-        bits = F.coalesce("remote", F.lit(0.0))
+    discard(nodes)
     return out.select(
         F.col("id").alias(id_col), "held_out", "n_tokens",
         (F.col("known") + F.coalesce("rest_known", F.lit(0))).alias("n_known"),
@@ -373,36 +475,3 @@ def score(docs: DataFrame, held_out: Column, id_col="doc_id", text="text", depth
         (F.col("hot") + F.coalesce("rest", F.lit(0.0))).alias("base_score"),
         (bits * _LOG10_2).alias("score"), "n_bytes", (-bits / F.col("n_bytes")).alias("bits_per_byte"),
     )
-
-
-def _remote(first: DataFrame, nodes: DataFrame, depth: int, rows_each=4_000_000) -> DataFrame:
-    """(row, remote): log2 probabilities added up where the subtrees are. Subtrees are
-    copied to as many salts as the counts of the documents need."""
-    top = min(2, depth)
-    asked = first.select("row", F.inline(F.arrays_zip("grams", "gram_n")).alias("gram", "k"))
-    asked = asked.withColumn("part", F.shiftrightunsigned("gram", 8 * (depth - top + 1)))
-    fullest = asked.groupBy("part").count().agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
-    salts = max(1, -(-fullest // rows_each))
-    asked = asked.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(salts)).cast("int"))
-    parts = asked.select("part").distinct()
-    context = F.shiftrightunsigned("node", 8)
-    deep = nodes.where(F.col("depth") >= top).withColumn(
-        "part", F.expr(" ".join(["CASE", *(f"WHEN depth = {d} THEN shiftrightunsigned(node, {8 * (d - top + 1)})" for d in range(top, depth + 1)), "END"]))
-    )
-    shallow = [nodes.where(F.col("depth") == d) for d in range(top)]
-    own = deep
-    for d, level in enumerate(shallow):
-        near = level.withColumn("_c", context).join(parts.withColumn("_p", F.shiftrightunsigned("part", 8 * (top - d))), F.col("_c") == F.col("_p"))
-        own = own.unionAll(near.select("depth", "node", "odds", "part"))
-    own = own.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-
-    def look_up(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return pa.table({"row": pa.array([], pa.int64()), "s": pa.array([], pa.float64())})
-        grams, back = np.unique(left.column("gram").to_numpy().view(np.uint64), return_inverse=True)
-        s = _sorted_tables(right, depth).log2(grams)[back] * left.column("k").to_numpy()
-        rows, at = np.unique(left.column("row").to_numpy(), return_inverse=True)
-        return pa.table({"row": rows, "s": np.bincount(at, s)})
-
-    found = asked.groupBy("part", "salt").cogroup(own.groupBy("part", "salt")).applyInArrow(look_up, "row long, s double")
-    return found.groupBy("row").agg(F.sum("s").alias("remote"))
