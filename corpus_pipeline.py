@@ -40,7 +40,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays (operator 9)."""
+    """One document of each group of near duplicates stays: of those that operator 9 links,
+    and of those whose shingles are alike."""
     ship(spark)
     return simhash.near_duplicates(docs)
 

@@ -221,3 +221,24 @@ def test_one_block_of_new_text_shares_a_key():
         if 0.8 <= len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b)) < 0.85:
             found.append(bool((simhash.near_keys(simhash.shingles(a, 5)) == simhash.near_keys(simhash.shingles(b, 5))).any()))
     assert len(found) > 400 and sum(found) >= 0.98 * len(found)
+
+
+def test_what_the_fingerprints_link_is_one_document(spark):
+    """The filter keeps one document of each component of the operator: texts that repeat
+    the same words with different ends, and chains of such with texts of like shingles."""
+    rng = random.Random(31)
+    vocabulary = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(3000)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    rows = [(1, "la la la la"), (2, "la la la la la"), (3, "la la")]
+    for k in range(20):
+        base = text(11) * 40
+        first, second = base + text(40), base + text(40)
+        rows += [(100 * k + 10, " ".join(first)), (100 * k + 11, " ".join(second)), (100 * k + 12, " ".join(second[:-2]))]
+    rows += [(5000 + k, " ".join(text(80))) for k in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    component = {r.doc_id: r.component_id for r in simhash.components(docs).collect()}
+    assert sum(component[100 * k + 11] == 100 * k + 10 for k in range(20)) >= 18 and component[2] == 1
+    got = {r.doc_id for r in simhash.near_duplicates(docs).collect()}
+    linked = {c for i, c in component.items() if i != c}
+    assert len(linked) >= 19 and linked <= got and not got & {i for i, c in component.items() if i != c}
+    assert not got & {100 * k + 12 for k in range(20)} and set(range(5000, 5100)) <= got

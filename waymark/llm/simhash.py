@@ -1,6 +1,6 @@
 """SimHash near-duplicates: 64-bit fingerprints of word shingles, linked by an
-exact search in vantage-point trees, and grouped into components; and a filter by the
-Jaccard similarity of shingles, whose candidates share smallest hashes.
+exact search in vantage-point trees, and grouped into components; and a filter by these
+links and by the Jaccard similarity of shingles, whose candidates share smallest hashes.
 
 Defined results: null text counts as empty; texts without words have fingerprint
 zero and link like any other; rows with a null id keep their fingerprint and
@@ -61,19 +61,24 @@ def with_fingerprints(docs: DataFrame, id_col="doc_id", text="text", size=3, see
     return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
+def classes_of(prints: DataFrame, name: str, named: str, distance: int) -> DataFrame:
+    """(fp, named) of prints(fp, name): every different fingerprint, and the smallest name in
+    its component, by an exact search in the trees."""
+    points = materialize(prints.groupBy("fp").agg(F.min(name).alias("low")), "points")
+    masks = vantage.blocks(1, 2)
+    found = vantage.links(points.select(F.col("fp").alias("node"), F.col("fp").alias("w0")), ["w0"], distance, masks)
+    roots = connected_components(found)
+    rows = points.join(roots, points.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    rows = materialize(rows, "roots")
+    lowest = rows.groupBy("root").agg(F.min("low").alias(named))
+    return rows.join(lowest, "root").select("fp", named)
+
+
 def components(docs: DataFrame, id_col="doc_id", text="text", size=3, seed=42, distance=2) -> DataFrame:
     """(id, fingerprint, component_id): documents whose fingerprints are linked by
     chains of at most ``distance`` differing bits."""
     prints = materialize(with_fingerprints(docs, id_col, text, size, seed), "fingerprints")
-    points = materialize(prints.groupBy("fp").agg(F.min("id").alias("low")), "points")
-    masks = vantage.blocks(1, 2)
-    found = vantage.links(points.select(F.col("fp").alias("node"), F.col("fp").alias("w0")), ["w0"], distance, masks)
-    roots = connected_components(found)
-    named = points.join(roots, points.fp == roots.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = materialize(named, "roots")
-    lowest = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = named.join(lowest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
+    return prints.join(classes_of(prints, "id", "component_id", distance), "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
@@ -146,11 +151,13 @@ def similar_links(nodes: list, sets: list[np.ndarray], left: list[bool], right:
     return out
 
 
-def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, similarity=0.8, rows_each=NEAR_ROWS, pivots=NEAR_PIVOTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, similarity=0.8, rows_each=NEAR_ROWS, pivots=NEAR_PIVOTS, distance=2) -> DataFrame:
     """docs with one document left of each group of near duplicates: texts linked by
-    chains of pairs whose sets of ``size``-word shingles have a Jaccard similarity of at
-    least ``similarity``. Candidates are all pairs of texts that share one of their
-    ``near_keys``; none is dropped. The texts of a key meet in one task, the key's shard. A
+    chains of pairs whose fingerprints differ in at most ``distance`` bits, as
+    ``components`` links them, or whose sets of ``size``-word shingles have a Jaccard
+    similarity of at least ``similarity``. The first are found exactly, in the trees, and
+    are one group from the start. Candidates for the others are all pairs of texts that
+    share one of their ``near_keys``; none is dropped. The texts of a key meet in one task, the key's shard. A
     key of more than ``rows_each`` texts is compared with a few of them first, which links
     what is one dense group; then only pairs of different groups are left to compare, in
     blocks: those outside the largest group with each other and with all of it. Tasks emit
@@ -161,19 +168,23 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
 
     def keys(batches):
         for b in batches:
-            got = [near_keys(shingles(t.as_py(), size)).view(np.int64) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int64()))], ["id", "node", "keys"])
+            texts = b.column(2).to_pylist()
+            got = [near_keys(shingles(t, size)).view(np.int64) for t in texts]
+            fps = np.array([fingerprint(words_of(t)) for t in texts], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps), pa.array(got, pa.list_(pa.int64()))], ["id", "node", "fp", "keys"])
         trim_memory()
 
     named = docs.select(F.col(id_col).alias("id"), node.alias("node"), F.col(text).alias("text"))
-    rows = materialize(named.mapInArrow(keys, f"id {kind}, node long, keys array<long>"), "keys")
-    points = materialize(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("keys").alias("keys")), "points")
-    asked = points.select("node", F.explode("keys").alias("key"))
+    rows = materialize(named.mapInArrow(keys, f"id {kind}, node long, fp long, keys array<long>"), "keys")
+    points = rows.groupBy("node").agg(F.min("id").alias("low"), F.min("fp").alias("fp"), F.min("keys").alias("keys"))
+    points = materialize(points, "texts")
+    points = materialize(points.join(classes_of(points, "node", "lead", distance), "fp").select("node", "low", "keys", "lead"), "points")
+    asked = points.select("node", F.col("lead").alias("root"), F.explode("keys").alias("key"))
     mixed = lambda seed: F.sum(F.xxhash64("node", F.lit(seed)).cast("decimal(38,0)"))
     shards = asked.groupBy("key").agg(F.count("*").alias("n"), mixed(1).alias("x"), mixed(2).alias("y")).where("n > 1")
     # keys that the same texts share are one shard
     shards = shards.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
-    members = materialize(asked.join(shards, "key").select("node", "key", F.ceil(F.col("n") / rows_each).cast("int").alias("blocks")), "members")
+    members = materialize(asked.join(shards, "key").select("node", "root", "key", F.ceil(F.col("n") / rows_each).cast("int").alias("blocks")), "members")
 
     def hashes(batches):
         for b in batches:
@@ -216,16 +227,17 @@ def near_duplicates(docs: DataFrame, id_col="doc_id", text="text", size=5, simil
 
     # all texts of a key; of a large one, all with some
     few, many = members.where("blocks = 1"), members.where("blocks > 1").withColumn("i", block(F.col("blocks"), 3))
-    some = many.groupBy("key", "blocks", block(F.lit(pivots), 5).alias("p")).agg(F.min("node").alias("node"))
-    dealt = few.select(task(), "node", *sides(yes, yes))
-    dealt = dealt.unionAll(many.select(task("i"), "node", *sides(no, yes)))
-    dealt = dealt.unionAll(some.withColumn("i", upto(F.col("blocks"))).select(task("i"), "node", *sides(yes, no)))
-    close = linked(dealt.withColumn("root", F.col("node")), "close")
-    roots = connected_components(close)
+    some = many.groupBy("key", "blocks", block(F.lit(pivots), 5).alias("p")).agg(F.min(F.struct("node", "root")).alias("x"))
+    some = some.select("key", "blocks", "x.*").withColumn("i", upto(F.col("blocks")))
+    dealt = few.select(task(), "node", *sides(yes, yes), "root")
+    dealt = dealt.unionAll(many.select(task("i"), "node", *sides(no, yes), "root"))
+    dealt = dealt.unionAll(some.select(task("i"), "node", *sides(yes, no), "root"))
+    close = linked(dealt, "close")
+    roots = connected_components(close.unionAll(points.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b"))))
     if many.limit(1).count():
         # what these links leave apart in large keys: texts outside a key's largest group
         roots = materialize(roots, "roots")
-        parts = many.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        parts = many.drop("root").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         parts = materialize(parts, "parts")
         tally = parts.groupBy("key", "root").agg(F.count("*").alias("n"))
         tally = tally.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("n")).where("n > top.n")
