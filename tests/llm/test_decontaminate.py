@@ -130,3 +130,34 @@ def test_sampled_passages_come_from_all_parts_of_texts():
     assert starts == set(range(0, 481, D.STRIDE))
     assert D.passage(words[:20], "x") == words[:20] and D.passage([], "") == []
     assert all(len(D.passage(words[:n], f"text {k}")) > 16 for n in range(33, 80) for k in range(40))
+
+
+def test_all_passages_take_part_in_the_fit(spark, monkeypatch):
+    """The matrix of the space has every passage of every text, however many there are, and
+    its products of terms are those of the passages one by one."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(400)]
+    items = [(k, " ".join(words[20 * k : 20 * k + 20])) for k in range(10)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 150))) for _ in range(300)] + [None, ""]
+    held, svd = [], D.randomised_svd
+    monkeypatch.setattr(D, "COMMON", 1.0)
+    monkeypatch.setattr(D, "randomised_svd", lambda rows, *args: held.extend(rows.collect()) or svd(rows, *args))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    (space,) = D.fit(docs, [items], passages=50)
+    got = np.zeros((len(space.terms),) * 2)
+    for r in held:
+        got[np.ix_(r.ids, r.ids)] += np.outer(r.weights, r.weights)
+    split = [(t or "").split() for t in texts]
+    df = {w: sum(w in s for s in split) for w in space.terms}
+    idf = {w: np.log((len(texts) + 1) / (df[w] + 1)) + 1 for w in df}
+    parts = [[w for w in s[at : at + D.WINDOW] if w in df] for s in split for at in range(0, len(s), D.WINDOW)]
+    parts = [p for p in parts if len(p) > 2]
+    assert len(parts) > 500
+    want = np.zeros_like(got)
+    for own, scale in [(t.split(), 1.0) for _, t in items] + [(p, D.PASSAGE_WEIGHT * (50 / len(parts)) ** 0.5) for p in parts]:
+        x = np.zeros(len(got))
+        for w in own:
+            x[space.terms[w]] += idf[w]
+        x *= scale / np.linalg.norm(x)
+        want += np.outer(x, x)
+    assert np.allclose(got, want, atol=1e-9)

@@ -1,8 +1,8 @@
 """Benchmark decontamination by latent semantic retrieval.
 
-Benchmark items and a hash sample of corpus passages make a TF-IDF matrix (document
-frequencies are counted over the whole corpus) whose randomised SVD is computed in
-distributed steps: every step multiplies the partitions' sparse rows with a broadcast
+Benchmark items and all passages of the corpus make a TF-IDF matrix (document
+frequencies are counted over the whole corpus; passages of the same terms are one row, by
+their number) whose randomised SVD is computed in distributed steps: every step multiplies the partitions' sparse rows with a broadcast
 block and adds up the results. All windows of all documents are then mapped into the
 latent space and compared with all items by cosine; windows that come close are
 checked in their surroundings by the longest common subsequence of words, by the
@@ -28,9 +28,11 @@ import zlib
 from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,8 @@ MIN_WORDS = 5
 PART = 64
 WINDOW, STRIDE = 32, 16
 RANK, OVERSAMPLE, POWER = 128, 16, 2
-#: Corpus passages that take part in fitting the space, about, at most.
+#: All corpus passages take part in fitting the space; together they weigh as much as so
+#: many, at most, so that the items keep their share of the space whatever the corpus.
 PASSAGES = 4096
 PASSAGE_WEIGHT = 0.2
 #: Words in more than this share of documents are left out, but for the RAREST of an item.
@@ -60,6 +63,16 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (x.strip(_MARKS) for x in (text or "").lower().split()) if w]
 
 
+def numbered(texts: list[list[str]], number: dict[str, int]) -> list[np.ndarray]:
+    """The numbers of the texts' words without their marks; -1 where there is none."""
+    found = {}
+    for x in set().union(*texts):
+        k = number.get(x if x.isalnum() else x.strip(_MARKS))  # marks are not alphanumeric
+        if k is not None:
+            found[x] = k
+    return [np.fromiter(map(found.get, words, repeat(-1)), np.int32, len(words)) for words in texts]
+
+
 def answer_of(text: str) -> list[str]:
     """The words of an item's last sentence."""
     parts = [p for p in text.replace("?", ".").replace("!", ".").replace("\n", " ").split(".") if words_of(p)]
@@ -97,7 +110,7 @@ class Space:
 
 
 def passage(found: list, text: str) -> list:
-    """The window of a sampled text that takes part in the fit; a hash picks it."""
+    """One window of a text; a hash picks it. (The fit takes all passages of all texts.)"""
     at = zlib.crc32(text.encode("utf-8", "surrogatepass")) % max(1, -(-(len(found) - WINDOW) // STRIDE) + 1) * STRIDE
     return found[at : at + WINDOW]
 
@@ -110,13 +123,14 @@ def _blocks(z: np.ndarray, size: int = 512):
 
 
 def _summed(rows: DataFrame, terms: int, rank: int, multiply) -> np.ndarray:
-    """The sum over all partitions of multiply(list of (term ids, weights)): [terms, rank]."""
+    """The sum over all partitions of multiply(term ids, weights, sizes of rows): [terms, rank]."""
 
     def partial(batches):
         total = None
         for b in batches:
-            ids, weights = b.column(0).to_pylist(), b.column(1).to_pylist()
-            z = multiply([(np.array(i), np.array(w, np.float32)) for i, w in zip(ids, weights, strict=True)])
+            ids, weights = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
+            sizes = pa.compute.list_value_length(b.column(0)).to_numpy(zero_copy_only=False)
+            z = multiply(ids, weights.astype(np.float32), sizes[sizes > 0])
             total = z if total is None else total + z
         if total is not None:
             parts = list(_blocks(total))
@@ -142,10 +156,17 @@ def randomised_svd(rows: DataFrame, terms: int, rank=RANK, oversample=OVERSAMPLE
     q = np.random.default_rng(seed).standard_normal((terms, size)).astype(np.float32)
 
     def through(q):
-        def multiply(sparse):
+        def multiply(ids, weights, sizes):
             z = np.zeros((terms, size), np.float32)
-            for i, w in sparse:
-                np.add.at(z, i, np.outer(w, w @ q[i]))
+            ends = np.cumsum(sizes)
+            for at in range(0, len(sizes), 2048):
+                n = sizes[at : at + 2048]
+                first = ends[at] - n[0]
+                i, w = ids[first : first + n.sum()], weights[first : first + n.sum(), None]
+                y = np.add.reduceat(q[i] * w, np.cumsum(n) - n, axis=0)
+                back, order = np.repeat(y, n, axis=0) * w, np.argsort(i, kind="stable")
+                starts = np.flatnonzero(np.diff(i[order], prepend=-1))
+                z[i[order][starts]] += np.add.reduceat(back[order], starts, axis=0)
             return z
 
         return multiply
@@ -169,38 +190,80 @@ def fit(docs: DataFrame, groups: list[list[tuple]], text="text", rank=RANK, pass
     named = [[(i, words_of(t), answer_of(t)) for i, t in group] for group in groups]
     number = {w: k for k, w in enumerate(sorted({w for group in named for _, ws, _ in group if len(ws) >= MIN_WORDS for w in ws}))}
     total = docs.count()
-    share = min(1.0, passages / max(1, total))
 
     def count(batches):
-        df = Counter()
-        for b in batches:
-            for t, chosen in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                words = (t or "").lower().split()
-                df.update({number.get(x.strip(_MARKS)) for x in set(words)})
-                if chosen:
-                    known = [k for x in passage(words, t or "") if (k := number.get(x.strip(_MARKS))) is not None]
-                    if len(known) > 2:
-                        yield pa.RecordBatch.from_pydict({"term": pa.array([-1], pa.int32()), "n": pa.array([0], pa.int64()), "ids": pa.array([known], pa.list_(pa.int32()))})
-        df.pop(None, None)
-        if df:
-            n = len(df)
-            yield pa.RecordBatch.from_pydict({"term": pa.array(list(df), pa.int32()), "n": pa.array(list(df.values()), pa.int64()), "ids": pa.array([None] * n, pa.list_(pa.int32()))})
+        df = np.zeros(len(number), np.int64)
+        none = lambda n: pa.nulls(n, pa.binary())
+        for whole in batches:
+            for at in range(0, len(whole), 256):
+                texts = [(t or "").lower().split() for t in whole.column(0).slice(at, 256).to_pylist()]
+                ids = numbered(texts, number)
+                known = [np.flatnonzero(x >= 0) for x in ids]
+                base = np.cumsum([0, *(len(x) // WINDOW + 1 for x in ids)])
+                owner = np.repeat(np.arange(len(ids)), [len(x) for x in known])
+                block = np.concatenate([base[k] + x // WINDOW for k, x in enumerate(known)])
+                flat = np.concatenate([x[own] for x, own in zip(ids, known, strict=True)])
+                df += np.bincount(np.unique(owner * len(number) + flat) % len(number), minlength=len(number))
+                sizes = np.diff(np.flatnonzero(np.diff(block, prepend=-1, append=-1)))
+                wide = sizes > 2
+                if wide.any():
+                    packed = flat[np.repeat(wide, sizes)].astype("<i4").tobytes(), sizes[wide].astype(np.uint8).tobytes()
+                    yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([int(wide.sum())], pa.int64()), *(pa.array([x], pa.binary()) for x in packed)], ["term", "n", "ids", "sizes"])
+        own = np.flatnonzero(df)
+        if len(own):
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(df[own]), none(len(own)), none(len(own))], ["term", "n", "ids", "sizes"])
         trim_memory()
 
     df = np.zeros(len(number), np.int64)
-    sampled = docs.sparkSession.createDataFrame([], "ids array<int>")
+    packed, weight = docs.sparkSession.createDataFrame([], "ids binary, sizes binary"), 0.0
     if number:
-        chosen = F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(share * 1_000_000)
-        counted = materialize(docs.select(F.col(text).alias("text"), chosen.alias("chosen")).mapInArrow(count, "term int, n long, ids array<int>"), "counts")
-        for r in counted.where("term >= 0").groupBy("term").agg(F.sum("n").alias("n")).collect():  # as many rows as the groups have words
-            df[r["term"]] = r["n"]
-        sampled = counted.where("term < 0").select("ids")
-    return [_space(group, number, df, total, sampled, rank) for group in named]
+        counted = materialize(docs.select(F.col(text).alias("text")).mapInArrow(count, "term int, n long, ids binary, sizes binary"), "counts")
+        n = 0
+        for r in counted.groupBy("term").agg(F.sum("n").alias("n")).collect():  # as many rows as the groups have words, and one
+            if r["term"] < 0:
+                n = r["n"]
+            else:
+                df[r["term"]] = r["n"]
+        weight = PASSAGE_WEIGHT * min(1.0, passages / max(1, n)) ** 0.5
+        packed = counted.where("term < 0").select("ids", "sizes")
+    return [_space(group, number, df, total, packed, weight, rank) for group in named]
+
+
+def tallied(packed: DataFrame, at: np.ndarray) -> DataFrame:
+    """(ids, n): the different passages as the sorted places (at) of their terms, 32-bit, and
+    how many passages are alike. Those without a term that has a place are left out."""
+
+    def run(batches):
+        found = Counter()
+
+        def flush():
+            rows = list(found.items())
+            for k in range(0, len(rows), 50_000):
+                part = rows[k : k + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.binary()), pa.array([n for _, n in part], pa.int64())], ["ids", "n"])
+            found.clear()
+
+        for b in batches:
+            for ids, sizes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                sizes = np.frombuffer(sizes, np.uint8)
+                place, row = at[np.frombuffer(ids, "<i4")], np.repeat(np.arange(len(sizes)), sizes)
+                good = place >= 0
+                keys = np.sort(row[good] * len(at) + place[good])
+                data = (keys % len(at)).astype("<i4").tobytes()
+                ends = 4 * np.cumsum(np.bincount(keys // len(at), minlength=len(sizes)))
+                found.update(data[x:y] for x, y in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True) if y > x)
+            if len(found) > 200_000:
+                yield from flush()
+        yield from flush()
+        trim_memory()
+
+    return packed.mapInArrow(run, "ids binary, n long").groupBy("ids").agg(F.sum("n").alias("n"))
 
 
-def _space(group: list[tuple], number: dict[str, int], df: np.ndarray, total: int, sampled: DataFrame, rank: int) -> Space:
-    """One group's space, from the document frequencies of its words and the passages."""
-    spark = sampled.sparkSession
+def _space(group: list[tuple], number: dict[str, int], df: np.ndarray, total: int, packed: DataFrame, weight: float, rank: int) -> Space:
+    """One group's space, from the document frequencies of its words and all passages, each
+    of this weight."""
+    spark = packed.sparkSession
     short: dict[tuple, list] = {}
     entries = []  # (item's number, id, words, answer)
     for k, (i, ws, answer) in enumerate(group):
@@ -219,22 +282,24 @@ def _space(group: list[tuple], number: dict[str, int], df: np.ndarray, total: in
     at[order] = np.arange(len(order))
     idf = np.log((total + 1) / (df[order] + 1)) + 1
 
-    def weighed(ids, scale):
-        own = Counter(int(at[k]) for k in ids if at[k] >= 0)
+    def weighed(places, scale):
+        own = Counter(places)
         w = np.array([n * idf[k] for k, n in own.items()])
         norm = np.linalg.norm(w)
         return (list(own), (scale * w / norm).tolist()) if len(own) and norm else None
 
-    rows = [weighed([number[w] for w in ws], 1.0) for _, _, ws, _ in entries]
+    rows = [weighed([int(at[k]) for w in ws if at[k := number[w]] >= 0], 1.0) for _, _, ws, _ in entries]
 
     def weigh(batches):
         for b in batches:
-            got = [x for ids in b.column(0).to_pylist() if (x := weighed(ids, PASSAGE_WEIGHT))]
+            alike = zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)
+            # n equal rows add as much to the products of terms as one of sqrt(n) times the weight
+            got = [weighed(np.frombuffer(ids, "<i4").tolist(), weight * n**0.5) for ids, n in alike]
             if got:
                 yield pa.RecordBatch.from_pydict({"ids": pa.array([i for i, _ in got], pa.list_(pa.int32())), "weights": pa.array([w for _, w in got], pa.list_(pa.float64()))})
 
     schema = "ids array<int>, weights array<double>"
-    matrix = materialize(spark.createDataFrame([r for r in rows if r], schema).repartition(4).unionAll(sampled.mapInArrow(weigh, schema)), "passages")
+    matrix = materialize(spark.createDataFrame([r for r in rows if r], schema).repartition(4).unionAll(tallied(packed, at).mapInArrow(weigh, schema)), "passages")
     v = randomised_svd(matrix, len(order), min(rank, len(order)))
     discard(matrix)
     items = np.stack([(np.array(r[1], np.float32) @ v[r[0]]) if r else np.zeros(v.shape[1], np.float32) for r in rows])
@@ -276,9 +341,7 @@ def _candidates(space: Space, texts: list[list[str]], cosine: float):
     """(text, item, window start, cosine) of the windows that come close to an item. A
     window is two blocks of STRIDE words, and every block is added up once."""
     blocks, terms, owner, base = [], [], [], 0
-    numbers = {x: space.terms.get(x.strip(_MARKS), -1) for x in set().union(*texts)}
-    for words in texts:
-        ids = np.fromiter(map(numbers.__getitem__, words), np.int32, len(words))
+    for words, ids in zip(texts, numbered(texts, space.terms), strict=True):
         pos = np.flatnonzero(ids >= 0)
         blocks.append(base + pos // STRIDE)
         terms.append(ids[pos])
