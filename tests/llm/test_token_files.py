@@ -98,3 +98,26 @@ def test_odd_rows(spark):
     assert [i for _, _, i in got] == [None, None, 3, 3, 3, 7]
     assert [s for s, _, _ in got] == [0, *np.cumsum([n for _, n, _ in got])[:-1]]
     assert token_files.digest(docs.limit(0), PATH).count() == 0
+
+
+def test_words_of_letters_share_calls():
+    """Many new words are encoded with few lines; a line that does not part into its words is
+    encoded word by word."""
+    rng = random.Random(9)
+    tok, enc = Tokenizer.from_file(PATH), token_files.Encoder(PATH)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzäöüßéèñŉǆ") for _ in range(rng.randint(1, 15))) for _ in range(6400)]
+    words += ["don't", "x2y", "12", "a-b", "İs", "éte"]
+    lines = []
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            lines.extend(texts)
+            return tok.encode_batch_fast(texts, **options)
+
+    enc.tokenizer = Counting()
+    want = [tok.encode(w, add_special_tokens=False).ids for w in words]
+    assert [np.frombuffer(e, enc.dtype).tolist() for e in enc.encode(words)] == want
+    assert len(lines) < 150
+    other = token_files.Encoder(PATH)
+    other.last[:] = False
+    assert [np.frombuffer(e, other.dtype).tolist() for e in other.encode(words)] == want

@@ -35,6 +35,8 @@ BATCH = 256
 ROWS_PER_FILE = 65_536
 #: Words that a worker remembers before it starts anew, with as many older ones to ask.
 CACHE_WORDS = 500_000
+#: Words of letters that are encoded as one line.
+LINE_WORDS = 64
 
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_{|}~"
 #: Latin letters after which marks are a piece of their own: normalised and lower-cased
@@ -65,9 +67,41 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
         self.code = "H" if self.dtype.itemsize == 2 else "I"
+        self.last = self._ends()
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _ends(self) -> np.ndarray | None:
+        """Which ids end a word, if the last id of every word says so."""
+        import json
+
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        if not suffix or any(c + suffix not in vocabulary for c in ByteLevel.alphabet()):
+            return None
+        out = np.zeros(max(vocabulary.values()) + 1, bool)
+        out[[k for token, k in vocabulary.items() if token.endswith(suffix)]] = True
+        return out
+
+    def _lines(self, words: list[str]) -> list[str]:
+        """Encodes words of letters many to a line, which saves most of a call's work;
+        returns those of lines whose ids do not part into as many words."""
+        parts, left = [words[at : at + LINE_WORDS] for at in range(0, len(words), LINE_WORDS)], []
+        for at in range(0, len(parts), 64):
+            some = parts[at : at + 64]
+            for part, e in zip(some, self.tokenizer.encode_batch_fast([" ".join(p) for p in some], add_special_tokens=False), strict=True):
+                ids = np.array(e.ids, self.dtype)
+                ends = (np.flatnonzero(self.last[ids]) + 1) * self.dtype.itemsize
+                data = ids.tobytes()
+                if len(ends) != len(part) or ends[-1] != len(data):
+                    left += part
+                    continue
+                ends = ends.tolist()
+                self.known.update((w, data[x:y]) for w, x, y in zip(part, [0, *ends[:-1]], ends, strict=True))
+        return left
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian bytes of self.dtype."""
         if len(self.known) > CACHE_WORDS:
@@ -80,7 +114,7 @@ class Encoder:
 
     def _learn(self, missing: set[str]) -> None:
         known, older = self.known, self.older
-        pairs = {w: (stem, w[len(stem) :]) for w in missing if w and (stem := w.rstrip(_MARKS)) != w and stem[-1:] in _LETTERS and "<|" not in w}
+        pairs = {w: (stem, w[len(stem) :]) for w in missing if w and not w.isalnum() and (stem := w.rstrip(_MARKS)) != w and stem[-1:] in _LETTERS and "<|" not in w}
         need = missing.difference(pairs).union(*pairs.values()).difference(known)
         words = []
         for w in need:
@@ -88,6 +122,9 @@ class Encoder:
                 known[w] = older[w]
             else:
                 words.append(w)
+        if self.last is not None:
+            letters = [w for w in words if w and _LETTERS.issuperset(w)]
+            words = [w for w in words if not w or not _LETTERS.issuperset(w)] + self._lines(letters)
         for at in range(0, len(words), 4096):
             part = words[at : at + 4096]
             found = self.tokenizer.encode_batch_fast(part, add_special_tokens=False)
