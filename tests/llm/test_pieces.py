@@ -5,6 +5,7 @@ import random
 import struct
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from hypothesis import given, settings
@@ -106,3 +107,15 @@ def test_odd_rows(spark):
     both = pieces.decode(pieces.encode(docs, PATH), PATH)
     assert both.columns == [*docs.columns, "piece_ids", "decoded"]
     assert pieces.digest(docs.limit(0), PATH).count() == 0
+
+
+def test_workers_forget_the_texts_of_a_task(spark, monkeypatch):
+    """Workers live on beside the stages that follow, so a task's units must not stay."""
+    texts = [f"unit{k} " * 3 for k in range(500)]
+    docs = spark.createDataFrame([], "text string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, schema: run)
+    run = pieces.encode(docs, PATH)
+    out = [r for b in run(iter([pa.RecordBatch.from_pydict({"text": texts})])) for r in b.column("piece_ids").to_pylist()]
+    held = pieces.compiled(PATH)
+    assert not (held.known or held.older or held.weights or held.pairs)
+    assert out == LIBRARY.encode(texts)

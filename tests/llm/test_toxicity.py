@@ -2,7 +2,9 @@
 
 import random
 import zlib
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from waymark.llm import toxicity
@@ -131,3 +133,18 @@ def test_misspelled_words_of_a_stem():
     assert "idio*" in lex.weights
     assert all(lex.match(w) and lex.match(w)[1] == 1 for w in ("idi0t", "1diot", "id1ots", "iddiot"))
     assert lex.match("idiotic") == ("idio*", 0) and lex.match("idiot")[1] == 0 and lex.match("idle") is None
+
+
+def test_terms_are_passed_on_in_parts():
+    """What a worker holds of the terms of toxic texts is bounded, however many a batch has."""
+    rng = random.Random(3)
+    texts = [" ".join(f"word{rng.randrange(200)}" for _ in range(40)) for _ in range(300)] + [None, ""]
+    own = max(len(toxicity._terms(t)) for t in texts[:-2])
+    want, got = Counter(), Counter()
+    for t in texts[:-2]:
+        want.update((x, toxicity._signature(t)) for x in toxicity._terms(t))
+    for b in toxicity._counted([pa.RecordBatch.from_pydict({"t": texts})], 1000):
+        assert len(b) < 1000 + own
+        for r in b.to_pylist():
+            got[r["t"], r["s"]] += r["n"]
+    assert got == want and len(want) > 5000

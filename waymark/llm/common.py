@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..tables import discard, new_path, scratch, shared_dir
 from ..tables import settle as materialize
 
-__all__ = ["ascii_lower", "connected_components", "discard", "fold", "materialize", "new_path", "scratch", "shared_dir", "trim_memory"]
+__all__ = ["ascii_lower", "connected_components", "discard", "fold", "materialize", "new_path", "scratch", "shared_dir", "trim_memory", "trimmed"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -29,6 +29,17 @@ def trim_memory() -> None:
         trim(0)
 
 
+def trimmed(run):
+    """``run``, a function from batches to batches, with trim_memory() once it has given its
+    last one and its own variables are gone."""
+
+    def whole(batches):
+        yield from run(batches)
+        trim_memory()
+
+    return whole
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

@@ -37,10 +37,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from .common import trim_memory
+from .common import trimmed
 
 SPACE = "▁"
-#: Units that a worker remembers before it starts anew, with as many older ones to ask.
+#: Units that a worker remembers before it starts anew, with as many older ones to ask;
+#: ``encode`` forgets them after each task, since workers live on beside later stages.
 CACHE_UNITS = 400_000
 _CACHE_PAIRS = 200_000
 
@@ -141,6 +142,10 @@ class Transducer:
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        """Drop what was remembered of texts; what was compiled stays."""
+        self.weights, self.pairs, self.known, self.older = {}, 0, {}, {}
+
     def normalised(self, text: str) -> str:
         """A text through the normaliser's arcs; they read one character each."""
         for read, written in self.normaliser.items():
@@ -281,9 +286,9 @@ def encode(docs: DataFrame, model: str, text="text", ids="piece_ids") -> DataFra
                 ends = np.cumsum([0, *(len(d) // kind.itemsize for d in data)]).astype(np.int32)
                 flat = np.frombuffer(b"".join(data), kind).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], [*b.schema.names, ids])
-        trim_memory()
+        t.forget()
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
+    return docs.mapInArrow(trimmed(run), StructType([*docs.schema.fields, StructField(ids, ArrayType(IntegerType()))]))
 
 
 def decode(rows: DataFrame, model: str, ids="piece_ids", text="decoded") -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, trim_memory
+from .common import materialize, trimmed
 
 #: Labelled documents that the lexicon and the weights are fitted on, about, at most.
 MAX_LABELLED = 20_000
@@ -40,6 +40,8 @@ THRESHOLD = 0.7
 WINDOW = 6
 #: What a worker remembers before it starts anew: words, and states of the automaton.
 CACHE_WORDS, MAX_STATES = 100_000, 4_000
+#: Counts of terms that a worker gathers before it passes them on.
+MAX_COUNTS = 200_000
 
 #: Words that report speech, and quotation marks.
 REPORTING = frozenset("said says say quote quoted called call term word slur insult wrote".split())
@@ -203,6 +205,28 @@ def _terms(text: str) -> set[str]:
     return words | {w[:k] + "*" for w in words for k in STEM if k < len(w)}
 
 
+def _counted(batches, most=None):
+    """(t, s, n): how many texts with a signature have a term. What is held at a time is
+    bounded, so a pair may come in several rows."""
+    seen = Counter()
+
+    def flush():
+        terms, sigs = zip(*seen, strict=True)
+        out = pa.RecordBatch.from_pydict({"t": terms, "s": pa.array(sigs, pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
+        seen.clear()
+        return out
+
+    for b in batches:
+        for x in b.column(0).to_pylist():
+            if x:
+                s = _signature(x)
+                seen.update((t, s) for t in _terms(x))
+                if len(seen) >= (most or MAX_COUNTS):
+                    yield flush()
+    if seen:
+        yield flush()
+
+
 def _signature(text: str) -> int:
     """From the smallest hashes of a text's words: the same for most copies."""
     low = sorted({zlib.crc32(w.encode()) for w in words_of(text) if len(w) > 2})[:4]
@@ -289,21 +313,8 @@ def fit(labelled: DataFrame, max_labelled=MAX_LABELLED) -> Model:
     if not n_pos or not n_neg:
         return empty
 
-    def toxic_terms(batches):
-        for b in batches:
-            seen = Counter()
-            for x in b.column(0).to_pylist():
-                if x:
-                    s = _signature(x)
-                    seen.update((t, s) for t in _terms(x))
-            if seen:
-                terms, sigs = zip(*seen, strict=True)
-                yield pa.RecordBatch.from_pydict({"t": terms, "s": pa.array(sigs, pa.int64()), "n": pa.array(list(seen.values()), pa.int64())})
-                del seen, terms, sigs
-        trim_memory()
-
     found = (
-        sample.where("y = 1").select("text").mapInArrow(toxic_terms, "t string, s long, n long")
+        sample.where("y = 1").select("text").mapInArrow(trimmed(_counted), "t string, s long, n long")
         .groupBy("t", "s").agg(F.sum("n").alias("n"))
         .groupBy("t").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
         .where((F.col("n") >= MIN_DOCS) & (F.col("texts") >= MIN_TEXTS))
@@ -321,7 +332,7 @@ def fit(labelled: DataFrame, max_labelled=MAX_LABELLED) -> Model:
             yield pa.RecordBatch.from_pydict({"t": list(seen), "n": pa.array(list(seen.values()), pa.int64())})
 
     clean = sample.where("y = 0").select("text")
-    neg = {r["t"]: r["n"] for r in clean.mapInArrow(clean_terms, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
+    neg = {r["t"]: r["n"] for r in clean.mapInArrow(trimmed(clean_terms), "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).collect()}
     lexicon = Lexicon(_choose(pos, neg, n_pos, n_neg))
 
     def near_words(batches):
@@ -332,7 +343,7 @@ def fit(labelled: DataFrame, max_labelled=MAX_LABELLED) -> Model:
         if seen:
             yield pa.RecordBatch.from_pydict({"t": list(seen), "n": pa.array(list(seen.values()), pa.int64())})
 
-    near = clean.mapInArrow(near_words, "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).where("n >= 2").collect()
+    near = clean.mapInArrow(trimmed(near_words), "t string, n long").groupBy("t").agg(F.sum("n").alias("n")).where("n >= 2").collect()
     lexicon = Lexicon(lexicon.weights, frozenset(r["t"] for r in near))
 
     def vectors(batches):
@@ -345,7 +356,7 @@ def fit(labelled: DataFrame, max_labelled=MAX_LABELLED) -> Model:
                 x, y, own = zip(*got, strict=True)
                 yield pa.RecordBatch.from_pydict({"x": pa.array(x, pa.list_(pa.float64())), "y": pa.array(y, pa.int32()), "own": pa.array(own)})
 
-    rows = sample.select("text", "y").mapInArrow(vectors, "x array<double>, y int, own boolean").collect()
+    rows = sample.select("text", "y").mapInArrow(trimmed(vectors), "x array<double>, y int, own boolean").collect()
     x = np.array([r["x"] for r in rows], float).reshape(-1, FEATURES)
     y = np.array([r["y"] for r in rows], float)
     own = np.array([r["own"] for r in rows], bool)
@@ -371,13 +382,11 @@ def with_scores(docs: DataFrame, model: Model, text="text", score="score") -> Da
         m = Model(Lexicon(weights, clean), w, base)
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([m.score(t.as_py()) for t in b.column(at)], pa.float64())], [*b.schema.names, score])
-        del m
-        trim_memory()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
     schema = StructType([*docs.schema.fields, StructField(score, DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(trimmed(run), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, id_col="doc_id", text="text") -> DataFrame:
