@@ -1,6 +1,8 @@
 """Token files against the tokenizer on whole texts."""
 
+import gc
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -8,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from tokenizers import Tokenizer
+from tokenizers.normalizers import Replace
 from waymark.llm import token_files
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -121,3 +124,42 @@ def test_words_of_letters_share_calls():
     other = token_files.Encoder(PATH)
     other.last[:] = False
     assert [np.frombuffer(e, other.dtype).tolist() for e in other.encode(words)] == want
+
+
+def test_remembered_words_take_little_room(spark, sf, monkeypatch):
+    """What a worker remembers is bounded, changes no ids, and is 60 bytes a word at most."""
+    monkeypatch.setattr(token_files, "CACHE_WORDS", 2000)
+    rng = random.Random(3)
+    tok, enc = Tokenizer.from_file(PATH), token_files.Encoder(PATH)
+    ends, parts = ["", ",", "...", "!?"], ["abcdefghijklmnopqrstuvwxyzàéîßüÿ", "abcXYZÀÉÎ", "aéñŉǆŁ"]
+    texts = [" ".join("".join(rng.choice(rng.choice(parts)) for _ in range(rng.randint(1, 9))) + rng.choice(ends) for _ in range(200)) for _ in range(100)]
+    texts += ODD + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").limit(60).collect()]
+    rng.shuffle(texts)
+    for _ in range(2):
+        for at in range(0, len(texts), 7):
+            own = texts[at : at + 7]
+            for text, ids in zip(own, enc.encode(own), strict=True):
+                assert np.frombuffer(ids, enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids, text
+            assert len(enc.words) == len(enc.word_ids) == len(enc.used) <= 2000
+    assert enc.encode(["a", "", "a"]) == enc.encode(["a", "", "a"]) and enc.encode([]) == []
+    monkeypatch.undo()
+    words, before = ["".join(rng.choices(parts[0], k=8)) for _ in range(100_000)], pa.total_allocated_bytes()
+    tracemalloc.start()
+    enc = token_files.Encoder(PATH)
+    enc.encode([" ".join(words)])
+    gc.collect()
+    held = tracemalloc.get_traced_memory()[0] + pa.total_allocated_bytes() - before
+    tracemalloc.stop()
+    assert held < 60 * len(words)
+
+
+def test_small_letters_need_no_pattern():
+    """The shorter way gives the tokenizer's ids for words of its letters, and is not used
+    where the tokenizer would treat them otherwise."""
+    rng = random.Random(5)
+    tok, enc = Tokenizer.from_file(PATH), token_files.Encoder(PATH)
+    words = ["".join(rng.choice(sorted(token_files._SMALL)) for _ in range(rng.randint(1, 12))) for _ in range(5000)]
+    assert enc.simple and [np.frombuffer(e, enc.dtype).tolist() for e in enc.encode(words)] == [tok.encode(w, add_special_tokens=False).ids for w in words]
+    other = token_files.Encoder(PATH)
+    other.tokenizer.normalizer = Replace("é", "e")
+    assert other._plainly() == (None, {})
