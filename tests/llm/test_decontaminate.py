@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from waymark.llm import decontaminate as D
 
@@ -161,3 +162,50 @@ def test_all_passages_take_part_in_the_fit(spark, monkeypatch):
         x *= scale / np.linalg.norm(x)
         want += np.outer(x, x)
     assert np.allclose(got, want, atol=1e-9)
+
+
+def test_words_part_and_strip_like_python():
+    rng = random.Random(6)
+    some = [*" \t\n\x0b\x0c\r\x1c\x1f\x85\xa0\u2003\u3000", *"aZ09é.,!«»„…İΣσßΑ'^`\u0307\xad\u200b\u2060—·|<>", *map(chr, range(33, 127))]
+    anywhere = lambda: chr(rng.choice([rng.randrange(1, 0xD800), rng.randrange(0xE000, 0x110000)]))
+    texts = ["".join(rng.choice(some) if rng.random() < 0.98 else anywhere() for _ in range(rng.randint(0, 60))) for _ in range(5000)]
+    texts += ["", " ", "...", " a ", "ΑΣ", "ΑΣ. ΑΣ\xad Σ", None]
+    words = D.Words(pa.array(texts))
+    want = [[x.strip(D._MARKS) for x in (t or "").lower().split()] for t in texts]
+    assert [words.of(k) for k in range(len(texts))] == want and words.sizes.tolist() == list(map(len, want))
+    assert words.of(texts.index("ΑΣ. ΑΣ\xad Σ"), 1, 2) == ["ας\xad"]
+    terms = sorted({w for ws in want for w in ws if w})[::3]
+    _, text, place, number = words.known(pa.array(terms))
+    assert [(k, p, terms[n]) for k, p, n in zip(text, place, number, strict=True)] == [(k, p, w) for k, ws in enumerate(want) for p, w in enumerate(ws) if w in set(terms)]
+    assert D.Words(pa.array([None, ""], pa.string())).sizes.tolist() == [0, 0]
+
+
+def test_only_windows_with_enough_rare_words_are_compared(spark, monkeypatch):
+    """The costly comparison is for places that its first condition leaves, and what is
+    found is what comparing every close window finds."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("abcdefghijklmnopé") for _ in range(5)) for _ in range(300)]
+    items = [(k, f"{' '.join(rng.sample(words, 28))}. {' '.join(rng.sample(words, 4))}!") for k in range(30)] + [(99, "two words")]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(0, 150))) for _ in range(150)] + [None, "", "Two, WORDS"]
+    texts += [f"{' '.join(rng.choices(words, k=rng.randint(0, 60)))}\n«{items[k][1].upper()}» {' '.join(rng.choices(words, k=rng.randint(0, 60)))}" for k in range(30)]
+    monkeypatch.setattr(D, "COMMON", 1.0)
+    (space,) = D.fit(spark.createDataFrame([(t,) for t in texts], "text string"), [items], passages=50)
+    verify, shares, want = D.verify, [], set()
+    for k, t in enumerate(texts):
+        own = [x.strip(D._MARKS) for x in (t or "").lower().split()]
+        if own == ["two", "words"]:
+            want.add((k, 99))
+        for start in range(0, len(own), D.STRIDE):
+            x = space.vectors[[space.terms[w] for w in own[start : start + D.WINDOW] if w in space.terms]]
+            if len(x) > 1:
+                close = space.items @ x.sum(0) / np.linalg.norm(x.sum(0))
+                want |= {(k, space.ids[e]) for e in np.flatnonzero(close >= 0.2).tolist() if verify(space, e, own, start)}
+
+    def counted(space, entry, own, start):
+        shares.append(len(space.rare[entry].intersection(own)) / len(space.rare[entry]))
+        return verify(space, entry, own, start)
+
+    monkeypatch.setattr(D, "verify", counted)
+    got = [(row[0], row[1]) for row in D.held_items(space, D.Words(pa.array(texts)), 0.2)]
+    assert set(got) == want and len(got) == len(want) > 30
+    assert min(shares) >= D.RARE_SHARE

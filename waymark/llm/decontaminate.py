@@ -27,18 +27,19 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from dataclasses import dataclass
-from functools import reduce
-from itertools import repeat
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize, trim_memory
 
 ITEMS = 4096
+#: Texts of a task whose words are looked up together.
+TEXTS = 512
 #: Groups whose spaces workers hold at a time.
 HELD = 4
 MIN_WORDS = 5
@@ -56,6 +57,7 @@ COSINE = 0.45
 VERBATIM, PARAPHRASE, RARE_SHARE, ANSWER_SHARE = 0.8, 0.5, 0.5, 0.5
 
 _MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "¡¿“”„‘’«»…–—·"
+_ASCII_MARKS = "".join(c for c in _MARKS if c.isascii())
 
 
 def words_of(text: str | None) -> list[str]:
@@ -63,14 +65,36 @@ def words_of(text: str | None) -> list[str]:
     return [w for w in (x.strip(_MARKS) for x in (text or "").lower().split()) if w]
 
 
-def numbered(texts: list[list[str]], number: dict[str, int]) -> list[np.ndarray]:
-    """The numbers of the texts' words without their marks; -1 where there is none."""
-    found = {}
-    for x in set().union(*texts):
-        k = number.get(x if x.isalnum() else x.strip(_MARKS))  # marks are not alphanumeric
-        if k is not None:
-            found[x] = k
-    return [np.fromiter(map(found.get, words, repeat(-1)), np.int32, len(words)) for words in texts]
+class Words:
+    """The words of texts, parted as by str.split() and without their marks; every different
+    one is looked at once. ``place`` has each word's number, ``starts`` where texts begin."""
+
+    def __init__(self, texts: pa.Array):
+        split = pc.utf8_split_whitespace(texts.cast(pa.large_string()).fill_null(""))
+        words = split.flatten().dictionary_encode()
+        raw, place, starts = words.dictionary, words.indices.to_numpy(), split.offsets.to_numpy()
+        full = pc.binary_length(raw).to_numpy() > 0
+        if not full.all():
+            good = full[place]
+            place, starts = place[good], np.concatenate([[0], np.cumsum(good)])[starts]
+        self.place, self.starts, self.sizes = place, starts, np.diff(starts)
+        wide = pc.invert(pc.string_is_ascii(raw))
+        others = [x.lower().strip(_MARKS) for x in raw.filter(wide).to_numpy(zero_copy_only=False)]
+        narrow = pc.ascii_trim(pc.ascii_lower(raw), characters=_ASCII_MARKS)
+        self.different = pc.replace_with_mask(narrow, wide, pa.array(others, pa.large_string()))
+
+    def known(self, terms: pa.Array) -> tuple[np.ndarray, ...]:
+        """(places, texts, places in the texts, numbers) of the words that are terms."""
+        number = pc.index_in(self.different, value_set=terms).fill_null(-1).to_numpy()[self.place]
+        at = np.flatnonzero(number >= 0)
+        text = np.repeat(np.arange(len(self.sizes)), self.sizes)[at]
+        return at, text, at - self.starts[text], number[at]
+
+    def of(self, text: int, first: int = 0, stop: int | None = None) -> list[str]:
+        """A text's words from one to another; what is only marks is an empty word."""
+        at, end = self.starts[text : text + 2]
+        stop = end if stop is None else min(at + stop, end)
+        return self.different.take(pa.array(self.place[at + first : stop])).to_pylist()
 
 
 def answer_of(text: str) -> list[str]:
@@ -108,6 +132,19 @@ class Space:
     owner: list[int]  # the number of the item that an entry is, or is a part of
     short: dict[tuple, list]  # ids of the items of a few words
 
+    @cached_property
+    def names(self) -> pa.Array:
+        return pa.array(list(self.terms), pa.large_string())
+
+    @cached_property
+    def rare_terms(self) -> list[frozenset]:
+        return [frozenset(self.terms[w] for w in own) for own in self.rare]
+
+    @cached_property
+    def sizes(self) -> np.ndarray:
+        """Words, and rare ones that have to be there, of each entry."""
+        return np.array([(len(own), RARE_SHARE * max(1, len(rare))) for own, rare in zip(self.words, self.rare, strict=True)]).reshape(-1, 2)
+
 
 def passage(found: list, text: str) -> list:
     """One window of a text; a hash picks it. (The fit takes all passages of all texts.)"""
@@ -129,7 +166,7 @@ def _summed(rows: DataFrame, terms: int, rank: int, multiply) -> np.ndarray:
         total = None
         for b in batches:
             ids, weights = (b.column(k).flatten().to_numpy(zero_copy_only=False) for k in (0, 1))
-            sizes = pa.compute.list_value_length(b.column(0)).to_numpy(zero_copy_only=False)
+            sizes = pc.list_value_length(b.column(0)).to_numpy(zero_copy_only=False)
             z = multiply(ids, weights.astype(np.float32), sizes[sizes > 0])
             total = z if total is None else total + z
         if total is not None:
@@ -191,18 +228,17 @@ def fit(docs: DataFrame, groups: list[list[tuple]], text="text", rank=RANK, pass
     number = {w: k for k, w in enumerate(sorted({w for group in named for _, ws, _ in group if len(ws) >= MIN_WORDS for w in ws}))}
     total = docs.count()
 
+    terms = pa.array(list(number), pa.large_string())
+
     def count(batches):
         df = np.zeros(len(number), np.int64)
         none = lambda n: pa.nulls(n, pa.binary())
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                texts = [(t or "").lower().split() for t in whole.column(0).slice(at, 256).to_pylist()]
-                ids = numbered(texts, number)
-                known = [np.flatnonzero(x >= 0) for x in ids]
-                base = np.cumsum([0, *(len(x) // WINDOW + 1 for x in ids)])
-                owner = np.repeat(np.arange(len(ids)), [len(x) for x in known])
-                block = np.concatenate([base[k] + x // WINDOW for k, x in enumerate(known)])
-                flat = np.concatenate([x[own] for x, own in zip(ids, known, strict=True)])
+            for at in range(0, len(whole), TEXTS):
+                words = Words(whole.column(0).slice(at, TEXTS))
+                _, owner, place, flat = words.known(terms)
+                base = np.cumsum([0, *(words.sizes // WINDOW + 1)])
+                block = base[owner] + place // WINDOW
                 df += np.bincount(np.unique(owner * len(number) + flat) % len(number), minlength=len(number))
                 sizes = np.diff(np.flatnonzero(np.diff(block, prepend=-1, append=-1)))
                 wide = sizes > 2
@@ -337,17 +373,13 @@ def verify(space: Space, item: int, words: list[str], start: int) -> tuple[float
     return None
 
 
-def _candidates(space: Space, texts: list[list[str]], cosine: float):
-    """(text, item, window start, cosine) of the windows that come close to an item. A
-    window is two blocks of STRIDE words, and every block is added up once."""
-    blocks, terms, owner, base = [], [], [], 0
-    for words, ids in zip(texts, numbered(texts, space.terms), strict=True):
-        pos = np.flatnonzero(ids >= 0)
-        blocks.append(base + pos // STRIDE)
-        terms.append(ids[pos])
-        owner.append(base)
-        base += len(words) // STRIDE + 1
-    blocks, terms, owner = np.concatenate([np.zeros(0, np.int64), *blocks]), np.concatenate([np.zeros(0, np.int32), *terms]), np.array(owner)
+def _candidates(space: Space, words: Words, cosine: float):
+    """(text, item, window start, cosine) of the windows that come close to an item and have
+    enough of its rare words around them, as verify counts them. A window is two blocks of
+    STRIDE words, and every block is added up once."""
+    known, home, place, terms = words.known(space.names)
+    owner = np.cumsum([0, *(words.sizes // STRIDE + 1)])[:-1]
+    blocks = owner[home] + place // STRIDE
     starts = np.flatnonzero(np.diff(blocks, prepend=-1))
     if not len(starts):
         return
@@ -368,26 +400,31 @@ def _candidates(space: Space, texts: list[list[str]], cosine: float):
         x = sums[first[own]] * has_first[own, None] + sums[second[own]] * has_second[own, None]
         norm = np.linalg.norm(x, axis=1, keepdims=True)
         close = (x / np.maximum(norm, 1e-6)) @ space.items.T
-        for r, c in zip(*np.nonzero(close >= cosine), strict=True):
-            k = int(home[own[r]])
-            yield k, int(c), int(wins[own[r]] - owner[k]) * STRIDE, float(close[r, c])
-
-
-def held_items(space: Space, texts: list[list[str]], cosine: float):
+        r, c = np.nonzero(close >= cosine)
+        k = home[own[r]]
+        start, (n, need) = (wins[own[r]] - owner[k]) * STRIDE, space.sizes[c].T
+        first_word = np.searchsorted(known, words.starts[k] + np.maximum(0, start - n))
+        last_word = np.searchsorted(known, np.minimum(words.starts[k] + start + WINDOW + n, words.starts[k + 1]))
+        for j in np.flatnonzero(last_word - first_word >= need):
+            entry = int(c[j])
+            if len(space.rare_terms[entry].intersection(terms[first_word[j] : last_word[j]].tolist())) >= need[j]:
+                yield int(k[j]), entry, int(start[j]), float(close[r[j], entry])
+
+
+def held_items(space: Space, words: Words, cosine: float):
     """(text, item id, cosine, common, rare, answer, kind, start) of every item that a text
     holds: whole, or failing that the part that is held best."""
     best: dict[tuple[int, int], list] = {}
-    bare: dict[int, list[str]] = {}
-    for k, entry, start, close in _candidates(space, texts, cosine):
+    for k, entry, start, close in _candidates(space, words, cosine):
         best.setdefault((k, entry), []).append((close, start))
-        if k not in bare:
-            bare[k] = [x.strip(_MARKS) for x in texts[k]]
     found: dict[tuple[int, int], tuple] = {}
     for (k, entry), places in sorted(best.items()):
         owner = (k, space.owner[entry])
         whole = not entry or space.owner[entry - 1] != space.owner[entry]
         for close, start in sorted(places, key=lambda p: (-p[0], p[1])):
-            got = verify(space, entry, bare[k], start)
+            n = len(space.words[entry])
+            first = max(0, start - n)
+            got = verify(space, entry, words.of(k, first, start + WINDOW + n), start - first)
             if got:
                 rank = (not whole, -got[0], start)
                 if owner not in found or rank < found[owner][0]:
@@ -395,10 +432,9 @@ def held_items(space: Space, texts: list[list[str]], cosine: float):
                 break
     yield from (row for _, row in found.values())
     if space.short:
-        for k, words in enumerate(texts):
-            if len(words) < 2 * MIN_WORDS:
-                for i in space.short.get(tuple(w for w in (x.strip(_MARKS) for x in words) if w), ()):
-                    yield k, i, 1.0, 1.0, 1.0, 1.0, "verbatim", 0
+        for k in np.flatnonzero(words.sizes < 2 * MIN_WORDS).tolist():
+            for i in space.short.get(tuple(w for w in words.of(k) if w), ()):
+                yield k, i, 1.0, 1.0, 1.0, 1.0, "verbatim", 0
 
 
 def search(docs: DataFrame, spaces: list[Space], item_type: str, id_col="doc_id", text="text", cosine=COSINE) -> DataFrame:
@@ -413,11 +449,11 @@ def search(docs: DataFrame, spaces: list[Space], item_type: str, id_col="doc_id"
 
     def run(batches):
         for whole in batches:
-            for at in range(0, len(whole), 256):
-                b = whole.slice(at, 256)
+            for at in range(0, len(whole), TEXTS):
+                b = whole.slice(at, TEXTS)
                 ids = b.column(0).to_pylist()
-                texts = [(t or "").lower().split() for t in b.column(1).to_pylist()]
-                out = [(ids[k], *row) for own in held.value for k, *row in held_items(own, texts, cosine)]
+                words = Words(b.column(1))
+                out = [(ids[k], *row) for own in held.value for k, *row in held_items(own, words, cosine)]
                 if out:
                     yield pa.RecordBatch.from_pydict(dict(zip(shape.names, map(list, zip(*out, strict=True)), strict=True)), schema=shape)
 
