@@ -12,6 +12,7 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 from tokenizers.normalizers import Replace
 from waymark.llm import token_files
+from waymark.llm.common import lots
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -163,3 +164,13 @@ def test_small_letters_need_no_pattern():
     other = token_files.Encoder(PATH)
     other.tokenizer.normalizer = Replace("é", "e")
     assert other._plainly() == (None, {})
+
+
+def test_long_texts_are_taken_in_smaller_lots():
+    texts = pa.array(["a" * n for n in [3, 0, 4, 30, 1, 1, 1, 1, 1, 1, 9]] + [None, "é" * 5, "b"])
+    for own in (texts, texts.slice(2), texts.slice(0, 0), pa.array([None, None], pa.string()), texts.cast(pa.large_string())):
+        got = list(lots(own, 4, 10))
+        assert [k for at, n in got for k in range(at, at + n)] == list(range(len(own)))
+        sizes = [[len((t or "").encode()) for t in own.slice(at, n).to_pylist()] for at, n in got]
+        assert all(len(x) == 1 or len(x) <= 4 and sum(x) <= 10 for x in sizes)
+        assert all(len(x) == 4 or sum(x) + y[0] > 10 for x, y in zip(sizes, sizes[1:], strict=False))

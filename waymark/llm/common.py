@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..tables import discard, new_path, scratch, shared_dir
 from ..tables import settle as materialize
 
-__all__ = ["ascii_lower", "connected_components", "discard", "fold", "materialize", "new_path", "scratch", "shared_dir", "trim_memory", "trimmed"]
+__all__ = ["ascii_lower", "connected_components", "discard", "fold", "materialize", "lots", "new_path", "scratch", "shared_dir", "trim_memory", "trimmed"]
 
 ASCII_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ASCII_LOWER = ASCII_UPPER.lower()
@@ -40,6 +40,21 @@ def trimmed(run):
     return whole
 
 
+def lots(texts, rows: int, size: int):
+    """(first, number) of runs of an Arrow array's texts: up to ``rows`` of them and ``size``
+    bytes, or one text that is longer."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(texts).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        room = (ends[at - 1] if at else 0) + size
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, room, side="right"))))
+        yield at, stop - at
+        at = stop
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(col, ASCII_UPPER, ASCII_LOWER)

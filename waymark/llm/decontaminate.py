@@ -35,11 +35,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, trim_memory
+from .common import discard, lots, materialize, trim_memory, trimmed
 
 ITEMS = 4096
-#: Texts of a task whose words are looked up together.
-TEXTS = 512
+#: Texts of a task, and bytes of them, whose words are looked up together.
+TEXTS, TEXT_BYTES = 512, 16 << 20
 #: Groups whose spaces workers hold at a time.
 HELD = 4
 MIN_WORDS = 5
@@ -234,8 +234,8 @@ def fit(docs: DataFrame, groups: list[list[tuple]], text="text", rank=RANK, pass
         df = np.zeros(len(number), np.int64)
         none = lambda n: pa.nulls(n, pa.binary())
         for whole in batches:
-            for at in range(0, len(whole), TEXTS):
-                words = Words(whole.column(0).slice(at, TEXTS))
+            for at, n in lots(whole.column(0), TEXTS, TEXT_BYTES):
+                words = Words(whole.column(0).slice(at, n))
                 _, owner, place, flat = words.known(terms)
                 base = np.cumsum([0, *(words.sizes // WINDOW + 1)])
                 block = base[owner] + place // WINDOW
@@ -449,15 +449,15 @@ def search(docs: DataFrame, spaces: list[Space], item_type: str, id_col="doc_id"
 
     def run(batches):
         for whole in batches:
-            for at in range(0, len(whole), TEXTS):
-                b = whole.slice(at, TEXTS)
+            for at, n in lots(whole.column(1), TEXTS, TEXT_BYTES):
+                b = whole.slice(at, n)
                 ids = b.column(0).to_pylist()
                 words = Words(b.column(1))
                 out = [(ids[k], *row) for own in held.value for k, *row in held_items(own, words, cosine)]
                 if out:
                     yield pa.RecordBatch.from_pydict(dict(zip(shape.names, map(list, zip(*out, strict=True)), strict=True)), schema=shape)
 
-    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).mapInArrow(trimmed(run), schema)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text="text", item_col="item_id", item_text="text", items=ITEMS, held=HELD) -> DataFrame:

@@ -29,13 +29,14 @@ import pyarrow.ipc as ipc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, new_path, trimmed
+from .common import lots, materialize, new_path, trimmed
 
 SEQUENCE = 1024
 BATCH = 256
 ROWS_PER_FILE = 65_536
-#: Texts of a task that are encoded together, so that a word they share is looked up once.
-TEXTS = 2048
+#: Texts of a task, and bytes of them, that are encoded together, so that a word they share
+#: is looked up once.
+TEXTS, TEXT_BYTES = 2048, 16 << 20
 #: Words that a worker remembers, in Arrow arrays; beyond that, half of them, the last used.
 CACHE_WORDS = 400_000
 #: Words of letters that are encoded as one line.
@@ -205,13 +206,13 @@ def tokenized(docs: DataFrame, vocabulary: str, end_id: int, id_col="doc_id", te
         end = np.array([end_id], enc.dtype).tobytes()
         for b in batches:
             texts, keys = b.column(1), b.column(0).to_pylist()
-            for at in range(0, len(texts), TEXTS):
-                own = [t or "" for t in texts.slice(at, TEXTS).to_pylist()]
+            for at, n in lots(texts, TEXTS, TEXT_BYTES):
+                own = [t or "" for t in texts.slice(at, n).to_pylist()]
                 ids = [e + end for e in enc.encode(own)]
                 mix = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in own]
-                shards = list(map(place, keys[at : at + TEXTS], mix))
+                shards = list(map(place, keys[at : at + n], mix))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(at, TEXTS), pa.array(ids, pa.binary()), pa.array(mix, pa.int64()), pa.array(shards, pa.int32())], ["id", "ids", "mix", "shard"]
+                    [b.column(0).slice(at, n), pa.array(ids, pa.binary()), pa.array(mix, pa.int64()), pa.array(shards, pa.int32())], ["id", "ids", "mix", "shard"]
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
