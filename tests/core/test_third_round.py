@@ -3,7 +3,10 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
+from waymark.operators import nearest
+from waymark.operators import retrieval as R
 from waymark.plans import queries as Q
 
 
@@ -28,3 +31,42 @@ def test_letters_and_spaces_as_in_sql(spark, tmp_path, name):
     spark.createDataFrame(list(enumerate(ODD)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     mine, theirs = like_sql(spark, tmp_path, name)
     assert mine == theirs and mine
+
+
+@pytest.mark.parametrize("keyed", [True, False])
+def test_nearest_plans_in_blocks(spark, monkeypatch, keyed):
+    """Several blocks of either side, copies, plans without a second alias, against plain sums."""
+    for name, rows in (("QUERY_ROWS", 40), ("ALIAS_ROWS", 64), ("LEAST_ROWS", 16), ("STRIP", 7)):
+        monkeypatch.setattr(nearest, name, rows)
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((150, 8)).astype(np.float32)
+    vectors[100:] = vectors[rng.integers(0, 60, 50)]
+    plans = [int(p) if p else None for p in rng.integers(0, 9, 150)]
+    plans[7] = 77
+    rows = [(k, p, [float(x) for x in v]) for k, (p, v) in enumerate(zip(plans, vectors))]
+    own = spark.createDataFrame(rows, "alias long, plan int, vector array<float>")
+    asked = own.selectExpr("alias as query", "vector").where("query % 2 = 0")
+    found = nearest.two_nearest(asked, own if keyed else own.drop("alias"))
+    got = {r.query: (r.plan, r.sim, r.margin) for r in R.best_and_margin(found).collect()}
+    for q in range(0, 150, 2):
+        best: dict = {}
+        for a, p, v in rows:
+            if a != q or not keyed:
+                sim = 0.0
+                for x, y in zip(rows[q][2], v):
+                    sim += x * y
+                best[p] = max(best.get(p, -math.inf), sim)
+        first, second = sorted(best.items(), key=lambda b: (-round(b[1], 4), b[0] is None, b[0] or 0))[:2]
+        assert got[q] == (first[0], round(first[1], 4), round(first[1] - second[1], 4))
+
+
+@pytest.mark.parametrize("name", ["semantic_margin_lookup", "gate_sweep", "best_gate"])
+def test_odd_vectors_as_in_sql(spark, tmp_path, name):
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(x) for x in v], int(p)) for k, (v, p) in enumerate(zip(rng.standard_normal((160, 4)).astype(np.float32) / 2, rng.integers(0, 4, 160)))]
+    for k, vector in ((3, None), (50, rows[50][1][:3]), (61, []), (62, [0.5, None, 0.5, 0.1]), (100, rows[7][1])):
+        rows[k] = (k, vector, rows[k][2])
+    rows += [(160, rows[0][1], 9), (161, rows[0][1], 9)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    mine, theirs = like_sql(spark, tmp_path, name)
+    assert mine == theirs and mine
