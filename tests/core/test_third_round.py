@@ -70,3 +70,11 @@ def test_odd_vectors_as_in_sql(spark, tmp_path, name):
     spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     mine, theirs = like_sql(spark, tmp_path, name)
     assert mine == theirs and mine
+
+
+def test_gate_is_set_by_all_rows(spark, tmp_path):
+    """No number is one that 50 divides."""
+    rows = spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").where("vec_id % 50 <> 0")
+    rows.write.parquet(str(tmp_path / "embeddings.parquet"))
+    mine, theirs = like_sql(spark, tmp_path, "best_gate")
+    assert mine == theirs and len(mine) == 1
