@@ -14,7 +14,7 @@ from ..operators import gates, metrics
 from ..operators import retrieval as R
 from ..shipping import ship
 from ..sources.articles import fingerprint
-from ..tables import settle
+from ..tables import once, settle
 
 
 def first_of_each(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
@@ -117,11 +117,16 @@ def _in_order(a: Column, b: Column) -> Column:
 
 def goals(articles: DataFrame, catalog: DataFrame, mode="hybrid") -> DataFrame:
     """articles to (id, title, topic, contexts, build, gate): a goal for each article with
-    actions, and what the gate says of it."""
+    actions, and what the gate says of it. Each different article is compiled once."""
+    compiled = once(articles.select("id", "title", "content"), ["title", "content"], "_article", lambda a: _goals(a.withColumnRenamed("_article", "id"), catalog, mode).drop("title").withColumnRenamed("id", "_article"))
+    return compiled.select("id", "title", "topic", "contexts", "build", "gate")
+
+
+def _goals(articles: DataFrame, catalog: DataFrame, mode: str) -> DataFrame:
     found = settle(actions(articles))
     best = settle(resolve(found, catalog, mode).where("rank = 1").drop("rank"))
     entries = catalog.select(F.col("id").alias("entry"), F.struct("deeplink", "description", "message", "originalType", "validation").alias("e"))
-    rows = found.join(best, ["id", "action_no"], "left").join(entries, "entry", "left")
+    rows = found.join(best.hint("merge"), ["id", "action_no"], "left").join(entries, "entry", "left")
     path = G.path(F.col("steps"))
     rows = rows.withColumn("_path", path).withColumn("_hit", F.coalesce("accepted", F.lit(False)))
     text = F.array_join("steps", " ")
@@ -156,7 +161,7 @@ def goals(articles: DataFrame, catalog: DataFrame, mode="hybrid") -> DataFrame:
         metrics.goal_score(F.col("n_resolved"), generic).alias("score"),
     )
     build = F.struct("n_actions", "n_resolved", generic.alias("n_generic"), F.round(F.col("n_resolved") / F.col("n_actions"), 4).alias("resolution_rate"), "mean_target_overlap", "polarity_agreement", "n_polarity_considered")
-    out = packed.join(topics, "id").select("id", "title", "topic", F.array(context).alias("contexts"), build.alias("build"))
+    out = packed.join(topics.hint("merge"), "id").select("id", "title", "topic", F.array(context).alias("contexts"), build.alias("build"))
     return gates.audit(with_unknown_links(out, catalog), unknown=F.col("_unknown")).drop("_unknown")
 
 
@@ -168,13 +173,13 @@ def with_unknown_links(answers: DataFrame, catalog: DataFrame) -> DataFrame:
         return answers.withColumn("_unknown", F.array().cast("array<string>"))
     asked = answers.select("id", F.explode(gates.links(F.col("contexts"))).alias("deeplink")).where(F.col("deeplink") != L.PLACEHOLDER)
     lost = asked.join(known, "deeplink", "left_anti").groupBy("id").agg(F.collect_list("deeplink").alias("_unknown"))
-    return answers.join(lost, "id", "left").withColumn("_unknown", F.coalesce("_unknown", F.array().cast("array<string>")))
+    return answers.join(lost.hint("merge"), "id", "left").withColumn("_unknown", F.coalesce("_unknown", F.array().cast("array<string>")))
 
 
 def plans(articles: DataFrame, catalog: DataFrame, lexicon: L.Lexicon = L.STOCK, mode="hybrid") -> DataFrame:
     """Compiled plans that pass the gate, with identity, signature and domain."""
     ship(articles.sparkSession)
-    rows = goals(articles, catalog, mode).where("gate.ok").join(articles.select("id", "original_query"), "id")
+    rows = goals(articles, catalog, mode).where("gate.ok").join(articles.select("id", "original_query").hint("merge"), "id")
     seed = F.coalesce(F.when(F.trim("original_query") != "", F.col("original_query")), F.when(F.col("title") != "", F.col("title")), F.col("topic"))
     body = F.to_json(F.col("contexts")[0])
     # accents are taken apart before words are looked up
