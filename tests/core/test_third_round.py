@@ -5,9 +5,13 @@ import math
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from waymark.operators import nearest
 from waymark.operators import retrieval as R
+from waymark.plans import cases
+from waymark.plans import compile as C
 from waymark.plans import queries as Q
+from waymark.plans import serve as S
 
 
 def like_sql(spark, folder, name):
@@ -78,3 +82,28 @@ def test_gate_is_set_by_all_rows(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "embeddings.parquet"))
     mine, theirs = like_sql(spark, tmp_path, "best_gate")
     assert mine == theirs and len(mine) == 1
+
+
+def test_copies_are_compiled_and_answered_once(spark, monkeypatch):
+    """Work and memory follow the different texts; every row still gets its result."""
+    compiled, compared = [], []
+
+    def actions(articles, real=C.actions):
+        compiled.append(articles.count())
+        return real(articles)
+
+    def encoder(queries, texts, query_id, text_id):
+        compared.append(queries.count())
+        return R.gram_cosine(queries, texts, query_id, text_id)
+
+    monkeypatch.setattr(C, "actions", actions)
+    kinds = [("screen dark", "Screen brightness", "Tap Display. Tap Brightness."), ("wifi drops", "Network", "## Reset network\nOpen Settings. Tap Reset settings."), (None, None, None)]
+    articles = spark.createDataFrame([(str(k), *kinds[k % 3]) for k in range(90)], "id string, original_query string, title string, content string")
+    plans = C.plans(articles, cases._catalog(spark))
+    got = plans.groupBy("source_title").agg(F.count("*").alias("n"), F.countDistinct("plan_id").alias("d")).collect()
+    assert compiled == [3] and sorted((r.source_title, r.n, r.d) for r in got) == [("Network", 30, 30), ("Screen brightness", 30, 30)]
+    one = plans.where("source_id in ('0', '1')").localCheckpoint()
+    asked = spark.createDataFrame([(k, [None, "zzz qqq", "Screen brightness is odd", " "][k % 4]) for k in range(80)], "query_id long, text string")
+    out = S.answer(asked, one, C.aliases(one), floor=0.2, encoder=encoder)
+    assert compared[0] <= 2 and out.count() == 80
+    assert {(r.query_id % 4, r.fallback) for r in out.collect()} == {(0, "empty_query"), (1, "no_match"), (2, None), (3, "empty_query")}
